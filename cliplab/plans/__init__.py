@@ -1,0 +1,6 @@
+"""Registered queries over the given tables."""
+
+from cliplab.plans import manifests, parsing  # noqa: F401
+from cliplab.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
