@@ -50,28 +50,38 @@ def device_class(blue: Column, green: Column, red: Column, total: Column) -> Col
 
 
 def vector_moments(vector: Column) -> Column:
-    """struct(mean, var, skew, kurt): population moments, excess kurtosis, zeros for an empty vector."""
-    n = F.size(vector).cast("double")
-    values = F.transform(vector, lambda x: x.cast("double"))
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    zero = F.struct(F.lit(0.0).alias("m2"), F.lit(0.0).alias("m3"), F.lit(0.0).alias("m4"))
+    """struct(mean, var, skew, kurt): population moments, excess kurtosis, zeros for an empty vector.
+
+    One pass: power sums of the distance to the first element, then central moments.
+    """
+    first = F.coalesce(F.get(vector, 0).cast("double"), F.lit(0.0))
+    names = ("n", "s1", "s2", "s3", "s4")
 
     def add(acc: Column, x: Column) -> Column:
-        d = x - mean
+        d = x.cast("double") - first
         return F.struct(
-            (acc["m2"] + d * d).alias("m2"), (acc["m3"] + d * d * d).alias("m3"), (acc["m4"] + d * d * d * d).alias("m4")
+            (acc["n"] + 1.0).alias("n"), (acc["s1"] + d).alias("s1"), (acc["s2"] + d * d).alias("s2"),
+            (acc["s3"] + d * d * d).alias("s3"), (acc["s4"] + d * d * d * d).alias("s4"),
         )
 
-    sums = F.aggregate(values, zero, add)
-    var = sums["m2"] / n
-    spread = F.nullif(var, F.lit(0.0))
-    empty = n == 0
-    return F.struct(
-        F.when(empty, 0.0).otherwise(mean).alias("mean"),
-        F.when(empty, 0.0).otherwise(var).alias("var"),
-        F.when(empty, 0.0).otherwise(sums["m3"] / n / F.pow(spread, F.lit(1.5))).alias("skew"),
-        F.when(empty, 0.0).otherwise(sums["m4"] / n / (spread * spread) - 3.0).alias("kurt"),
-    )
+    sums = F.aggregate(vector, F.struct(*[F.lit(0.0).alias(n) for n in names]), add)
+
+    def finish(s: Column) -> Column:
+        n = F.nullif(s["n"], F.lit(0.0))
+        m, r2, r3, r4 = (s[c] / n for c in names[1:])
+        var = r2 - m * m
+        third = r3 - 3 * m * r2 + 2 * m * m * m
+        fourth = r4 - 4 * m * r3 + 6 * m * m * r2 - 3 * m * m * m * m
+        spread = F.nullif(var, F.lit(0.0))
+        return F.struct(
+            F.coalesce(m + first, F.lit(0.0)).alias("mean"),
+            F.coalesce(var, F.lit(0.0)).alias("var"),
+            F.when(s["n"] == 0, 0.0).otherwise(third / F.pow(spread, F.lit(1.5))).alias("skew"),
+            F.when(s["n"] == 0, 0.0).otherwise(fourth / (spread * spread) - 3.0).alias("kurt"),
+        )
+
+    # a one-element array binds the sums, so they are computed once
+    return F.get(F.transform(F.array(sums), finish), 0)
 
 
 def composite_score(circle: Column, contour: Column, highlight: Column, local_var: Column, entropy: Column) -> Column:
