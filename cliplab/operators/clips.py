@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliplab.operators.ranking import group_rank, join_on, modal_value, running_totals
@@ -108,15 +108,19 @@ def _moving_average_array(values: Column, n: Column) -> Column:
     return F.when(n <= 1, values).otherwise(F.transform(values, at))
 
 
-def _gaussian_kernel(n: Column) -> Column:
-    """Normalised length-n kernel centred at (n-1)/2, sigma = max(1, n/6)."""
+def _kernels(spark: SparkSession, limit: int) -> DataFrame:
+    """(n, kernel) for 1 <= n <= limit: normalised, centred at (n-1)/2, sigma = max(1, n/6)."""
+    n = F.col("__n")
     sigma = F.greatest(F.lit(1.0), n / 6.0)
     centre = (n - 1) / 2.0
-    raw = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), n - 1), lambda x: F.exp(-0.5 * F.pow((x - centre) / sigma, F.lit(2.0)))
+    points = spark.range(1, limit + 1).withColumnRenamed("id", "__n").withColumn(
+        "__x", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    )
+    points = points.withColumn("__w", F.exp(-0.5 * F.pow((F.col("__x") - centre) / sigma, F.lit(2.0))))
+    packed = points.groupBy("__n").agg(
+        F.array_sort(F.collect_list(F.struct("__x", "__w"))).alias("__s"), F.sum("__w").alias("__t")
     )
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raw, lambda x: x / total)
+    return packed.select("__n", F.transform("__s", lambda p: p["__w"] / F.col("__t")).alias("__k"))
 
 
 def _gaussian_array(values: Column, kernel: Column, n: Column) -> Column:
@@ -141,14 +145,16 @@ def _topk_mean_array(values: Column, n: Column, ratio: float) -> Column:
     return F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / k
 
 
-def _as_arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], prob: str) -> DataFrame:
+def _as_arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], prob: str, limit: int) -> DataFrame:
+    """Ordered probabilities of each short clip with the kernel of its length.
+
+    The kernel table has `limit` rows whatever the data size, so it is broadcast.
+    """
     packed = F.sort_array(F.collect_list(F.struct(*order, F.col(prob).cast("double").alias("__p"))))
-    return (
-        df.groupBy(*keys)
-        .agg(packed.alias("__s"))
-        .select(*keys, F.col("__s.__p").alias("__v"), F.size("__s").cast("bigint").alias("__n"))
-        .withColumn("__k", _gaussian_kernel(F.col("__n")))
+    arrays = df.groupBy(*keys).agg(packed.alias("__s")).select(
+        *keys, F.col("__s.__p").alias("__v"), F.size("__s").cast("bigint").alias("__n")
     )
+    return arrays.join(F.broadcast(_kernels(df.sparkSession, limit)), "__n")
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], prob: str, span: int) -> DataFrame:
@@ -280,12 +286,12 @@ def smoothed_frames(
     `order_span` of its values form one work unit of a long clip.
     """
     short, long = split_by_length(df, keys, array_limit)
-    packed = _as_arrays(short, keys, order, prob)
+    packed = _as_arrays(short, keys, order, prob, array_limit)
     n = F.col("__n")
     array = (
         _moving_average_array(F.col("__v"), n) if kind == "moving_avg" else _gaussian_array(F.col("__v"), F.col("__k"), n)
     )
-    out = packed.select(*keys, n.alias("__n"), F.posexplode(array).alias("__i", "smoothed")).select(
+    out = packed.select(*keys, "__n", F.posexplode(array).alias("__i", "smoothed")).select(
         *keys, F.col("__i").cast("bigint").alias("position"), F.col("__n").alias("n_frames"), "smoothed"
     )
     if long is None:
@@ -308,7 +314,7 @@ def smoothed_topk(
 ) -> DataFrame:
     """(keys, moving_avg_topk-<r>..., gaussian_topk-<r>...) per clip."""
     short, long = split_by_length(df, keys, array_limit)
-    packed = _as_arrays(short, keys, order, prob)
+    packed = _as_arrays(short, keys, order, prob, array_limit)
     n = F.col("__n")
     packed = packed.withColumns(
         {

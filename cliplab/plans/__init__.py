@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from cliplab.plans import manifests, parsing, quality_queries, splitting  # noqa: F401
+from cliplab.plans import evaluation, manifests, parsing, quality_queries, splitting  # noqa: F401
 from cliplab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
