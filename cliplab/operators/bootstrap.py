@@ -51,11 +51,27 @@ def _bucket_draws(seed: int, n_replicates: int):
     return draw
 
 
+def _block_draws(
+    rng: np.random.Generator, left: np.ndarray, weight: int, n: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(draws inside the block per replicate, replicate x cell counts) for cells of n rows each."""
+    size = int(n.sum())
+    inside = left.copy() if size >= weight else rng.binomial(left, size / weight)
+    cells, replicates = len(n), len(left)
+    if size > 4 * cells:
+        return inside, rng.multinomial(inside, n / size).astype(np.float64)
+    # few rows per cell: drawing row numbers is cheaper than one binomial per cell
+    cell_of_row = np.repeat(np.arange(cells), n)
+    picked = cell_of_row[rng.integers(0, size, size=int(inside.sum()))]
+    flat = np.repeat(np.arange(replicates) * cells, inside) + picked
+    return inside, np.bincount(flat, minlength=replicates * cells).reshape(replicates, cells).astype(np.float64)
+
+
 def _cell_draws(seed: int):
     """Sorted cells of many (group, bucket, chunk) runs in, per-replicate partial sums out.
 
     Each run starts with a header row (score null) that holds its bucket draws.
-    Draws go cell block by cell block: a multinomial over the block and "the rest".
+    Draws go cell block by cell block: first how many fall in the block, then which cells.
     """
 
     def finish(run: dict) -> pd.DataFrame:
@@ -65,25 +81,24 @@ def _cell_draws(seed: int):
         out.insert(2, "replicate", run["chunk"] + np.arange(len(out)))
         return out
 
-    def absorb(run: dict, cells: pd.DataFrame) -> None:
+    def absorb(run: dict, rows: pd.DataFrame) -> None:
         width = max(1, 500_000 // len(run["left"]))
-        for start in range(0, len(cells), width):
-            block = cells.iloc[start : start + width]
+        for start in range(0, len(rows), width):
+            block = rows.iloc[start : start + width]
             n = block["n"].to_numpy(dtype=np.int64)
-            rest = run["weight"] - n.sum()
-            share = (np.append(n, rest) if rest > 0 else n) / run["weight"]
-            drawn = run["rng"].multinomial(run["left"], share)
-            run["left"] = drawn[:, -1] if rest > 0 else np.zeros_like(run["left"])
-            run["weight"] = rest
-            drawn = drawn[:, : len(n)].astype(np.float64)
+            inside, drawn = _block_draws(run["rng"], run["left"], run["weight"], n)
+            run["left"] = run["left"] - inside
+            run["weight"] -= int(n.sum())
             label = block["label"].to_numpy() == 1
             pred = block["pred"].to_numpy() == 1
             score = block["score"].to_numpy()
 
             # a positive beats every lower negative and half of the equal ones
             edges = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-            pos = np.add.reduceat(np.where(label, drawn, 0.0), edges, axis=1)
-            neg = np.add.reduceat(np.where(label, 0.0, drawn), edges, axis=1)
+            pos = drawn * label
+            neg = drawn - pos
+            if len(edges) < len(n):
+                pos, neg = np.add.reduceat(pos, edges, axis=1), np.add.reduceat(neg, edges, axis=1)
             below = run["neg"][:, None] + np.cumsum(neg, axis=1) - neg
             run["concordant"] += (pos * (below + neg / 2)).sum(axis=1)
             if run["last"] == score[0]:  # a score cut by the block border: its cross pairs count one half
@@ -95,12 +110,12 @@ def _cell_draws(seed: int):
             run["tied_neg"] = neg[:, -1] + (run["tied_neg"] if carry else 0.0)
             run["last"] = score[-1]
 
-            run["pos"] += pos.sum(axis=1)
-            run["neg"] += neg.sum(axis=1)
-            run["tp"] += drawn[:, label & pred].sum(axis=1)
-            run["fp"] += drawn[:, ~label & pred].sum(axis=1)
-            run["fn"] += drawn[:, label & ~pred].sum(axis=1)
-            run["tn"] += drawn[:, ~label & ~pred].sum(axis=1)
+            kinds = np.stack([label & pred, ~label & pred, label & ~pred, ~label & ~pred], axis=1)
+            cells = drawn @ kinds.astype(np.float64)
+            for i, name in enumerate(("tp", "fp", "fn", "tn")):
+                run[name] += cells[:, i]
+            run["pos"] += cells[:, 0] + cells[:, 2]
+            run["neg"] += cells[:, 1] + cells[:, 3]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run: dict | None = None

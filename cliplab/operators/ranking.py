@@ -45,22 +45,25 @@ def running_totals(
     `bucket` columns must grow (or fall, with `bucket_desc`) with `order`.
     """
     group, bucket = list(group), list(bucket)
-    part = group + bucket
+    # a struct key is never null itself and its null fields compare as equal, so the join
+    # below keeps null groups and still reuses the partitioning of the window
+    df = df.withColumn("__g", F.struct(*group) if group else F.lit(0))
+    part = ["__g", *bucket]
     local_w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({f"__l_{n}": F.sum(c).over(local_w) for n, c in values.items()})
 
     totals = df.groupBy(*part).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in values.items()])
     bucket_order = [F.col(b).desc() if bucket_desc else F.col(b).asc() for b in bucket]
-    before = Window.partitionBy(*group).orderBy(*bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    before = Window.partitionBy("__g").orderBy(*bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("__g")
     offsets = totals.select(
         *part,
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in values],
         *[F.sum(f"__t_{n}").over(whole).alias(f"{n}_total") for n in values],
     )
-    out = join_on(local, offsets, part)
+    out = local.join(offsets, part)
     out = out.withColumns({n: F.col(f"__l_{n}") + F.col(f"__o_{n}") for n in values})
-    return out.drop(*[f"__{p}_{n}" for n in values for p in ("l", "o")])
+    return out.select(*[c for c in df.columns if c != "__g"], *values, *[f"{n}_total" for n in values])
 
 
 def group_rank(
@@ -135,20 +138,25 @@ def exact_quantiles(
     )
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], count_col: str, share: int = 1000) -> DataFrame:
-    """Keys holding more than 1/share of all rows: at most `share` of them, by pigeonhole."""
-    total = counts.agg(F.sum(count_col)).scalar()
-    return counts.filter(F.col(count_col) * F.lit(share) > total).select(*keys)
+def hot_keys(counts: DataFrame, group: Sequence[str], keys: Sequence[str], n: str, share: int = 1000) -> DataFrame:
+    """Keys with more than 1/share of their group's rows: at most `share` per group, by pigeonhole."""
+    totals = counts.groupBy(*group).agg(F.sum(n).alias("__all"))
+    return join_on(counts, totals, group).filter(F.col(n) * F.lit(share) > F.col("__all")).select(*group, *keys)
 
 
-def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, share: int = 1000) -> DataFrame:
-    """Inner join to a unique-key lookup whose `weight` column counts the left rows per key.
+def salted_join(
+    left: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame, salt_by: Column, salts: int = 64
+) -> DataFrame:
+    """Inner equi-join to a unique-key lookup; rows of hot keys are spread over `salts` copies of their entry.
 
-    Keys with more than 1/share of the rows go through a broadcast of at most
-    `share` rows; every other key is small enough for a shuffle join.
+    `hot` must be bounded (see hot_keys): it is broadcast to both sides.
     """
-    is_hot = F.col(weight) * F.lit(share) > lookup.agg(F.sum(weight)).scalar()
-    hot, cold = lookup.filter(is_hot), lookup.filter(~is_hot)
-    hot_part = left.join(F.broadcast(hot), list(keys), "inner")
-    rest = left.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
-    return hot_part.unionByName(rest.join(cold, list(keys), "inner"))
+    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    is_hot = F.col("__hot").isNotNull()
+    rows = left.join(marked, list(keys), "left").withColumn(
+        "__salt", F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(0).cast("int")
+    )
+    copies = lookup.join(marked, list(keys), "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0)))
+    )
+    return rows.drop("__hot").join(copies.drop("__hot"), [*keys, "__salt"]).drop("__salt")

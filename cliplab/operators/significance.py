@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.functions.pvalues import chi2_p, normal_p, signed_rank_pvalue, studentized_range_p
 from cliplab.operators.curves import score_histogram
-from cliplab.operators.ranking import join_on, lookup_join, running_totals
+from cliplab.operators.ranking import hot_keys, join_on, running_totals, salted_join
 
 
 def placement_values(
@@ -49,40 +50,33 @@ def delong_pairs(
     """One row per unordered model pair: AUCs, z, two-sided p, significance flag.
 
     Items carry one row per model.  Placement values are looked up per distinct
-    score, an item's models are gathered (their number is the only array
-    length), and pair products are combined before the shuffle.  `within` holds
-    extra group keys, tested apart.
+    score, an item's rows meet in a self-join (models x models per item, which
+    is what all pairs need), and pair moments are combined before the shuffle.
+    `within` holds extra group keys, tested apart.
     """
     within = list(within)
     rows = df.select(
         *within, F.col(model).alias("model"), F.col(item).alias("item"),
         F.col(label).cast("int").alias("label"), F.col(score).cast("double").alias("score"),
     ).filter("label is not null and score is not null")
-    placed = placement_values(rows, [*within, "model"], "label", "score").withColumn(
-        "__rows", F.col("pos") + F.col("neg")
+    group = [*within, "model"]
+    hist = score_histogram(rows, group, "label", "score").withColumn("__rows", F.col("pos") + F.col("neg"))
+    placed = placement_values(rows, group, "label", "score").select(*group, "score", "v10", "v01")
+    joined = salted_join(rows, placed, [*group, "score"], hot_keys(hist, group, ["score"], "__rows"), F.col("item"))
+    valued = joined.select(
+        *within, "item", "label", "model", F.when(F.col("label") == 1, F.col("v10")).otherwise(F.col("v01")).alias("v")
     )
-    valued = lookup_join(
-        rows, placed.select(*within, "model", "score", "v10", "v01", "__rows"), [*within, "model", "score"], "__rows"
-    ).select(
-        *within, "item", "label", F.struct("model", F.when(F.col("label") == 1, F.col("v10")).otherwise(F.col("v01")).alias("v")).alias("m")
-    )
-    items = valued.groupBy(*within, "item", "label").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    pairs = F.flatten(
-        F.transform(
-            "ms",
-            lambda a: F.transform(
-                F.filter("ms", lambda b: b["model"] > a["model"]),
-                lambda b: F.struct(
-                    a["model"].alias("model_a"), b["model"].alias("model_b"), a["v"].alias("va"), b["v"].alias("vb")
-                ),
-            ),
-        )
+    on = [*within, "item", "label"]
+    # both sides are the same shuffle; an item has one row per model
+    a, b = valued.alias("a"), valued.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on])
+    pairs = a.join(b, same & (F.col("a.model") < F.col("b.model"))).select(
+        *[F.col(f"a.{k}").alias(k) for k in [*within, "label"]],
+        F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), F.col("a.v").alias("va"), F.col("b.v").alias("vb"),
     )
     keys = [*within, "model_a", "model_b"]
     moments = (
-        items.select(*within, "label", F.explode(pairs).alias("p"))
-        .select(*within, "label", "p.*")
-        .groupBy(*keys, "label")
+        pairs.groupBy(*keys, "label")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("va").alias("mean_a"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliplab.functions.hashing import digest_int, digest_uniform, seeded_digest
+from cliplab.sources.tables import spread
 
 SEED = 42
 MODELS = ("forest-allBackbone", "linear-freezeBackbone", "blend")
@@ -31,9 +32,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def fact(self, name: str, *keys: str) -> DataFrame:
+        return spread(self.table(name), *keys)
+
     def frames(self) -> DataFrame:
         """Manifest rows; scores score_a..score_c ride along and are pruned when unused."""
-        li = self.table("lineitem").select(
+        li = self.fact("lineitem", "l_orderkey").select(
             "l_orderkey",
             "l_partkey",
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("frame_id"),
@@ -44,14 +48,21 @@ class Views:
             (F.col("l_quantity") / F.lit(50.0)).alias("score_a"),
             ((F.col("l_extendedprice") % F.lit(1000.0)) / F.lit(1000.0)).alias("score_b"),
         )
-        orders = self.table("orders").select("o_orderkey", "o_custkey")
-        j = li.join(orders, li.l_orderkey == orders.o_orderkey)
         video = F.concat(F.lit("vid_"), F.col("o_custkey").cast("string"))
+        # split and fold are hashed once per order, not once per frame
+        orders = self.table("orders").select(
+            "o_orderkey",
+            video.alias("video_id"),
+            _hash_split(video).alias("split"),
+            (digest_int(seeded_digest(SEED, video)) % 5).cast("int").alias("fold"),
+        )
+        j = li.join(orders, li.l_orderkey == orders.o_orderkey)
+        video = F.col("video_id")
         segment = F.concat(F.when(F.col("label") == 1, "ulcer_").otherwise("normal_"), F.col("l_orderkey").cast("string"))
         cls = F.when(F.col("label") == 1, "Ulcer").otherwise("NonUlcer")
         return j.select(
             "frame_id",
-            video.alias("video_id"),
+            "video_id",
             video.alias("patient_id"),
             cls.alias("class_name"),
             "label",
@@ -63,8 +74,8 @@ class Views:
                 "/", cls, video, segment, F.concat(F.lit("frame_"), F.col("frame_number").cast("string"), F.lit(".jpg"))
             ).alias("relative_path"),
             "l_partkey",
-            _hash_split(video).alias("split"),
-            (digest_int(seeded_digest(SEED, video)) % 5).cast("int").alias("fold"),
+            "split",
+            "fold",
             "score_a",
             "score_b",
             (F.lit(0.7) * F.col("score_b") + F.lit(0.3) * F.col("label")).alias("score_c"),

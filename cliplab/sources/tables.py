@@ -49,6 +49,17 @@ def _escape(text: str) -> str:
     return "".join("\\" + ch if ch in r"\.[]{}()*+?^$|" else ch for ch in text)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by key only if the input has fewer splits than the session has cores.
+
+    Files of one row group are read by one task; everything after it would stay
+    there.  Inputs with enough splits are left alone, so large tables pay no
+    extra shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Fact table partitioned by model and fold; filters on those prune whole folders."""
     return spark.read.schema(PREDICTIONS).parquet(path)
