@@ -90,15 +90,13 @@ def first_by_hash(df: DataFrame, group: Sequence[str], digest: str, tie: Sequenc
 
 
 def modal_value(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Most frequent non-null value per key, lowest value on ties; two map-side combined steps."""
+    """Most frequent non-null value per key, lowest value on ties.
+
+    Rows are combined to (key, value) counts first, so a hot key ships one row
+    per value and task.
+    """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    best = counts.groupBy(*keys).agg(F.max("__n").alias("__top"))
-    return (
-        join_on(counts, best, keys)
-        .filter(F.col("__n") == F.col("__top"))
-        .groupBy(*keys)
-        .agg(F.min(value).alias(name))
-    )
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col(value))).alias(name))
 
 
 def exact_quantiles(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliplab.functions.hashing import digest_uniform, seeded_digest
-from cliplab.operators.ranking import first_by_hash, group_rank
+from cliplab.operators.ranking import GROUP_LIMIT_PUSHDOWN, first_by_hash, group_rank
 from cliplab.session import cut_lineage
 
 BLOCK = 10_000
@@ -98,7 +98,7 @@ def sample_rows(
 ) -> DataFrame:
     """Seeded simple random sample of n rows, or of n rows per group."""
     keyed = df.withColumn("__d", seeded_digest(seed, *key))
-    if per:
+    if per or n > GROUP_LIMIT_PUSHDOWN:
         return first_by_hash(keyed, list(per), "__d", list(key), n).drop("__d")
     return keyed.orderBy("__d", *key).limit(n).drop("__d")  # planned as a distributed top-n
 
