@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplab.operators.ranking import join_on, running_totals
+from cliplab.operators.ranking import attach_by_group, join_on, running_totals
 
 SCORE_BUCKETS = 1024
 
@@ -87,7 +87,7 @@ def auroc_multiclass(
     """
     groups = list(groups)
     present = df.groupBy(*groups).agg(F.array_sort(F.collect_set(F.col(label).cast("int"))).alias("__present"))
-    rows = join_on(df.select(*groups, label, probs), present, groups)
+    rows = attach_by_group(df.select(*groups, label, probs), present, groups)
     kept = F.transform("__present", lambda c: F.get(F.col(probs), c).cast("double"))
     rows = rows.withColumn("__kept", kept)
     total = F.aggregate("__kept", F.lit(0.0), lambda a, x: a + x)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.functions import parse
-from cliplab.operators.ranking import join_on
+from cliplab.operators.ranking import hot_keys, join_by_entity, join_on, salted_join
 
 
 def clip_manifest(listing: DataFrame, classes: Mapping[str, int], relative: str = "relative_path") -> DataFrame:
@@ -104,7 +104,7 @@ def attach_size(manifest: DataFrame, lookup: DataFrame) -> DataFrame:
     keyed = lookup.select(
         F.col("record_id").alias("video_id"), F.col("sample_number").alias("segment_number"), "size_code"
     )
-    joined = manifest.join(keyed, ["video_id", "segment_number"], "left")
+    joined = join_by_entity(manifest, keyed, ["video_id", "segment_number"])
     return joined.withColumn("ulcer_size", F.when(F.col("label") == 1, F.col("size_code"))).drop("size_code")
 
 
@@ -113,7 +113,7 @@ def match_videos(windows: DataFrame, videos: DataFrame) -> tuple[DataFrame, Data
     keyed = windows.withColumn("__k", F.lower("record_id"))
     index = videos.groupBy(F.lower("stem").alias("__k")).agg(F.max("path").alias("video_path"))
     skipped = keyed.join(index, "__k", "left_anti").drop("__k").withColumn("reason", F.lit("video_not_found"))
-    return keyed.join(index, "__k").drop("__k"), skipped
+    return join_by_entity(keyed, index, ["__k"], "inner").drop("__k"), skipped
 
 
 def frames_in_windows(
@@ -199,7 +199,8 @@ def duplicate_groups(items: DataFrame, stem: str = "stem") -> DataFrame:
 
 def duplicate_report(items: DataFrame, stem: str = "stem") -> DataFrame:
     """All rows of duplicated stems with their number of copies."""
-    return items.join(duplicate_groups(items, stem), stem)
+    groups = duplicate_groups(items, stem)
+    return salted_join(items, groups, [stem], hot_keys(groups, [stem], "n_copies"), F.struct(*items.columns))
 
 
 def has_no_duplicates(items: DataFrame, stem: str = "stem") -> bool:
@@ -220,9 +221,10 @@ def duplicate_actions(
     best = marked.groupBy(stem).agg(
         F.max(F.struct("__p", mtime)).alias("__top"), F.count(F.lit(1)).alias("n_copies")
     ).filter("n_copies > 1")
-    rows = join_on(marked, best, [stem])
+    hot = hot_keys(best, [stem], "n_copies")
+    rows = salted_join(marked, best, [stem], hot, F.col(path))
     ties = rows.filter(F.struct("__p", mtime) == F.col("__top")).groupBy(stem).agg(F.min(path).alias("__keep"))
-    out = join_on(rows, ties, [stem])
+    out = salted_join(rows, ties, [stem], hot, F.col(path))
     return out.withColumn("action", F.when(F.col(path) == F.col("__keep"), "keep").otherwise("delete")).drop(
         "__p", "__top", "__keep"
     )

@@ -11,7 +11,7 @@ from cliplab.functions import parse
 from cliplab.operators.bootstrap import metrics_with_ci
 from cliplab.operators.clips import steady
 from cliplab.operators.metrics import at_threshold, binary_metrics
-from cliplab.operators.ranking import join_on, modal_value
+from cliplab.operators.ranking import attach_by_group, join_on, modal_value
 
 CLIP_METRICS = ("auroc", "accuracy", "f1", "precision", "sensitivity", "specificity")
 
@@ -47,7 +47,8 @@ def heldout_clip_metrics(
 ) -> DataFrame:
     """Clip metrics per (model, fold) at the fold's own threshold; undefined values are null."""
     keys = list(keys)
-    clips = join_on(heldout_clip_scores(predictions, manifest, keys), thresholds.select(*keys, "threshold"), keys, "left")
+    scores = heldout_clip_scores(predictions, manifest, keys)
+    clips = attach_by_group(scores, thresholds.select(*keys, "threshold"), keys, "left")
     decided = at_threshold(clips, F.coalesce("threshold", F.lit(float(default_threshold))))
     counts = decided.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clips"))
     return join_on(binary_metrics(decided, keys), counts, keys).select(*keys, *CLIP_METRICS, "n_clips")
@@ -68,7 +69,7 @@ def best_fold_clip_ci(
     `folds` holds (model, fold, auroc, threshold).
     """
     chosen = best_fold(folds).select("model", "fold", "threshold")
-    rows = predictions.join(F.broadcast(chosen), ["model", "fold"])  # one row per model
+    rows = attach_by_group(predictions, chosen, ["model", "fold"])
     clips = heldout_clip_scores(rows, manifest, ["model", "threshold"])
     decided = at_threshold(clips, F.coalesce("threshold", F.lit(0.5)))
     return metrics_with_ci(decided, ["model"], n_replicates, seed)

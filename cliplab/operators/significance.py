@@ -62,7 +62,7 @@ def delong_pairs(
     group = [*within, "model"]
     hist = score_histogram(rows, group, "label", "score").withColumn("__rows", F.col("pos") + F.col("neg"))
     placed = placement_values(rows, group, "label", "score").select(*group, "score", "v10", "v01")
-    joined = salted_join(rows, placed, [*group, "score"], hot_keys(hist, group, ["score"], "__rows"), F.col("item"))
+    joined = salted_join(rows, placed, [*group, "score"], hot_keys(hist, [*group, "score"], "__rows"), F.col("item"))
     valued = joined.select(
         *within, "item", "label", "model", F.when(F.col("label") == 1, F.col("v10")).otherwise(F.col("v01")).alias("v")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.functions.hashing import seeded_digest
-from cliplab.operators.ranking import group_rank, join_on, modal_value
+from cliplab.operators.ranking import attach_by_group, group_rank, join_by_entity, join_on, modal_value
 from cliplab.schema import require_columns
 
 STRAT_MODES = ("size", "presence", "size_and_presence", "ulcer_ratio")
@@ -161,7 +161,7 @@ def split_ids(
     counts = ids.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     quotas = split_quotas(counts, train_ratio, val_ratio, test_ratio, rare_threshold)
     ranked = _hash_ranked(ids, id_col, seed)
-    cut = join_on(ranked, quotas, ["stratum"])
+    cut = attach_by_group(ranked, quotas, ["stratum"])
     split = (
         F.when(F.col("__rank") <= F.col("n_test"), "test")
         .when(F.col("__rank") <= F.col("n_test") + F.col("n_val"), "val")
@@ -202,7 +202,7 @@ def assign_train_val_test_split(
         strata_table = strata(df.filter(F.col(patient).isNotNull()), "ulcer_ratio", patient, label)
     assigned = split_ids(strata_table, patient, train_ratio, val_ratio, test_ratio, seed, rare_threshold)
     keyed = df.withColumn(patient, F.col(patient).cast("string"))
-    return keyed.join(assigned.select(patient, "split"), patient, "left")
+    return join_by_entity(keyed, assigned.select(patient, "split"), [patient])
 
 
 def split_info(df: DataFrame, patient: str = "patient_id", label: str = "label") -> DataFrame:
@@ -230,7 +230,7 @@ def assign_cv_folds(
         strata_table = modal_label(df, patient, label)
     folds = patient_folds(df, strata_table, n_splits, seed, patient)
     keyed = df.withColumn(patient, F.col(patient).cast("string"))
-    return join_on(keyed, folds.select(patient, "fold"), [patient], "left")
+    return join_by_entity(keyed, folds.select(patient, "fold"), [patient])
 
 
 def patient_folds(
@@ -251,7 +251,7 @@ def patient_folds(
     pos = (F.col("__rank") - 1) % n_splits
     lap = F.floor((F.col("__rank") - 1) / n_splits) % 2
     dealt = F.when(lap == 0, pos).otherwise(n_splits - 1 - pos)
-    placed = join_on(ranked, start, ["stratum"])
+    placed = attach_by_group(ranked, start, ["stratum"])
     return placed.select(
         patient, "stratum", "n_frames", ((dealt + F.col("__start")) % n_splits).cast("int").alias("fold")
     )
@@ -297,10 +297,10 @@ def assign_val_split(
     sized = counts.withColumn("__all", F.sum("n").over(Window.partitionBy()))
     target = F.ceil(F.col("__all") * val_ratio - 1e-9)
     quotas = _largest_remainder(sized, F.col("n") * target / F.col("__all"), target, "n_val")
-    ranked = join_on(_hash_ranked(ids, patient, seed), quotas.select("stratum", "n_val"), ["stratum"])
+    ranked = attach_by_group(_hash_ranked(ids, patient, seed), quotas.select("stratum", "n_val"), ["stratum"])
     roles = ranked.select(patient, F.when(F.col("__rank") <= F.col("n_val"), "val").otherwise("train").alias("role"))
     keyed = df.withColumn(patient, F.col(patient).cast("string"))
-    return join_on(keyed, roles, [patient], "left")
+    return join_by_entity(keyed, roles, [patient])
 
 
 def train_val_roles(manifest: DataFrame, val_ratio: float = 0.15, seed: int = 42) -> DataFrame:
@@ -334,7 +334,7 @@ def clip_strata(df: DataFrame, label: str = "label", clip: str = "clip_key") ->
     cuts = clips.groupBy("label").agg(
         F.percentile("n_frames", F.lit(1.0 / 3.0)).alias("__q33"), F.percentile("n_frames", F.lit(2.0 / 3.0)).alias("__q66")
     ).withColumn("__q33", F.when(F.col("__q33") == F.col("__q66"), F.col("__q66") - 1).otherwise(F.col("__q33")))
-    binned = join_on(clips, cuts, ["label"])
+    binned = attach_by_group(clips, cuts, ["label"])
     name = (
         F.when(F.col("n_frames") <= F.col("__q33"), "few")
         .when(F.col("n_frames") <= F.col("__q66"), "medium")
@@ -352,7 +352,7 @@ def sample_clips(
     sized = counts.withColumn("__all", F.sum("n").over(Window.partitionBy()))
     target = F.greatest(F.lit(1), F.bround(F.col("__all") * subset_ratio, 0)).cast("bigint")
     quotas = _largest_remainder(sized, F.col("n") / F.col("__all") * target, target, "quota")
-    ranked = join_on(_hash_ranked(clips, clip, seed), quotas.select("stratum", "quota"), ["stratum"])
+    ranked = attach_by_group(_hash_ranked(clips, clip, seed), quotas.select("stratum", "quota"), ["stratum"])
     return ranked.filter(F.col("__rank") <= F.col("quota")).select(clip, "label", "n_frames", "stratum")
 
 
@@ -360,7 +360,7 @@ def sample_train(
     df: DataFrame, subset_ratio: float, seed: int = 42, label: str = "label", clip: str = "clip_key"
 ) -> DataFrame:
     """All frames of a class- and length-stratified clip sample."""
-    return df.join(sample_clips(df, subset_ratio, seed, label, clip).select(clip), clip, "left_semi")
+    return join_by_entity(df, sample_clips(df, subset_ratio, seed, label, clip).select(clip), [clip], "inner")
 
 
 def class_weights(

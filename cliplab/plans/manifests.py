@@ -12,6 +12,7 @@ from cliplab.functions.outcomes import outcome, route
 from cliplab.operators import manifest as m
 from cliplab.operators import quality, report, sampling, splits
 from cliplab.operators.clips import topk_mean
+from cliplab.operators.ranking import join_by_entity
 from cliplab.operators.significance import complete_models
 from cliplab.plans.registry import query
 from cliplab.plans.views import Views, sql
@@ -429,7 +430,7 @@ def d03(v: Views) -> DataFrame:
 def d04(v: Views) -> DataFrame:
     f = v.frames()
     chosen = f.groupBy("clip_key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 6")
-    return f.join(chosen, "clip_key", "left_semi").select("frame_id")
+    return join_by_entity(f, chosen, ["clip_key"], "inner").select("frame_id")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cliplab.functions import parse
 from cliplab.operators import splits
+from cliplab.operators.ranking import join_by_entity
 from cliplab.plans.quality_queries import RATIO_BIN
 from cliplab.plans.registry import query
 from cliplab.plans.views import Views, sql
@@ -94,7 +95,7 @@ def g02b(v: Views) -> DataFrame:
 def d05(v: Views) -> DataFrame:
     f = v.frames()
     split_map = f.filter(F.col("label") == 1).select("patient_id", "split").distinct()
-    return f.drop("split").join(split_map, "patient_id", "left").select("frame_id", "segment_number", "split")
+    return join_by_entity(f.drop("split"), split_map, ["patient_id"]).select("frame_id", "segment_number", "split")
 
 
 def fold_sql(strata: str, src: str, k: int = 5) -> tuple[str, ...]:

@@ -153,12 +153,29 @@ def test_running_totals_and_quantiles_with_null_groups(spark):
 def test_salted_join_keeps_every_row(spark):
     left = spark.range(3000).select(F.col("id").alias("item"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     lookup = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit("x"))
-    hot = ranking.hot_keys(lookup, ["g"], ["k"], "n", share=10)
+    hot = ranking.hot_keys(lookup, ["g", "k"], "n", share=10)
     assert [r["k"] for r in hot.collect()] == [-1]
     out = ranking.salted_join(left.withColumn("g", F.lit("x")), lookup, ["g", "k"], hot, F.col("item"), salts=8)
     assert out.count() == 3000 and out.filter("k = -1").agg(F.max("n")).first()[0] == 1000
 
 
+def test_join_by_entity_with_hot_and_null_keys(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.col("id").cast("string")).alias("k"))
+    table = rows.filter("k is not null").select("k").distinct().withColumn("v", F.length("k"))
+    out = ranking.join_by_entity(rows, table, ["k"])
+    assert out.count() == 6000 and out.filter("v is null").count() == 2000 and out.filter("k = 'hot' and v = 3").count() == 2000
+    assert ranking.join_by_entity(rows, table, ["k"], "inner").count() == 4000
+
+
+def test_attach_by_group_keeps_hot_and_null_groups(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 700, "hot").when(F.col("id") < 990, None).otherwise("x").alias("g"))
+    table = spark.createDataFrame([("hot", 1), (None, 2)], "g string, v int")
+    out = ranking.attach_by_group(rows, table, ["g"])
+    assert out.columns == ["id", "g", "v"]
+    assert {r["v"]: r["n"] for r in out.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 700, 2: 290}
+    assert ranking.attach_by_group(rows, table, ["g"], "left").count() == 1000
+
+
 def test_histogram_and_entropy(spark):
     import numpy as np
 
