@@ -38,18 +38,26 @@ def score_histogram(df: DataFrame, groups: Sequence[str], label: str = "label",
     )
 
 
-def auroc_from_histogram(hist: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Tie-aware AUROC per group; null where only one class is present."""
+def auroc_from_histogram(hist: DataFrame, groups: Sequence[str], unique_scores: bool = True) -> DataFrame:
+    """Tie-aware AUROC per group; null where only one class is present.
+
+    `hist` has (groups, score_bucket, score, pos, neg); with `unique_scores` off
+    a score may be split over several rows.
+    """
     groups = list(groups)
-    inside = (
-        Window.partitionBy(*groups, "score_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    part = [*groups, "score_bucket"]
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    if unique_scores:
+        inside = Window.partitionBy(*part).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        beaten = F.coalesce(F.sum(neg).over(inside), F.lit(0.0)) + neg / 2
+    else:
+        up_to = Window.partitionBy(*part).orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        beaten = F.sum(neg).over(up_to) - F.sum(neg).over(Window.partitionBy(*part, "score")) / 2
     per_bucket = (
-        hist.withColumn("__below", F.coalesce(F.sum(neg).over(inside), F.lit(0.0)))
-        .groupBy(*groups, "score_bucket")
+        hist.withColumn("__beaten", beaten)
+        .groupBy(*part)
         .agg(
-            F.sum(pos * (F.col("__below") + neg / 2)).alias("__within"),
+            F.sum(pos * F.col("__beaten")).alias("__within"),
             F.sum(pos).alias("__pos"),
             F.sum(neg).alias("__neg"),
         )

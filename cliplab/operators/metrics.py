@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplab.operators.curves import auroc, linspace, sweep_grid, threshold_cells
+from cliplab.operators.curves import auroc, auroc_from_histogram, linspace, score_bucket, sweep_grid, threshold_cells
 from cliplab.operators.ranking import join_on
 
 
@@ -20,10 +20,15 @@ def ratio(num: Column, den: Column, undefined: float | None = 0.0) -> Column:
     return value if undefined is None else F.coalesce(value, F.lit(float(undefined)))
 
 
-def confusion_cells(df: DataFrame, groups: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
+def confusion_cells(
+    df: DataFrame, groups: Sequence[str] = (), label: str = "label", pred: str = "pred", weight: str | None = None
+) -> DataFrame:
+    """tp, fp, fn, tn per group; `weight` counts rows that were combined before."""
+    n = F.lit(1) if weight is None else F.col(weight)
+
     def cell(y: int, p: int, name: str) -> Column:
         hit = (F.col(label) == y) & (F.col(pred) == p)
-        return F.coalesce(F.sum(F.when(hit, 1).otherwise(0)), F.lit(0)).alias(name)
+        return F.coalesce(F.sum(F.when(hit, n).otherwise(0)), F.lit(0)).alias(name)
 
     return df.groupBy(*groups).agg(cell(1, 1, "tp"), cell(0, 1, "fp"), cell(1, 0, "fn"), cell(0, 0, "tn"))
 
@@ -54,11 +59,23 @@ def binary_metrics(
     zero_division: float | None = 0.0,
 ) -> DataFrame:
     groups = list(groups)
-    cells = confusion_cells(df, groups, label, pred).withColumns(cell_metrics(zero_division))
     if score is None:
-        return cells
-    area = auroc(df, groups, label, score)
-    return join_on(cells, area, groups, "left")
+        return confusion_cells(df, groups, label, pred).withColumns(cell_metrics(zero_division))
+    # one shuffle of combined (score, label, pred) counts feeds both the cells and the AUROC;
+    # rows without a score weigh nothing there instead of being filtered, so that it is shared
+    hist = df.groupBy(
+        *groups, F.col(score).alias("score"), F.col(label).alias("label"), F.col(pred).alias("pred")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    cells = confusion_cells(hist, groups, "label", "pred", "n").withColumns(cell_metrics(zero_division))
+    scored = F.col("score").isNotNull()
+    weighted = hist.withColumns(
+        {
+            "score_bucket": score_bucket(F.col("score")),
+            "pos": F.when(scored & (F.col("label") == 1), F.col("n")).otherwise(0),
+            "neg": F.when(scored & (F.col("label") != 1), F.col("n")).otherwise(0),
+        }
+    )
+    return join_on(cells, auroc_from_histogram(weighted, groups, unique_scores=False), groups, "left")
 
 
 def confusion_matrix(

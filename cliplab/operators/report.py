@@ -11,7 +11,7 @@ from cliplab.functions import parse
 from cliplab.operators.bootstrap import metrics_with_ci
 from cliplab.operators.clips import steady
 from cliplab.operators.metrics import at_threshold, binary_metrics
-from cliplab.operators.ranking import attach_by_group, join_on, modal_value
+from cliplab.operators.ranking import attach_by_group, modal_value
 
 CLIP_METRICS = ("auroc", "accuracy", "f1", "precision", "sensitivity", "specificity")
 
@@ -50,8 +50,8 @@ def heldout_clip_metrics(
     scores = heldout_clip_scores(predictions, manifest, keys)
     clips = attach_by_group(scores, thresholds.select(*keys, "threshold"), keys, "left")
     decided = at_threshold(clips, F.coalesce("threshold", F.lit(float(default_threshold))))
-    counts = decided.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clips"))
-    return join_on(binary_metrics(decided, keys), counts, keys).select(*keys, *CLIP_METRICS, "n_clips")
+    n_clips = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return binary_metrics(decided, keys).withColumn("n_clips", n_clips).select(*keys, *CLIP_METRICS, "n_clips")
 
 
 def best_fold(fold_metrics: DataFrame, model: str = "model", fold: str = "fold", metric: str = "auroc") -> DataFrame:

@@ -99,7 +99,7 @@ def _stopwatch_rows(v: Views) -> DataFrame:
         .otherwise("no clock")
     )
     hint = F.when(F.col("event_type") == "view", F.col("value").cast("double"))
-    return v.table("events").select("event_id", "user_id", text.alias("text"), hint.alias("hint"))
+    return v.fact("events", "event_id").select("event_id", "user_id", text.alias("text"), hint.alias("hint"))
 
 
 _CLOCK = """clock AS (
