@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplab.llm import jaccard_join
+from cliplab.llm import jaccard_join, repeated_windows
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -13,7 +13,7 @@ from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
     r"""WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                  '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), i -> list_slice(ws, i, i + 2))) AS g
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: list_slice(ws, i, i + 2))) AS g
               FROM w WHERE len(ws) > 0),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         links AS (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS i FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id
@@ -24,3 +24,19 @@ from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+@query(
+    "op7_repeated_windows",
+    r"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest(list_transform(range(1, len(ws) - 18), lambda i: list_slice(ws, i, i + 19))) AS g
+              FROM w WHERE len(ws) >= 20),
+        late AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+          sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE
+            list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows.repeated_word_report(table(spark, sf_dir, "documents"), width=20)
