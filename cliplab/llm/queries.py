@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplab.llm import jaccard_join, repeated_windows
+from cliplab.llm import jaccard_join, mixing, repeated_windows
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -40,3 +40,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows.repeated_word_report(table(spark, sf_dir, "documents"), width=20)
+
+
+@query("op1_mix_sources")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_copies(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, limit=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
