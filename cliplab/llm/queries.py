@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cliplab.llm import jaccard_join, mixing, repeated_windows
+from cliplab.llm import jaccard_join, mixing, neighbours, repeated_windows
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -46,3 +47,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_copies(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, limit=2.0)
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op9_nearest_vectors")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
