@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplab.llm import jaccard_join, mixing, neighbours, repeated_windows
+from cliplab.llm import jaccard_join, main_text, mixing, neighbours, repeated_windows, url_templates
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -52,3 +52,57 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_nearest_vectors")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+_SEGMENTS = r"""list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+            lambda s: regexp_replace(s, '[0-9a-fA-F]{16,}|[0-9]+', '#', 'g'))"""
+
+
+@query(
+    "op6_url_templates",
+    rf"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT *, {_SEGMENTS} AS parts, try_cast(nullif(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1), '') AS BIGINT) AS shown FROM u),
+        m AS (SELECT r.*, CASE WHEN len(parts) > 6 THEN list_append(list_slice(parts, 1, 6), '**') ELSE parts END AS segs,
+            CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 1 WHEN l.doc_id IS NOT NULL THEN 0 END AS bad FROM r LEFT JOIN labels l ON l.doc_id = shown),
+        c AS (SELECT host, segs, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bad FROM m GROUP BY ALL),
+        lv AS (SELECT host, segs, n, lab, bad, i AS lvl, list_slice(segs, 1, i - 1) AS pre, segs[i] AS seg FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM c)),
+        ch AS (SELECT host, pre, seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM lv GROUP BY ALL),
+        pa AS (SELECT host, pre, count(*) AS kinds, sum(n) AS an, sum(lab) AS al, sum(bad) AS ab FROM ch GROUP BY ALL),
+        nm AS (SELECT host, pre, seg, CASE WHEN kinds >= 8 AND kinds >= 0.3 * an THEN '*' WHEN kinds = 1 THEN seg
+            WHEN lab > 0 AND al > lab AND ab > 0 AND ab < al AND abs(bad / lab - (ab - bad) / (al - lab)) > 1.96 * sqrt(ab / al * (1 - ab / al) * (1 / lab + 1 / (al - lab)))
+            THEN seg ELSE '~' END AS name FROM ch JOIN pa USING (host, pre)),
+        tp AS (SELECT host, segs, '/' || string_agg(name, '/' ORDER BY lvl) AS template FROM lv JOIN nm USING (host, pre, seg) GROUP BY ALL),
+        t AS (SELECT c.*, coalesce(template, '') AS template FROM c LEFT JOIN tp USING (host, segs)),
+        g AS (SELECT coalesce(1 - sum(bad) / nullif(sum(lab), 0), 1.0) AS p FROM c),
+        h AS (SELECT host, (sum(lab) - sum(bad) + 4.0::DOUBLE * any_value(p)) / (sum(lab) + 4.0::DOUBLE) AS hp FROM c, g GROUP BY host),
+        j AS (SELECT host, template, (sum(lab) - sum(bad) + 4.0::DOUBLE * any_value(hp)) / (sum(lab) + 4.0::DOUBLE) AS purity FROM t JOIN h USING (host) GROUP BY ALL),
+        v AS (SELECT page_id, host, path, CASE
+            WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule, template, purity
+            FROM m JOIN t USING (host, segs) JOIN j USING (host, template))
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, purity FROM v""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no labels themselves: the last number of a url's path names the document that the page shows."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    _, path = url_templates.url_parts(F.col("url"))
+    shown = pages.select("page_id", F.regexp_extract(path, "/([0-9]+)[^/]*/?$", 1).try_cast("long").alias("doc_id"))
+    bad = labels.select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    return url_templates.judge_urls(pages, shown.join(bad, "doc_id"), rules)
+
+
+@query(
+    "op10_main_text",
+    r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1), '<[^>]*\z', '') AS body FROM pages),
+        b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'),
+            lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+              '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS bs FROM a)
+        SELECT page_id, url, coalesce(array_to_string(bs, chr(10) || chr(10)), '') AS text, length(coalesce(array_to_string(bs, chr(10) || chr(10)), ''))::BIGINT AS n_chars FROM b""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
