@@ -224,10 +224,9 @@ def _verify(n: int, percent: int):
             sets.append(s)
             nodes.append(node)
             guests += guest
-        rows: list[tuple[int, int, int]] = []
+        label, degree = np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
         if len(sets) > 1:
             links = _Links(sets, percent)
-            label = np.arange(len(sets))
             todo = np.argsort(-links.centrality, kind="stable")
             if guests:  # members have met among themselves already
                 todo = np.arange(len(sets) - guests, len(sets))
@@ -236,10 +235,14 @@ def _verify(n: int, percent: int):
                 if not guests and label[x] == count.argmax() and count.max() > 1:
                     continue  # pairs of two groups are seen from the smaller one
                 hits = links.of(x)
-                rows.extend((nodes[x], nodes[y], len(hits)) for y in hits if guests or label[y] != label[x])
+                degree[x] = len(hits)
                 if len(hits):
                     label[np.isin(label, label[np.append(hits, x)])] = label[x]
-        return pd.DataFrame(rows, columns=["a", "b", "degree"]).astype("int64")
+        least: dict[int, int] = {}
+        for node, own in zip(nodes, label, strict=True):
+            least[own] = min(node, least.get(own, node))
+        rows = [(node, least[own], n) for node, own, n in zip(nodes, label, degree, strict=True) if least[own] != node or n]
+        return pd.DataFrame(rows, columns=["node", "component", "degree"]).astype("int64")
 
     return run
 
@@ -254,7 +257,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def _meet(rows: DataFrame, keys: list[str], n: int, percent: int) -> DataFrame:
     return rows.select(*keys, "node", "text", "guest").groupBy(*keys).applyInPandas(
-        _verify(n, percent), "a long, b long, degree long"
+        _verify(n, percent), "node long, component long, degree long"
     )
 
 
@@ -264,11 +267,12 @@ def _guests(chosen: DataFrame) -> DataFrame:
     return chosen.withColumns({"block": every, "guest": F.lit(1)})
 
 
-def _large_cluster_links(texts: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links across the blocks of clusters that are too large for one."""
+def _across_blocks(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) for the clusters that are too large for one block."""
+    links = cut_lineage(_meet(texts.withColumn("guest", F.lit(0)), ["cluster", "block"], n, percent))
     keys = ["cluster", "block", "chunk"]
     place = texts.select("node", "cluster", "blocks")
-    degrees = links.groupBy(F.col("a").alias("node")).agg(F.max("degree").alias("degree"))
+    degrees = links.groupBy("node").agg(F.max("degree").alias("degree"))
     hubs = place.join(degrees, "node").groupBy("cluster").agg(
         F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("degree", "node")))), 1, HUBS).alias("hubs")
     )
@@ -277,7 +281,7 @@ def _large_cluster_links(texts: DataFrame, links: DataFrame, n: int, percent: in
     first = members.unionByName(_guests(texts.join(hubs, "node")).withColumn("chunk", F.lit(0).cast("long")))
     links = cut_lineage(links.unionByName(_meet(first, keys, n, percent)))
 
-    groups = components(links.select("a", "b"))
+    groups = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
     labelled = place.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = labelled.groupBy("cluster", "component").count()
     largest = counts.groupBy("cluster").agg(F.max(F.struct("count", "component")).getField("component").alias("main"))
@@ -288,7 +292,8 @@ def _large_cluster_links(texts: DataFrame, links: DataFrame, n: int, percent: in
     again = texts.join(number, "cluster").withColumns(
         {"chunk": F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)), "guest": F.lit(0)}
     )
-    return links.unionByName(_meet(again.unionByName(guests), keys, n, percent))
+    links = links.unionByName(_meet(again.unionByName(guests), keys, n, percent))
+    return components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def jaccard_groups(
@@ -327,11 +332,11 @@ def jaccard_groups(
     keyed = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_key"), "text")
     texts = cut_lineage(keyed.join(members.hint("shuffle_hash"), "doc_key").drop("doc_key", "n_shingles"))
 
-    links = cut_lineage(_meet(texts.withColumn("guest", F.lit(0)), ["cluster", "block"], shingle, percent))
+    one_block = texts.filter("blocks = 1").withColumn("guest", F.lit(0))
+    groups = _meet(one_block, ["cluster", "block"], shingle, percent).select("node", "component")
     large = texts.filter("blocks > 1")
     if not large.isEmpty():
-        links = links.unionByName(_large_cluster_links(large, links, shingle, percent))
-    groups = components(links.select("a", "b"))
+        groups = groups.unionByName(_across_blocks(large, shingle, percent))
 
     labelled = digests.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
