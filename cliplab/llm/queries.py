@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplab.llm import jaccard_join, language, main_text, mixing, neighbours, repeated_windows, url_templates
+from cliplab.llm import jaccard_join, language, main_text, mixing, neighbours, pieces, repeated_windows, url_templates
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -113,3 +113,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = language.with_language(docs).withColumn("held_out", language.held_out(F.col("doc_id")))
     return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
