@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplab.llm import fingerprints, jaccard_join, language, main_text, mixing, neighbours, pieces, repeated_windows, url_templates
+from cliplab.llm import fingerprints, jaccard_join, language, main_text, mixing, neighbours, pieces, pseudo_likelihood, repeated_windows, url_templates
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -124,3 +124,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_fingerprints")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pseudo_likelihood")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
