@@ -1,13 +1,14 @@
 """Substring dedup: every word covered by a window of words that also starts earlier goes.
 
-A window is `width` consecutive words of one text.  Rabin-Karp hashes (two of 64 bits, rolled over
-word hashes) stand for windows and are counted in Spark; of equal windows the one with the least
-(doc_id, start) stays, the others are removed, and overlapping ones merge into maximal intervals.
+A window is `width` consecutive words of one text.  Rabin-Karp hashes, rolled over word hashes, stand
+for windows; Spark brings equal ones together.  Of equal windows the one with the least (doc_id,
+start) stays, the others are removed, and overlapping ones merge into maximal intervals.
 
 Most windows of a corpus occur once.  So that these need no shuffle, windows are first told apart
 by an anchor: the least hash among the half-width windows inside.  Equal windows have equal
 anchors, neighbouring windows mostly share one, and about every sixth word is an anchor.  Only
-windows whose anchor occurs twice are hashed in full and counted; this loses none.
+windows whose anchor occurs twice are counted; this loses none.  They travel by their anchor, so
+that neighbours stay together; anchor and window hash make 64 bits and the bucket's to tell them apart.
 
 Hot passages: a batch of texts sends an anchor or a window once; its other occurrences in the
 batch are known to be repeated (for windows: to start later) and travel under keys of their own.
@@ -20,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from cliplab.llm.words import Words, mix, signed, text_buffers, word_chunks
 
 LAST_ID = 2**63 - 1  # a null doc_id comes after all others
 _ANCHOR_BASE = np.uint64(0xB5026F5AA96619E9)
-_SECOND_BASE = np.uint64(0x2545F4914F6CDD1D)
+BUCKET_BYTES = 1 << 20  # bytes of text whose repeated windows should meet in a task
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -90,47 +92,91 @@ def _send_anchors(width: int):
     return run
 
 
-def _send_windows(width: int):
+def _consecutive(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True where a window doesn't directly follow the one before it."""
+    head = np.ones(len(doc), dtype=bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    return head
+
+
+def _send_windows(width: int, buckets: int):
+    """Windows whose anchor is shared, packed by bucket of the anchor; and those known to start later (bucket -1).
+
+    Equal windows have equal anchors and so meet in one bucket; neighbouring windows stay together.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_key").to_numpy(zero_copy_only=False).astype(np.int64)
             lists = batch.column("shared")
             at = np.asarray(lists.offsets)
             shared = np.asarray(lists.values).view(np.uint64)
+            tags = np.zeros(len(ids), dtype=np.int64)
             parts: list[tuple[np.ndarray, ...]] = []
             for i, j, words in word_chunks(batch.column("text")):
                 least, _, _ = _anchors(words, width)
-                first, second = words.windows(width), words.windows(width, _SECOND_BASE)
+                hashes = words.windows(width)
                 for d in range(i, j):
                     a, b = words.first[d - i], words.first[d - i + 1]
                     own = least[a:b]
                     hit = np.flatnonzero((own != 0) & np.isin(own, shared[at[d] : at[d + 1]]))
-                    tag = int(np.bitwise_xor.reduce(mix(words.hashes[a:b] + np.arange(b - a, dtype=np.uint64)))) & 0xFFFF
-                    pos = (hit.astype(np.int64) << 17) | (tag << 1)
-                    parts.append((first[a:b][hit], second[a:b][hit], np.full(len(hit), ids[d]), pos))
+                    tags[d] = _tag(words.hashes[a:b])
+                    parts.append((mix(own[hit]) % np.uint64(buckets), hashes[a:b][hit], np.full(len(hit), d), hit))
             if not parts:
                 continue
-            h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((pos, doc, h2, h1))
-            h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
-            head = np.ones(len(h1), dtype=bool)
-            head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            of = np.flatnonzero(head)[np.cumsum(head) - 1] if len(h1) else np.zeros(0, np.int64)
-            later = (doc != doc[of]) | (pos >> 17 != pos[of] >> 17)
-            own = mix(doc.view(np.uint64) ^ mix(pos.view(np.uint64)))
+            bucket, hashes, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, ids[doc], hashes))
+            head = np.ones(len(order), dtype=bool)
+            head[1:] = hashes[order][1:] != hashes[order][:-1]
+            first = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else order
+            later = np.zeros(len(order), dtype=bool)
+            later[order] = (ids[doc[order]] != ids[doc[first]]) | (start[order] != start[first])
+            bucket = np.where(later, -1, bucket.astype(np.int64))
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-2))
+            rows: list[tuple[int, bytes, bytes, bytes, bytes]] = []
+            for own in np.split(order, edges[1:]) if len(order) else ():
+                docs, index = np.unique(doc[own], return_inverse=True)
+                named = np.stack([ids[docs], tags[docs]], axis=1)
+                kept = hashes[own].tobytes() if bucket[own[0]] >= 0 else b""
+                rows.append((int(bucket[own[0]]), named.tobytes(), index.astype(np.int32).tobytes(), start[own].astype(np.int32).tobytes(), kept))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(np.where(later, own, h1))), pa.array(signed(h2)), pa.array(doc),
-                    pa.array(pos | later.astype(np.int64)),
-                ],
-                ["h1", "h2", "doc_key", "pos"],
+                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+                ["bucket", "docs", "at", "start", "hash"],
             )
 
     return run
 
 
-def text_tag(words: Words) -> int:
-    return int(np.bitwise_xor.reduce(mix(words.hashes + np.arange(len(words.hashes), dtype=np.uint64)))) & 0xFFFF
+def _later_runs(width: int):
+    """Runs of windows of one bucket that start later than an equal window, as intervals of words."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        named = [np.frombuffer(d, np.int64).reshape(-1, 2) for d in group["docs"]]
+        at = [np.frombuffer(x, np.int32) for x in group["at"]]
+        doc, tag = np.concatenate([n[i] for n, i in zip(named, at, strict=True)]).T
+        start = np.concatenate([np.frombuffer(x, np.int32) for x in group["start"]]).astype(np.int64)
+        if group["bucket"].iloc[0] >= 0:
+            hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hash"]])
+            order = np.lexsort((start, doc, hashes))
+            hashes, doc, tag, start = hashes[order], doc[order], tag[order], start[order]
+            head = np.ones(len(hashes), dtype=bool)
+            head[1:] = hashes[1:] != hashes[:-1]
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            later = (doc != doc[first]) | (start != start[first])
+            doc, tag, start = doc[later], tag[later], start[later]
+        order = np.lexsort((start, tag, doc))
+        doc, tag, start = doc[order], tag[order], start[order]
+        head = np.flatnonzero(_consecutive(doc * 65536 + tag, start))
+        last = np.append(head[1:], len(start))[: len(head)] - 1
+        return pd.DataFrame({"doc_key": doc[head], "tag": tag[head], "begin": start[head], "end": start[last] + width})
+
+    return run
+
+
+def _tag(hashes: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(hashes + np.arange(len(hashes), dtype=np.uint64)))) & 0xFFFF
 
 
 def _removals(keyed: DataFrame, width: int) -> DataFrame:
@@ -142,22 +188,21 @@ def _removals(keyed: DataFrame, width: int) -> DataFrame:
     shared = anchors.withColumn("met", met).filter("known OR met > 1").groupBy("doc_key").agg(
         F.collect_list("value").alias("shared")
     )
+    volume = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     windows = keyed.join(shared.hint("shuffle_hash"), "doc_key").mapInArrow(
-        _send_windows(width), "h1 long, h2 long, doc_key long, pos long"
+        _send_windows(width, 1 + volume // BUCKET_BYTES), "bucket long, docs binary, at binary, start binary, hash binary"
     )
-    place = F.struct("doc_key", F.shiftright("pos", 17).alias("start"))
-    earliest = F.min(place).over(Window.partitionBy("h1", "h2"))
-    removed = windows.withColumn("earliest", earliest).filter((F.col("pos") % 2 == 1) | (place > F.col("earliest")))
-    removed = removed.select(
-        "doc_key", F.shiftright("pos", 17).alias("start"), (F.shiftright("pos", 1) % 65536).cast("int").alias("tag")
+    # what a batch knows by itself is dealt out anew, row by row
+    part = F.when(F.col("bucket") >= 0, F.lit(0).cast("long")).otherwise(F.xxhash64("docs", "start"))
+    runs = windows.withColumn("part", part).groupBy("bucket", "part").applyInPandas(
+        _later_runs(width), "doc_key long, tag long, begin long, end long"
     )
-    along = Window.partitionBy("doc_key").orderBy("tag", "start")
-    apart = (F.col("tag") != F.lag("tag").over(along)) | (F.col("start") - F.lag("start").over(along) > width)
-    runs = removed.withColumn("gap", F.coalesce(apart, F.lit(False)).cast("int"))
+    along = Window.partitionBy("doc_key").orderBy("tag", "begin", "end")
+    reached = F.max(F.struct("tag", "end")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    apart = (reached.getField("tag") != F.col("tag")) | (reached.getField("end") < F.col("begin"))
+    runs = runs.withColumn("gap", F.coalesce(apart, F.lit(False)).cast("int"))
     runs = runs.withColumn("run", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_key", "run", "tag").agg(
-        F.min("start").alias("begin"), (F.max("start") + width).alias("end")
-    )
+    spans = runs.groupBy("doc_key", "run", "tag").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
     return spans.groupBy("doc_key").agg(F.collect_list(F.struct("tag", "begin", "end")).alias("spans"))
 
 
@@ -168,7 +213,7 @@ def _kept_words(column: pa.Array, spans: pa.Array) -> Iterator[tuple[list[bytes]
         words = data[offsets[d] : offsets[d + 1]].tobytes().split()
         n = len(words)
         if own:
-            tag = text_tag(Words(data, offsets[d : d + 2]))
+            tag = _tag(Words(data, offsets[d : d + 2]).hashes)
             for s in sorted((s for s in own if s["tag"] == tag), key=lambda s: -s["begin"]):
                 del words[s["begin"] : s["end"]]
         yield words, n
