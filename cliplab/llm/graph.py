@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from cliplab.session import cut_lineage
 
 
+ROWS_PER_TASK = 1 << 16
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in as many partitions as `rows` rows deserve; a loop over small tables spends its time on empty tasks otherwise."""
+    return df.coalesce(1 + rows // ROWS_PER_TASK)
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -35,14 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen[0] == 0 or seen == before:
             break
-        before = seen
-        large = _hook(_both_ways(now)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        before, rows = seen, 2 * seen[0]
+        large = sized(_hook(_both_ways(sized(now, rows))), rows).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = sized(large.filter("a <> b").distinct(), rows)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        hung = _hook(down)
+        hung = sized(_hook(down), rows)
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             hung.select("a", F.col("m").alias("b"))
         )
-        now = cut_lineage(small.filter("a <> b").distinct())
+        now = cut_lineage(sized(small.filter("a <> b").distinct(), rows))
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -2,9 +2,9 @@
 
 Two texts link when the Jaccard similarity of their sets of word shingles reaches a threshold.
 PartEnum: sets fall into size bands; in a band the threshold bounds the Hamming distance k of two
-sets.  The shingle domain is split into n1 parts of n2 = 3 sub-parts each.  With
-n1 = ceil((k + 1) / 2) + spare, at least 1 + spare parts hold at most one difference, and leaving
-out the sub-part where it lies makes both projections equal.  So each (part, two of its three
+sets.  The shingle domain is split into n1 parts of n2 sub-parts each.  With
+n1 = floor(k / (k2 + 1)) + 1 + spare, at least 1 + spare parts hold at most k2 differences, and leaving
+out the k2 sub-parts where they lie makes both projections equal.  So each (part, n2 - k2 of its
 sub-parts) gives one signature, and linking sets share 1 + spare of them.
 
 How the work is dealt out:
@@ -12,7 +12,7 @@ How the work is dealt out:
 * Equal sets are one node.  A batch of texts sends a signature once, whatever number of its texts
   carry it; the others are tied to the first by a private signature.  So no signature group is
   larger than the number of batches, and a hot group costs one row per batch.
-* Signatures travel packed by bucket (5 bytes and 6 bytes of node).  Cut short, they can only add
+* Signatures travel packed by bucket and node (5 and 6 bytes).  Cut short, they can only add
   candidates: every link is verified on whole sets.
 * Nodes that share signatures, directly or through others, form a cluster; all links lie inside
   clusters.  Texts of clusters, one per node, meet in blocks of bounded size.  A cluster of
@@ -26,11 +26,12 @@ Null and word-less texts have no shingles and link with nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.llm.graph import components
@@ -40,10 +41,11 @@ from cliplab.session import cut_lineage
 LAST_ID = 2**63 - 1  # a null doc_id counts as the largest
 NODE_BITS = 48
 SIGNATURE_BITS = 40
-BUCKET_ROWS = 1 << 19
-BLOCK_NODES = 2048
+BUCKET_ROWS = 1 << 21
+BLOCK_NODES = 4096
 BLOCK_SHINGLES = 4_000_000
 HUBS = 8
+BROADCAST_ROWS = 250_000  # of a few whole numbers each: some 10 MB
 
 
 class Bands:
@@ -51,7 +53,7 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
-        ratio = 1.4 if percent >= 85 else max(1.7, (100 / percent) ** 1.2)
+        ratio = max(1.4, (100 / percent) ** 1.2)
         lows = [1]
         while lows[-1] < 1 << 40:
             lows.append(max(lows[-1] + 1, int(np.ceil(lows[-1] * ratio))))
@@ -62,36 +64,44 @@ class Bands:
         i = int(np.searchsorted(self.lows, n, side="right")) - 1
         return [i, i + 1] if 100 * n >= self.percent * self.lows[i + 1] else [i]
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(n1, spare); n1 = 0 if only equal sets can reach the threshold."""
+    def parts(self, band: int) -> tuple[int, int, int, int]:
+        """(n1, k2, n2, spare) of a band; n1 = 0 if only equal sets can reach the threshold.
+
+        Sets of few shingles take few parts and leave out more of many sub-parts, so that their
+        projections hold enough shingles to tell sets apart; large sets take many parts.
+        """
         largest = int(self.lows[band + 1]) - 1
         k = 2 * largest * (100 - self.percent) // (100 + self.percent)
         if k < 1:
-            return 0, 0
-        least = (k + 2) // 2
-        spare = 1 + least // (12 if self.percent >= 85 else 7)
-        return least + spare, spare
+            return 0, 0, 0, 0
+        if k <= 4:
+            return 1, k, k + 3, 0
+        if k <= 16:
+            return k // 3 + 2, 2, 5, 1
+        least = k // 2 + 1
+        spare = 1 + least // (12 if self.percent >= 85 else 3)
+        return least + spare, 1, 3, spare
 
 
 def set_signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of one set of distinct shingle hashes."""
-    n = len(shingles)
     out = []
-    for band in bands.of(n):
-        n1, spare = bands.parts(band)
+    for band in bands.of(len(shingles)):
+        n1, k2, n2, spare = bands.parts(band)
         if not n1:
             continue
         part = ((shingles >> np.uint64(32)) % np.uint64(n1)).astype(np.int64)
-        cell = part * 3 + ((shingles & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
+        cell = part * n2 + ((shingles & np.uint64(0xFFFFFFFF)) % np.uint64(n2)).astype(np.int64)
         spread = mix(shingles)
-        low = np.bincount(cell, (spread & np.uint64(0xFFFFFFFF)).astype(np.float64), 3 * n1).astype(np.uint64)
-        high = np.bincount(cell, (spread >> np.uint64(32)).astype(np.float64), 3 * n1).astype(np.uint64)
-        sums = (low + (high << np.uint64(32))).reshape(n1, 3)
-        filled = np.bincount(cell, minlength=3 * n1).reshape(n1, 3)
-        rest = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums  # all but one sub-part
-        empty = filled.sum(axis=1, keepdims=True) == filled
-        tag = mix(np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) + np.uint64(band << 40))
-        values = mix(rest ^ tag)
+        low = np.bincount(cell, (spread & np.uint64(0xFFFFFFFF)).astype(np.float64), n1 * n2).astype(np.uint64)
+        high = np.bincount(cell, (spread >> np.uint64(32)).astype(np.float64), n1 * n2).astype(np.uint64)
+        sums = (low + (high << np.uint64(32))).reshape(n1, n2)
+        filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+        left_out = np.array(list(combinations(range(n2), k2)))
+        rest = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums[:, left_out].sum(axis=2, dtype=np.uint64)
+        empty = filled.sum(axis=1, keepdims=True) == filled[:, left_out].sum(axis=2)
+        tag = np.arange(rest.size, dtype=np.uint64).reshape(rest.shape) + np.uint64(band << 40)
+        values = mix(rest ^ mix(tag))
         # linking sets share 1 + spare parts, so up to `spare` parts can do without empty projections
         out.append(values[~empty] if empty.any(axis=1).sum() <= spare else values.ravel())
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -125,18 +135,14 @@ def _digests(n: int):
     return run
 
 
-def _pack(signatures: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    rows = np.empty((len(signatures), 11), dtype=np.uint8)
-    rows[:, :5] = signatures.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    rows[:, 5:] = nodes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return rows
+def _short_bytes(values: np.ndarray, size: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 11)
-    wide = np.zeros((2, len(rows), 8), dtype=np.uint8)
-    wide[0, :, :5], wide[1, :, :6] = rows[:, :5], rows[:, 5:]
-    return wide[0].reshape(-1).view("<u8"), wide[1].reshape(-1).view("<u8")
+def _whole_numbers(data: bytes, size: int) -> np.ndarray:
+    wide = np.zeros((len(data) // size, 8), dtype=np.uint8)
+    wide[:, :size] = np.frombuffer(data, dtype=np.uint8).reshape(-1, size)
+    return wide.reshape(-1).view("<u8")
 
 
 def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,19 +177,26 @@ def _packed_signatures(n: int, percent: int, buckets: int):
             private = mix(a ^ mix(b))
             sig, node = np.concatenate([sig, private, private]), np.concatenate([node, a, b])
             bucket = ((sig >> shift) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = _pack(sig[order], node[order]), bucket[order]
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            payloads = [x.tobytes() for x in np.split(rows, at[1:])] if len(at) else []
+            order = np.lexsort((node, bucket))
+            rows: list[tuple[int, bytes, bytes, bytes]] = []
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for own in np.split(order, edges[1:]) if len(order) else ():
+                nodes, counts = np.unique(node[own], return_counts=True)
+                packed = _short_bytes(nodes, NODE_BITS // 8), counts.astype("<u4").tobytes(), _short_bytes(sig[own], SIGNATURE_BITS // 8)
+                rows.append((int(bucket[own[0]]), *packed))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at], pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "payload"]
+                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+                ["bucket", "nodes", "counts", "signatures"],
             )
 
     return run
 
 
 def _bucket_edges(group: pd.DataFrame) -> pd.DataFrame:
-    _, _, a, b = _stars(*_unpack(b"".join(group["payload"])))
+    nodes = _whole_numbers(b"".join(group["nodes"]), NODE_BITS // 8)
+    nodes = np.repeat(nodes, np.frombuffer(b"".join(group["counts"]), "<u4"))
+    _, _, a, b = _stars(_whole_numbers(b"".join(group["signatures"]), SIGNATURE_BITS // 8), nodes)
     return pd.DataFrame({"a": signed(a), "b": signed(b)})
 
 
@@ -296,6 +309,11 @@ def _across_blocks(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
+def few_or_shuffled(table: DataFrame) -> DataFrame:
+    """A narrow table for a join with texts: sent to every task if its rows are counted and few, else shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+
+
 def jaccard_groups(
     docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -315,10 +333,10 @@ def jaccard_groups(
         )
     )
     volume = digests.agg(F.sum("n_shingles")).first()[0] or 0
-    per_shingle = 0.3 if percent >= 85 else 0.8  # signatures per shingle, to size the buckets
+    per_shingle = 0.3 if percent >= 85 else 1.0  # signatures per shingle, to size the buckets
     buckets = max(1, int(volume * per_shingle) // BUCKET_ROWS)
     packed = rows.select("text").mapInArrow(
-        _packed_signatures(shingle, percent, buckets), "bucket long, payload binary"
+        _packed_signatures(shingle, percent, buckets), "bucket long, nodes binary, counts binary, signatures binary"
     )
     clusters = components(packed.groupBy("bucket").applyInPandas(_bucket_edges, "a long, b long"))
 
@@ -328,9 +346,9 @@ def jaccard_groups(
     short = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
     named = clusters.select(F.col("node").alias("short"), F.col("component").alias("cluster"))
     placed = nodes.join(named, short == F.col("short"))
-    members = _blocks(placed.select("doc_key", "node", "n_shingles", "cluster"))
+    members = cut_lineage(_blocks(placed.select("doc_key", "node", "n_shingles", "cluster")))
     keyed = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_key"), "text")
-    texts = cut_lineage(keyed.join(members.hint("shuffle_hash"), "doc_key").drop("doc_key", "n_shingles"))
+    texts = cut_lineage(keyed.join(few_or_shuffled(members), "doc_key").drop("doc_key", "n_shingles"))
 
     one_block = texts.filter("blocks = 1").withColumn("guest", F.lit(0))
     groups = _meet(one_block, ["cluster", "block"], shingle, percent).select("node", "component")
@@ -348,15 +366,15 @@ def jaccard_groups(
 def one_per_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs` that stay when every group of near-duplicates keeps its least doc_id.
 
-    Columns are those of `docs`.  Of rows that repeat a doc_id one stays; rows without doc_id stay
-    where they are linked with none.
+    Columns are those of `docs`.  Of rows that repeat a doc_id one stays, and none if one of them is
+    linked with a lesser id; rows without doc_id stay.
     """
-    kept = jaccard_groups(docs, shingle, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__key")).distinct()
+    judged = cut_lineage(jaccard_groups(docs, shingle, percent).withColumn("__key", F.coalesce("doc_id", F.lit(LAST_ID))))
+    other = judged.filter("doc_id <> component_id").select("__key").distinct()
     keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(LAST_ID)))
-    stay = keyed.join(kept.hint("shuffle_hash"), "__key", "left_semi")
-    many = keyed.groupBy("__key").count().filter(f"count > 1 AND __key < {LAST_ID}").select("__key", F.lit(True).alias("__many"))
-    marked = stay.join(many.hint("shuffle_hash"), "__key", "left")
-    single = marked.filter("__many IS NULL").drop("__key", "__many")
-    repeated = marked.filter("__many").dropDuplicates(["__key"]).drop("__key", "__many")
-    return single.unionByName(repeated)
+    stay = keyed.join(few_or_shuffled(other), "__key", "left_anti")
+    ids = judged.filter("doc_id IS NOT NULL")
+    if ids.count() > ids.select("__key").distinct().count():
+        turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+        stay = stay.withColumn("__turn", turn).filter(f"__turn = 1 OR __key = {LAST_ID}")
+    return stay.select(*docs.columns)
