@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliplab.llm.graph import sized
 from cliplab.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,10 +88,12 @@ def tilts(counts: DataFrame, targets: DataFrame, share: float, limit: float) ->
         (F.col("target") >= F.col("source_size") * limit * (1 - NEAR)).alias("full"), F.lit(1.0).alias("off"),
     )
     state = cut_lineage(state)
+    many, few = counts.count(), state.count()
+    counts, state = sized(counts, many), sized(state, few)
     for _ in range(STEPS):
         if state.filter(f"NOT full AND source_size > 0 AND off > {NEAR}").isEmpty():
             break
-        met = counts.join(state.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
+        met = sized(counts.join(state.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))), many)
         rate, words = _rate(limit), F.col("n") * F.col("size")
         slope = F.when(rate < limit, words * rate * F.col("size") / F.col("mean")).otherwise(0.0)
         step = met.groupBy("source").agg(_exact(words * rate).alias("got"), _exact(slope).alias("slope"))
@@ -111,7 +114,7 @@ def tilts(counts: DataFrame, targets: DataFrame, share: float, limit: float) ->
         halved = F.when(far.between(F.col("low"), F.col("high")), far).otherwise((F.col("low") + F.col("high")) / 2)
         settled = F.col("off") <= NEAR
         now = now.withColumn("tilt", F.when(settled, F.col("tilt")).otherwise(F.when(inside, newton).otherwise(halved)))
-        state = cut_lineage(now.select(*state.columns))
+        state = cut_lineage(sized(now.select(*state.columns), few))
     return state.select("source", "source_size", "target", "mean", "even", F.round("tilt", 9).alias("tilt"), "full")
 
 
