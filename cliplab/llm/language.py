@@ -190,10 +190,10 @@ def train(sample: list[tuple[str, str]], hidden: int = 8, epochs: int = 10, seed
     return network
 
 
-def _predict(network: LanguageNetwork | None, names: list[str]):
+def _predict(network: LanguageNetwork | None, names: list[str], added: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
+            lettered = batch.column("__lettered").to_numpy(zero_copy_only=False)
             languages, scores = np.full(len(lettered), UNKNOWN, dtype=object), np.zeros(len(lettered))
             if network is not None and len(lettered):
                 p = network.pooled(*text_buffers(batch.column("text")))
@@ -202,27 +202,33 @@ def _predict(network: LanguageNetwork | None, names: list[str]):
                 scores = np.where(lettered, np.clip(p.max(axis=1), 0, 1), 0.0)
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"]
+                [*columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, *added]
             )
 
     return run
 
 
-def with_language(docs: DataFrame, per_language: int = 400, hidden: int = 8, epochs: int = 10, seed: int = 5) -> DataFrame:
-    """`docs` (doc_id, text, lang and any others but lettered) with `lang_pred` and `score`, the pooled probability of the prediction.
+def with_language(
+    docs: DataFrame, per_language: int = 400, hidden: int = 8, epochs: int = 10, seed: int = 5, added: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """`docs` (doc_id, text, lang and any others) with the two `added` columns: prediction and its pooled probability.
+
+    Columns that have these names already are replaced.
 
     Learns from rows outside the held-out third that have text and lang; predicts from text alone.
     Texts that are null or have no letter, and all texts if there is nothing to learn from, get
     `und` with score 0.  Ties go to the language that sorts first.
     """
     network = train(training_sample(docs, per_language, seed), hidden, epochs, seed)
+    docs = docs.drop(*added)
     names = docs.columns
-    kind = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    kind = StructType([*docs.schema.fields]).add(added[0], StringType()).add(added[1], DoubleType())
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("lettered", lettered).mapInArrow(_predict(network, names), kind)
+    return docs.withColumn("__lettered", lettered).mapInArrow(_predict(network, names, added), kind)
 
 
 def in_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Rows of `docs` whose language is recognised with at least the given pooled probability."""
-    judged = with_language(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    judged = with_language(docs, added=("__lang", "__score"))
+    judged = judged.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least))
     return judged.select(*docs.columns)

@@ -329,21 +329,23 @@ def _decode(vocabulary: Vocabulary, names: list[str]):
 
 
 def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFrame:
-    """`docs` (text and any columns but ids and round_trip) with `ids`; null and empty texts have none.
+    """`docs` (text and any others) with `ids`, in place of a column of this name; null and empty texts have none.
 
     Characters outside the vocabulary become byte pieces, or the unknown piece without byte fallback.
     With `check`, `round_trip` tells whether the decoded ids are the text again (null: empty).
     """
+    docs = docs.drop("ids", *["round_trip"] * check)
     kind = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType()))
     kind = kind.add("round_trip", BooleanType()) if check else kind
     return docs.mapInArrow(_encode(load(model), docs.columns, check), kind)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """`encoded` (ids and any columns but decoded) with `decoded`, the text of the ids; null ids give null.
+    """`encoded` (ids and any others) with `decoded`, the text of the ids, in place of a column of this name; null ids give null.
 
     decode(encode(text)) is the text, unless it holds the space mark U+2581 itself, which reads as a
     space, or the model has no byte pieces for its characters.
     """
+    encoded = encoded.drop("decoded")
     kind = StructType([*encoded.schema.fields]).add("decoded", StringType())
     return encoded.mapInArrow(_decode(load(model), encoded.columns), kind)

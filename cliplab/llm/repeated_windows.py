@@ -86,7 +86,7 @@ def _send_anchors(width: int):
             own = mix(value ^ mix(doc.astype(np.uint64) ^ mix(ids.view(np.uint64))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(np.where(head, value, own))), pa.array(signed(value)), pa.array(ids), pa.array(known)],
-                ["key", "value", "doc_key", "known"],
+                ["key", "value", "__doc_key", "known"],
             )
 
     return run
@@ -107,8 +107,8 @@ def _send_windows(width: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_key").to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = batch.column("shared")
+            ids = batch.column("__doc_key").to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = batch.column("__shared")
             at = np.asarray(lists.offsets)
             shared = np.asarray(lists.values).view(np.uint64)
             tags = np.zeros(len(ids), dtype=np.int64)
@@ -170,7 +170,7 @@ def _later_runs(width: int):
         doc, tag, start = doc[order], tag[order], start[order]
         head = np.flatnonzero(_consecutive(doc * 65536 + tag, start))
         last = np.append(head[1:], len(start))[: len(head)] - 1
-        return pd.DataFrame({"doc_key": doc[head], "tag": tag[head], "begin": start[head], "end": start[last] + width})
+        return pd.DataFrame({"__doc_key": doc[head], "tag": tag[head], "begin": start[head], "end": start[last] + width})
 
     return run
 
@@ -181,29 +181,29 @@ def _tag(hashes: np.ndarray) -> int:
 
 def _removals(keyed: DataFrame, width: int) -> DataFrame:
     """Per doc_key the intervals (tag, begin, end) of words to remove; `tag` tells texts under one id apart."""
-    anchors = keyed.select("doc_key", "text").mapInArrow(
-        _send_anchors(width), "key long, value long, doc_key long, known boolean"
+    anchors = keyed.select("__doc_key", "text").mapInArrow(
+        _send_anchors(width), "key long, value long, __doc_key long, known boolean"
     )
     met = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = anchors.withColumn("met", met).filter("known OR met > 1").groupBy("doc_key").agg(
-        F.collect_list("value").alias("shared")
+    shared = anchors.withColumn("met", met).filter("known OR met > 1").groupBy("__doc_key").agg(
+        F.collect_list("value").alias("__shared")
     )
     volume = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    windows = keyed.join(shared.hint("shuffle_hash"), "doc_key").mapInArrow(
+    windows = keyed.join(shared.hint("shuffle_hash"), "__doc_key").mapInArrow(
         _send_windows(width, 1 + volume // BUCKET_BYTES), "bucket long, docs binary, at binary, start binary, hash binary"
     )
     # what a batch knows by itself is dealt out anew, row by row
     part = F.when(F.col("bucket") >= 0, F.lit(0).cast("long")).otherwise(F.xxhash64("docs", "start"))
     runs = windows.withColumn("part", part).groupBy("bucket", "part").applyInPandas(
-        _later_runs(width), "doc_key long, tag long, begin long, end long"
+        _later_runs(width), "__doc_key long, tag long, begin long, end long"
     )
-    along = Window.partitionBy("doc_key").orderBy("tag", "begin", "end")
+    along = Window.partitionBy("__doc_key").orderBy("tag", "begin", "end")
     reached = F.max(F.struct("tag", "end")).over(along.rowsBetween(Window.unboundedPreceding, -1))
     apart = (reached.getField("tag") != F.col("tag")) | (reached.getField("end") < F.col("begin"))
     runs = runs.withColumn("gap", F.coalesce(apart, F.lit(False)).cast("int"))
     runs = runs.withColumn("run", F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_key", "run", "tag").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return spans.groupBy("doc_key").agg(F.collect_list(F.struct("tag", "begin", "end")).alias("spans"))
+    spans = runs.groupBy("__doc_key", "run", "tag").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return spans.groupBy("__doc_key").agg(F.collect_list(F.struct("tag", "begin", "end")).alias("__spans"))
 
 
 def _kept_words(column: pa.Array, spans: pa.Array) -> Iterator[tuple[list[bytes], int]]:
@@ -221,7 +221,7 @@ def _kept_words(column: pa.Array, spans: pa.Array) -> Iterator[tuple[list[bytes]
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(n, n - len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w, n in _kept_words(batch.column("text"), batch.column("spans"))]
+        rows = [(n, n - len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w, n in _kept_words(batch.column("text"), batch.column("__spans"))]
         n_words, n_removed, digest = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())],
@@ -234,17 +234,17 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = batch.column("text")
         texts = [
             t if len(w) == n else pa.scalar(b" ".join(w).decode(), old.type)
-            for t, (w, n) in zip(old, _kept_words(old, batch.column("spans")), strict=True)
+            for t, (w, n) in zip(old, _kept_words(old, batch.column("__spans")), strict=True)
         ]
         at = batch.schema.get_field_index("text")
         out = batch.set_column(at, batch.schema.field(at), pa.array([t.as_py() for t in texts], old.type))
-        yield out.drop_columns(["spans"])
+        yield out.drop_columns(["__spans"])
 
 
 def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    keyed = docs.withColumn("doc_key", F.coalesce("doc_id", F.lit(LAST_ID)))
+    keyed = docs.withColumn("__doc_key", F.coalesce("doc_id", F.lit(LAST_ID)))
     spans = _removals(keyed, width)
-    return keyed.join(spans.hint("shuffle_hash"), "doc_key", "left").drop("doc_key")
+    return keyed.join(spans.hint("shuffle_hash"), "__doc_key", "left").drop("__doc_key")
 
 
 def repeated_word_report(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -255,7 +255,7 @@ def repeated_word_report(docs: DataFrame, width: int = 20) -> DataFrame:
     doc_id and start are equally early, so repeated rows keep what one of them would keep.
     """
     rows = docs.select("doc_id", "text")
-    return _with_spans(rows, width).select("doc_id", "text", "spans").mapInArrow(
+    return _with_spans(rows, width).select("doc_id", "text", "__spans").mapInArrow(
         _report, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
 
@@ -263,8 +263,7 @@ def repeated_word_report(docs: DataFrame, width: int = 20) -> DataFrame:
 def without_repeated_words(docs: DataFrame, width: int = 20) -> DataFrame:
     """`docs` with the kept words in `text`, joined by one space; a text that loses nothing stays as it is.
 
-    All rows and columns stay; a text may become empty, a null text stays null.  `docs` may have any
-    further columns but doc_key, shared and spans.
+    All rows and columns stay; a text may become empty, a null text stays null.
     """
-    joined = _with_spans(docs, width).select(*docs.columns, "spans")
+    joined = _with_spans(docs, width).select(*docs.columns, "__spans")
     return joined.mapInArrow(_rewrite, docs.schema)

@@ -70,9 +70,9 @@ def path_templates(paths: DataFrame, many: int = 8, share: float = 0.3) -> DataF
     )
     rows = children.join(parents, ["host", "prefix"])
     rest = F.col("all_labelled") - F.col("labelled")
-    rate = F.col("all_bad") / F.col("all_labelled")
-    gap = F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / rest
-    error = F.sqrt(rate * (1 - rate) * (1 / F.col("labelled") + 1 / rest))
+    rate = F.try_divide("all_bad", "all_labelled")
+    gap = F.try_divide("bad", "labelled") - F.try_divide(F.col("all_bad") - F.col("bad"), rest)
+    error = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), rest)))
     differs = (F.col("labelled") > 0) & (rest > 0) & (error > 0) & (F.abs(gap) > Z * error)
     variable = (F.col("kinds") >= many) & (F.col("kinds") >= share * F.col("all_n"))
     named = (
@@ -112,7 +112,7 @@ def judge_urls(
     )
 
     totals = counts.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    overall = totals.select(F.coalesce(1 - F.col("b") / F.col("l"), F.lit(1.0)).alias("p")).scalar()
+    overall = totals.select(F.coalesce(1 - F.try_divide("b", "l"), F.lit(1.0)).alias("p")).scalar()
     smooth = lambda bad, labelled, towards: (F.col(labelled) - F.col(bad) + smoothing * towards) / (F.col(labelled) + smoothing)
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     hosts = hosts.select("host", smooth("hb", "hl", overall).alias("host_purity"))
