@@ -222,7 +222,7 @@ class Encoder:
                 agreed = self._agreed(states, end - 1 if cut else end - longest + 1, end)
                 if agreed > 0:
                     yield from self._path(states, agreed, recent)
-                    states = [(0.0, 0, states[agreed][2]), *states[agreed + 1 :]]
+                    states = [(states[agreed][0], 0, states[agreed][2]), *states[agreed + 1 :]]
                     recent, end = recent[agreed:], end - agreed
         yield from self._path(states, end, recent)
 
