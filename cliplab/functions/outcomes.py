@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,15 +42,14 @@ def format_interval(mean: Column, lower: Column, upper: Column) -> Column:
     )
 
 
-def device_class(blue: Column, green: Column, red: Column, total: Column) -> Column:
-    """Recording device from the mean channel values of a corner region."""
-    return (
-        F.when(total < 1.0, "Olympus")
-        .when((green > 20.0) & (red < 10.0), "Fuji")
-        .when(total.between(12.0, 16.0) & (F.abs(blue - red) < 1.0), "Olympus")
-        .when(green > 25.0, "Fuji")
-        .otherwise("Olympus")
-    )
+def first_rule(values: Mapping[str, Column], rules: Sequence[tuple[str, Sequence[tuple[str, str, float]]]], default: str) -> Column:
+    """Class of the first rule whose conditions (value name, comparison, bound) all hold, else `default`."""
+    compare = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+    result = F.lit(default)
+    for name, conditions in reversed(rules):
+        holds = reduce(operator.and_, [compare[sign](values[v], F.lit(float(bound))) for v, sign, bound in conditions])
+        result = F.when(holds, name).otherwise(result)
+    return result
 
 
 def vector_moments(vector: Column) -> Column:
@@ -84,13 +87,9 @@ def vector_moments(vector: Column) -> Column:
     return F.get(F.transform(F.array(sums), finish), 0)
 
 
-def composite_score(circle: Column, contour: Column, highlight: Column, local_var: Column, entropy: Column) -> Column:
-    """Weighted sum clamped to [0, 1]; the highlight share counts in full from 5 percent on."""
-    total = (
-        0.35 * circle
-        + 0.25 * contour
-        + 0.20 * F.least(highlight / F.lit(0.05), F.lit(1.0))
-        + 0.10 * local_var / 0.10
-        + 0.10 * entropy
-    )
+def weighted_score(values: Mapping[str, Column], weights: Mapping[str, float], full_at: Mapping[str, float] | None = None) -> Column:
+    """Weighted sum clamped to [0, 1]; a value named in `full_at` counts in full from that size on."""
+    full_at = full_at or {}
+    shares = {n: F.least(c / F.lit(full_at[n]), F.lit(1.0)) if n in full_at else c for n, c in values.items()}
+    total = reduce(operator.add, [F.lit(float(weights[n])) * share for n, share in shares.items()])
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ def parse_timestamp(text: Column) -> Column:
     Callers that must not lose rows split on null and keep the rejects.
     """
     t = F.translate(F.trim(text.cast("string")), ",", ".")
+    # The two time formats
     long, short = r"^(\d+):(\d{2}):(\d{2}(?:\.\d+)?)$", r"^(\d+):(\d{2}(?:\.\d+)?)$"
 
     def part(pattern: str, i: int, kind: str) -> Column:
@@ -51,52 +53,50 @@ def seconds_to_text(seconds: Column) -> Column:
     )
 
 
+# Letters read for digits, what else a stopwatch may show, and its two clock formats.
+LOOKALIKES = ("OSIL", "0511")
+NOT_STOPWATCH = r"[^0-9:\-\n ]"
+MINUTE_CLOCK = r"(?<!\d:)\b(\d{1,3})\s*:\s*([0-5]\d)\b(?!:\d)"
+HOUR_CLOCK = r"\b(\d{2}):([0-5]\d):([0-5]\d)\b"
+
+
 def clean_stopwatch_text(text: Column) -> Column:
-    """Upper-case, map letters read for digits, blank out everything but digits, ':', '-' and line breaks."""
-    return F.regexp_replace(F.translate(F.upper(text), "OSIL", "0511"), r"[^0-9:\-\n ]", " ")
+    """Upper-case, map letters read for digits, blank out everything else."""
+    return F.regexp_replace(F.translate(F.upper(text), *LOOKALIKES), NOT_STOPWATCH, " ")
+
 
+def clock_readings(text: Column, pattern: str, units: tuple[int, ...]) -> Column:
+    """Seconds of all matches of a clock format, in text order; one unit per group of the pattern."""
+    def field(i: int, unit: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), lambda x: x.cast("bigint") * unit)
 
-_MINUTES = r"(?<!\d:)\b(\d{1,3})\s*:\s*([0-5]\d)\b(?!:\d)"
-_HOURS = r"\b(\d{2}):([0-5]\d):([0-5]\d)\b"
+    fields = [field(i, unit) for i, unit in enumerate(units, 1)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), fields)
 
 
 def stopwatch_seconds(text: Column, minutes_only: Column | bool = False, hint: Column | None = None) -> Column:
     """Seconds on a stopwatch overlay, or null.
 
-    HH:MM:SS readings are preferred unless `minutes_only`.  With a hint the
-    reading nearest to it modulo one hour wins (the first on ties); without one
-    the first hour-zero reading, else the last reading.
+    Hour readings go before minute readings, unless `minutes_only`.  Of several readings the one
+    nearest to the hint modulo one hour is taken (the first on ties); without hint the first within
+    hour zero if it is an hour reading, else the last.
     """
     cleaned = clean_stopwatch_text(text)
+    target = (F.lit(None) if hint is None else hint).cast("double") % 3600.0
 
-    def readings(pattern: str, groups: int) -> list[Column]:
-        return [F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(i)) for i in range(1, groups + 1)]
-
-    def nearest(values: Column) -> Column:
-        target = hint.cast("double") % 3600.0
-        scored = F.transform(
-            values, lambda v, i: F.struct(F.abs((v % 3600).cast("double") - target).alias("d"), i.alias("i"), v.alias("v"))
+    def choose(readings: Column, unhinted: Column) -> Column:
+        by_distance = F.transform(
+            readings, lambda v, i: F.struct(F.abs((v % 3600).cast("double") - target).alias("d"), i.alias("i"), v.alias("v"))
         )
-        return F.array_min(scored)["v"]
-
-    m, s = readings(_MINUTES, 2)
-    short = F.zip_with(m, s, lambda a, b: a.cast("bigint") * 60 + b.cast("bigint"))
-    last = F.element_at(short, -1)
-    short_value = F.when(F.size(short) > 0, last if hint is None else F.when(hint.isNull(), last).otherwise(nearest(short)))
-
-    h, hm, hs = readings(_HOURS, 3)
-    long = F.zip_with(
-        h,
-        F.zip_with(hm, hs, lambda a, b: a.cast("bigint") * 60 + b.cast("bigint")),
-        lambda a, b: a.cast("bigint") * 3600 + b,
-    )
-    first_zero = F.get(F.filter(long, lambda v: v < 3600), 0)
-    plain = F.coalesce(first_zero, F.element_at(long, -1))
-    long_value = plain if hint is None else F.when(hint.isNull(), plain).otherwise(nearest(long))
-    either = F.when(F.size(long) > 0, long_value).otherwise(short_value)
-    if isinstance(minutes_only, Column):
-        return F.when(minutes_only, short_value).otherwise(either)
-    return short_value if minutes_only else either
+        return F.when(target.isNull(), unhinted).otherwise(F.array_min(by_distance)["v"])
+
+    minutes = clock_readings(cleaned, MINUTE_CLOCK, (60, 1))
+    hours = clock_readings(cleaned, HOUR_CLOCK, (3600, 60, 1))
+    last = lambda a: F.get(a, F.size(a) - 1)
+    by_minutes = choose(minutes, last(minutes))
+    by_hours = choose(hours, F.coalesce(F.get(F.filter(hours, lambda v: v < 3600), 0), last(hours)))
+    use_hours = (F.size(hours) > 0) & ~(minutes_only if isinstance(minutes_only, Column) else F.lit(minutes_only))
+    return F.when(F.coalesce(use_hours, F.lit(False)), by_hours).otherwise(by_minutes)
 
 
 # ------------------------------------------------------------------------ ids
@@ -113,6 +113,7 @@ def frame_number(name: Column) -> Column:
     return segment_number(stem)
 
 
+# The file-name format and its sources.
 SAMPLE_NAME = r"(?i)^(.+?)__(sample|ulcer_NonUlcer|ulcer_Ulcer)_(\d+)__frame_(\d+)"
 
 

@@ -7,6 +7,10 @@ small draw per group and replicate), then the cells inside each bucket.  The
 second step runs in many tasks, streams its cells in score order and keeps only
 a few vectors, one entry per replicate.  All metrics of a replicate share its
 draw.
+
+One seed gives one result: buckets are ranges of the cells' rank, cells come in
+score order and are drawn in blocks of a fixed number of cells, so neither
+partitions nor Arrow batches nor the order of the input have a say.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliplab.operators.curves import score_bucket
-from cliplab.operators.metrics import cell_metrics
+from cliplab.operators.metrics import binary_metrics, cell_metrics
+from cliplab.operators.ranking import join_on
 
-BUCKETS = 64
-CHUNK = 250  # replicates per task row
+BUCKETS = 64  # ranges of about equally many cells per group
+BLOCK_COUNTS = 500_000  # counts drawn at once: replicates x cells of a block
 METRICS = ("accuracy", "auroc", "sensitivity", "specificity", "precision", "f1")
 _PARTIAL = ("pos", "neg", "concordant", "tp", "fp", "fn", "tn")
 
@@ -34,19 +39,16 @@ def _rng(*parts: object) -> np.random.Generator:
 
 
 def _bucket_draws(seed: int, n_replicates: int):
-    """One row per group in, one row per (chunk, bucket) out: how often each bucket is drawn."""
+    """One row per group in, one row per bucket out: how often each bucket is drawn."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for group, buckets, counts in zip(batch["g"], batch["buckets"], batch["counts"], strict=True):
                 order = np.argsort(buckets)
                 names, n = np.asarray(buckets)[order], np.asarray(counts, dtype=np.int64)[order]
-                rows = []
-                for chunk in range(0, n_replicates, CHUNK):
-                    size = min(CHUNK, n_replicates - chunk)
-                    drawn = _rng(seed, group, "buckets", chunk).multinomial(int(n.sum()), n / n.sum(), size=size)
-                    rows += [(group, int(b), chunk, drawn[:, i].tolist()) for i, b in enumerate(names)]
-                yield pd.DataFrame(rows, columns=["g", "score_bucket", "chunk", "draws"])
+                drawn = _rng(seed, group, "buckets").multinomial(int(n.sum()), n / n.sum(), size=n_replicates)
+                rows = [(group, int(b), drawn[:, i].tolist()) for i, b in enumerate(names)]
+                yield pd.DataFrame(rows, columns=["g", "score_bucket", "draws"])
 
     return draw
 
@@ -68,23 +70,28 @@ def _block_draws(
 
 
 def _cell_draws(seed: int):
-    """Sorted cells of many (group, bucket, chunk) runs in, per-replicate partial sums out.
+    """Sorted cells of many (group, bucket) runs in, per-replicate partial sums out.
 
     Each run starts with a header row (score null) that holds its bucket draws.
-    Draws go cell block by cell block: first how many fall in the block, then which cells.
+    Draws go block by block of cells: first how many fall in the block, then which cells.  Cells wait
+    until their block is full or the run ends, so blocks don't depend on how rows arrive.
     """
 
     def finish(run: dict) -> pd.DataFrame:
         out = pd.DataFrame({name: run[name] for name in _PARTIAL})
         out.insert(0, "g", run["g"])
         out.insert(1, "score_bucket", run["bucket"])
-        out.insert(2, "replicate", run["chunk"] + np.arange(len(out)))
+        out.insert(2, "replicate", np.arange(len(out)))
         return out
 
-    def absorb(run: dict, rows: pd.DataFrame) -> None:
-        width = max(1, 500_000 // len(run["left"]))
-        for start in range(0, len(rows), width):
-            block = rows.iloc[start : start + width]
+    def absorb(run: dict, rows: pd.DataFrame | None) -> None:
+        """Take more cells of a run; None ends it."""
+        waiting = run["waiting"] if rows is None else pd.concat([run["waiting"], rows])
+        width = max(1, BLOCK_COUNTS // len(run["left"]))
+        whole = len(waiting) if rows is None else len(waiting) // width * width
+        run["waiting"] = waiting.iloc[whole:]
+        for start in range(0, whole, width):
+            block = waiting.iloc[start : min(start + width, whole)]
             n = block["n"].to_numpy(dtype=np.int64)
             inside, drawn = _block_draws(run["rng"], run["left"], run["weight"], n)
             run["left"] = run["left"] - inside
@@ -128,13 +135,14 @@ def _cell_draws(seed: int):
                 piece = batch.iloc[lo:hi]
                 if lo in heads:
                     if run is not None:
+                        absorb(run, None)
                         yield finish(run)
                     head = piece.iloc[0]
                     left = np.asarray(head["draws"], dtype=np.int64)
                     run = {
-                        "g": head["g"], "bucket": head["score_bucket"], "chunk": int(head["chunk"]),
+                        "g": head["g"], "bucket": head["score_bucket"], "waiting": piece.iloc[:0],
                         "left": left, "weight": int(head["n"]), "last": None,
-                        "rng": _rng(seed, head["g"], head["score_bucket"], head["chunk"]),
+                        "rng": _rng(seed, head["g"], head["score_bucket"]),
                     }
                     run |= {name: np.zeros(len(left)) for name in _PARTIAL}
                     run |= {"tied_neg": np.zeros(len(left)), "tied_pos": np.zeros(len(left))}
@@ -142,6 +150,7 @@ def _cell_draws(seed: int):
                 if len(piece):
                     absorb(run, piece)
         if run is not None:
+            absorb(run, None)
             yield finish(run)
 
     return draw
@@ -172,25 +181,28 @@ def replicate_metrics(
             F.col(pred).cast("int").alias("pred"),
         )
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(g.alias("g"), score_bucket(F.col("score"), BUCKETS).alias("score_bucket"), "score", "label", "pred", "n")
+        .select(g.alias("g"), score_bucket(F.col("score")).alias("fine"), "score", "label", "pred", "n")
     )
+    # fine buckets are joined to ranges of about equally many cells
+    fine = cells.groupBy("g", "fine").agg(F.count(F.lit(1)).alias("c"))
+    along = Window.partitionBy("g").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("c").over(along), F.lit(0))
+    total = F.sum("c").over(Window.partitionBy("g"))
+    ranges = fine.select("g", "fine", F.floor(before * BUCKETS / total).cast("int").alias("score_bucket"))
+    cells = cells.join(ranges, ["g", "fine"]).drop("fine")
     buckets = cells.groupBy("g", "score_bucket").agg(F.sum("n").alias("n"))
     packed = buckets.groupBy("g").agg(  # at most BUCKETS entries
         F.collect_list(F.struct("score_bucket", "n")).alias("b")
     ).select("g", F.col("b.score_bucket").alias("buckets"), F.col("b.n").alias("counts"))
     draws = packed.mapInPandas(
-        _bucket_draws(seed, n_replicates), "g string, score_bucket int, chunk int, draws array<bigint>"
+        _bucket_draws(seed, n_replicates), "g string, score_bucket int, draws array<bigint>"
     ).join(buckets, ["g", "score_bucket"])
-
-    chunks = F.array(*[F.lit(c) for c in range(0, n_replicates, CHUNK)])
-    body = cells.withColumn("chunk", F.explode(chunks)).withColumn(
-        "draws", F.lit(None).cast(T.ArrayType(T.LongType()))
-    )
+    body = cells.withColumn("draws", F.lit(None).cast(T.ArrayType(T.LongType())))
     header = draws.select(
         "g", "score_bucket", F.lit(None).cast("double").alias("score"), F.lit(0).alias("label"),
-        F.lit(0).alias("pred"), "n", "chunk", "draws",
+        F.lit(0).alias("pred"), "n", "draws",
     )
-    runs = ["g", "score_bucket", "chunk"]
+    runs = ["g", "score_bucket"]
     sorted_runs = (
         header.unionByName(body)
         .repartition(*runs)
@@ -256,5 +268,19 @@ def metrics_with_ci(
     pred: str = "pred",
     score: str = "prob",
 ) -> DataFrame:
-    """All metrics with intervals; a group without any two-class replicate has no rows."""
-    return intervals(replicate_metrics(df, groups, n_replicates, seed, label, pred, score), groups, ci)
+    """All metrics with intervals.
+
+    Groups without any two-class replicate have their point value as mean, null bounds and
+    n_replicates 0; metrics that are undefined there have no row.
+    """
+    groups = list(groups)
+    drawn = intervals(replicate_metrics(df, groups, n_replicates, seed, label, pred, score), groups, ci)
+    known = df.filter(F.col(label).isNotNull() & F.col(pred).isNotNull() & F.col(score).isNotNull())
+    point = binary_metrics(known, groups, label, pred, score)
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("point")) for m in METRICS])
+    points = point.select(*groups, F.explode(pairs).alias("__p")).select(*groups, "__p.*")
+    both = join_on(points.filter("point IS NOT NULL"), drawn, [*groups, "metric"], "left")
+    return both.select(
+        *groups, "metric", F.coalesce("mean", F.round("point", 3)).alias("mean"), "lower", "upper",
+        F.coalesce("n_replicates", F.lit(0).cast("bigint")).alias("n_replicates"),
+    )

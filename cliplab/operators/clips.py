@@ -251,24 +251,24 @@ def _topk_mean_rows(rows: DataFrame, keys: Sequence[str], ratios: Sequence[float
     return ranked.groupBy(*keys).agg(*[mean_at(r) for r in ratios])
 
 
-def split_by_length(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of clips up to `limit` frames, rows of longer clips or None).
+CLIP = "__clip"
 
-    Whether long clips exist, and how many, is counted first: their keys are
-    broadcast up to 100,000 clips and shuffled with salted copies beyond that.
-    """
-    long_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
-    found = long_keys.limit(100_001).count()
-    if found == 0:
+
+def _by_clip(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys as one struct: it is never null itself, and equal where its fields are, nulls included."""
+    return df.withColumn(CLIP, F.struct(*keys))
+
+
+def _spread_clip(df: DataFrame) -> DataFrame:
+    return df.select(f"{CLIP}.*", *[f"`{c}`" for c in df.columns if c != CLIP])
+
+
+def split_by_length(df: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of clips up to `limit` frames, rows of longer clips or None if there are none)."""
+    long_keys = df.groupBy(CLIP).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(CLIP)
+    if long_keys.isEmpty():
         return df, None
-    if found <= 100_000:
-        long_side = F.broadcast(long_keys)
-        return df.join(long_side, list(keys), "left_anti"), df.join(long_side, list(keys), "left_semi")
-    salts = 32
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    copies = long_keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = [*keys, "__salt"]
-    return salted.join(copies, on, "left_anti").drop("__salt"), salted.join(copies, on, "left_semi").drop("__salt")
+    return df.join(long_keys, CLIP, "left_anti"), df.join(long_keys, CLIP, "left_semi")
 
 
 def smoothed_frames(
@@ -285,7 +285,8 @@ def smoothed_frames(
     `order` sorts the frames of a clip; its first column must be numeric, and
     `order_span` of its values form one work unit of a long clip.
     """
-    short, long = split_by_length(df, keys, array_limit)
+    short, long = split_by_length(_by_clip(df, keys), array_limit)
+    keys = [CLIP]
     packed = _as_arrays(short, keys, order, prob, array_limit)
     n = F.col("__n")
     array = (
@@ -295,12 +296,11 @@ def smoothed_frames(
         *keys, F.col("__i").cast("bigint").alias("position"), F.col("__n").alias("n_frames"), "smoothed"
     )
     if long is None:
-        return out
+        return _spread_clip(out)
     ranked = _ranked(long, keys, order, prob, order_span)
     rows = _moving_average_rows(ranked, keys) if kind == "moving_avg" else _gaussian_rows(ranked, keys)
-    return out.unionByName(
-        rows.select(*keys, F.col("__i").alias("position"), F.col("__n").alias("n_frames"), "smoothed")
-    )
+    rows = rows.select(*keys, F.col("__i").alias("position"), F.col("__n").alias("n_frames"), "smoothed")
+    return _spread_clip(out.unionByName(rows))
 
 
 def smoothed_topk(
@@ -313,7 +313,8 @@ def smoothed_topk(
     order_span: int = 4096,
 ) -> DataFrame:
     """(keys, moving_avg_topk-<r>..., gaussian_topk-<r>...) per clip."""
-    short, long = split_by_length(df, keys, array_limit)
+    short, long = split_by_length(_by_clip(df, keys), array_limit)
+    keys = [CLIP]
     packed = _as_arrays(short, keys, order, prob, array_limit)
     n = F.col("__n")
     packed = packed.withColumns(
@@ -328,11 +329,11 @@ def smoothed_topk(
         *[steady(_topk_mean_array(F.col("__ga"), n, r)).alias(f"gaussian_topk-{r}") for r in ratios],
     )
     if long is None:
-        return out
+        return _spread_clip(out)
     ranked = _ranked(long, keys, order, prob, order_span)
     ma = _topk_mean_rows(_moving_average_rows(ranked, keys), keys, ratios, "smoothed", "moving_avg_topk")
     ga = _topk_mean_rows(_gaussian_rows(ranked, keys), keys, ratios, "smoothed", "gaussian_topk")
-    return out.unionByName(join_on(ma, ga, keys))
+    return _spread_clip(out.unionByName(join_on(ma, ga, keys)))
 
 
 def topk_mean(

@@ -16,12 +16,31 @@ from pyspark.sql import functions as F
 
 from cliplab.operators.ranking import attach_by_group, join_on, running_totals
 
-SCORE_BUCKETS = 1024
+STEPS_PER_OCTAVE = 256
 
 
-def score_bucket(score: Column, buckets: int = SCORE_BUCKETS) -> Column:
-    """Order-preserving bucket of a score; values outside [0, 1] fall in the end buckets."""
-    return F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(score * F.lit(float(buckets))))).cast("int")
+def score_bucket(score: Column) -> Column:
+    """Order-preserving bucket of any number, finer where scores crowd.
+
+    Classifiers saturate: buckets are equal steps of log2 of the distance to 0 below one half, to 1
+    above it, and of the size itself outside [0, 1].  So scores near 0 or 1, tiny or huge ones and
+    logits spread over many buckets.  It only deals out work; results don't depend on it.
+    """
+    x = score.cast("double")
+    far = 5000 * STEPS_PER_OCTAVE  # beyond all logarithms of doubles
+
+    def steps(size: Column) -> Column:
+        return F.floor(F.log2(F.least(F.greatest(size, F.lit(5e-324)), F.lit(1.7e308))) * STEPS_PER_OCTAVE)
+
+    bucket = (
+        F.when(F.isnan(x), 2 * far)
+        .when(x >= 1, far + steps(x))
+        .when(x > 0.5, -steps(1 - x))
+        .when(x > 0, steps(x))
+        .when(x == 0, -far // 2)
+        .otherwise(-far - steps(-x))
+    )
+    return F.when(x.isNotNull(), bucket).cast("int")
 
 
 def score_histogram(df: DataFrame, groups: Sequence[str], label: str = "label", score: str = "prob") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.functions import parse
-from cliplab.operators.ranking import hot_keys, join_by_entity, join_on, salted_join
+from cliplab.operators.ranking import join_by_entity, join_on
 
 
 def clip_manifest(listing: DataFrame, classes: Mapping[str, int], relative: str = "relative_path") -> DataFrame:
@@ -166,10 +166,14 @@ def new_items(arrived: DataFrame, done: DataFrame, key: str = "relative_path") -
 
 
 def attach_predictions(manifest: DataFrame, scores: DataFrame, key: str = "frame_id") -> DataFrame:
-    """Join scores by key; raises if the two sides do not hold the same number of rows."""
-    n_manifest, n_scores = manifest.count(), scores.count()
-    if n_manifest != n_scores:
-        raise ValueError(f"{n_scores} scores for {n_manifest} manifest rows")
+    """Join scores by key; raises unless every key is there exactly once on either side."""
+    sides = manifest.select(key, F.lit(1).alias("__m"), F.lit(0).alias("__s")).unionByName(
+        scores.select(key, F.lit(0).alias("__m"), F.lit(1).alias("__s"))
+    )
+    counts = sides.groupBy(key).agg(F.sum("__m").alias("__m"), F.sum("__s").alias("__s"))
+    bad = counts.filter((F.col("__m") != 1) | (F.col("__s") != 1) | F.col(key).isNull()).first()
+    if bad is not None:
+        raise ValueError(f"key {bad[key]!r} is on {bad['__m']} manifest rows and {bad['__s']} scores")
     return manifest.join(scores, key)
 
 
@@ -199,8 +203,7 @@ def duplicate_groups(items: DataFrame, stem: str = "stem") -> DataFrame:
 
 def duplicate_report(items: DataFrame, stem: str = "stem") -> DataFrame:
     """All rows of duplicated stems with their number of copies."""
-    groups = duplicate_groups(items, stem)
-    return salted_join(items, groups, [stem], hot_keys(groups, [stem], "n_copies"), F.struct(*items.columns))
+    return items.join(duplicate_groups(items, stem), stem)
 
 
 def has_no_duplicates(items: DataFrame, stem: str = "stem") -> bool:
@@ -218,16 +221,14 @@ def duplicate_actions(
     """
     preferred = F.col(path).startswith(keep_prefix) if keep_prefix else F.lit(False)
     marked = items.withColumn("__p", preferred.cast("int"))
+    is_time = dict(items.dtypes)[mtime].startswith("timestamp")
+    age = -(F.unix_micros(F.col(mtime).cast("timestamp")) if is_time else F.col(mtime).cast("double"))
     best = marked.groupBy(stem).agg(
-        F.max(F.struct("__p", mtime)).alias("__top"), F.count(F.lit(1)).alias("n_copies")
+        F.min(F.struct(-F.col("__p"), age, F.col(path).alias("keep"))).getField("keep").alias("__keep"),
+        F.count(F.lit(1)).alias("n_copies"),
     ).filter("n_copies > 1")
-    hot = hot_keys(best, [stem], "n_copies")
-    rows = salted_join(marked, best, [stem], hot, F.col(path))
-    ties = rows.filter(F.struct("__p", mtime) == F.col("__top")).groupBy(stem).agg(F.min(path).alias("__keep"))
-    out = salted_join(rows, ties, [stem], hot, F.col(path))
-    return out.withColumn("action", F.when(F.col(path) == F.col("__keep"), "keep").otherwise("delete")).drop(
-        "__p", "__top", "__keep"
-    )
+    out = items.join(best, stem)
+    return out.withColumn("action", F.when(F.col(path) == F.col("__keep"), "keep").otherwise("delete")).drop("__keep")
 
 
 def overlay_offset(probes: DataFrame, video: str = "video_id", text: str = "text", probe: str = "probe_s") -> DataFrame:

@@ -34,17 +34,13 @@ def confusion_cells(
 
 
 def cell_metrics(zero_division: float | None = 0.0) -> dict[str, Column]:
-    """Metric columns over tp, fp, fn, tn.
-
-    Specificity is null when there are no negatives (`zero_division` does not
-    apply: an undefined specificity must not pull an average down).
-    """
+    """Metric columns over tp, fp, fn, tn; a rate whose denominator is 0 becomes `zero_division`."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return {
         "accuracy": ratio(tp + tn, tp + fp + fn + tn, None),
         "precision": ratio(tp, tp + fp, zero_division),
         "sensitivity": ratio(tp, tp + fn, zero_division),
-        "specificity": ratio(tn, tn + fp, None),
+        "specificity": ratio(tn, tn + fp, zero_division),
         "f1": ratio(2 * tp, 2 * tp + fp + fn, zero_division),
         "balanced_accuracy": (ratio(tp, tp + fn, zero_division) + ratio(tn, tn + fp, zero_division)) / 2,
     }

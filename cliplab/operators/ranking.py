@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliplab.session import cut_lineage
+
 # row_number() <= n with n up to this limit is pushed below the shuffle by Spark
 GROUP_LIMIT_PUSHDOWN = 1000
 
@@ -136,55 +138,21 @@ def exact_quantiles(
     )
 
 
-def attach_by_group(
-    rows: DataFrame, table: DataFrame, group: Sequence[str], how: str = "inner", salts: int = 64
-) -> DataFrame:
+BROADCAST_ROWS = 100_000  # entries of a few numbers each
+
+
+def attach_by_group(rows: DataFrame, table: DataFrame, group: Sequence[str], how: str = "inner") -> DataFrame:
     """Join many rows to a table with one entry per group (a stratum, a model, a class).
 
-    A group may hold most of the rows, so each entry is copied once per salt and
-    the rows of a group meet different copies in different tasks.
+    The table is made once; if its entries are counted and few, they go to every task and the rows
+    stay where they are.  A larger table is an ordinary join, whose hot groups Spark splits.
     """
     if not group:
         return join_on(rows, table, [])
-    key = F.struct(*group)
-    hashed = [c for c, t in rows.dtypes if "map<" not in t]
-    left = rows.withColumns({"__k": key, "__s": F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")})
-    copies = table.withColumns({"__k": key, "__s": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
-    return left.join(copies.drop(*group), ["__k", "__s"], how).drop("__k", "__s")
-
-
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, share: int = 1000) -> DataFrame:
-    """Keys with more than 1/share of all rows: at most `share` of them, by pigeonhole."""
-    return counts.filter(F.col(n) * F.lit(share) > counts.agg(F.sum(n)).scalar()).select(*keys)
-
-
-def salted_join(
-    left: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame, salt_by: Column, salts: int = 64,
-    how: str = "inner",
-) -> DataFrame:
-    """Equi-join to a unique-key lookup; rows of hot keys are spread over `salts` copies of their entry.
-
-    `hot` must be bounded (see hot_keys): it is broadcast to both sides.  Rows
-    with a null key match nothing and are spread as well.
-    """
-    keys = list(keys)
-    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    is_hot = F.col("__hot").isNotNull()
-    lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(is_hot | lost, F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(0).cast("int")
-    rows = left.join(marked, keys, "left").withColumn("__salt", salt)
-    copies = lookup.join(marked, keys, "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0)))
-    )
-    return rows.drop("__hot").join(copies.drop("__hot"), [*keys, "__salt"], how).drop("__salt")
+    made = cut_lineage(table)
+    return join_on(rows, F.broadcast(made) if made.count() <= BROADCAST_ROWS else made, group, how)
 
 
 def join_by_entity(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join item rows to a table with one row per patient, clip or stem, whatever share one entity holds.
-
-    Row counts per entity (combined before their shuffle) tell which keys are hot.
-    """
-    counts = rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    counts = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hashed = [F.col(c) for c, t in rows.dtypes if "map<" not in t]
-    return salted_join(rows, table, keys, hot_keys(counts, keys, "__n"), F.struct(*hashed), how=how)
+    """Join item rows to a table with one row per patient, clip or stem; adaptive execution splits hot keys."""
+    return rows.join(table, list(keys), how)

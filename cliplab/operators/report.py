@@ -112,7 +112,7 @@ def performance_report(
     )
     name = F.regexp_replace("run_name", "(_split|_cv)$", "")
     return (
-        recent.withColumn("display_name", F.substring(name, 1, 31))
+        recent.withColumn("display_name", name)
         .join(wide, "run_id", "left")
         .join(widths, "run_id", "left")
     )

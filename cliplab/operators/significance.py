@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.functions.pvalues import chi2_p, normal_p, signed_rank_pvalue, studentized_range_p
 from cliplab.operators.curves import score_histogram
-from cliplab.operators.ranking import hot_keys, join_on, running_totals, salted_join
+from cliplab.operators.ranking import join_on, running_totals
 
 
 def placement_values(
@@ -50,8 +49,8 @@ def delong_pairs(
     """One row per unordered model pair: AUCs, z, two-sided p, significance flag.
 
     Items carry one row per model.  Placement values are looked up per distinct
-    score, an item's rows meet in a self-join (models x models per item, which
-    is what all pairs need), and pair moments are combined before the shuffle.
+    score, an item's values meet in one array, and pair moments (models x models
+    per item, which is what all pairs need) are combined before their shuffle.
     `within` holds extra group keys, tested apart.
     """
     within = list(within)
@@ -60,20 +59,19 @@ def delong_pairs(
         F.col(label).cast("int").alias("label"), F.col(score).cast("double").alias("score"),
     ).filter("label is not null and score is not null")
     group = [*within, "model"]
-    hist = score_histogram(rows, group, "label", "score").withColumn("__rows", F.col("pos") + F.col("neg"))
     placed = placement_values(rows, group, "label", "score").select(*group, "score", "v10", "v01")
-    joined = salted_join(rows, placed, [*group, "score"], hot_keys(hist, [*group, "score"], "__rows"), F.col("item"))
-    valued = joined.select(
-        *within, "item", "label", "model", F.when(F.col("label") == 1, F.col("v10")).otherwise(F.col("v01")).alias("v")
+    joined = rows.join(placed, [*group, "score"])
+    value = F.when(F.col("label") == 1, F.col("v10")).otherwise(F.col("v01"))
+    # an item has one row per model, so its array is as long as there are models
+    by_item = joined.groupBy(*within, "item", "label").agg(
+        F.array_sort(F.collect_list(F.struct("model", value.alias("v")))).alias("m")
     )
-    on = [*within, "item", "label"]
-    # both sides are the same shuffle; an item has one row per model
-    a, b = valued.alias("a"), valued.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on])
-    pairs = a.join(b, same & (F.col("a.model") < F.col("b.model"))).select(
-        *[F.col(f"a.{k}").alias(k) for k in [*within, "label"]],
-        F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), F.col("a.v").alias("va"), F.col("b.v").alias("vb"),
+    later = lambda i: F.slice("m", i + 2, F.size("m"))
+    pair = lambda x, y: F.struct(
+        x["model"].alias("model_a"), y["model"].alias("model_b"), x["v"].alias("va"), y["v"].alias("vb")
     )
+    every = F.flatten(F.transform("m", lambda x, i: F.transform(later(i), lambda y: pair(x, y))))
+    pairs = by_item.select(*within, "label", F.explode(every).alias("p")).select(*within, "label", "p.*")
     keys = [*within, "model_a", "model_b"]
     moments = (
         pairs.groupBy(*keys, "label")

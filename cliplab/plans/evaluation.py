@@ -147,7 +147,7 @@ def h19(v: Views) -> DataFrame:
 @query("h19_compare_methods_ci")
 def h19_ci(v: Views) -> DataFrame:
     """Bootstrap intervals of F1 and AUROC for all 22 rules (random draws: checked in the tests)."""
-    ci = metrics_with_ci(_decided(v), ["method"], 200, score="score")
+    ci = metrics_with_ci(_decided(v), ["method"], 10_000, score="score")
     return ci.filter(F.col("metric").isin("f1", "auroc"))
 
 
@@ -363,7 +363,7 @@ def h27(v: Views) -> DataFrame:
     """Bootstrap intervals of clip metrics of the fold with the best AUROC (random draws)."""
     p = v.predictions()
     folds = join_on(curves.auroc(p, ["model", "fold"]), _fold_thresholds(v), ["model", "fold"])
-    return report.best_fold_clip_ci(p, v.frames(), folds, 200)
+    return report.best_fold_clip_ci(p, v.frames(), folds)
 
 
 @query(
@@ -438,14 +438,14 @@ def h33(v: Views) -> DataFrame:
 @query("h09_bootstrap_ci")
 def h09(v: Views) -> DataFrame:
     """Frame-level intervals of all six metrics per model (random draws: checked in the tests)."""
-    return metrics_with_ci(metrics.at_threshold(v.predictions(), 0.5), ["model"], 200)
+    return metrics_with_ci(metrics.at_threshold(v.predictions(), 0.5), ["model"])
 
 
 @query("h10_bootstrap_clip_ci")
 def h10(v: Views) -> DataFrame:
     """Clip-level intervals: clip label = maximum, score = mean, threshold 0.5."""
     scored = clips.clip_scores(v.predictions(), ["model", "clip_key"], lambda c: clips.steady(F.avg(c)))
-    return metrics_with_ci(metrics.at_threshold(scored, 0.5), ["model"], 500)
+    return metrics_with_ci(metrics.at_threshold(scored, 0.5), ["model"], 10_000)
 
 
 @query(
@@ -459,7 +459,7 @@ def h10(v: Views) -> DataFrame:
 def h11(v: Views) -> DataFrame:
     """Bootstrap intervals hold the point value, and their width is that of the binomial error (within 15 %)."""
     decided = metrics.at_threshold(v.predictions(), 0.5)
-    ci = metrics_with_ci(decided.withColumn("prob", F.round("prob", 2)), ["model"], 2000)
+    ci = metrics_with_ci(decided, ["model"], 2000)
     cells = metrics.binary_metrics(decided, ["model"], score=None)
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     trials = {"accuracy": tp + fp + fn + tn, "sensitivity": tp + fn, "specificity": tn + fp, "precision": tp + fp}

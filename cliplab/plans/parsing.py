@@ -236,6 +236,15 @@ def b18(v: Views) -> DataFrame:
     return v.frames().groupBy(parse.path_component(F.col("relative_path"), 1).alias("video_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# The device rules, first match wins, and the class of the rest.
+DEVICE_RULES = (
+    ("Olympus", [("total", "<", 1.0)]),
+    ("Fuji", [("g", ">", 20.0), ("r", "<", 10.0)]),
+    ("Olympus", [("total", ">=", 12.0), ("total", "<=", 16.0), ("gap", "<", 1.0)]),
+    ("Fuji", [("g", ">", 25.0)]),
+)
+
+
 @query(
     "b19_device_class",
     """SELECT o.l_orderkey, CASE WHEN total < 1.0 THEN 'Olympus' WHEN g > 20.0 AND r < 10.0 THEN 'Fuji'
@@ -249,5 +258,5 @@ def b19(v: Views) -> DataFrame:
         q.alias("b"), F.avg("l_quantity").alias("g"), (q + 2 * F.min("l_discount")).alias("r"),
         ((q * 2 + F.max("l_quantity")) / 3).alias("total"),
     )
-    rule = outcomes.device_class(F.col("b"), F.col("g"), F.col("r"), F.col("total"))
-    return stats.select("l_orderkey", rule.alias("device"))
+    values = {c: F.col(c) for c in ("g", "r", "total")} | {"gap": F.abs(F.col("b") - F.col("r"))}
+    return stats.select("l_orderkey", outcomes.first_rule(values, DEVICE_RULES, "Olympus").alias("device"))

@@ -490,13 +490,19 @@ def e35(v: Views) -> DataFrame:
     return _rounded(quality.histogram_entropy(v.frames(), ["video_id"], "score_b", 0.0, 1.0), 7)
 
 
+# Weights of the composite score.
+SCORE_WEIGHTS = {"circle": 0.35, "contour": 0.25, "highlight": 0.20, "local_var": 1.0, "entropy": 0.10}
+
+
 @query(
     "e36_composite_score",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0.0, least(1.0, 0.35::DOUBLE * (l_discount * 10) + 0.25::DOUBLE * (l_quantity / 50) + 0.20::DOUBLE * least(l_tax / 0.05::DOUBLE, 1.0)
          + 0.10::DOUBLE * l_tax / 0.10::DOUBLE + 0.10::DOUBLE * (l_linenumber / 7.0::DOUBLE))), 9) AS score FROM lineitem""",
 )
 def e36(v: Views) -> DataFrame:
-    score = outcomes.composite_score(
-        F.col("l_discount") * 10, F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_tax"), F.col("l_linenumber") / F.lit(7.0)
-    )
+    values = {
+        "circle": F.col("l_discount") * 10, "contour": F.col("l_quantity") / 50, "highlight": F.col("l_tax"),
+        "local_var": F.col("l_tax"), "entropy": F.col("l_linenumber") / F.lit(7.0),
+    }
+    score = outcomes.weighted_score(values, SCORE_WEIGHTS, {"highlight": 0.05})
     return v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(score, 9).alias("score"))

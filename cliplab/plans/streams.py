@@ -19,11 +19,14 @@ def _event_stream(v: Views) -> DataFrame:
 
 @query("j01_ingest_once", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_items FROM events GROUP BY 1")
 def j01(v: Views) -> DataFrame:
-    """Events arrive twice in one stream; each is stored once."""
+    """Every event arrives twice, late and in other files; each is stored once."""
     path = scratch(v, "ingest")
-    twice = _event_stream(v).select("event_id", "ts", "event_type").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    # the whole history arrives at once, so keys stay known for the whole month
-    ingest.ingest_once(twice, f"{path}/table", f"{path}/checkpoint", "event_id", "ts", "40 days").awaitTermination()
+    twice = v.table("events").select("event_id", "ts", "event_type").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    arrival = F.pmod(F.xxhash64("event_id") + F.col("copy") * 3, F.lit(5))
+    twice.withColumn("file", arrival).repartition("file").write.partitionBy("file").parquet(f"{path}/arriving")
+    arriving = v.spark.read.parquet(f"{path}/arriving")
+    stream = ingest.file_stream(v.spark, f"{path}/arriving", arriving.schema, files_per_batch=2)
+    ingest.ingest_once(stream, f"{path}/table", f"{path}/checkpoint", "event_id", "ts").awaitTermination()
     stored = v.spark.read.parquet(f"{path}/table")
     return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_items"))
 

@@ -58,7 +58,7 @@ def i04(v: Views) -> DataFrame:
 def i05(v: Views) -> DataFrame:
     """Point metrics beside bootstrap intervals of the test rows."""
     _, scored = _scored(v, "test")
-    point, ci = ml.evaluate(scored.withColumn("prob", F.round("prob", 4)), 0.5, 200)
+    point, ci = ml.evaluate(scored, 0.5)
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("point")) for m in ("accuracy", "auroc", "f1", "sensitivity", "specificity", "precision")])
     return point.select(F.explode(pairs).alias("p")).select("p.*").join(ci, "metric")
 
@@ -112,13 +112,17 @@ def u04(v: Views) -> DataFrame:
     return ml.keep_above(scored, 0.6).select("frame_id")
 
 
+BLOCKS = {f"block_{k}": [f"v{i}" for i in range(16 * k, 16 * k + 16)] for k in range(4)}
+
+
 @query(
     "i09_feature_groups",
-    """SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS reflection_ratio, round(embedding[2]::DOUBLE, 6) AS edge_ratio, round(embedding[3]::DOUBLE, 6) AS n_lines FROM embeddings""",
+    "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS v{i}" for i in range(64)) + " FROM embeddings",
 )
 def i09(v: Views) -> DataFrame:
     """Named feature groups choose and order columns of a wide feature table."""
+    columns = ml.feature_columns(BLOCKS, ["block_3", "block_1", "block_0", "block_2"])
     wide = v.table("embeddings").select(
-        "vec_id", *[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(ml.feature_columns(["edge", "reflection"]))]
+        "vec_id", *[F.get("embedding", int(c[1:])).cast("double").alias(c) for c in columns]
     )
     return _rounded(wide)

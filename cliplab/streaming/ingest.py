@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,24 +18,33 @@ def file_stream(
     return reader.load(path)
 
 
-def event_time(df: DataFrame, column: str) -> DataFrame:
-    """Watermarks need TIMESTAMP; zone-less times are read in the session time zone."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))
+def _store_new(path: str, key: str, time: str) -> Callable[[DataFrame, int], None]:
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # one row per key: the earliest, ties by content
+        row = F.struct(*batch.columns)
+        first = batch.groupBy(key).agg(F.min_by(row, F.struct(F.col(time), F.to_json(row))).alias("__row")).select("__row.*")
+        # what earlier batches stored; a replayed batch must not see itself
+        before = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(F.col(key).alias("__key"))
+        fresh = first.join(before, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    return store
 
-def new_items(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """First arrival of each key; keys are forgotten once the watermark has passed them."""
-    return event_time(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
+def ingest_once(stream: DataFrame, path: str, checkpoint: str, key: str, time: str):
+    """Append unseen items to a Parquet table (partitioned by batch), process what is available, stop.
 
-def ingest_once(stream: DataFrame, path: str, checkpoint: str, key: str, time: str, delay: str = "1 hour"):
-    """Append unseen items to a Parquet table, process what is available, stop."""
+    Whether an item is new is decided by what the table holds, not by its time: items may come late
+    and again at any time.  Within a batch the earliest row of a key is taken; a null key is a key.
+    A batch that is replayed after a failure overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], stream.schema)
+    empty.write.mode("overwrite").parquet(f"{path}/batch=-1")  # so that the table can be read from the start
     return (
-        new_items(stream, key, time, delay)
-        .writeStream.format("parquet")
-        .option("path", path)
+        stream.writeStream.foreachBatch(_store_new(path, key, time))
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -24,7 +24,9 @@ def _batch_writer(path: str) -> Callable[[DataFrame, int], None]:
         # one folder per batch id: a replayed batch overwrites itself
         marked = batch.withColumn("batch_id", F.lit(batch_id))
         marked.write.mode("overwrite").partitionBy("category").parquet(f"{path}/routed/batch={batch_id}")
-        counts = batch.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+        # counted from what was written: the batch is scored once
+        written = batch.sparkSession.read.parquet(f"{path}/routed/batch={batch_id}")
+        counts = written.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
         counts.write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
 
     return write

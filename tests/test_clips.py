@@ -112,7 +112,19 @@ def test_multiclass(spark):
 
 def test_length_split_is_complete(long_clips):
     _, df = long_clips
-    short, long = clips.split_by_length(df, ["clip"], 10)
+    short, long = clips.split_by_length(df.withColumn(clips.CLIP, F.struct("clip")), 10)
     assert short.count() + long.count() == df.count()
     assert {r["clip"] for r in long.select("clip").distinct().collect()} == {"eleven", "forty", "big"}
     assert long.agg(F.count(F.lit(1))).first()[0] == 384
+
+
+@pytest.mark.parametrize("limit", [5, 100])
+def test_clips_without_key_survive_every_rule(spark, limit):
+    """A null key is a clip of its own, short or long."""
+    rows = [(None, i, float(i % 7) / 7, i % 2) for i in range(20)] + [("a", i, float(i % 5) / 5, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "clip string, frame int, prob double, label int").withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+    for kind in ("moving_avg", "gaussian"):
+        out = clips.smoothed_frames(df, ["clip"], ["frame"], kind, array_limit=limit)
+        assert out.count() == 40 and out.filter("clip IS NULL").count() == 20
+    decided = clips.decide(df, ["clip"], order=["frame"], array_limit=limit)
+    assert decided.count() == 44 and decided.filter("clip IS NULL").count() == 22

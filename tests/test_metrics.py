@@ -41,7 +41,7 @@ def test_binary_metrics_and_zero_division(spark):
     row = metrics.binary_metrics(df).first()
     assert (row["precision"], row["sensitivity"], row["f1"], row["specificity"]) == (0.0, 0.0, 0.0, 1.0)
     only_pos = metrics.binary_metrics(df.filter("label = 1")).first()
-    assert only_pos["specificity"] is None and only_pos["auroc"] is None
+    assert only_pos["specificity"] == 0.0 and only_pos["auroc"] is None
     assert metrics.binary_metrics(df.filter("label = 2")).first()["accuracy"] is None
 
 
@@ -142,9 +142,40 @@ def test_bootstrap_cells_cut_across_blocks(spark):
         assert rows["auroc"].std() == pytest.approx(np.sqrt(3001 / 12) / 1500, rel=0.25)
 
 
-def test_one_class_gives_no_interval(spark):
-    df = spark.createDataFrame([(1, 1, 0.5)] * 5, "label int, pred int, prob double")
-    assert bootstrap.metrics_with_ci(df, [], 20).count() == 0
+def test_one_class_keeps_the_point_value(spark):
+    rows = [("one", 1, 1, 0.5)] * 4 + [("one", 1, 0, 0.4)] + [("two", i % 2, i % 2, float(i % 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "model string, label int, pred int, prob double")
+    got = {(r["model"], r["metric"]): r for r in bootstrap.metrics_with_ci(df, ["model"], 20).collect()}
+    assert got["one", "sensitivity"]["mean"] == 0.8 and got["one", "accuracy"]["mean"] == 0.8
+    assert all(r["lower"] is None and r["n_replicates"] == 0 for (m, _), r in got.items() if m == "one")
+    assert ("one", "auroc") not in got and got["two", "auroc"]["lower"] == 1.0
+
+
+def test_bootstrap_seed_fixes_the_result(spark):
+    """Whatever the partitions, Arrow batches and order of the rows; more rows than one block holds."""
+    rng = np.random.default_rng(4)
+    df = spark.range(40_000).select(
+        (F.col("id") % 3 == 0).cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(10**6)).alias("h")
+    ).withColumn("prob", F.col("h") / F.lit(1e6) / (2 - F.col("label")))
+    decided = metrics.at_threshold(df, 0.5)
+    seen = []
+    for shuffles, batch, order in ((3, 10_000, "h"), (11, 37, "prob"), (5, 1000, "label")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        rows = bootstrap.replicate_metrics(decided.repartition(int(rng.integers(2, 9))).sortWithinPartitions(order), [], 60, seed=3)
+        seen.append([tuple(round(x, 12) for x in r) for r in rows.orderBy("replicate").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 60
+
+
+@pytest.mark.parametrize("scale", [1 / 64, 1.0, 40.0])
+def test_score_buckets_keep_the_order(spark, scale):
+    rng = np.random.default_rng(2)
+    scores = sorted([*((rng.random(300) - (scale > 1) / 2) * scale).tolist(), 0.0, 1.0, 0.5, 1e-300, 1 - 1e-16, -1e300, float("inf"), float("-inf")])
+    df = spark.createDataFrame([(s,) for s in scores], "s double").select("s", curves.score_bucket(F.col("s")).alias("b"))
+    got = [r["b"] for r in df.orderBy("s").collect()]
+    assert got == sorted(got) and len(set(got)) > 100
 
 
 def test_perfect_scores_give_tight_interval(spark):

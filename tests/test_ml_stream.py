@@ -46,10 +46,11 @@ def test_linear_head(table):
 
 
 def test_feature_groups():
-    assert len(ml.feature_columns()) == 43
-    assert ml.feature_columns(["edge", "reflection"]) == ["reflection_ratio", "edge_ratio", "n_lines"]
+    groups = {"light": ["a", "b"], "edge": ["c"], "blur": ["d", "e"]}
+    assert ml.feature_columns(groups) == ["a", "b", "c", "d", "e"]
+    assert ml.feature_columns(groups, ["blur", "light"]) == ["a", "b", "d", "e"]
     with pytest.raises(ValueError):
-        ml.feature_columns(["colour"])
+        ml.feature_columns(groups, ["colour"])
 
 
 def test_user_scorer(table):
@@ -78,8 +79,11 @@ def test_ingest_takes_each_item_once(spark, tmp_path):
     df = spark.sql("select concat('i', id % 5) as item, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) as ts from range(20)")
     df.write.parquet(src)
     schema = spark.read.parquet(src).schema
-    for _ in range(2):
-        ingest.ingest_once(ingest.file_stream(spark, src, schema), out, ck, "item", "ts").awaitTermination()
+    late = spark.sql("select concat('i', id) as item, timestamp_ntz'2020-01-01 00:00:00' as ts from range(9) union all select null, null")
+    for _ in range(3):
+        stream = ingest.file_stream(spark, src, schema, files_per_batch=1)
+        ingest.ingest_once(stream, out, ck, "item", "ts").awaitTermination()
         df.limit(7).write.mode("append").parquet(src)
+        late.repartition(3).write.mode("append").parquet(src)
     got = spark.read.parquet(out)
-    assert got.count() == 5 and got.select("item").distinct().count() == 5
+    assert got.count() == 10 and got.select("item").distinct().count() == 10

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliplab.functions import outcomes, parse
+from cliplab.plans.parsing import DEVICE_RULES
 
 
 def values(spark, fn, inputs, kind="string"):
@@ -91,4 +92,5 @@ def test_vector_moments(spark):
 def test_device_rule(spark):
     rows = [(0.1, 0.1, 0.1, 0.5, "Olympus"), (5.0, 30.0, 5.0, 13.0, "Fuji"), (13.0, 15.0, 13.5, 14.0, "Olympus"), (1.0, 26.0, 20.0, 30.0, "Fuji"), (1.0, 5.0, 20.0, 30.0, "Olympus")]
     df = spark.createDataFrame(rows, "b double, g double, r double, t double, want string")
-    assert df.filter(outcomes.device_class(F.col("b"), F.col("g"), F.col("r"), F.col("t")) != F.col("want")).count() == 0
+    values = {"g": F.col("g"), "r": F.col("r"), "total": F.col("t"), "gap": F.abs(F.col("b") - F.col("r"))}
+    assert df.filter(outcomes.first_rule(values, DEVICE_RULES, "Olympus") != F.col("want")).count() == 0

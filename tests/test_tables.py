@@ -150,15 +150,6 @@ def test_running_totals_and_quantiles_with_null_groups(spark):
     assert {r["rank_total"] for r in ranked.filter("g = 'g'").collect()} == {2}
 
 
-def test_salted_join_keeps_every_row(spark):
-    left = spark.range(3000).select(F.col("id").alias("item"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    lookup = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit("x"))
-    hot = ranking.hot_keys(lookup, ["g", "k"], "n", share=10)
-    assert [r["k"] for r in hot.collect()] == [-1]
-    out = ranking.salted_join(left.withColumn("g", F.lit("x")), lookup, ["g", "k"], hot, F.col("item"), salts=8)
-    assert out.count() == 3000 and out.filter("k = -1").agg(F.max("n")).first()[0] == 1000
-
-
 def test_join_by_entity_with_hot_and_null_keys(spark):
     rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.col("id").cast("string")).alias("k"))
     table = rows.filter("k is not null").select("k").distinct().withColumn("v", F.length("k"))
