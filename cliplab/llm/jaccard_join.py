@@ -35,16 +35,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.llm.graph import components
-from cliplab.llm.words import Words, chunks, mix, signed, text_buffers, word_chunks
+from cliplab.llm.words import mix, signed, word_chunks
 from cliplab.session import cut_lineage
 
 LAST_ID = 2**63 - 1  # a null doc_id counts as the largest
 NODE_BITS = 48
 SIGNATURE_BITS = 40
 BUCKET_ROWS = 1 << 21
-BLOCK_NODES = 4096
-BLOCK_SHINGLES = 4_000_000
+BLOCK_NODES = 16384
+BLOCK_SHINGLES = 5_000_000
 HUBS = 8
+WEAK = 0  # shingles of a projection that tell nothing
 BROADCAST_ROWS = 250_000  # of a few whole numbers each: some 10 MB
 
 
@@ -77,9 +78,9 @@ class Bands:
         if k <= 4:
             return 1, k, k + 3, 0
         if k <= 16:
-            return k // 3 + 2, 2, 5, 1
+            return k // 3 + 3, 2, 5, 2
         least = k // 2 + 1
-        spare = 1 + least // (12 if self.percent >= 85 else 3)
+        spare = 3 + least // (12 if self.percent >= 85 else 4)
         return least + spare, 1, 3, spare
 
 
@@ -99,14 +100,29 @@ def set_signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
         left_out = np.array(list(combinations(range(n2), k2)))
         rest = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums[:, left_out].sum(axis=2, dtype=np.uint64)
-        empty = filled.sum(axis=1, keepdims=True) == filled[:, left_out].sum(axis=2)
+        weak = filled.sum(axis=1, keepdims=True) - filled[:, left_out].sum(axis=2) <= WEAK
         tag = np.arange(rest.size, dtype=np.uint64).reshape(rest.shape) + np.uint64(band << 40)
         values = mix(rest ^ mix(tag))
-        # linking sets share 1 + spare parts, so up to `spare` parts can do without empty projections
-        out.append(values[~empty] if empty.any(axis=1).sum() <= spare else values.ravel())
+        out.append(values[~weak])
+        # linking sets share projections of 1 + spare parts: with weak ones in fewer parts, another is
+        # shared too; else they may share just 1 + spare weak ones
+        if weak.any(axis=1).sum() > spare:
+            out.append(_shared_weak(np.sort(values[weak]), 1 + spare))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _shared_weak(items: np.ndarray, least: int) -> np.ndarray:
+    """Signatures of which two lists of weak projections share one if they share `least` items.
+
+    A projection without shingles, or with few, says next to nothing about a set.  In one fixed order
+    of items, lists that share `least` of them share m of those in front, n - least + m each: each
+    choice of m is one signature.
+    """
+    m = min(least, 4)
+    front = items[: len(items) - least + m]
+    return np.array([mix(np.sum(front[list(c)], keepdims=True, dtype=np.uint64))[0] for c in combinations(range(len(front)), m)], dtype=np.uint64)
+
+
 def set_node(shingles: np.ndarray) -> int:
     total = int(np.sum(mix(shingles ^ np.uint64(0xA24BAED4963EE407)), dtype=np.uint64))
     return int(mix(np.array([(total + len(shingles)) % 2**64], dtype=np.uint64))[0])
@@ -223,6 +239,37 @@ class _Links:
         return hits[hits != x]
 
 
+def _by_rare_shingles(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Parts of a block, as ascending positions, that links cannot leave.
+
+    A set of n shingles shares at least percent * n / 100 of them with any partner, so two linked sets
+    have one in common among their n - that + 1 rarest.  A passage that many texts share is not rare.
+    """
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((codes, np.bincount(codes)[codes], owner))
+    within = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    front = order[within < np.repeat(sizes + (-percent * sizes) // 100 + 1, sizes)]
+    _, _, a, b = _stars(codes[front].astype(np.uint64), owner[front].astype(np.uint64))
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[find(y)] = find(x)
+    label = np.array([find(x) for x in range(len(sets))])
+    order = np.argsort(label, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    return [p for p in parts if len(p) > 1]
+
+
 def _verify(n: int, percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["guest", "node"])
@@ -238,19 +285,22 @@ def _verify(n: int, percent: int):
             nodes.append(node)
             guests += guest
         label, degree = np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
-        if len(sets) > 1:
-            links = _Links(sets, percent)
-            todo = np.argsort(-links.centrality, kind="stable")
-            if guests:  # members have met among themselves already
-                todo = np.arange(len(sets) - guests, len(sets))
+        for part in _by_rare_shingles(sets, percent):
+            visitors = int((part >= len(sets) - guests).sum())  # guests come last
+            if guests and not visitors:
+                continue  # members have met among themselves already
+            links = _Links([sets[i] for i in part], percent)
+            own = np.arange(len(part))
+            todo = own[len(own) - visitors :] if guests else np.argsort(-links.centrality, kind="stable")
             for x in todo:
-                count = np.bincount(label, minlength=len(sets))
-                if not guests and label[x] == count.argmax() and count.max() > 1:
+                count = np.bincount(own, minlength=len(own))
+                if not guests and own[x] == count.argmax() and count.max() > 1:
                     continue  # pairs of two groups are seen from the smaller one
                 hits = links.of(x)
-                degree[x] = len(hits)
+                degree[part[x]] = len(hits)
                 if len(hits):
-                    label[np.isin(label, label[np.append(hits, x)])] = label[x]
+                    own[np.isin(own, own[np.append(hits, x)])] = own[x]
+            label[part] = part[own]
         least: dict[int, int] = {}
         for node, own in zip(nodes, label, strict=True):
             least[own] = min(node, least.get(own, node))
