@@ -25,7 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 SPACE_MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 LONGEST_REMEMBERED = 64
 ROWS = 512  # texts encoded before their ids are sent on
 # Field numbers and model types of the model file
@@ -51,12 +52,10 @@ class Vocabulary:
     unknown: int
     longest: int = 1
     spans: frozenset[str] = frozenset()
-    bytes_of: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
         self.longest = max([1, *map(len, self.plain)])
         self.spans = frozenset(p[i : i + 2] for p in self.plain for i in range(len(p) - 1))
-        self.bytes_of = {piece: b for b, piece in enumerate(self.byte_ids)}
         self.worst = min([0.0, *(self.scores[i] for i in self.plain.values())]) - 10.0
 
 
@@ -116,6 +115,14 @@ class Encoder:
         self.v = vocabulary
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: how ids read: bytes from 0x80 on stand as lone surrogates until a text is complete
+        self.spelling = ["" for _ in vocabulary.pieces]
+        for piece, i in vocabulary.plain.items():
+            self.spelling[i] = piece.replace(SPACE_MARK, " ")
+        for byte, i in enumerate(vocabulary.byte_ids):
+            self.spelling[i] = chr(byte) if byte < 0x80 else chr(0xDC00 + byte)
+        if not vocabulary.byte_ids:
+            self.spelling[vocabulary.unknown] = " ⁇ "
         self.cut = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
         v = vocabulary
         #: words end where a space mark begins, if no piece has a mark after another character
@@ -156,26 +163,27 @@ class Encoder:
 
     def _short(self, text: str) -> list[int]:
         """The search of `stream` for a BPE model over a stretch that fits into the window as a whole."""
-        codes, pairs = self.codes, self.pairs
+        code_of, fits_of = self.codes.get, self.pairs.get
         lasts, sizes = [-1], [0]  # of the one path to every boundary; -2: no path
         for end in range(1, len(text) + 1):
             start = end - 1
-            last = -2 if text[start] in self.v.plain else -1
-            while start >= 0:
-                code = codes.get(text[start:end])
-                if code is None:
-                    break
+            code = code_of(text[start])
+            last = -1 if code is None else -2
+            while code is not None:
                 if code >= 0:
                     left = lasts[start]
                     if left >= 0:
-                        fits = pairs.get(left << 32 | code)
-                        if self._follows(left, code) if fits is None else fits:
+                        fits = fits_of(left << 32 | code)
+                        if fits or fits is None and self._follows(left, code):
                             last = code
                             break
                     elif left == -1:
                         last = code
                         break
+                if start == 0:
+                    break
                 start -= 1
+                code = code_of(text[start:end])
             lasts.append(last)
             sizes.append(end - start if last >= 0 else 1)
         out: list[int] = []
@@ -250,37 +258,27 @@ class Encoder:
         marked = SPACE_MARK + text.replace(" ", SPACE_MARK)
         if not self.by_words:
             return list(self.stream(marked))
-        out: list[int] = []
-        known = self.known
-        for stretch in self.cut.findall(marked):
-            found = known.get(stretch)
-            if found is None:
-                short = len(stretch) <= LONGEST_REMEMBERED
-                found = tuple(self._short(stretch) if short and not self.v.unigram else self.stream(stretch))
-                if short:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[stretch] = found
-            out.extend(found)
-        return out
+        stretches = self.cut.findall(marked)
+        found = list(map(self.known.get, stretches))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self._learn(stretches[i])
+        return list(chain.from_iterable(found))
+
+    def _learn(self, stretch: str) -> tuple[int, ...]:
+        short = len(stretch) <= LONGEST_REMEMBERED
+        # a piece that merging makes of its own text is the one path
+        ids = (self.whole[stretch],) if stretch in self.whole and not self.v.unigram else tuple(self._short(stretch) if short and not self.v.unigram else self.stream(stretch))
+        if short:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[stretch] = ids
+        return ids
 
     def text(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing."""
-        v = self.v
-        parts: list[str] = []
-        run = bytearray()
-        for i in ids:
-            byte = v.bytes_of.get(i)
-            if byte is not None:
-                run.append(byte)
-                continue
-            if run:
-                parts.append(run.decode(errors="replace"))
-                run.clear()
-            parts.append(v.pieces[i] if v.plain.get(v.pieces[i]) == i else " ⁇ " if i == v.unknown else "")
-        if run:
-            parts.append(run.decode(errors="replace"))
-        text = "".join(parts).replace(SPACE_MARK, " ")
+        joined = "".join(map(self.spelling.__getitem__, ids))
+        text = joined.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
