@@ -13,7 +13,7 @@ from cliplab.operators import manifest as m
 from cliplab.operators import quality, report, sampling, splits
 from cliplab.operators.clips import topk_mean
 from cliplab.operators.ranking import join_by_entity
-from cliplab.operators.significance import complete_models
+from cliplab.operators.significance import complete_models, normal_interval
 from cliplab.plans.registry import query
 from cliplab.plans.views import Views, sql
 from cliplab.sources import cache, sinks, tables
@@ -25,6 +25,8 @@ def scratch(v: Views, name: str) -> str:
     """A fresh folder in the cluster's shared checkpoint folder (or /tmp in local runs)."""
     shared = v.spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not v.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: executors don't share /tmp")
         return tempfile.mkdtemp(prefix=f"cliplab-{name}-", dir="/tmp")
     token = v.spark.range(1).select(F.expr("uuid()")).first()[0]
     return f"{shared.rstrip('/')}/cliplab-{name}-{token}"
@@ -235,6 +237,20 @@ def k03(v: Views) -> DataFrame:
     return v.spark.read.schema("split string, label_0 bigint, label_1 bigint").option("header", True).csv(f"{path}/split_label_table")
 
 
+@query(
+    "k04_interval_table",
+    sql("predictions", """SELECT model, round(avg(x), 4) AS mean, round(avg(x) - 1.959963984540054::DOUBLE * stddev_samp(x) / sqrt(count(x)), 4) AS lower,
+        round(avg(x) + 1.959963984540054::DOUBLE * stddev_samp(x) / sqrt(count(x)), 4) AS upper FROM (
+        SELECT model, clip_key, avg(prob) AS x FROM predictions GROUP BY 1, 2) GROUP BY 1"""),
+)
+def k04(v: Views) -> DataFrame:
+    """Intervals written as JSON rows with four digits, and read back."""
+    path = scratch(v, "intervals")
+    per_clip = v.predictions().groupBy("model", "clip_key").agg(F.avg("prob").alias("value"))
+    sinks.write_intervals(normal_interval(per_clip, ["model"]), path, "test")
+    return v.spark.read.schema("model string, mean double, lower double, upper double").json(f"{path}/test_ci")
+
+
 # ------------------------------------------------------------------- filters
 
 
