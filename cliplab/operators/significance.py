@@ -66,11 +66,12 @@ def delong_pairs(
     by_item = joined.groupBy(*within, "item", "label").agg(
         F.array_sort(F.collect_list(F.struct("model", value.alias("v")))).alias("m")
     )
-    later = lambda i: F.slice("m", i + 2, F.size("m"))
+    # a repeated item may hold a model twice, which is no pair
+    later = lambda x, i: F.filter(F.slice("m", i + 2, F.size("m")), lambda y: x["model"] < y["model"])
     pair = lambda x, y: F.struct(
         x["model"].alias("model_a"), y["model"].alias("model_b"), x["v"].alias("va"), y["v"].alias("vb")
     )
-    every = F.flatten(F.transform("m", lambda x, i: F.transform(later(i), lambda y: pair(x, y))))
+    every = F.flatten(F.transform("m", lambda x, i: F.transform(later(x, i), lambda y: pair(x, y))))
     pairs = by_item.select(*within, "label", F.explode(every).alias("p")).select(*within, "label", "p.*")
     keys = [*within, "model_a", "model_b"]
     moments = (
