@@ -41,7 +41,7 @@ from cliplab.session import cut_lineage
 LAST_ID = 2**63 - 1  # a null doc_id counts as the largest
 NODE_BITS = 48
 SIGNATURE_BITS = 40
-BUCKET_ROWS = 1 << 21
+BUCKET_ROWS = 1 << 19
 BLOCK_NODES = 16384
 BLOCK_SHINGLES = 5_000_000
 HUBS = 8
@@ -169,8 +169,12 @@ def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
     head[1:] = signatures[1:] != signatures[:-1]
     centre = nodes[head][np.cumsum(head) - 1] if len(nodes) else nodes
     tied = centre != nodes
-    pairs = np.unique(np.stack([centre[tied], nodes[tied]], axis=1), axis=0)
-    return signatures[head], nodes[head], pairs[:, 0], pairs[:, 1]
+    a, b = centre[tied], nodes[tied]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.ones(len(a), dtype=bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return signatures[head], nodes[head], a[once], b[once]
 
 
 def _packed_signatures(n: int, percent: int, buckets: int):
