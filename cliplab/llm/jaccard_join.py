@@ -42,8 +42,8 @@ LAST_ID = 2**63 - 1  # a null doc_id counts as the largest
 NODE_BITS = 48
 SIGNATURE_BITS = 40
 BUCKET_ROWS = 1 << 19
-BLOCK_NODES = 16384
-BLOCK_SHINGLES = 5_000_000
+BLOCK_NODES = 12288
+BLOCK_SHINGLES = 3_000_000
 HUBS = 8
 WEAK = 0  # shingles of a projection that tell nothing
 BROADCAST_ROWS = 250_000  # of a few whole numbers each: some 10 MB
