@@ -274,6 +274,39 @@ def _by_rare_shingles(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     return [p for p in parts if len(p) > 1]
 
 
+def _joined(links: _Links, visitors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group of every set, and the number of links of those that were compared.
+
+    With visitors, which come last, only these are compared; the others have met already.  Else sets of
+    the group that leads for the moment wait: at the end those of one fixed group need no comparison, as
+    all its pairs are connected and every set outside of it is compared with all others.
+    """
+    own, degree = np.arange(len(links.sizes)), np.zeros(len(links.sizes), dtype=np.int64)
+
+    def compare(x: int) -> None:
+        hits = links.of(x)
+        degree[x] = len(hits)
+        if len(hits):
+            own[np.isin(own, own[np.append(hits, x)])] = own[x]
+
+    if visitors:
+        for x in own[len(own) - visitors :]:
+            compare(x)
+        return own, degree
+    waiting = []
+    for x in np.argsort(-links.centrality, kind="stable"):
+        count = np.bincount(own, minlength=len(own))
+        if own[x] == count.argmax() and count.max() > 1:
+            waiting.append(x)
+        else:
+            compare(x)
+    main = np.flatnonzero(own == np.bincount(own).argmax())[0]
+    for x in waiting:
+        if own[x] != own[main]:
+            compare(x)
+    return own, degree
+
+
 def _verify(n: int, percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["guest", "node"])
@@ -293,17 +326,7 @@ def _verify(n: int, percent: int):
             visitors = int((part >= len(sets) - guests).sum())  # guests come last
             if guests and not visitors:
                 continue  # members have met among themselves already
-            links = _Links([sets[i] for i in part], percent)
-            own = np.arange(len(part))
-            todo = own[len(own) - visitors :] if guests else np.argsort(-links.centrality, kind="stable")
-            for x in todo:
-                count = np.bincount(own, minlength=len(own))
-                if not guests and own[x] == count.argmax() and count.max() > 1:
-                    continue  # pairs of two groups are seen from the smaller one
-                hits = links.of(x)
-                degree[part[x]] = len(hits)
-                if len(hits):
-                    own[np.isin(own, own[np.append(hits, x)])] = own[x]
+            own, degree[part] = _joined(_Links([sets[i] for i in part], percent), visitors)
             label[part] = part[own]
         least: dict[int, int] = {}
         for node, own in zip(nodes, label, strict=True):

@@ -7,6 +7,8 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from cliplab.llm import jaccard_join, repeated_windows
@@ -79,6 +81,44 @@ def test_many_blocks_give_the_same_groups(spark, monkeypatch):
     assert result(jaccard_join.jaccard_groups(df, 5, 80)) == brute_groups(rows, 5, 80)
 
 
+def stretches(seed, texts):
+    """Overlapping excerpts of a few word sequences, and chains of edits."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(texts):
+        start = rng.randrange(0, 60)
+        rows.append((len(rows), " ".join(f"s{seed}w{i}" for i in range(start, start + rng.randrange(90, 130)))))
+    chain = [f"c{seed}w{i}" for i in range(80)]
+    for i in range(texts):
+        chain[rng.randrange(80)] = f"e{seed}w{i}"
+        rows.append((len(rows), " ".join(chain)))
+    return rows
+
+
+def verified(rows, guests=(), n=1, percent=80):
+    """Components of one block, as the least position of each text's group; guests are positions too."""
+    sets = [next(jaccard_join.text_sets(pa.array([t]), n)) for _, t in rows]
+    nodes = [int(np.uint64(jaccard_join.set_node(s)).astype(np.int64)) for s in sets]
+    group = pd.DataFrame({"node": nodes, "text": [t for _, t in rows], "guest": [int(i in guests) for i in range(len(rows))]})
+    found = jaccard_join._verify(n, percent)(group)
+    name = dict(zip(found["node"], found["component"], strict=True))
+    names = [name.get(x, x) for x in nodes]
+    return [names.index(x) for x in names]
+
+
+def brute_components(rows, n=1, percent=80):
+    return [c for _, _, c in sorted(brute_groups(rows, n, percent))]
+
+
+def test_excerpts_and_edit_chains_of_one_block():
+    """The leading group changes while sets are compared; no link may be lost by it."""
+    four = [(i, " ".join(f"w{j}" for j in range(a, b))) for i, (a, b) in enumerate(((59, 167), (78, 170), (47, 142), (49, 155)))]
+    assert verified(four) == brute_components(four) == [0, 0, 0, 0]
+    for seed in range(30):
+        rows = stretches(seed, 12)
+        assert verified(rows) == brute_components(rows), seed
+
+
 def test_signatures_of_linking_sets_meet():
     """Whatever differences a pair at the threshold has, it shares a signature."""
     rng = np.random.default_rng(1)
