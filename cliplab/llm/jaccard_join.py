@@ -290,7 +290,7 @@ def _joined(links: _Links, visitors: int) -> tuple[np.ndarray, np.ndarray]:
             own[np.isin(own, own[np.append(hits, x)])] = own[x]
 
     if visitors:
-        for x in own[len(own) - visitors :]:
+        for x in range(len(own) - visitors, len(own)):
             compare(x)
         return own, degree
     waiting = []

@@ -119,6 +119,20 @@ def test_excerpts_and_edit_chains_of_one_block():
         assert verified(rows) == brute_components(rows), seed
 
 
+def test_guests_that_link_with_each_other_all_meet_the_block():
+    """Of two linked guests only the later one links with a member."""
+    words = [f"w{i}" for i in range(200)]
+    spans = [(0, 100), (10, 110), (20, 120)]
+    ordered = 0
+    for salt in range(12):
+        rows = [(i, " ".join(f"{salt}{w}" for w in words[a:b])) for i, (a, b) in enumerate(spans)]
+        nodes = [jaccard_join.set_node(next(jaccard_join.text_sets(pa.array([t]), 1))) for _, t in rows]
+        far, near = (int(np.uint64(nodes[i]).astype(np.int64)) for i in (2, 1))
+        ordered += far < near  # guests come in order of their nodes
+        assert verified(rows, guests=(1, 2)) == brute_components(rows) == [0, 0, 0], salt
+    assert ordered
+
+
 def test_signatures_of_linking_sets_meet():
     """Whatever differences a pair at the threshold has, it shares a signature."""
     rng = np.random.default_rng(1)
