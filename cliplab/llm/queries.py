@@ -128,4 +128,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pseudo_likelihood")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+    return pseudo_likelihood.word_scores(table(spark, sf_dir, "documents"))

@@ -239,6 +239,67 @@ def test_scores_of_edge_cases(edge, nothing):
     assert pseudo_likelihood.score(nothing, epochs=1).count() == 0
 
 
+@pytest.mark.parametrize(("head", "hot"), [(200_000, 4096), (300, 20), (0, 0)])
+def test_word_scores_equal_counts_of_true_words(some, monkeypatch, head, hot):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from cliplab.llm.words import Words, text_buffers
+
+    monkeypatch.setattr(pseudo_likelihood, "HEAD_WORDS", head)
+    monkeypatch.setattr(pseudo_likelihood, "HOT_WORDS", hot)
+    vocabulary, of_class, _, _ = pseudo_likelihood.word_model(some, epochs=1)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    spelled = {d: WORD.findall(t or "") for d, t in texts.items()}
+    classes = {d: vocabulary.of(Words(*text_buffers(pa.array([t]))).hashes)[0].tolist() for d, t in texts.items()}
+    of_word = {w: c for d in texts for w, c in zip(spelled[d], classes[d], strict=True)}
+    single, between, by_side, size, kinds = Counter(), Counter(), Counter(), Counter(), Counter(of_word.values())
+    side = lambda own, i: (own[i - 1] if i else 0, own[i + 1] if i + 1 < len(own) else 0)
+    for d, words in spelled.items():
+        for i, w in enumerate(words):
+            s = side(classes[d], i)
+            single[w] += 1
+            between[s, w] += 1
+            by_side[s, of_word[w]] += 1
+            size[of_word[w]] += 1
+    got = {r.doc_id: r for r in pseudo_likelihood.word_scores(some, epochs=1).collect()}
+    assert set(got) == set(texts)
+    for d in list(texts)[:25]:
+        own, total = classes[d], 0.0
+        for i, w in enumerate(spelled[d]):
+            context = 0
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                context = context * pseudo_likelihood.CLASSES + (own[j] if 0 <= j < len(own) else 0)
+            c, s, k = own[i], side(own, i), pseudo_likelihood.PRIOR
+            total += of_class[context, c] + np.log((between[s, w] - 1 + k * single[w] / (size[c] - 1 + kinds[c])) / (by_side[s, c] - 1 + k))
+        assert (got[d].n_tokens, got[d].log_probability) == (len(own), pytest.approx(total, rel=1e-5))
+
+
+def test_a_rare_word_at_the_address_of_a_frequent_one_scores_by_its_own_count(spark):
+    import pyarrow as pa
+
+    from cliplab.llm.words import Words, text_buffers
+
+    names = [f"q{i}" for i in range(200_000)]
+    address = pseudo_likelihood.tokens(Words(*text_buffers(pa.array([" ".join(names)]))))
+    rare = names[int(np.flatnonzero(address == address[0])[1])]
+    rows = [(0, f"a b {names[0]} c d"), (1, f"a b {rare} c d")] + [(i, f"a b {names[0]} c d") for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_probability for r in pseudo_likelihood.word_scores(docs, epochs=3).collect()}
+    assert got[1] < got[0] - 1
+
+
+def test_word_scores_of_edge_cases(edge, nothing):
+    rows = pseudo_likelihood.word_scores(edge, epochs=1).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in edge.collect())
+    by_id = {r.doc_id: r for r in rows}
+    assert (by_id[4].n_tokens, by_id[4].log_probability, by_id[4].mean_log_probability) == (0, 0.0, None)
+    assert by_id[1].log_probability < 0 and by_id[1].log_probability == by_id[2].log_probability
+    assert by_id[None].n_tokens == 3
+    assert pseudo_likelihood.word_scores(nothing, epochs=1).count() == 0
+
+
 # ------------------------------------------------------------------ main text
 
 
