@@ -3,8 +3,9 @@
 A small reader turns markup into a tree (void, optional-end and raw-text elements as browsers treat
 them, cut pages included).  Every paragraph passes points to the elements above it: one, one per
 comma and one per hundred characters up to three, in full to its parent, half to its grandparent, a
-third of that further up.  An element's score is discounted by its link density; the best container
-and those siblings that score alike, or read like prose, make the main text.
+third of that further up.  An element's score is discounted by its link density; the article or main
+element around the best container, else that container, and those siblings that score alike, or read
+like prose, make the main text.
 
 Elements that are not the article are set aside first: navigation, headers and footers outside the
 article, sidebars, notices, adverts, forms, scripts, styles and reader comments, by element, role or
@@ -30,6 +31,10 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: beside the best container these are judged by their own text
+PROSE = frozenset("p blockquote pre ul ol dl table".split())
+#: inside an article these are left out if they are mostly links
+LINK_CONTAINERS = frozenset("div section ul ol dl table".split())
 #: an opening tag of the second kind ends an open element of the first, up to the nearest of the third
 ENDED_BY = {
     "p": (BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}, frozenset()),
@@ -161,7 +166,7 @@ def prune(root: Node) -> None:
         todo.extend((p, inside) for p in node.parts if isinstance(p, Node))
 
 
-def blocks(node: Node) -> list[str]:
+def blocks(node: Node, without: frozenset[int] = frozenset()) -> list[str]:
     """Texts of the blocks under a node, in page order; white space inside a block is one space."""
     found: list[str] = []
     line: list[str] = []
@@ -179,6 +184,8 @@ def blocks(node: Node) -> list[str]:
             end()
         elif isinstance(part, str):
             line.append(part)
+        elif id(part) in without:
+            end()
         elif part.tag == "br":
             line.append(" ")
         elif part.tag in BLOCKS:
@@ -247,6 +254,34 @@ def _score(root: Node) -> list[Node]:
     return scored
 
 
+def _article_of(node: Node) -> Node:
+    """The nearest article above a node or itself, else the nearest main element, else the node."""
+    for tag in ("article", "main"):
+        above: Node | None = node
+        while above is not None:
+            if above.tag == tag:
+                return above
+            above = above.parent
+    return node
+
+
+def _link_lists(root: Node, best: Node, sizes: dict[int, tuple[int, int]]) -> frozenset[int]:
+    """Containers under a node of which links are at least half the text, except those around the best one."""
+    around, found, todo = set(), set(), [root]
+    node: Node | None = best
+    while node is not None:
+        around.add(id(node))
+        node = node.parent
+    while todo:
+        part = todo.pop()
+        size, links = sizes[id(part)]
+        if part.tag in LINK_CONTAINERS and links and 2 * links >= size and id(part) not in around:
+            found.add(id(part))
+        elif part is not best:
+            todo.extend(p for p in part.parts if isinstance(p, Node))
+    return frozenset(found)
+
+
 def main_blocks(html: str) -> list[str]:
     """Blocks of a page's main text, in page order; none if it has no text."""
     root = parse(html)
@@ -262,13 +297,15 @@ def main_blocks(html: str) -> list[str]:
         return blocks(best)
     least = max(10.0, 0.2 * final[id(best)])
     found: list[str] = []
-    for part in best.parent.parts:
-        if part is best:
-            found += blocks(part)
+    whole = _article_of(best)
+    for part in whole.parent.parts:
+        if part is whole:
+            found += blocks(part, _link_lists(part, best, sizes))
         elif isinstance(part, Node):
             size, links = sizes[id(part)]
             alike = part.scored and final[id(part)] >= least
-            prose = part.tag == "p" and density(part) < 0.25 and (size > 80 or size > 0 and links == 0 and re.search(r"[.!?](\s|$)", _own_text(part)))
+            plain = part.tag in PROSE and density(part) < 0.25
+            prose = plain and (size > 80 or size > 0 and links == 0 and (part.tag == "pre" or re.search(r"[.!?](\s|$)", " ".join(blocks(part)))))
             headline = part.tag in HEADINGS and density(part) < 0.25
             if alike or prose or headline:
                 found += blocks(part)

@@ -303,6 +303,28 @@ def test_word_scores_of_edge_cases(edge, nothing):
 # ------------------------------------------------------------------ main text
 
 
+PROSE = "A long sentence, with commas, and clauses, and more, goes on, and on, for a while, until it ends. " * 4
+
+
+def test_an_article_keeps_short_sections_beside_a_long_one():
+    long = "".join(f"<p>{i} {PROSE}</p>" for i in range(12))
+    html = (
+        f"<body><article><h1>Title</h1><section><p>Short one.</p></section><section>{long}</section><blockquote>Said so</blockquote>"
+        "<pre>x = 1</pre><table><tr><td>cell</td></tr></table><div><p>Last words.</p></div>"
+        "<div><a href=a>Other page</a> <a href=b>More pages</a></div></article></body>"
+    )
+    got = main_text.main_blocks(html)
+    assert [b for b in got if "commas" not in b] == ["Title", "Short one.", "Said so", "x = 1", "cell", "Last words."]
+    assert len(got) == 18
+
+
+def test_quotes_code_and_lists_beside_the_best_container():
+    long = "".join(f"<p>{i} {PROSE}</p>" for i in range(12))
+    html = f"<body><div><blockquote><p>She said so.</p></blockquote><div>{long}</div><pre>y = 2</pre><ul><li>It holds.</li></ul><ul><li><a href=a>Link.</a></li></ul></div></body>"
+    got = main_text.main_blocks(html)
+    assert [b for b in got if "commas" not in b] == ["She said so.", "y = 2", "It holds."]
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [
