@@ -68,7 +68,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?:[\s\"'=/]|$)|display\s*:\s*none", re.I)
+_HIDING = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -145,13 +145,20 @@ def _words(attributes: dict[str, str]) -> set[str]:
     return set(re.split(r"[^a-z]+", names.lower())) - {""}
 
 
+def _hidden(node: Node, attributes: dict[str, str]) -> bool:
+    """A hidden attribute, with or without a value, or a style that hides."""
+    if "hidden" in attributes or _HIDING.search(attributes.get("style", "")):
+        return True
+    return "hidden" in node.attributes.lower() and "hidden" in re.split(r"[\s/]+", _ATTRIBUTE.sub(" ", node.attributes).lower())
+
+
 def _set_aside(node: Node, in_article: bool) -> bool:
     if node.tag in ASIDE_ELEMENTS or node.tag == "header" and not in_article:
         return True
     if not node.attributes or node.tag in ("html", "body", "main", "article"):
         return False
     own = _attributes(node)
-    if own.get("role", "").lower() in ASIDE_ROLES or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(node.attributes):
+    if own.get("role", "").lower() in ASIDE_ROLES or own.get("aria-hidden", "").lower() == "true" or _hidden(node, own):
         return True
     return bool(_words(own) & ASIDE_WORDS)
 

@@ -318,6 +318,18 @@ def test_an_article_keeps_short_sections_beside_a_long_one():
     assert len(got) == 18
 
 
+@pytest.mark.parametrize(
+    ("attributes", "shown"),
+    [
+        ('style="overflow: hidden"', True), ('title="hidden gems"', True), ("data-hidden='1'", True), ('data-x="display:none"', True),
+        ("hidden", False), ('class="x" HIDDEN', False), ('hidden=""', False), ("hidden=hidden class=x", False),
+        ('style="color: red; display : none"', False), ("style='visibility: hidden'", False),
+    ],
+)
+def test_only_hidden_elements_are_hidden(attributes, shown):
+    assert main_text.main_blocks(f"<body><div {attributes}><p>{PROSE}</p></div></body>") == ([PROSE.strip()] if shown else [])
+
+
 def test_quotes_code_and_lists_beside_the_best_container():
     long = "".join(f"<p>{i} {PROSE}</p>" for i in range(12))
     html = f"<body><div><blockquote><p>She said so.</p></blockquote><div>{long}</div><pre>y = 2</pre><ul><li>It holds.</li></ul><ul><li><a href=a>Link.</a></li></ul></div></body>"
