@@ -15,7 +15,6 @@ from cliplab.plans.registry import query
 from cliplab.plans.views import Views, sql
 
 FEATURES = ["score_a", "score_b", "frame_number", "segment_number"]
-TREES = 20  # a full-size forest has ml.FOREST_TREES
 
 
 def _forest_input(v: Views) -> DataFrame:
@@ -29,7 +28,7 @@ def _columns() -> list[str]:
 
 def _fit(v: Views):
     rows = _forest_input(v)
-    model = ml.fit_forest(rows.filter(F.col("split") == "train"), _columns(), n_trees=TREES, max_depth=6)
+    model = ml.fit_forest(rows.filter(F.col("split") == "train"), _columns())
     return model, rows
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliplab.operators import ml
+from cliplab.plans import tabular
 from cliplab.streaming import ingest, routing
 
 
@@ -39,6 +40,21 @@ def test_forest_round_trip(spark, table, tmp_path):
     assert point.first()["auroc"] > 0.8 and ci.count() == 6
 
 
+def test_forest_queries_fit_the_whole_forest(spark, monkeypatch):
+    fitted = {}
+
+    def classifier(**parameters):
+        fitted.update(parameters)
+        raise InterruptedError
+
+    monkeypatch.setattr(ml, "RandomForestClassifier", classifier)
+    rows = spark.createDataFrame([("train", 1)], "split string, label int")
+    monkeypatch.setattr(tabular, "_forest_input", lambda v: rows)
+    with pytest.raises(InterruptedError):
+        tabular._fit(None)
+    assert (fitted["numTrees"], fitted["maxDepth"]) == (ml.FOREST_TREES, ml.MAX_DEPTH) == (500, 30)
+
+
 def test_linear_head(table):
     model = ml.fit_linear_head(table)
     scored = model.transform(ml.embedding_features(table))
