@@ -93,7 +93,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = pages.select("page_id", F.regexp_extract(path, "/([0-9]+)[^/]*/?$", 1).try_cast("long").alias("doc_id"))
     bad = labels.select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-    return url_templates.judge_urls(pages, shown.join(bad, "doc_id"), rules)
+    return url_templates.judge_urls(pages, shown.join(bad, "doc_id"), rules, max_depth=None)
 
 
 @query(

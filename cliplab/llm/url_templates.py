@@ -49,10 +49,12 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
     return first(lambda r: r), first(lambda r: rules[r])
 
 
-def general_segments(path: Column, max_depth: int) -> Column:
-    """Segments with digit runs and long hexadecimal names as `#`; what lies deeper than max_depth as one `**`."""
+def general_segments(path: Column, max_depth: int | None) -> Column:
+    """Segments with digit runs and long hexadecimal names as `#`; what lies deeper than max_depth, if given, as one `**`."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     parts = F.transform(parts, lambda s: F.regexp_replace(s, "[0-9a-fA-F]{16,}|[0-9]+", "#"))
+    if max_depth is None:
+        return parts
     cut = F.concat(F.slice(parts, 1, max_depth), F.array(F.lit(DEEP)))
     return F.when(F.size(parts) > max_depth, cut).otherwise(parts)
 
@@ -91,13 +93,14 @@ def judge_urls(
     rules: dict[str, str],
     smoothing: float = 4.0,
     floor: float = 0.5,
-    max_depth: int = 6,
+    max_depth: int | None = 6,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity per row of `pages` (page_id, url).
 
     `labels` holds (page_id, bad): true for bad, false for good, at most one row per page; null
     labels count as none.  Null urls and urls without `://` have empty host and path and the empty
-    template.  With no labels at all every url that no rule blocks is allowed.
+    template.  With no labels at all every url that no rule blocks is allowed.  Branches deeper than
+    `max_depth` segments are told apart only without it.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))

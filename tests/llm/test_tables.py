@@ -123,6 +123,18 @@ def test_templates_reject_impure_branches(spark):
     assert url_templates.judge_urls(deep, marks, {}).first().template == "/a/a/a/a/a/a/**"
 
 
+def test_the_query_tells_deep_branches_apart(spark, monkeypatch):
+    pages = [(i, f"http://h.org/a/b/c/d/e/f/{'bad' if i % 4 == 0 else 'good'}/{i}") for i in range(160)]
+    tables = {
+        "pages": spark.createDataFrame(pages, "page_id long, url string"),
+        "labels": spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(160)], "doc_id long, toxic int, quality int"),
+    }
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: tables[name])
+    got = {r.page_id: (r.template, r.verdict) for r in queries.QUERIES["op6_url_templates"](spark, "").collect()}
+    assert set(got.values()) == {("/a/b/c/d/e/f/bad/#", "block"), ("/a/b/c/d/e/f/good/#", "allow")}
+    assert all((got[i][1] == "block") == (i % 4 == 0) for i in got)
+
+
 # ------------------------------------------------------------------ neighbours
 
 
