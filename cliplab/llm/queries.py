@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplab.llm import fingerprints, jaccard_join, language, main_text, mixing, neighbours, pieces, pseudo_likelihood, repeated_windows, url_templates
+from cliplab.llm import (
+    decontamination,
+    fingerprints,
+    jaccard_join,
+    language,
+    main_text,
+    mixing,
+    neighbours,
+    pieces,
+    pseudo_likelihood,
+    repeated_windows,
+    url_templates,
+)
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -129,3 +141,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pseudo_likelihood")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.word_scores(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_positional_index",
+    r"""WITH w AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        g AS (SELECT DISTINCT item_id, list_slice(ws, i, i + 9) AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+        sizes AS (SELECT DISTINCT len(g) AS n FROM g),
+        s AS (SELECT k, i, list_slice(ws, i, i + n - 1) AS g, n FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes WHERE len(ws) >= n)),
+        hit AS (SELECT k, i, n, s.g FROM s SEMI JOIN g ON s.g = g.g),
+        words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hit) GROUP BY k),
+        named AS (SELECT k, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit JOIN g ON hit.g = g.g GROUP BY k)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+          sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM w LEFT JOIN words USING (k) LEFT JOIN named USING (k)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    ids = F.col("item_ids")
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated"
+    )
