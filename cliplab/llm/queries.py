@@ -17,6 +17,7 @@ from cliplab.llm import (
     pseudo_likelihood,
     repeated_windows,
     url_templates,
+    vector_codes,
 )
 from cliplab.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -165,3 +166,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+def _codes_sql(parts: int = 16, width: int = 4, entries: int = 64) -> str:
+    """Two rounds and the last assignment, spelled out."""
+    assign = """a{i} AS (SELECT k, p, min(struct_pack(d := list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c := c)) AS m
+            FROM pts JOIN b{i} USING (p) GROUP BY k, p)"""
+    update = """u{i} AS (SELECT p, m.c AS c, [{means}] AS e FROM pts JOIN a{i} USING (k, p) GROUP BY p, m.c),
+        b{j} AS (SELECT b{i}.p, b{i}.c, coalesce(u{i}.e, b{i}.e) AS e FROM b{i} LEFT JOIN u{i} USING (p, c))"""
+    means = ", ".join(f"floor(sum(x[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, width + 1))
+    steps = [assign.format(i=0)]
+    for i in range(2):
+        steps += [update.format(i=i, j=i + 1, means=means), assign.format(i=i + 1)]
+    chain = ",\n        ".join(steps)
+    return f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+              FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        pts AS (SELECT k, p, list_slice(x, {width} * p + 1, {width} * p + {width}) AS x FROM v, range({parts}) AS r(p)),
+        b0 AS (SELECT p, k - 1 AS c, x AS e FROM pts WHERE k <= {entries}),
+        {chain},
+        books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, c)) AS s FROM b2),
+        codes AS (SELECT k, string_agg(lpad(lower(to_hex(m.c)), 2, '0'), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY k)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, s AS codebooks_sha256
+        FROM v JOIN codes USING (k), books"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
