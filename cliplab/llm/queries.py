@@ -14,6 +14,7 @@ from cliplab.llm import (
     mixing,
     neighbours,
     pieces,
+    prefix_trie,
     pseudo_likelihood,
     repeated_windows,
     url_templates,
@@ -193,3 +194,27 @@ def _codes_sql(parts: int = 16, width: int = 4, entries: int = 64) -> str:
 @query("op12_vector_codes", _codes_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+@query(
+    "op13_prefix_trie",
+    r"""WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT *, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda crc, byte:
+              list_reduce(range(8)::BIGINT[], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, byte)), 4294967295::BIGINT), 4294967295) % 6 AS h FROM t),
+        r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h), []), list_slice(h.own, h + 1, len(h.own))) AS p
+              FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100),
+        m AS (SELECT conv_id, len(p) AS n, d AS depth, list_slice(p, 1, d) AS p FROM r, unnest(range(0, len(p) + 1)) AS u(d)),
+        nodes AS (SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, count(*) FILTER (n = depth) AS e,
+              string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth) AS ends FROM m GROUP BY depth, p),
+        own AS (SELECT n.*, up.conv_id AS parent_conv_id, coalesce(c.k, 0) AS n_children, (n.n_convs - 1) * length(coalesce(n.p[-1].t, '')) AS saved
+              FROM nodes n LEFT JOIN nodes up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.p = list_slice(n.p, 1, n.depth - 1)
+              LEFT JOIN (SELECT depth - 1 AS depth, list_slice(p, 1, depth - 1) AS p, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY ALL) c
+                ON c.depth = n.depth AND c.p = n.p),
+        below AS (SELECT d AS depth, list_slice(p, 1, d) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+              FROM own, unnest(range(0, depth + 1)) AS u(d) GROUP BY ALL)
+        SELECT conv_id, own.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM own JOIN below ON below.depth = own.depth AND below.p = own.p""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
