@@ -65,7 +65,7 @@ def read_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     names = cut_lineage(spelled.join(distinct, "words").select("seq", "item_id").distinct())
     placed = distinct.select("seq", F.posexplode("words").alias("at", "word"))
     vocabulary = cut_lineage(placed.select("word").distinct().withColumn("term", F.monotonically_increasing_id()))
-    numbered = placed.join(sent_if_few(vocabulary, chars="word"), "word")
+    numbered = placed.join(sent_if_few(vocabulary, chars=F.length("word")), "word")
     terms = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"])
     sequences = cut_lineage(numbered.groupBy("seq").agg(terms.alias("terms")).withColumn("n", F.size("terms")))
     return TestItems(sequences, names, vocabulary)
@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     n_words = F.when(F.col("words").isNull(), 0).otherwise(F.size("words")).cast("long")
     spread = keyed.select("key", "doc_id", n_words.alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
     head = F.coalesce("pos", F.lit(0)) == 0
-    found = spread.join(sent_if_few(vocabulary, chars="word"), "word", "left").filter(F.col("term").isNotNull() | head)
+    found = spread.join(sent_if_few(vocabulary, chars=F.length("word")), "word", "left").filter(F.col("term").isNotNull() | head)
     rows = found.select("term", "key", "pos", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("n_words")).alias("n_words"))
     written = stored(rows.sortWithinPartitions("term", "key", "pos"), "positional-index")
     return PositionalIndex(
@@ -127,7 +127,7 @@ def phrase_runs(index: PositionalIndex, items: TestItems, width: int = 10) -> Da
     lists = spans.join(items.sequences, "seq").select(
         "seq", "at", "term", "low", F.slice("terms", F.col("low") + 1, F.col("high") - F.col("low")).alias("around")
     )
-    seeds = index.postings.join(sent_if_few(cut_lineage(lists)), "term")
+    seeds = index.postings.join(sent_if_few(cut_lineage(lists), chars=F.size("around") * 8), "term")
     diagonal = (F.col("pos") - F.col("at")).alias("diagonal")
     wanted = seeds.select("key", "seq", diagonal, "low", F.posexplode("around").alias("i", "term"))
     wanted = wanted.select("key", "seq", "diagonal", (F.col("low") + F.col("i")).alias("place"), "term")
@@ -153,7 +153,7 @@ def proximity_runs(index: PositionalIndex, items: TestItems, width: int = 10, re
     """(key, seq, item_start, pos): places of a window's rarest term with all its other terms within `reach` words, in any order."""
     anchored = cut_lineage(_anchors(index, _windows(items, width)))
     lists = anchored.select("seq", "start", F.col("rare").alias("term"), F.array_distinct("window").alias("terms"))
-    seeds = index.postings.join(sent_if_few(cut_lineage(lists)), "term")
+    seeds = index.postings.join(sent_if_few(cut_lineage(lists), chars=F.size("terms") * 8), "term")
     cell = F.floor(F.col("pos") / reach)
     wanted = seeds.select("key", "seq", "start", "pos", F.size("terms").alias("kinds"), F.explode("terms").alias("term"))
     wanted = wanted.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1)))
@@ -202,13 +202,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
     windows = cut_lineage(_windows(test, width))
     start = F.explode(F.sequence(F.col("item_start"), F.greatest(F.col("item_start"), F.col("item_start") + F.col("n").cast("int") - width)))
-    occurring = runs.select("key", "seq", start.alias("start")).join(sent_if_few(windows), ["seq", "start"])
+    occurring = runs.select("key", "seq", start.alias("start")).join(sent_if_few(windows, chars=F.size("window") * 8), ["seq", "start"])
     owners = windows.select("window", F.col("seq").alias("owner")).distinct()
     owned = occurring.select("key", "window").distinct().join(owners, "window").select("key", F.col("owner").alias("seq")).distinct()
     told = owned.join(test.names, "seq").select("key", F.col("item_id").cast("string").alias("item_id")).distinct()
     lists = told.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     both = cut_lineage(hits.join(lists, "key"))
-    judged = index.rows.join(sent_if_few(both), "key", "left")
+    judged = index.rows.join(sent_if_few(both, chars=F.length(F.array_join("item_ids", ","))), "key", "left")
     return judged.select(
         "doc_id",
         "n_words",

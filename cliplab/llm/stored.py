@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SENT_ROWS = 200_000  # of a few numbers or one short word each: some 10 MB
@@ -29,11 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sent_if_few(df: DataFrame, rows: int = SENT_ROWS, chars: str | None = None) -> DataFrame:
-    """`df` marked to be sent to every task if its counted rows (and characters of column `chars`) are few.
+def sent_if_few(df: DataFrame, rows: int = SENT_ROWS, chars: Column | None = None) -> DataFrame:
+    """`df` marked to be sent to every task if its counted rows, and the sum of `chars` over them, are few.
 
     Beyond that the join is left to Spark, which shuffles both sides.  `df` should be cheap to read twice.
     """
-    weight = F.sum(F.length(chars)) if chars else F.lit(0)
+    weight = F.lit(0) if chars is None else F.sum(chars)
     n, size = df.agg(F.count(F.lit(1)), weight).first()
     return F.broadcast(df) if n <= rows and (size or 0) <= SENT_CHARS else df

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cliplab.llm.stored import sent_if_few
 from cliplab.session import cut_lineage
 
-BLOCK = 256
+BLOCK = 64
 POINTS_PER_TASK = 1 << 20
 CURVE_BITS = 60
 LARGEST = float(1 << 18)  # squared distances of whole vectors stay below 2**63
