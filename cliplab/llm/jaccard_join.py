@@ -15,10 +15,15 @@ How the work is dealt out:
 * Signatures travel packed by bucket and node (5 and 6 bytes).  Cut short, they can only add
   candidates: every link is verified on whole sets.
 * Nodes that share signatures, directly or through others, form a cluster; all links lie inside
-  clusters.  Texts of clusters, one per node, meet in blocks of bounded size.  A cluster of
-  several blocks goes on in two more rounds: the best-linked nodes against every block, then, in
-  bounded chunks, every node that is still outside the cluster's largest group against every
-  block.  All links are found up to connectivity; pairs already connected need no comparison.
+  clusters.  Texts of clusters, one per node, meet in blocks of bounded size.
+* A cluster of several blocks, mostly texts held together by passages that many share, is parted first:
+  a set that links shares `percent` of its shingles with one other, so sets that share fewer with all
+  others together have no link, and of the rest two linked ones have one of their rarest shingles in
+  common (prefix filter).  Parts that are still too large go on in two rounds: the best-linked nodes against
+  every block, then, in bounded chunks, every node that is still outside the part's largest group
+  against every block.  All links are found up to connectivity; pairs already connected need no comparison.
+
+Rows are told apart by id and text, so null and repeated ids do no harm.
 
 Null and word-less texts have no shingles and link with nothing.
 """
@@ -35,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.llm.graph import components
+from cliplab.llm.stored import private, quoted, sent_if_few
 from cliplab.llm.words import mix, signed, word_chunks
 from cliplab.session import cut_lineage
 
@@ -43,8 +49,10 @@ NODE_BITS = 48
 SIGNATURE_BITS = 40
 BUCKET_ROWS = 1 << 19
 BLOCK_NODES = 12288
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 2_000_000
 HUBS = 8
+PACKED_COLUMNS = ["bucket", "nodes", "counts", "signatures"]
+PACKED = "bucket long, nodes binary, counts binary, signatures binary"
 WEAK = 0  # shingles of a projection that tell nothing
 BROADCAST_ROWS = 250_000  # of a few whole numbers each: some 10 MB
 
@@ -144,8 +152,8 @@ def _digests(n: int):
                 sizes.append(len(s))
                 nodes.append(set_node(s) if len(s) else 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(signed(np.array(nodes, dtype=np.uint64))), pa.array(sizes, pa.int64())],
-                ["doc_id", "node", "n_shingles"],
+                [batch.column(0), batch.column(2), pa.array(signed(np.array(nodes, dtype=np.uint64))), pa.array(sizes, pa.int64())],
+                ["doc_id", "text_hash", "node", "n_shingles"],
             )
 
     return run
@@ -178,8 +186,6 @@ def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _packed_signatures(n: int, percent: int, buckets: int):
-    shift = np.uint64(SIGNATURE_BITS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         mask = np.uint64((1 << NODE_BITS) - 1)
@@ -196,30 +202,108 @@ def _packed_signatures(n: int, percent: int, buckets: int):
             sig, node, a, b = _stars(np.concatenate(found), np.concatenate(owners))
             private = mix(a ^ mix(b))
             sig, node = np.concatenate([sig, private, private]), np.concatenate([node, a, b])
-            bucket = ((sig >> shift) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((node, bucket))
-            rows: list[tuple[int, bytes, bytes, bytes]] = []
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for own in np.split(order, edges[1:]) if len(order) else ():
-                nodes, counts = np.unique(node[own], return_counts=True)
-                packed = _short_bytes(nodes, NODE_BITS // 8), counts.astype("<u4").tobytes(), _short_bytes(sig[own], SIGNATURE_BITS // 8)
-                rows.append((int(bucket[own[0]]), *packed))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                ["bucket", "nodes", "counts", "signatures"],
-            )
+            yield _packed(sig, node, buckets)
 
     return run
 
 
-def _bucket_edges(group: pd.DataFrame) -> pd.DataFrame:
+def _packed(values: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket: its nodes, how many values each has there, and the values cut short."""
+    bucket = ((values >> np.uint64(SIGNATURE_BITS)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((nodes, bucket))
+    rows: list[tuple[int, bytes, bytes, bytes]] = []
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for own in np.split(order, edges[1:]) if len(order) else ():
+        named, counts = np.unique(nodes[own], return_counts=True)
+        packed = _short_bytes(named, NODE_BITS // 8), counts.astype("<u4").tobytes(), _short_bytes(values[own], SIGNATURE_BITS // 8)
+        rows.append((int(bucket[own[0]]), *packed))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], PACKED_COLUMNS)
+
+
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(values, nodes) of a bucket."""
     nodes = _whole_numbers(b"".join(group["nodes"]), NODE_BITS // 8)
     nodes = np.repeat(nodes, np.frombuffer(b"".join(group["counts"]), "<u4"))
-    _, _, a, b = _stars(_whole_numbers(b"".join(group["signatures"]), SIGNATURE_BITS // 8), nodes)
+    return _whole_numbers(b"".join(group["signatures"]), SIGNATURE_BITS // 8), nodes
+
+
+def _bucket_edges(group: pd.DataFrame) -> pd.DataFrame:
+    _, _, a, b = _stars(*_unpacked(group))
     return pd.DataFrame({"a": signed(a), "b": signed(b)})
 
 
+def _packed_shingles(n: int, buckets: int):
+    """Whole sets of texts (one per node) by bucket of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(text_sets(batch.column("text"), n))
+            owners = batch.column("node").to_numpy().astype(np.int64).view(np.uint64) & np.uint64((1 << NODE_BITS) - 1)
+            yield _packed(mix(np.concatenate(sets)), np.repeat(owners, [len(x) for x in sets]), buckets) if sets else _packed(
+                np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets
+            )
+
+    return run
+
+
+def _shared_shingles(group: pd.DataFrame) -> pd.DataFrame:
+    """Per node the shingles of a bucket that another node has too, and how many have them (a power of two)."""
+    values, nodes = _unpacked(group)
+    _, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(counts[codes] > 1)
+    kept = kept[np.argsort(nodes[kept], kind="stable")]
+    owners, starts = np.unique(nodes[kept], return_index=True)
+    power = np.ceil(np.log2(counts[codes[kept]])).astype(np.uint8)
+    rows = [
+        (int(owner), int(group["bucket"].iloc[0]), _short_bytes(values[own], SIGNATURE_BITS // 8), times.tobytes())
+        for owner, own, times in zip(owners, np.split(kept, starts[1:]), np.split(power, starts[1:]))
+    ]
+    return pd.DataFrame(rows, columns=["short", "bucket", "signatures", "powers"])
+
+
+def _rarest(percent: int):
+    """Nodes with all shared shingles in, their rarest ones out: as many as a linked set must have one of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for short, n, places, signatures, powers in batch[["short", "n_shingles", "buckets", "signatures", "powers"]].itertuples(index=False):
+                rarity = np.frombuffer(b"".join(powers), np.uint8)
+                least = -(-percent * n // 100)  # shingles that a linked set has in common with this one
+                if len(rarity) < least:
+                    continue
+                value = _whole_numbers(b"".join(signatures), SIGNATURE_BITS // 8)
+                bucket = np.repeat(np.asarray(places, np.int64), [len(p) for p in powers])
+                # shingles that no other set has come before all of these
+                front = np.lexsort((value, bucket, rarity))[: len(rarity) - least + 1]
+                rows += [(int(b), int(v), short) for b, v in zip(bucket[front], value[front])]
+            yield pd.DataFrame(rows, columns=["bucket", "value", "short"]).astype("int64")
+
+    return run
+
+
+def _parted(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, part) of the nodes that may link, from (node, n_shingles, text); links don't leave a part."""
+    volume = texts.agg(F.sum("n_shingles")).first()[0]
+    buckets = 1 + volume // BUCKET_ROWS
+    short = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
+    packed = texts.select("node", "text").mapInArrow(_packed_shingles(n, buckets), PACKED)
+    shared = packed.groupBy("bucket").applyInPandas(_shared_shingles, "short long, bucket long, signatures binary, powers binary")
+    # one row per node and bucket: a set has at most as many as it has shingles
+    lists = shared.groupBy("short").agg(
+        F.collect_list(F.struct("bucket", "signatures", "powers")).alias("x"), F.sum(F.octet_length("powers")).alias("found")
+    )
+    sized = texts.groupBy(short.alias("short")).agg(F.min("n_shingles").alias("n_shingles"))
+    enough = lists.join(sized, "short").filter(F.col("found") * 100 >= F.col("n_shingles") * percent)
+    asked = enough.select("short", "n_shingles", F.col("x.bucket").alias("buckets"), F.col("x.signatures").alias("signatures"), F.col("x.powers").alias("powers"))
+    front = cut_lineage(asked.mapInPandas(_rarest(percent), "bucket long, value long, short long"))
+    first = front.groupBy("bucket", "value").agg(F.min("short").alias("a"))
+    edges = front.join(first, ["bucket", "value"]).filter("a <> short").select("a", F.col("short").alias("b"))
+    parts = components(edges)
+    return texts.select("node").join(parts.select(F.col("node").alias("short"), F.col("component").alias("part")), short == F.col("short")).drop("short")
+
+
 class _Links:
     """Links of one block of sets, found by comparing one set with all others at a time."""
 
@@ -361,12 +445,10 @@ def _across_blocks(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) for the clusters that are too large for one block."""
     links = cut_lineage(_meet(texts.withColumn("guest", F.lit(0)), ["cluster", "block"], n, percent))
     keys = ["cluster", "block", "chunk"]
-    place = texts.select("node", "cluster", "blocks")
+    place = texts.select("node", "cluster", "blocks", "n_shingles")
     degrees = links.groupBy("node").agg(F.max("degree").alias("degree"))
-    hubs = place.join(degrees, "node").groupBy("cluster").agg(
-        F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("degree", "node")))), 1, HUBS).alias("hubs")
-    )
-    hubs = hubs.select(F.explode("hubs.node").alias("node"))
+    turn = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), F.desc("node")))
+    hubs = place.join(degrees, "node").withColumn("turn", turn).filter(F.col("turn") <= HUBS).select("node")
     members = texts.withColumns({"guest": F.lit(0), "chunk": F.lit(0).cast("long")})
     first = members.unionByName(_guests(texts.join(hubs, "node")).withColumn("chunk", F.lit(0).cast("long")))
     links = cut_lineage(links.unionByName(_meet(first, keys, n, percent)))
@@ -376,7 +458,8 @@ def _across_blocks(texts: DataFrame, n: int, percent: int) -> DataFrame:
     counts = labelled.groupBy("cluster", "component").count()
     largest = counts.groupBy("cluster").agg(F.max(F.struct("count", "component")).getField("component").alias("main"))
     outside = labelled.join(largest, "cluster").filter("component <> main")
-    number = outside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("long").alias("chunks"))
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    number = outside.groupBy("cluster").agg(need.cast("long").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks"))
     guests = _guests(texts.join(outside.select("node"), "node").join(number, "cluster").withColumn("chunk", chunk))
     again = texts.join(number, "cluster").withColumns(
@@ -386,72 +469,86 @@ def _across_blocks(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
-def few_or_shuffled(table: DataFrame) -> DataFrame:
-    """A narrow table for a join with texts: sent to every task if its rows are counted and few, else shuffled."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
-
-
-def jaccard_groups(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id.
-
-    Words are cut at ASCII white space, A-Z lower-cased; a text of fewer words than `shingle` has
-    its whole sequence as its only shingle.  Texts link when
-    100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable by links.
-    Null or empty texts: n_shingles 0, component_id their own doc_id.  A null doc_id counts as the
-    largest id in a group, and is reported as null where it is alone.  Rows that repeat a doc_id are
-    judged by their own text.  Other columns of `docs` are not looked at.  `percent` from 60 to 99.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of `docs`: doc_id, doc_key, text_hash, n_shingles, node, component (null without shingles)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     digests = cut_lineage(
-        rows.mapInArrow(_digests(shingle), "doc_id long, node long, n_shingles long").withColumn(
+        rows.mapInArrow(_digests(shingle), "doc_id long, text_hash long, node long, n_shingles long").withColumn(
             "doc_key", F.coalesce("doc_id", F.lit(LAST_ID))
         )
     )
     volume = digests.agg(F.sum("n_shingles")).first()[0] or 0
     per_shingle = 0.3 if percent >= 85 else 1.0  # signatures per shingle, to size the buckets
     buckets = max(1, int(volume * per_shingle) // BUCKET_ROWS)
-    packed = rows.select("text").mapInArrow(
-        _packed_signatures(shingle, percent, buckets), "bucket long, nodes binary, counts binary, signatures binary"
-    )
+    packed = rows.select("text").mapInArrow(_packed_signatures(shingle, percent, buckets), PACKED)
     clusters = components(packed.groupBy("bucket").applyInPandas(_bucket_edges, "a long, b long"))
 
+    # each node is spoken for by one row: that of its least id and, under a repeated id, its least text hash
     nodes = digests.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_key").alias("doc_key"), F.min("n_shingles").alias("n_shingles")
-    )
+        F.min(F.struct("doc_key", "text_hash")).alias("row"), F.min("n_shingles").alias("n_shingles")
+    ).select("node", "n_shingles", "row.*")
     short = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
     named = clusters.select(F.col("node").alias("short"), F.col("component").alias("cluster"))
     placed = nodes.join(named, short == F.col("short"))
-    members = cut_lineage(_blocks(placed.select("doc_key", "node", "n_shingles", "cluster")))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_key"), "text")
-    texts = cut_lineage(keyed.join(few_or_shuffled(members), "doc_key").drop("doc_key", "n_shingles"))
-
-    one_block = texts.filter("blocks = 1").withColumn("guest", F.lit(0))
-    groups = _meet(one_block, ["cluster", "block"], shingle, percent).select("node", "component")
-    large = texts.filter("blocks > 1")
+    members = cut_lineage(_blocks(placed.select("doc_key", "text_hash", "node", "n_shingles", "cluster")))
+    keyed = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_key"), "text_hash", "text")
+    met = keyed.join(sent_if_few(members, BROADCAST_ROWS), ["doc_key", "text_hash"])
+    texts = cut_lineage(met.drop("doc_key", "text_hash"))
+    if texts.count() > members.count():  # rows that repeat id and text are one
+        texts = cut_lineage(texts.dropDuplicates(["node"]))
+
+    together, large = texts.filter("blocks = 1"), texts.filter("blocks > 1")
+    groups = _meet(together.withColumn("guest", F.lit(0)), ["cluster", "block"], shingle, percent).select("node", "component")
     if not large.isEmpty():
-        groups = groups.unionByName(_across_blocks(large, shingle, percent))
+        parts = _parted(large, shingle, percent).withColumnRenamed("part", "cluster")
+        smaller = cut_lineage(_blocks(large.select("node", "n_shingles").join(parts, "node")))
+        again = cut_lineage(large.select("node", "text").join(smaller, "node"))
+        groups = groups.unionByName(
+            _meet(again.filter("blocks = 1").withColumn("guest", F.lit(0)), ["cluster", "block"], shingle, percent).select("node", "component")
+        )
+        larger = again.filter("blocks > 1")
+        if not larger.isEmpty():
+            groups = groups.unionByName(_across_blocks(larger, shingle, percent))
+    labelled = digests.join(groups, "node", "left")
+    return labelled.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
+
+
+def jaccard_groups(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id.
 
-    labelled = digests.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    Words are cut at ASCII white space, A-Z lower-cased; a text of fewer words than `shingle` has
+    its whole sequence as its only shingle.  Texts link when
+    100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable by links.
+    Null or empty texts: n_shingles 0, component_id their own doc_id.  A null doc_id counts as the
+    largest id in a group, and is reported as null where it is alone.  Rows that repeat a doc_id are
+    judged by their own text.  Other columns of `docs` are not looked at.  `percent` from 60 to 99.
+    """
+    labelled = cut_lineage(_labelled(docs, shingle, percent, id_col, text_col))
+    least = labelled.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     joined = labelled.join(least, "component", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of `docs` that stay when every group of near-duplicates keeps its least doc_id.
+    """Rows of `docs` that stay when every group of near-duplicates keeps its least row.
 
-    Columns are those of `docs`.  Of rows that repeat a doc_id one stays, and none if one of them is
-    linked with a lesser id; rows without doc_id stay.
+    Columns are those of `docs`, whatever their names.  Rows are compared by doc_id (null last), then by a hash of
+    the text.  Rows that repeat a doc_id with unlike texts are judged each; of rows equal in doc_id and text one
+    stays, whichever Spark meets first.  Rows without words all stay.
     """
-    judged = cut_lineage(jaccard_groups(docs, shingle, percent).withColumn("__key", F.coalesce("doc_id", F.lit(LAST_ID))))
-    other = judged.filter("doc_id <> component_id").select("__key").distinct()
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(LAST_ID)))
-    stay = keyed.join(few_or_shuffled(other), "__key", "left_anti")
-    ids = judged.filter("doc_id IS NOT NULL")
-    if ids.count() > ids.select("__key").distinct().count():
-        turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-        stay = stay.withColumn("__turn", turn).filter(f"__turn = 1 OR __key = {LAST_ID}")
-    return stay.select(*docs.columns)
+    key, text_hash = private(docs, "doc_key", "text_hash")
+    judged = cut_lineage(_labelled(docs, shingle, percent, "doc_id", "text"))
+    row = F.struct("doc_key", "text_hash")
+    first = judged.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("first"))
+    other = judged.join(first, "component").filter(row != F.col("first")).select(F.col("doc_key").alias(key), F.col("text_hash").alias(text_hash)).distinct()
+    keyed = docs.withColumns({key: F.coalesce("doc_id", F.lit(LAST_ID)), text_hash: F.xxhash64("text")})
+    stay = keyed.join(sent_if_few(cut_lineage(other), BROADCAST_ROWS), [key, text_hash], "left_anti")
+    repeated = judged.filter("component IS NOT NULL").groupBy("doc_key", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = cut_lineage(repeated.select(F.col("doc_key").alias(key), F.col("text_hash").alias(text_hash)))
+    if not again.isEmpty():
+        twice = stay.join(sent_if_few(again, BROADCAST_ROWS), [key, text_hash], "left_semi").dropDuplicates([key, text_hash])
+        stay = stay.join(sent_if_few(again, BROADCAST_ROWS), [key, text_hash], "left_anti").unionByName(twice)
+    return stay.select(*[F.col(quoted(c)) for c in docs.columns])

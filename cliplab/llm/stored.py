@@ -37,3 +37,18 @@ def sent_if_few(df: DataFrame, rows: int = SENT_ROWS, chars: Column | None = Non
     weight = F.lit(0) if chars is None else F.sum(chars)
     n, size = df.agg(F.count(F.lit(1)), weight).first()
     return F.broadcast(df) if n <= rows and (size or 0) <= SENT_CHARS else df
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cliplab.llm import jaccard_join, repeated_windows
 from cliplab.llm.graph import components
@@ -110,6 +111,40 @@ def brute_components(rows, n=1, percent=80):
     return [c for _, _, c in sorted(brute_groups(rows, n, percent))]
 
 
+def test_large_clusters_are_parted(spark, monkeypatch):
+    """Texts held together by a common passage, with chains and copies among them, in blocks of a few texts."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(rng.choice([3, 8, 30, 60]))]
+        rows.append((i, " ".join(passage + own)))
+        if i % 4 == 0:
+            rows.append((200 + i, " ".join(passage + own[:-1] + ["other"])))
+    rows += [(400 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))) for i in range(20)]  # each links with its neighbours only
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 500)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(jaccard_join.jaccard_groups(df, 5, 80)) == brute_groups(rows, 5, 80)
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    base = [f"w{i}" for i in range(50)]
+    near = " ".join(base[:49] + ["z"])
+    rows = [(None, " ".join(base))] * 30 + [(None, near)] * 3 + [(None, f"n{i} own words of this text only") for i in range(60)]
+    rows += [(1, "one two three four five six"), (1, "another text under the same id"), (2, "one two three four five six"), (3, near), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(jaccard_join.jaccard_groups(df, 5, 80)) == brute_groups(rows, 5, 80)
+    clash = df.withColumns({"doc_key": F.lit("k"), "text_hash": F.lit(1), "Node": F.lit(2), "component": F.lit(3), "a.b": F.lit(4)})
+    kept = jaccard_join.one_per_group(clash)
+    assert kept.columns == clash.columns and {r["doc_key"] for r in kept.collect()} == {"k"}
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    # the group of the hot text keeps its row with an id; every text that links with nothing stays once
+    assert sorted(t for t in texts if t[0] is not None) == sorted([(1, rows[93][1]), (1, rows[94][1]), (3, near), (3, "")])
+    assert sum(d is None for d, _ in texts) == 61
+
+
 def test_excerpts_and_edit_chains_of_one_block():
     """The leading group changes while sets are compared; no link may be lost by it."""
     four = [(i, " ".join(f"w{j}" for j in range(a, b))) for i, (a, b) in enumerate(((59, 167), (78, 170), (47, 142), (49, 155)))]
