@@ -49,7 +49,8 @@ NODE_BITS = 48
 SIGNATURE_BITS = 40
 BUCKET_ROWS = 1 << 19
 BLOCK_NODES = 12288
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
+HELD = 1 << 19  # values that a task sorts and packs at once
 HUBS = 8
 PACKED_COLUMNS = ["bucket", "nodes", "counts", "signatures"]
 PACKED = "bucket long, nodes binary, counts binary, signatures binary"
@@ -186,23 +187,31 @@ def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _packed_signatures(n: int, percent: int, buckets: int):
+    def pack(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        sizes = [len(f) for f in found]
+        short = np.array(owners, dtype=np.uint64) & np.uint64((1 << NODE_BITS) - 1)
+        sig, node, a, b = _stars(np.concatenate(found), np.repeat(short, sizes))
+        private_tie = mix(a ^ mix(b))
+        return _packed(np.concatenate([sig, private_tie, private_tie]), np.concatenate([node, a, b]), buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        mask = np.uint64((1 << NODE_BITS) - 1)
         for batch in batches:
             seen: set[int] = set()
-            found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            found, owners, held = [], [], 0
             for s in text_sets(batch.column(0), n):
                 node = set_node(s) if len(s) else 0
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
                 found.append(set_signatures(s, bands))
-                owners.append(np.full(len(found[-1]), node, dtype=np.uint64) & mask)
-            sig, node, a, b = _stars(np.concatenate(found), np.concatenate(owners))
-            private = mix(a ^ mix(b))
-            sig, node = np.concatenate([sig, private, private]), np.concatenate([node, a, b])
-            yield _packed(sig, node, buckets)
+                owners.append(node)
+                held += len(found[-1])
+                if held >= HELD:
+                    yield pack(found, owners)
+                    found, owners, held = [], [], 0
+            if found:
+                yield pack(found, owners)
 
     return run
 
@@ -238,11 +247,15 @@ def _packed_shingles(n: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(text_sets(batch.column("text"), n))
-            owners = batch.column("node").to_numpy().astype(np.int64).view(np.uint64) & np.uint64((1 << NODE_BITS) - 1)
-            yield _packed(mix(np.concatenate(sets)), np.repeat(owners, [len(x) for x in sets]), buckets) if sets else _packed(
-                np.zeros(0, np.uint64), np.zeros(0, np.uint64), buckets
-            )
+            short = batch.column("node").to_numpy().astype(np.int64).view(np.uint64) & np.uint64((1 << NODE_BITS) - 1)
+            first, sets, held = 0, [], 0
+            for s in text_sets(batch.column("text"), n):
+                sets.append(s)
+                held += len(s)
+                if held >= HELD or first + len(sets) == len(short):
+                    owners = np.repeat(short[first : first + len(sets)], [len(x) for x in sets])
+                    yield _packed(mix(np.concatenate(sets)), owners, buckets)
+                    first, sets, held = first + len(sets), [], 0
 
     return run
 
@@ -263,22 +276,20 @@ def _shared_shingles(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rarest(percent: int):
-    """Nodes with all shared shingles in, their rarest ones out: as many as a linked set must have one of."""
+    """The rarest of the shared shingles of some nodes: as many as a linked set must have one of."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for short, n, places, signatures, powers in batch[["short", "n_shingles", "buckets", "signatures", "powers"]].itertuples(index=False):
-                rarity = np.frombuffer(b"".join(powers), np.uint8)
-                least = -(-percent * n // 100)  # shingles that a linked set has in common with this one
-                if len(rarity) < least:
-                    continue
-                value = _whole_numbers(b"".join(signatures), SIGNATURE_BITS // 8)
-                bucket = np.repeat(np.asarray(places, np.int64), [len(p) for p in powers])
-                # shingles that no other set has come before all of these
-                front = np.lexsort((value, bucket, rarity))[: len(rarity) - least + 1]
-                rows += [(int(b), int(v), short) for b, v in zip(bucket[front], value[front])]
-            yield pd.DataFrame(rows, columns=["bucket", "value", "short"]).astype("int64")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sizes = group["powers"].str.len().to_numpy()
+        rarity = np.frombuffer(b"".join(group["powers"]), np.uint8)
+        value = _whole_numbers(b"".join(group["signatures"]), SIGNATURE_BITS // 8).astype(np.int64)
+        bucket, owner, n = (np.repeat(group[c].to_numpy(), sizes) for c in ("bucket", "short", "n_shingles"))
+        order = np.lexsort((value, bucket, rarity, owner))
+        _, start, found = np.unique(owner[order], return_index=True, return_counts=True)
+        within = np.arange(len(order)) - np.repeat(start, found)
+        least = -(-percent * n[order] // 100)  # shingles that a linked set has in common with this one
+        # shingles that no other set has come before all of these
+        front = order[within <= np.repeat(found, found) - least]
+        return pd.DataFrame({"bucket": bucket[front], "value": value[front], "short": owner[front]})
 
     return run
 
@@ -290,14 +301,10 @@ def _parted(texts: DataFrame, n: int, percent: int) -> DataFrame:
     short = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
     packed = texts.select("node", "text").mapInArrow(_packed_shingles(n, buckets), PACKED)
     shared = packed.groupBy("bucket").applyInPandas(_shared_shingles, "short long, bucket long, signatures binary, powers binary")
-    # one row per node and bucket: a set has at most as many as it has shingles
-    lists = shared.groupBy("short").agg(
-        F.collect_list(F.struct("bucket", "signatures", "powers")).alias("x"), F.sum(F.octet_length("powers")).alias("found")
-    )
     sized = texts.groupBy(short.alias("short")).agg(F.min("n_shingles").alias("n_shingles"))
-    enough = lists.join(sized, "short").filter(F.col("found") * 100 >= F.col("n_shingles") * percent)
-    asked = enough.select("short", "n_shingles", F.col("x.bucket").alias("buckets"), F.col("x.signatures").alias("signatures"), F.col("x.powers").alias("powers"))
-    front = cut_lineage(asked.mapInPandas(_rarest(percent), "bucket long, value long, short long"))
+    cell = F.pmod(F.xxhash64("short"), F.lit(1 + volume // BUCKET_ROWS)).alias("cell")
+    asked = shared.join(sized, "short").select("short", "n_shingles", "bucket", "signatures", "powers", cell)
+    front = cut_lineage(asked.groupBy("cell").applyInPandas(_rarest(percent), "bucket long, value long, short long"))
     first = front.groupBy("bucket", "value").agg(F.min("short").alias("a"))
     edges = front.join(first, ["bucket", "value"]).filter("a <> short").select("a", F.col("short").alias("b"))
     parts = components(edges)
