@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from cliplab.llm.stored import private, quoted
 from cliplab.llm.words import chunks, text_buffers
 
 WINDOW = 64
 STRETCH = 256
 BLOCK = 2048  # windows side by side
 UNKNOWN = "und"
+ROWS_AT_ONCE = 1024  # rows predicted and sent back together
+LANGUAGES = 1000  # most values of lang that are learnt
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -157,8 +160,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int, seed: int) -> list[tuple[str, str]]:
-    """(lang, stretch) of at most `per_language` labelled rows per language, chosen by hash.
+def training_sample(docs: DataFrame, per_language: int, seed: int, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+    """(lang, stretch) of at most `per_language` labelled rows of each of the most frequent `languages`, chosen by hash.
 
     Languages are counted first, so that a frequent one sends about twice its quota to the ranking,
     not all its rows.
@@ -167,7 +170,7 @@ def training_sample(docs: DataFrame, per_language: int, seed: int) -> list[tuple
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), F.lit(1 << 30))
     known = known.select("doc_id", "lang", "text", draw.alias("draw"))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    near = known.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang")
+    near = known.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(languages)), "lang")
     near = near.filter(F.col("draw") * F.col("n") < F.lit(float((2 * per_language + 20) << 30)))
     begin = (F.col("draw") % F.greatest(F.length("text") - STRETCH, F.lit(1)) + 1).cast("int")
     near = near.select("lang", "draw", "doc_id", F.substring("text", begin, F.lit(STRETCH)).alias("stretch"))
@@ -190,10 +193,10 @@ def train(sample: list[tuple[str, str]], hidden: int = 8, epochs: int = 10, seed
     return network
 
 
-def _predict(network: LanguageNetwork | None, names: list[str], added: tuple[str, str]):
+def _predict(network: LanguageNetwork | None, names: list[str], lettered_col: str, added: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lettered = batch.column("__lettered").to_numpy(zero_copy_only=False)
+        for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+            lettered = batch.column(lettered_col).to_numpy(zero_copy_only=False)
             languages, scores = np.full(len(lettered), UNKNOWN, dtype=object), np.zeros(len(lettered))
             if network is not None and len(lettered):
                 p = network.pooled(*text_buffers(batch.column("text")))
@@ -216,7 +219,8 @@ def with_language(
     Columns that have these names already are replaced.
 
     Learns from rows outside the held-out third that have text and lang; predicts from text alone.
-    Texts that are null or have no letter, and all texts if there is nothing to learn from, get
+    The sample holds at most `per_language` rows of each of the LANGUAGES most frequent values of lang; this is what the driver
+    trains on.  Texts that are null or have no letter, and all texts if there is nothing to learn from, get
     `und` with score 0.  Ties go to the language that sorts first.
     """
     network = train(training_sample(docs, per_language, seed), hidden, epochs, seed)
@@ -224,11 +228,16 @@ def with_language(
     names = docs.columns
     kind = StructType([*docs.schema.fields]).add(added[0], StringType()).add(added[1], DoubleType())
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("__lettered", lettered).mapInArrow(_predict(network, names, added), kind)
+    (column,) = private(docs, "lettered")
+    return docs.withColumn(column, lettered).mapInArrow(_predict(network, names, column, added), kind)
 
 
 def in_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Rows of `docs` whose language is recognised with at least the given pooled probability."""
-    judged = with_language(docs, added=("__lang", "__score"))
-    judged = judged.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least))
-    return judged.select(*docs.columns)
+    """Rows of `docs` whose language is recognised with at least the given pooled probability.
+
+    Columns are those of `docs`, whatever their names.  Null and letterless texts go; repeated rows are judged each.
+    """
+    lang, score = private(docs, "lang_pred", "lang_score")
+    judged = with_language(docs, added=(lang, score))
+    judged = judged.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least))
+    return judged.select(*[F.col(quoted(c)) for c in docs.columns])

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.llm.graph import sized
+from cliplab.llm.stored import private, quoted
 from cliplab.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -139,15 +140,15 @@ def _nearest(rated: DataFrame, limit: float) -> DataFrame:
 def mix_copies(
     docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0, seed: int = 7
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+    """One row per row of `docs`: doc_id, text_hash, source, size, source_size, target, copies, taken (= copies * size).
 
     size is the number of words between ASCII white space (null text: 0).  copies is 0 to ceil(limit).
     Null sources are a source of their own; null doc_ids are kept; repeated rows count each for
     itself.  A document of size 0 gets the even rate, rounded like the others.  The result depends on
     the rows alone: reruns and other partitionings agree.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
     sized = cut_lineage(sized.withColumns({"draw": draw, "slice": F.pmod(draw, F.lit(SLICES)).cast("int")}))
     cells = sized.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n"))
     counts = cut_lineage(cells.groupBy("source", "size").agg(F.sum("n").alias("n")))
@@ -175,23 +176,33 @@ def mix_copies(
         "__s", "__z", F.col("slice").alias("__b"), "source_size", "target", "whole",
         (share_of(begin + F.col("n")) - share_of(begin)).cast("long").alias("extra"),
     )
-    in_slice = Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id")
+    in_slice = Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id", "text_hash")
     ranked = sized.withColumn("rank", F.row_number().over(in_slice))
     same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("slice") == F.col("__b"))
     copies = F.col("whole") + (F.col("rank") <= F.col("extra")).cast("long")
     out = ranked.join(quota, same).withColumn("copies", copies)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """The mix itself: each row of `docs` as often as its copies.  Columns stay as they are.
+    """The mix itself: each row of `docs` as often as its copies.  Columns stay as they are, whatever their names.
 
-    Rows that repeat a doc_id, or have none, share one number of copies: the least of theirs.
+    Rows are found by doc_id, source and a hash of the text, so null and repeated ids do no harm.  Of rows that are
+    equal in all three, whichever Spark meets first stands for all their copies.
     """
-    counts = mix_copies(docs, weights, share, limit).groupBy("doc_id").agg(F.min("copies").cast("int").alias("__n"))
-    counts = counts.filter("__n > 0").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(counts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    repeated = joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return repeated.select(*docs.columns)
+    names = ("mix_doc_id", "mix_source", "mix_text_hash", "mix_hash", "mix_n", "mix_rows")
+    doc_id, source, text_hash, of_text, n, rows = private(docs, *names)
+    own = docs.withColumn(text_hash, F.xxhash64("text"))
+    counts = mix_copies(docs, weights, share, limit).groupBy("doc_id", "source", "text_hash").agg(
+        F.sum("copies").cast("int").alias(n), F.count(F.lit(1)).alias(rows)
+    )
+    counts = cut_lineage(counts.filter(F.col(n) > 0).withColumnsRenamed({"doc_id": doc_id, "source": source, "text_hash": of_text}))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(text_hash) == F.col(of_text))
+    taken = own.join(counts.filter(F.col(rows) == 1), same)
+    several = counts.filter(F.col(rows) > 1)
+    if not several.isEmpty():
+        taken = taken.unionByName(own.join(several, same).dropDuplicates([doc_id, source, text_hash]))
+    repeated = taken.withColumn(doc_id, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return repeated.select(*[F.col(quoted(c)) for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cliplab.llm.words import Words, mix, signed, text_buffers, word_chunks
 
-LAST_ID = 2**63 - 1  # a null doc_id comes after all others
+NO_ID = 2**62  # rows without doc_id come after all others, by a hash of their text; ids stay below
 _ANCHOR_BASE = np.uint64(0xB5026F5AA96619E9)
 BUCKET_BYTES = 1 << 20  # bytes of text whose repeated windows should meet in a task
 
@@ -168,7 +168,9 @@ def _later_runs(width: int):
             doc, tag, start = doc[later], tag[later], start[later]
         order = np.lexsort((start, tag, doc))
         doc, tag, start = doc[order], tag[order], start[order]
-        head = np.flatnonzero(_consecutive(doc * 65536 + tag, start))
+        apart = np.ones(len(doc), dtype=bool)
+        apart[1:] = tag[1:] != tag[:-1]
+        head = np.flatnonzero(apart | _consecutive(doc, start))
         last = np.append(head[1:], len(start))[: len(head)] - 1
         return pd.DataFrame({"__doc_key": doc[head], "tag": tag[head], "begin": start[head], "end": start[last] + width})
 
@@ -189,7 +191,7 @@ def _removals(keyed: DataFrame, width: int) -> DataFrame:
         F.collect_list("value").alias("__shared")
     )
     volume = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    windows = keyed.join(shared.hint("shuffle_hash"), "__doc_key").mapInArrow(
+    windows = keyed.join(shared, "__doc_key").mapInArrow(
         _send_windows(width, 1 + volume // BUCKET_BYTES), "bucket long, docs binary, at binary, start binary, hash binary"
     )
     # what a batch knows by itself is dealt out anew, row by row
@@ -242,17 +244,18 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    keyed = docs.withColumn("__doc_key", F.coalesce("doc_id", F.lit(LAST_ID)))
+    keyed = docs.withColumn("__doc_key", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)))
     spans = _removals(keyed, width)
-    return keyed.join(spans.hint("shuffle_hash"), "__doc_key", "left").drop("__doc_key")
+    return keyed.join(spans, "__doc_key", "left").drop("__doc_key")
 
 
 def repeated_word_report(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) per row.
 
     Words are cut at ASCII white space and compared unchanged.  Null texts have no words; texts of
-    fewer words than `width` lose none.  A null doc_id comes after all others; rows under one
-    doc_id and start are equally early, so repeated rows keep what one of them would keep.
+    fewer words than `width` lose none.  Rows without doc_id come after all others, in the order of a hash of
+    their text; ids are below 2**62.  Rows under one doc_id and start are equally early, so repeated rows (and rows
+    without doc_id that are equal) keep what one of them would keep.
     """
     rows = docs.select("doc_id", "text")
     return _with_spans(rows, width).select("doc_id", "text", "__spans").mapInArrow(

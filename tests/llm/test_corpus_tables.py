@@ -207,3 +207,17 @@ def test_pipeline_stages(spark, edge):
         out = stage(spark, docs, SF)
         assert name == "sentencepiece" or out.columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_mixed_rows_without_or_with_repeated_ids(spark):
+    rows = [(None, f"w{i} x y" + " z" * (i % 7), "a") for i in range(400)] + [(None, "same text of many", "b")] * 200
+    rows += [(1, "one two", "a"), (1, "other words here", "a"), (1, "one two", None), (2, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    docs = docs.withColumns({"rows": F.lit("r"), "mix_n": F.lit("n"), "copies": F.lit(5), "Size": F.lit(6), "a.b": F.lit(7)})
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    due = mixing.mix_copies(docs).groupBy("source").agg(F.sum("copies").alias("n"), F.sum("taken").alias("words"))
+    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(mixing.word_count(F.col("text"))).alias("words"))
+    want = {r.source: (r.n, r.words) for r in due.collect() if r.n}
+    assert {r.source: (r.n, r.words) for r in got.collect()} == want
+    assert want["a"][1] > 400 and want["b"][0] >= 200

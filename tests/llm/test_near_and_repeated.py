@@ -266,3 +266,12 @@ def test_rolling_hash_stands_for_the_words():
     for i in np.flatnonzero(whole):
         assert by_hash.setdefault(int(hashes[i]), spelled[i : i + 3]) == spelled[i : i + 3]
     assert len(by_hash) == 4  # abc, bca, cab, and the third text's
+
+
+def test_repeated_windows_of_rows_without_ids(spark):
+    """Passages are found among rows without id, with work that stays linear; ids come first."""
+    passage = " ".join(f"q{i}" for i in range(30))
+    rows = [(None, f"a{i} b{i} {passage} c{i}") for i in range(300)] + [(5, f"x {passage} y")]
+    report = repeated_windows.repeated_word_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 20).collect()
+    assert sorted(r.n_removed for r in report) == [0] + [30] * 300
+    assert next(r.n_removed for r in report if r.doc_id == 5) == 0
