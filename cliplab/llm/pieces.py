@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 SPACE_MARK = "▁"
-REMEMBERED = 800_000
+REMEMBERED = 600_000  # stretches that a Python worker keeps: some 140 MB
 LONGEST_REMEMBERED = 64
-ROWS = 512  # texts encoded before their ids are sent on
+ROWS = 256  # texts encoded before their ids are sent on
 # Field numbers and model types of the model file
 TRAINER, MODEL_TYPE, UNIGRAM, BPE = 2, 3, 1, 2
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -263,12 +263,16 @@ class Encoder:
         for i, ids in enumerate(found):
             if ids is None:
                 found[i] = self._learn(stretches[i])
-        return list(chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), np.int32).tolist()
 
-    def _learn(self, stretch: str) -> tuple[int, ...]:
+    def _learn(self, stretch: str) -> bytes:
         short = len(stretch) <= LONGEST_REMEMBERED
         # a piece that merging makes of its own text is the one path
-        ids = (self.whole[stretch],) if stretch in self.whole and not self.v.unigram else tuple(self._short(stretch) if short and not self.v.unigram else self.stream(stretch))
+        if stretch in self.whole and not self.v.unigram:
+            found = [self.whole[stretch]]
+        else:
+            found = self._short(stretch) if short and not self.v.unigram else self.stream(stretch)
+        ids = np.fromiter(found, np.int32).tobytes()  # a few bytes, where whole numbers would take hundreds
         if short:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -295,9 +299,9 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
 
 
 def _lists(found: list[list[int]]) -> pa.ListArray:
-    at = np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int32)
-    values = np.concatenate([np.zeros(0, np.int32), *(np.array(ids, dtype=np.int32) for ids in found)])
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+    at = np.cumsum([0, *map(len, found)])
+    values = np.fromiter(chain.from_iterable(found), np.int32, int(at[-1]))
+    return pa.LargeListArray.from_arrays(pa.array(at), pa.array(values)).cast(pa.list_(pa.int32()))
 
 
 def _encode(vocabulary: Vocabulary, names: list[str], check: bool):
