@@ -358,7 +358,7 @@ def topk_mean(
 # ---------------------------------------------------------------- decisions
 
 
-def decide(
+def clip_decisions(
     df: DataFrame,
     keys: Sequence[str],
     methods: Sequence[str] | None = None,
@@ -368,9 +368,11 @@ def decide(
     pred: str = "pred",
     array_limit: int = ARRAY_LIMIT,
 ) -> DataFrame:
-    """Long table (method, keys, label, score, pred, n_frames): one row per rule and clip.
+    """(keys, label, n_frames, rules, scores), one row per clip.
 
-    Top-k rules always decide at 0.5; their parameter is the share of frames.
+    rules: (method, score, pred) of every rule, in the order of `methods`; scores: (kind, score) of the distinct
+    scores that the rules decide on (see `score_kind`).  Top-k rules always decide at 0.5; their parameter is the
+    share of frames.
     """
     methods = list(methods) if methods is not None else all_methods()
     parsed = [(m, *parse_method(m)) for m in methods]
@@ -382,24 +384,42 @@ def decide(
         clips = join_on(clips, smoothed_topk(df, keys, order, ratios, prob, array_limit), keys)
 
     def row(method: str, base: str, param: float) -> Column:
+        score = F.col(f"`{score_kind(method)}`")
         if base == "majority_vote":
-            score, positive = F.col("mean_prob"), half_even(F.col("vote_share")) == 1
-        elif base == "mean_prob":
-            score, positive = F.col("mean_prob"), F.col("mean_prob") >= param
+            positive = half_even(F.col("vote_share")) == 1
         elif base == "threshold_ratio":
-            score, positive = F.col("mean_prob"), F.col("vote_share") >= param
-        elif base == "conf_weighted":
-            score, positive = F.col("conf_score"), F.col("conf_score") >= param
+            positive = F.col("vote_share") >= param
         else:
-            score = F.col(f"`{base}-{param}`")
-            positive = score >= 0.5
+            positive = score >= (0.5 if base.endswith("_topk") else param)
         return F.struct(F.lit(method).alias("method"), score.alias("score"), positive.cast("int").alias("pred"))
 
-    long = clips.select(*keys, "label", "n_frames", F.explode(F.array(*[row(*p) for p in parsed])).alias("__m"))
-    return long.select(
-        F.col("__m.method").alias("method"), *keys, "label", F.col("__m.score").alias("score"),
-        F.col("__m.pred").alias("pred"), "n_frames",
-    )
+    kinds = list(dict.fromkeys(score_kind(m) for m in methods))
+    scores = [F.struct(F.lit(k).alias("kind"), F.col(f"`{k}`").alias("score")) for k in kinds]
+    return clips.select(*keys, "label", "n_frames", F.array(*[row(*p) for p in parsed]).alias("rules"), F.array(*scores).alias("scores"))
+
+
+def score_kind(method: str) -> str:
+    """The score that a rule decides on; many rules share one."""
+    base, param = parse_method(method)
+    if base.endswith("_topk"):
+        return f"{base}-{param}"
+    return "conf_score" if base == "conf_weighted" else "mean_prob"
+
+
+def decide(
+    df: DataFrame,
+    keys: Sequence[str],
+    methods: Sequence[str] | None = None,
+    order: Sequence[str] | None = None,
+    label: str = "label",
+    prob: str = "prob",
+    pred: str = "pred",
+    array_limit: int = ARRAY_LIMIT,
+) -> DataFrame:
+    """Long table (method, keys, label, score, pred, n_frames): one row per rule and clip; see `clip_decisions`."""
+    clips = clip_decisions(df, keys, methods, order, label, prob, pred, array_limit)
+    long = clips.select(*keys, "label", "n_frames", F.explode("rules").alias("__m"))
+    return long.select("__m.method", *keys, "label", "__m.score", "__m.pred", "n_frames")
 
 
 def multiclass_clips(df: DataFrame, keys: Sequence[str], label: str = "label", probs: str = "probs") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.functions import parse
-from cliplab.operators.ranking import join_by_entity, join_on
+from cliplab.operators.ranking import attach_by_group, join_by_entity, join_on
+from cliplab.session import cut_lineage
 
 
 def clip_manifest(listing: DataFrame, classes: Mapping[str, int], relative: str = "relative_path") -> DataFrame:
@@ -116,22 +117,46 @@ def match_videos(windows: DataFrame, videos: DataFrame) -> tuple[DataFrame, Data
     return join_by_entity(keyed, index, ["__k"], "inner").drop("__k"), skipped
 
 
+BUSY_ROWS = 1 << 20  # frames of one cell that go to one task
+
+
 def frames_in_windows(
     frames: DataFrame, windows: DataFrame, key: str = "record_id", time: str = "time_s", bucket_s: float = 60.0,
-    offset: str | None = None,
+    offset: str | None = None, busy_rows: int = BUSY_ROWS,
 ) -> DataFrame:
     """Inner join on key and start_s <= t < end_s (plus a per-window offset).
 
-    Windows are repeated once per time bucket they touch, so the join is an
-    equi-join on (key, bucket) and one busy key is spread over its buckets.
+    Cells of time come in levels of bucket_s, 2 * bucket_s, 4 * bucket_s, ...  A window lies in at most two cells of the
+    first level that is no shorter than itself, so a window of a year costs no more rows than one of a second;
+    a frame has one cell on each level that some window uses (at most some forty).  Frames of a cell are
+    counted, and a cell of more than `busy_rows` is split: its frames are dealt out by hash, its windows
+    go to every part.  Null times and keys match nothing; windows that don't end after their start are empty.
     """
     shift = F.col(offset) if offset is not None else F.lit(0.0)
     w = windows.withColumns({"__from": F.col("start_s") + shift, "__to": F.col("end_s") + shift}).filter("__to > __from")
-    size = F.lit(float(bucket_s))
-    w = w.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__from") / size), F.floor(F.col("__to") / size))))
-    f = frames.withColumn("__b", F.floor(F.col(time) / size))
-    joined = f.join(w, [key, "__b"]).filter((F.col(time) >= F.col("__from")) & (F.col(time) < F.col("__to")))
-    return joined.drop("__b", "__from", "__to")
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("__to") - F.col("__from")) / float(bucket_s)) + 1e-9)).cast("int")
+    w = w.withColumn("__level", level)
+    levels = sorted(r[0] for r in w.select("__level").distinct().collect())
+
+    def cell(at: Column) -> Column:
+        return F.floor(at / (F.lit(float(bucket_s)) * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
+
+    first, last = cell(F.col("__from")), cell(F.col("__to"))
+    w = w.withColumn("__cell", F.explode(F.array_distinct(F.array(first, last))))
+    f = frames.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    f = f.withColumn("__cell", cell(F.col(time))).filter(F.col("__cell").isNotNull() & F.col(key).isNotNull())
+    place = [key, "__level", "__cell"]
+    busy = f.groupBy(*place).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > busy_rows)
+    busy = cut_lineage(busy.select(*place, F.ceil(F.col("__n") / busy_rows).cast("int").alias("__parts")))
+    if busy.isEmpty():
+        f, w, place = f.withColumn("__part", F.lit(0)), w.withColumn("__part", F.lit(0)), [*place, "__part"]
+    else:
+        parts = F.coalesce("__parts", F.lit(1))
+        f = attach_by_group(f, busy, place, "left").withColumn("__part", F.pmod(F.xxhash64(*frames.columns), parts).cast("int")).drop("__parts")
+        every = F.explode(F.sequence(F.lit(0), parts - 1))
+        w, place = attach_by_group(w, busy, place, "left").withColumn("__part", every).drop("__parts"), [*place, "__part"]
+    joined = f.join(w, place).filter((F.col(time) >= F.col("__from")) & (F.col(time) < F.col("__to")))
+    return joined.drop("__level", "__cell", "__part", "__from", "__to")
 
 
 def apply_reviews(manifest: DataFrame, log: DataFrame, item: str = "image_path") -> DataFrame:

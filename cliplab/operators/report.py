@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.functions import parse
 from cliplab.operators.bootstrap import metrics_with_ci
-from cliplab.operators.clips import steady
+from cliplab.operators.clips import all_methods, clip_decisions, score_kind, steady
 from cliplab.operators.metrics import at_threshold, binary_metrics
-from cliplab.operators.ranking import attach_by_group, modal_value
+from cliplab.operators.ranking import attach_by_group, join_on, modal_value
+from cliplab.operators.resample import METRICS, confusion_replicates, decision_metrics, metric_intervals
+from cliplab.session import cut_lineage
 
 CLIP_METRICS = ("auroc", "accuracy", "f1", "precision", "sensitivity", "specificity")
 
@@ -75,6 +77,47 @@ def best_fold_clip_ci(
     return metrics_with_ci(decided, ["model"], n_replicates, seed)
 
 
+def compare_methods(
+    df: DataFrame,
+    keys: Sequence[str],
+    methods: Sequence[str] | None = None,
+    order: Sequence[str] | None = None,
+    label: str = "label",
+    prob: str = "prob",
+    pred: str = "pred",
+    n_replicates: int = 10_000,
+    seed: int = 42,
+) -> DataFrame:
+    """Clip rules ranked by F1: rank, method, f1, f1_lower, f1_upper, auroc, auroc_lower, auroc_upper, sensitivity,
+    specificity, precision, recall, tp, fp, fn, tn, n_clips.
+
+    Clips are drawn once for all rules, over their joint decisions; AUROC once for each distinct score.  Equal F1 are
+    ranked by name.
+    """
+    methods = list(methods) if methods is not None else all_methods()
+    clips = cut_lineage(clip_decisions(df, keys, methods, order, label, prob, pred))
+    rules = {m: F.col("rules")[i]["pred"] for i, m in enumerate(methods)}
+    f1 = {"f1": METRICS["f1"]}
+    cells = {n: lambda m, i=i, j=j: m.at(i, j) for n, (i, j) in {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}.items()}
+    bounds = metric_intervals(confusion_replicates(clips, rules, (), 2, n_replicates, seed, "label"), (), 2, f1)
+    points = decision_metrics(clips, rules, metrics=METRICS | cells)
+    point = points.groupBy("rule").pivot("metric", [*METRICS, *cells]).agg(F.first("point"))
+    scores = clips.select("label", F.explode("scores").alias("s")).select("s.kind", "label", F.col("s.score").alias("prob"), F.lit(0).alias("pred"))
+    curve = metrics_with_ci(scores, ["kind"], n_replicates, seed).filter("metric = 'auroc'")
+    exact = binary_metrics(scores, ["kind"]).select("kind", "auroc")
+    kind = F.create_map(*[F.lit(x) for m in methods for x in (m, score_kind(m))])[F.col("method")]
+    table = point.withColumnRenamed("rule", "method").withColumn("kind", kind)
+    table = join_on(table, bounds.select(F.col("rule").alias("method"), F.col("lower").alias("f1_lower"), F.col("upper").alias("f1_upper")), ["method"], "left")
+    table = join_on(table, exact, ["kind"], "left")
+    table = join_on(table, curve.select("kind", F.col("lower").alias("auroc_lower"), F.col("upper").alias("auroc_upper")), ["kind"], "left")
+    n_clips = clips.agg(F.count(F.lit(1)).alias("n")).scalar()
+    place = F.row_number().over(Window.orderBy(F.round("f1", 9).desc(), "method"))  # one row per rule
+    return table.select(
+        place.alias("rank"), "method", "f1", "f1_lower", "f1_upper", "auroc", "auroc_lower", "auroc_upper", "sensitivity", "specificity",
+        "precision", F.col("sensitivity").alias("recall"), *[F.col(c).cast("long").alias(c) for c in cells], n_clips.alias("n_clips"),
+    )
+
+
 def top_level(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("parent_id").isNull())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliplab.operators import clips, curves, metrics, report
+from cliplab.operators import clips, curves, metrics, report, resample
 from cliplab.operators.bootstrap import metrics_with_ci
 from cliplab.operators.ranking import join_on
 from cliplab.operators.significance import normal_interval
@@ -110,9 +110,12 @@ def _decisions_sql() -> str:
 _DECISIONS = (_RANKED, _MOVING, _GAUSS, _CLIP_BASE, _topk_cte("ma", "mk"), _topk_cte("ga", "gk"), _decisions_sql())
 
 
+def _frame_votes(v: Views) -> DataFrame:
+    return v.frames().withColumn("pred", (F.col("score_a") >= 0.5).cast("int"))
+
+
 def _decided(v: Views, methods=None) -> DataFrame:
-    frames = v.frames().withColumn("pred", (F.col("score_a") >= 0.5).cast("int"))
-    return clips.decide(frames, ["video_id"], methods, ORDER, prob="score_a")
+    return clips.decide(_frame_votes(v), ["video_id"], methods, ORDER, prob="score_a")
 
 
 def _rule_query(name: str, base: str, methods: list[str]) -> None:
@@ -144,11 +147,36 @@ def h19(v: Views) -> DataFrame:
     return _rounded(out.select("method", "f1", "auroc", "sensitivity", "specificity", "precision", "recall", "n_clips"))
 
 
+@query(
+    "h19_ranked_methods",
+    sql("frames", f"""SELECT row_number() OVER (ORDER BY round(f1, 9) DESC, method)::INTEGER AS rank, method, round(f1, 6) AS f1, auroc, sensitivity, specificity,
+        "precision", sensitivity AS recall, n_rows AS n_clips, true AS f1_covered, true AS auroc_covered, true AS f1_width_agrees
+        FROM (SELECT * REPLACE (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1) FROM ({metrics_sql('decisions', 'method', 'score', ', n_rows')}))""", *_DECISIONS),
+)
+def h19_ranked(v: Views) -> DataFrame:
+    """The ranked table with intervals of 10,000 shared draws.
+
+    Bounds hold the point value; the width of F1's interval is that of its delta-method error, within 20 %.
+    """
+    frames = _frame_votes(v)
+    table = report.compare_methods(frames, ["video_id"], order=ORDER, prob="score_a")
+    tp, errors = F.col("tp").cast("double"), (F.col("fp") + F.col("fn")).cast("double")
+    # F1 does not change with the number of clips, so its cells may be taken as independent counts
+    error = 1.96 * F.sqrt(4 * tp * errors * (tp + errors)) / F.pow(2 * tp + errors, 2)
+    off = F.abs((F.col("f1_upper") - F.col("f1_lower")) / 2 - error)
+    return _rounded(table.select(
+        "rank", "method", "f1", "auroc", "sensitivity", "specificity", "precision", "recall", "n_clips",
+        F.col("f1").between(F.col("f1_lower"), F.col("f1_upper")).alias("f1_covered"),
+        F.col("auroc").between(F.col("auroc_lower") - 0.0005, F.col("auroc_upper") + 0.0005).alias("auroc_covered"),
+        (off <= 0.2 * error).alias("f1_width_agrees"),
+    ))
+
+
 @query("h19_compare_methods_ci")
 def h19_ci(v: Views) -> DataFrame:
-    """Bootstrap intervals of F1 and AUROC for all 22 rules (random draws: checked in the tests)."""
-    ci = metrics_with_ci(_decided(v), ["method"], 10_000, score="score")
-    return ci.filter(F.col("metric").isin("f1", "auroc"))
+    """Bounds of F1 and AUROC for all 22 rules (random draws: checked in the tests)."""
+    table = report.compare_methods(_frame_votes(v), ["video_id"], order=ORDER, prob="score_a")
+    return table.select("method", "f1_lower", "f1_upper", "auroc_lower", "auroc_upper")
 
 
 _CLIP_PRED = """clip_pred AS (SELECT model, clip_key, label, prob, (prob >= 0.5)::INTEGER AS pred FROM (
@@ -220,7 +248,7 @@ def h04(v: Views) -> DataFrame:
 
 
 _MULTI = """m AS (SELECT vec_id, vec_id % 4 AS grp, CASE vec_id % 4 WHEN 0 THEN label % 5 WHEN 1 THEN (label % 3) * 2 WHEN 2 THEN 1 + (label % 2) * 2 ELSE 3 END AS label,
-       list_transform(embedding[1:5], lambda x: x::DOUBLE * x::DOUBLE) AS probs FROM embeddings)"""
+       list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS probs FROM embeddings)"""
 
 
 @query(
@@ -237,7 +265,7 @@ def h05(v: Views) -> DataFrame:
     label = (
         F.when(g == 0, F.col("label") % 5).when(g == 1, (F.col("label") % 3) * 2).when(g == 2, 1 + (F.col("label") % 2) * 2).otherwise(3)
     )
-    probs = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * x.cast("double"))
+    probs = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
     rows = v.table("embeddings").select(g.alias("grp"), label.alias("label"), probs.alias("probs"))
     return _rounded(curves.auroc_multiclass(rows, ["grp"]))
 
@@ -476,6 +504,47 @@ def h11(v: Views) -> DataFrame:
     )
 
 
+_CLASSES = 4
+_MULTI_PRED = """mc AS (SELECT vec_id % 3 AS grp, label % 4 AS label,
+     list_position(list_slice(embedding, 1, 4), list_max(list_slice(embedding, 1, 4))) - 1 AS by_first,
+     list_position(list_slice(embedding, 5, 8), list_max(list_slice(embedding, 5, 8))) - 1 AS by_second FROM embeddings),
+   rl AS (SELECT grp, 'first' AS rule, label, by_first AS pred FROM mc UNION ALL SELECT grp, 'second', label, by_second FROM mc),
+   cl AS (SELECT grp, rule, c, sum((label = c)::INTEGER) AS support, sum((pred = c)::INTEGER) AS predicted, sum((label = c AND pred = c)::INTEGER) AS hits
+          FROM rl, range(4) AS r(c) GROUP BY ALL),
+   mm AS (SELECT grp, rule, sum(hits) / sum(support)::DOUBLE AS accuracy, avg(coalesce(hits / nullif(support, 0)::DOUBLE, 0)) AS sensitivity,
+          avg(coalesce(hits / nullif(predicted, 0)::DOUBLE, 0)) AS "precision", avg(coalesce(2 * hits / nullif(support + predicted, 0)::DOUBLE, 0)) AS f1,
+          sum(abs(support - predicted)) / 2.0::DOUBLE / sum(support) AS shifted FROM cl WHERE support + predicted > 0 GROUP BY ALL)"""
+
+
+@query(
+    "u03_callers_metric",
+    f"""WITH {_MULTI_PRED} SELECT grp, rule, metric, round(point, 6) AS point, 1000::BIGINT AS n_replicates, true AS ordered, true AS near_point
+        FROM mm UNPIVOT (point FOR metric IN (accuracy, sensitivity, "precision", f1, shifted))""",
+)
+def u03(v: Views) -> DataFrame:
+    """Intervals of multiclass decisions by two rules: macro averages, and a metric that only this query knows.
+
+    `shifted` is the share of rows by which the predicted class sizes differ from the true ones.  Its bootstrap mean lies
+    above its point value, being a distance; the others lie within half a width of it.
+    """
+    largest = lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    rows = v.table("embeddings").select(
+        (F.col("vec_id") % 3).alias("grp"), (F.col("label") % 4).alias("label"),
+        largest(F.slice("embedding", 1, 4)).alias("by_first"), largest(F.slice("embedding", 5, 4)).alias("by_second"),
+    )
+
+    def shifted(m: resample.Matrix):
+        apart = [F.abs(m.support(c) - m.predicted(c)) for c in range(m.classes)]
+        return sum(apart[1:], apart[0]) / 2.0 / m.total()
+
+    rules = {"first": F.col("by_first"), "second": F.col("by_second")}
+    table = resample.decision_intervals(rows, rules, ["grp"], _CLASSES, metrics=resample.METRICS | {"shifted": shifted})
+    half = (F.col("upper") - F.col("lower")) / 2
+    near = F.when(F.col("metric") == "shifted", F.col("mean") >= F.col("point") - half).otherwise(F.abs(F.col("mean") - F.col("point")) <= half / 2)
+    ordered = (F.col("lower") < F.col("mean")) & (F.col("mean") < F.col("upper"))
+    return table.select("grp", "rule", "metric", F.round("point", 6).alias("point"), "n_replicates", ordered.alias("ordered"), near.alias("near_point"))
+
+
 @query(
     "h31_normal_interval",
     sql("predictions", """SELECT model, round(avg(x), 6) AS mean, round(avg(x) - 1.959963984540054::DOUBLE * stddev_samp(x) / sqrt(count(x)), 6) AS lower,

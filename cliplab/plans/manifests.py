@@ -58,6 +58,19 @@ def a02(v: Views) -> DataFrame:
     return items.groupBy("stem").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"))
 
 
+@query(
+    "a02_listed_files",
+    """SELECT 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS folder, 1::BIGINT AS n_files, true AS has_content FROM documents GROUP BY 1""",
+)
+def a02_files(v: Views) -> DataFrame:
+    """One file of ids per language, written to the shared folder and listed again."""
+    root = scratch(v, "listing")
+    ids = v.table("documents").select(F.col("doc_id").cast("string").alias("value"), "lang")
+    ids.repartition("lang").write.partitionBy("lang").text(root)
+    listed = tables.list_files(v.spark, root, (".txt",))
+    return listed.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), (F.min("size_kb") >= 0).alias("has_content"))
+
+
 @query(
     "a03_manifest_from_paths",
     sql(
@@ -81,7 +94,9 @@ _INF_PATH = """CASE WHEN label = 1 THEN 'Informative/' WHEN coalesce(cause, '')
         f"""SELECT {_INF_PATH} || sample_id || '__sample_' || (doc_id % 7) || '__frame_' || doc_id || '.JPG' AS relative_path,
               sample_id AS patient_id, CASE WHEN label = 1 THEN 'Informative' ELSE 'Non-Informative' END AS class_name, label,
               sample_id || '__sample_' || (doc_id % 7) AS sample_id, 'sample_' || (doc_id % 7) AS unique_sample_id,
-              doc_id::INTEGER AS frame_number, coalesce(cause, '') AS cause FROM causes WHERE doc_id % 11 <> 0""",
+              doc_id::INTEGER AS frame_number, coalesce(cause, '') AS cause, false AS rejected FROM causes WHERE doc_id % 11 <> 0
+            UNION ALL SELECT {_INF_PATH} || sample_id || '__clip_' || (doc_id % 7) || '__frame_' || doc_id || '.JPG', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true
+            FROM causes WHERE doc_id % 11 = 0""",
     ),
 )
 def a04(v: Views) -> DataFrame:
@@ -90,8 +105,9 @@ def a04(v: Views) -> DataFrame:
         F.expr(_INF_PATH), F.col("sample_id"), F.lit("__"), tag, F.lit("_"), (F.col("doc_id") % 7).cast("string"),
         F.lit("__frame_"), F.col("doc_id").cast("string"), F.lit(".JPG"),
     )
-    good, _ = m.informative_manifest(v.causes().select(name.alias("relative_path")))
-    return good.drop("image_path")
+    good, rejects = m.informative_manifest(v.causes().select(name.alias("relative_path")))
+    both = good.drop("image_path").withColumn("rejected", F.lit(False))
+    return both.unionByName(rejects.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
 
 
 @query(

@@ -78,6 +78,21 @@ def test_interval_join_edges(spark):
     assert sorted((r["w"], r["time_s"]) for r in hits.collect()) == [(1, t) for t in (30.0, 60.0, 90.0, 120.0, 150.0, 180.0, 210.0)]
 
 
+def test_interval_join_of_long_windows_and_busy_cells(spark):
+    """Windows of a second to a year, a record with most of the frames, cells split in small parts: all pairs once."""
+    year = 365 * 86400.0
+    frames = [("busy", float(t * 7919 % 1000) + t % 3 / 4) for t in range(900)] + [("calm", float(t) * 40000) for t in range(50)] + [(None, 5.0), ("busy", None)]
+    spans = [("busy", 0.0, year), ("busy", 3.5, 3.75), ("busy", 0.0, 64.0), ("busy", 31.0, 159.0), ("busy", -500.0, 12.0), ("calm", 1e5, 1e5 + year)]
+    spans += [("busy", 9.0, 9.0), ("calm", 8.0, 7.0), (None, 0.0, 9.0), ("lost", 0.0, year), ("calm", -year, 1.0)]
+    f = spark.createDataFrame(frames, "record_id string, time_s double").repartition(3)
+    w = spark.createDataFrame([(*x, i) for i, x in enumerate(spans)], "record_id string, start_s double, end_s double, w int")
+    want = sorted((i, t) for k, t in frames for i, (q, a, b) in enumerate(spans) if k == q and k is not None and t is not None and a <= t < b)
+    for busy in (7, 10**6):
+        hits = m.frames_in_windows(f, w, bucket_s=1.0, busy_rows=busy)
+        assert sorted((r["w"], r["time_s"]) for r in hits.collect()) == want
+    assert m.frames_in_windows(f, w.limit(0)).count() == 0
+
+
 def test_duplicates(spark):
     items = spark.createDataFrame([("s", "a/1", 5), ("s", "b/1", 9), ("s", "c/1", 9), ("t", "a/2", 1)], "stem string, path string, mtime int")
     keep = lambda **k: {r["path"] for r in m.duplicate_actions(items, **k).filter("action = 'keep'").collect()}
