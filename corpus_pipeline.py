@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cliplab.llm import jaccard_join, language, mixing, pieces, repeated_windows
 
-#: No SQL: the first stage is a trained network.  tests/llm compares the stages with brute force.
+#: No SQL: the first stage is a trained network.  tests/llm compares the operators of the later stages with brute force.
 ORACLE_SQL = None
 
 
