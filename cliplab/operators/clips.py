@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplab.operators.ranking import group_rank, join_on, modal_value, running_totals
+from cliplab.operators.ranking import group_rank, join_on, modal_value, range_buckets, running_totals
 
 # Decision thresholds and top-k ratios of the rule set.
 DECISION_THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
@@ -240,8 +240,8 @@ def _gaussian_rows(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _topk_mean_rows(rows: DataFrame, keys: Sequence[str], ratios: Sequence[float], value: str, name: str) -> DataFrame:
-    """Mean of the ceil(n*ratio) largest values per clip, ranked inside value buckets."""
-    bucketed = rows.withColumn("__vb", F.floor(F.col(value) * F.lit(1024.0)))
+    """Mean of the ceil(n*ratio) largest values per clip, ranked range by range."""
+    bucketed = range_buckets(rows, [*keys, value, "__i"], "__vb")
     ranked = group_rank(bucketed, keys, ["__vb"], [F.col(value).desc(), F.col("__i")], "__vr", bucket_desc=True)
 
     def mean_at(ratio: float) -> Column:
@@ -344,7 +344,7 @@ def topk_mean(
     Equal probabilities are combined first, so the ranking works on distinct scores.
     """
     hist = df.groupBy(*keys, F.col(prob).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    hist = hist.withColumn("__b", F.floor(F.col("__v") * F.lit(1024.0)))
+    hist = range_buckets(hist, [*keys, "__v"])
     cum = running_totals(hist, keys, ["__b"], [F.col("__v").desc()], {"__r": F.col("__c")}, bucket_desc=True)
     k = F.greatest(F.lit(1), F.ceil(F.col("__r_total") * F.lit(float(ratio))))
     taken = F.greatest(F.lit(0), F.least(F.col("__c"), k - (F.col("__r") - F.col("__c"))))

@@ -325,13 +325,13 @@ def sample_level(scored: DataFrame, threshold: float = 0.5, sample: str = "sampl
 # ----------------------------------------------------------------- durations
 
 
-def duration_statistics(df: DataFrame, groups: Sequence[str], value: str = "duration_s", span: float = 1.0) -> DataFrame:
+def duration_statistics(df: DataFrame, groups: Sequence[str], value: str = "duration_s") -> DataFrame:
     """mean, population std, min, max, median, total and count of a duration."""
     base = df.groupBy(*groups).agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"),
         F.max(value).alias("max"), F.sum(value).alias("total"), F.count(value).alias("count"),
     )
-    return join_on(base, exact_quantiles(df, groups, value, {"median": 0.5}, span), groups, "left")
+    return join_on(base, exact_quantiles(df, groups, value, {"median": 0.5}), groups, "left")
 
 
 def with_total(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -359,7 +359,7 @@ def window_durations(windows: DataFrame, names: dict[int, str]) -> DataFrame:
     named = windows.select(
         parse._lookup(names, F.col("label")).alias("label_name"), (F.col("end_s") - F.col("start_s")).alias("duration_s")
     )
-    return duration_statistics(with_total(named, "label_name", "duration_s"), ["label_name"], span=60.0)
+    return duration_statistics(with_total(named, "label_name", "duration_s"), ["label_name"])
 
 
 def image_statistics(images: DataFrame) -> DataFrame:
@@ -389,10 +389,10 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     )
 
 
-def five_numbers(df: DataFrame, groups: Sequence[str], value: str, span: float) -> DataFrame:
+def five_numbers(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles and maximum per group, exact and without collecting a group."""
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
-    return exact_quantiles(df, groups, value, probs, span)
+    return exact_quantiles(df, groups, value, probs)
 
 
 # -------------------------------------------------------------------- strata

@@ -101,24 +101,25 @@ def modal_value(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Da
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col(value))).alias(name))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    span: float = 1.0,
-) -> DataFrame:
-    """Linear-interpolated quantiles per group from a histogram of distinct values.
+def range_buckets(df: DataFrame, order: Sequence[str], name: str = "__b") -> DataFrame:
+    """Add a bucket that grows with `order`: the task of a range partition, kept by a checkpoint.
 
-    `span` is the width of a value bucket; it only spreads the work.
+    Ranges follow a sample of the data, so buckets are alike in size for any spread of the values, and a
+    group has at most as many buckets as there are partitions.  Rows equal in `order` share a bucket.
     """
+    spread = df.repartitionByRange(*order)
+    return cut_lineage(spread.withColumn(name, F.spark_partition_id()))
+
+
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles per group from a histogram of distinct values, ranked range by range."""
     group = list(group)
     hist = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__b", F.floor(F.col("__v") / F.lit(float(span))))
     )
+    hist = range_buckets(hist, [*group, "__v"])
     cum = running_totals(hist, group, ["__b"], [F.col("__v")], {"__cum": F.col("__c")})
     aggs = []
     for name, p in probs.items():

@@ -11,11 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliplab.functions.hashing import seeded_digest
-from cliplab.operators.ranking import attach_by_group, group_rank, join_by_entity, join_on, modal_value
+from cliplab.operators.ranking import attach_by_group, group_rank, join_by_entity, join_on, modal_value, range_buckets
+from cliplab.session import cut_lineage
 from cliplab.schema import require_columns
 
 STRAT_MODES = ("size", "presence", "size_and_presence", "ulcer_ratio")
@@ -94,17 +95,17 @@ def effective_rare_threshold(test_ratio: float, rare_threshold: int = 3) -> int:
 
 
 def _largest_remainder(counts: DataFrame, exact: Column, target: Column, name: str) -> DataFrame:
-    """Integer shares that sum to `target`: floors plus one for the largest remainders.
+    """Integer shares that sum to `target`: floors plus one for the largest remainders, ties by name.
 
-    `counts` has one row per stratum, so the unpartitioned window is tiny.
+    Strata are ranked range by range, so any number of them will do.
     """
     floor = F.floor(exact + 1e-9)
-    part = counts.withColumns({"__f": floor, "__x": exact - floor})
-    order = Window.orderBy(F.round("__x", 9).desc(), "stratum")
-    left = target - F.sum("__f").over(Window.partitionBy())
-    return part.withColumn(
-        name, (F.col("__f") + F.when(F.row_number().over(order) <= left, 1).otherwise(0)).cast("bigint")
-    ).drop("__f", "__x")
+    part = counts.withColumns({"__f": floor, "__x": -F.round(exact - floor, 9)})
+    rows = range_buckets(part, ["__x", "stratum"])
+    given = rows.agg(F.sum("__f")).scalar()
+    ranked = group_rank(rows, [], ["__b"], [F.col("__x"), F.col("stratum")], "__rank")
+    share = F.col("__f") + F.when(F.col("__rank") <= target - given, 1).otherwise(0)
+    return ranked.withColumn(name, share.cast("bigint")).drop("__f", "__x", "__b", "__rank", "__rank_total")
 
 
 def split_quotas(
@@ -130,7 +131,8 @@ def split_quotas(
         F.when(n >= 3, te).otherwise(1).cast("bigint").alias("n_test"),
     )
 
-    common = counts.filter(n >= limit).withColumn("__all", F.sum("n").over(Window.partitionBy()))
+    common = counts.filter(n >= limit)
+    common = common.withColumn("__all", common.agg(F.sum("n")).scalar())
     holdout = F.ceil(F.col("__all") * (val_ratio + test_ratio) - 1e-9)
     common = _largest_remainder(common, n * holdout / F.col("__all"), holdout, "__hold")
     test_total = F.ceil(holdout * (test_ratio / (val_ratio + test_ratio)) - 1e-9)
@@ -158,7 +160,7 @@ def split_ids(
     rare_threshold: int = 3,
 ) -> DataFrame:
     """Three-way stratified split of (id, stratum) rows: adds `split` and `rare`."""
-    counts = ids.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(ids.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
     quotas = split_quotas(counts, train_ratio, val_ratio, test_ratio, rare_threshold)
     ranked = _hash_ranked(ids, id_col, seed)
     cut = attach_by_group(ranked, quotas, ["stratum"])
@@ -244,10 +246,10 @@ def patient_folds(
     ranked = group_rank(
         ids, ["stratum"], ["__neg", "__b"], [F.col("__neg"), F.col("__d"), F.col(patient)], "__rank"
     )
-    # one row per stratum: the tiny table that gives each stratum its first fold
-    start = strata_table.select("stratum").distinct().withColumn(
-        "__start", (F.row_number().over(Window.orderBy("stratum")) - 1) % n_splits
-    )
+    # one row per stratum: each begins its deal at another fold
+    strata = range_buckets(strata_table.select("stratum").distinct(), ["stratum"], "__range")
+    start = group_rank(strata, [], ["__range"], [F.col("stratum")], "__place")
+    start = start.select("stratum", ((F.col("__place") - 1) % n_splits).alias("__start"))
     pos = (F.col("__rank") - 1) % n_splits
     lap = F.floor((F.col("__rank") - 1) / n_splits) % 2
     dealt = F.when(lap == 0, pos).otherwise(n_splits - 1 - pos)
@@ -293,8 +295,8 @@ def assign_val_split(
     counts = strata_table.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     too_small = counts.agg(F.min("n") < 2).scalar()
     ids = strata_table.withColumn("stratum", F.when(too_small, F.lit("all")).otherwise(F.col("stratum")))
-    counts = ids.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    sized = counts.withColumn("__all", F.sum("n").over(Window.partitionBy()))
+    counts = cut_lineage(ids.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
+    sized = counts.withColumn("__all", counts.agg(F.sum("n")).scalar())
     target = F.ceil(F.col("__all") * val_ratio - 1e-9)
     quotas = _largest_remainder(sized, F.col("n") * target / F.col("__all"), target, "n_val")
     ranked = attach_by_group(_hash_ranked(ids, patient, seed), quotas.select("stratum", "n_val"), ["stratum"])
@@ -348,8 +350,8 @@ def sample_clips(
 ) -> DataFrame:
     """(clip, label, n_frames, stratum) of the chosen clips: max(1, round(clips * ratio)) by largest remainder."""
     clips = clip_strata(df, label, clip)
-    counts = clips.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    sized = counts.withColumn("__all", F.sum("n").over(Window.partitionBy()))
+    counts = cut_lineage(clips.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
+    sized = counts.withColumn("__all", counts.agg(F.sum("n")).scalar())
     target = F.greatest(F.lit(1), F.bround(F.col("__all") * subset_ratio, 0)).cast("bigint")
     quotas = _largest_remainder(sized, F.col("n") / F.col("__all") * target, target, "quota")
     ranked = attach_by_group(_hash_ranked(clips, clip, seed), quotas.select("stratum", "quota"), ["stratum"])

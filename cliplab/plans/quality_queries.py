@@ -305,7 +305,7 @@ def _durations(df: DataFrame) -> DataFrame:
 )
 def e19(v: Views) -> DataFrame:
     w = v.windows().withColumn("duration_s", F.col("end_s") - F.col("start_s"))
-    return _durations(quality.duration_statistics(w, ["record_id"], span=60.0))
+    return _durations(quality.duration_statistics(w, ["record_id"]))
 
 
 @query(
@@ -367,7 +367,7 @@ def e24(v: Views) -> DataFrame:
         round(quantile_cont(frame_number, 0.75), 6) AS q75, round(max(frame_number)::DOUBLE, 6) AS q100 FROM frames GROUP BY 1"""),
 )
 def e24b(v: Views) -> DataFrame:
-    return _rounded(quality.five_numbers(v.frames(), ["label"], "frame_number", 512.0))
+    return _rounded(quality.five_numbers(v.frames(), ["label"], "frame_number"))
 
 
 @query(

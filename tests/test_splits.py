@@ -25,6 +25,18 @@ def test_published_quotas(spark):
     assert got == {"low": (9, 2, 2, False), "high": (5, 1, 2, False), "none": (2, 1, 1, True)}
 
 
+def test_quotas_of_many_strata(spark):
+    """Equal remainders by the thousand: shares sum to the target and ties go by name, without one task for all strata."""
+    counts = spark.range(3000).selectExpr("concat('s', lpad(id, 5, '0')) AS stratum", "20 + id % 3 AS n")
+    quotas = splits.split_quotas(counts, 0.70, 0.15, 0.15)
+    rows = quotas.orderBy("stratum").collect()
+    total = sum(r["n"] for r in rows)
+    assert len(rows) == 3000 and sum(r["n_val"] + r["n_test"] for r in rows) == -(-total * 3 // 10)
+    for size in (20, 21, 22):
+        held = [r["n_val"] + r["n_test"] for r in rows if r["n"] == size]
+        assert held == sorted(held, reverse=True) and max(held) - min(held) <= 1
+
+
 def test_tiny_strata(spark):
     counts = spark.createDataFrame([("one", 1), ("two", 2), ("three", 3)], "stratum string, n bigint")
     got = {r["stratum"]: (r["n_train"], r["n_val"], r["n_test"]) for r in splits.split_quotas(counts, 0.70, 0.15, 0.15).collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,23 @@ def test_interval_join_of_long_windows_and_busy_cells(spark):
     assert m.frames_in_windows(f, w.limit(0)).count() == 0
 
 
+def test_quantiles_of_any_spread(spark):
+    """One outlier, a hot value and a group of most rows: every partition gets its share of the distinct values."""
+    values = [("hot", float(i)) for i in range(4000)] + [("hot", 1e15)] + [("hot", 7.0)] * 2000 + [("few", -1.5), ("few", None), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(values, "g string, v double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        probs = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 0.999, "e": 1.0}
+        got = {r["g"]: [r[n] for n in probs] for r in ranking.exact_quantiles(df, ["g"], "v", probs).collect()}
+        sizes = [r["count"] for r in ranking.range_buckets(df.distinct(), ["g", "v"]).groupBy("__b").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("hot", "few", None):
+        own = np.array([v for k, v in values if k == g and v is not None])
+        assert got[g] == pytest.approx([np.quantile(own, p) for p in probs.values()])
+    assert len(sizes) > 1 and max(sizes) < 2500
+
+
 def test_duplicates(spark):
     items = spark.createDataFrame([("s", "a/1", 5), ("s", "b/1", 9), ("s", "c/1", 9), ("t", "a/2", 1)], "stem string, path string, mtime int")
     keep = lambda **k: {r["path"] for r in m.duplicate_actions(items, **k).filter("action = 'keep'").collect()}
@@ -158,7 +176,7 @@ def test_sample_level_rounds_before_the_mean(spark):
 
 def test_running_totals_and_quantiles_with_null_groups(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(11)] + [("g", 2.0), ("g", 4.0)], "g string, v double")
-    q = {r["g"]: r["m"] for r in ranking.exact_quantiles(df, ["g"], "v", {"m": 0.25}, span=2.0).collect()}
+    q = {r["g"]: r["m"] for r in ranking.exact_quantiles(df, ["g"], "v", {"m": 0.25}).collect()}
     assert q == {None: 2.5, "g": 2.5}
     ranked = ranking.group_rank(df.withColumn("b", F.floor(F.col("v") / 3)), ["g"], ["b"], [F.col("v")])
     assert [r["rank"] for r in ranked.filter("g is null").orderBy("v").collect()] == list(range(1, 12))
