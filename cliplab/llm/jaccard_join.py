@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplab.llm.graph import components
-from cliplab.llm.stored import private, quoted, sent_if_few
+from cliplab.llm.stored import private, quoted, sent_if_few, stored
 from cliplab.llm.words import mix, signed, word_chunks
 from cliplab.session import cut_lineage
 
@@ -500,16 +500,16 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col
     members = cut_lineage(_blocks(placed.select("doc_key", "text_hash", "node", "n_shingles", "cluster")))
     keyed = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_key"), "text_hash", "text")
     met = keyed.join(sent_if_few(members, BROADCAST_ROWS), ["doc_key", "text_hash"])
-    texts = cut_lineage(met.drop("doc_key", "text_hash"))
+    texts = stored(met.drop("doc_key", "text_hash"), "near-texts")
     if texts.count() > members.count():  # rows that repeat id and text are one
-        texts = cut_lineage(texts.dropDuplicates(["node"]))
+        texts = stored(texts.dropDuplicates(["node"]), "near-texts")
 
     together, large = texts.filter("blocks = 1"), texts.filter("blocks > 1")
     groups = _meet(together.withColumn("guest", F.lit(0)), ["cluster", "block"], shingle, percent).select("node", "component")
     if not large.isEmpty():
         parts = _parted(large, shingle, percent).withColumnRenamed("part", "cluster")
         smaller = cut_lineage(_blocks(large.select("node", "n_shingles").join(parts, "node")))
-        again = cut_lineage(large.select("node", "text").join(smaller, "node"))
+        again = stored(large.select("node", "text").join(smaller, "node"), "near-parts")
         groups = groups.unionByName(
             _meet(again.filter("blocks = 1").withColumn("guest", F.lit(0)), ["cluster", "block"], shingle, percent).select("node", "component")
         )
