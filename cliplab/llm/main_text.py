@@ -9,7 +9,8 @@ like prose, make the main text.
 
 Elements that are not the article are set aside first: navigation, headers and footers outside the
 article, sidebars, notices, adverts, forms, scripts, styles and reader comments, by element, role or
-words of class and id.
+whole names of class and id; comments also by their form, repeated items with an author and a date.
+Names and forms don't count against an element that holds the article, or most of the page's text.
 
 Rows are independent: Spark deals them out, one page at a time is in memory.
 """
@@ -49,16 +50,31 @@ ENDED_BY = {
 }
 # What is set aside
 ASIDE_ELEMENTS = frozenset(
-    "head nav aside footer form button select input textarea script style noscript iframe template svg math object embed canvas "
+    "head nav aside footer button select input textarea script style noscript iframe template svg math object embed canvas "
     "audio video dialog menu title".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
-    "breadcrumbs sidebar side widget footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe signup login share sharing social comment comments disqus respond replies related recommended "
-    "toolbar pagination pager skip copyright legal".split()
+    "breadcrumbs sidebar side widget widgets footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe signup login share sharing social comment comments commentlist commentlists disqus respond replies related "
+    "recommended toolbar pagination pager skip copyright legal".split()
 )
+#: words that may stand beside them in a name which still means the same, as in sidebar-right or comment-list
+PLACE_WORDS = frozenset(
+    "left right top bottom upper lower main wrapper wrap container box section block list area inner outer primary secondary fixed "
+    "sticky header bar button buttons icon icons link links item items site page post posts article articles entry global body "
+    "content region module row column col title heading text group unit slot zone form thread".split()
+)
+#: readers and advertisers may write more than the article has
+NEVER_MAIN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored comment comments commentlist commentlists disqus respond replies "
+    "cookie cookies consent gdpr".split()
+)
+#: inside the article these may be what a section is about
+TOPICS = frozenset("share sharing social legal copyright related recommended side promotion sponsor banner".split())
+AUTHOR_WORDS = frozenset("author commenter user username avatar vcard byline nickname".split())
+DATE_WORDS = frozenset("date time timestamp datetime ago posted".split())
 ARTICLE_WORDS = frozenset("article post entry content story body text main".split())
 
 _TOKEN = re.compile(
@@ -108,7 +124,7 @@ def parse(html: str) -> Node:
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = stop.end() if stop else end
-            elif tag not in VOID and not attributes.endswith("/"):
+            elif tag not in VOID:  # a slash at the end of other tags closes nothing
                 here = node
     return root
 
@@ -139,10 +155,22 @@ def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(node.attributes)} if node.attributes else {}
 
 
+def _parts(name: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower())) - {""}
+
+
 def _words(attributes: dict[str, str]) -> set[str]:
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    names = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", names)
-    return set(re.split(r"[^a-z]+", names.lower())) - {""}
+    return _parts(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+
+
+def _aside_words(attributes: dict[str, str]) -> set[str]:
+    """What is set aside by whole names: `sidebar`, `comment-list`, but neither `share-price` nor `no-comments`."""
+    found: set[str] = set()
+    for name in [*attributes.get("class", "").split(), attributes.get("id", "")]:
+        parts = _parts(name)
+        if parts <= ASIDE_WORDS | PLACE_WORDS:
+            found |= parts & ASIDE_WORDS
+    return found
 
 
 def _hidden(node: Node, attributes: dict[str, str]) -> bool:
@@ -152,27 +180,108 @@ def _hidden(node: Node, attributes: dict[str, str]) -> bool:
     return "hidden" in node.attributes.lower() and "hidden" in re.split(r"[\s/]+", _ATTRIBUTE.sub(" ", node.attributes).lower())
 
 
-def _set_aside(node: Node, in_article: bool) -> bool:
-    if node.tag in ASIDE_ELEMENTS or node.tag == "header" and not in_article:
+class _Page:
+    """What the elements of a page hold: text outside links, the article, the headline, comments."""
+
+    def __init__(self, root: Node):
+        self.text: dict[int, int] = {}
+        self.links: dict[int, int] = {}
+        self.signed: dict[int, tuple[bool, bool]] = {}  # names an author, names a date
+        order, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo.extend(reversed([p for p in node.parts if isinstance(p, Node)]))
+        for node in reversed(order):
+            self._measure(node)
+        main = next((n for n in order if n.tag in ("article", "main") and not _aside_words(_attributes(n))), None)
+        self.article = main
+        self.above_article = self._above(main)
+        self.above_headline = self._above(next((n for n in order if n.tag == "h1"), None))
+        self.whole = max(self.text[id(root)], 1)
+
+    def _measure(self, node: Node) -> None:
+        own = _attributes(node)
+        words = _words(own) if own else set()
+        text = links = 0
+        author = bool(words & AUTHOR_WORDS) or own.get("rel", "").lower() == "author"
+        date = bool(words & DATE_WORDS) or node.tag == "time"
+        for part in node.parts:
+            if isinstance(part, str):
+                text += len(_SPACE.sub(" ", part).strip())
+            else:
+                text += self.text[id(part)]
+                links += self.links[id(part)]
+                author, date = author or self.signed[id(part)][0], date or self.signed[id(part)][1]
+        if node.tag == "a":
+            text, links = 0, links + text
+        if node.tag in ASIDE_ELEMENTS:
+            text = links = 0
+        self.text[id(node)], self.links[id(node)], self.signed[id(node)] = text, links, (author, date)
+
+    @staticmethod
+    def _above(node: Node | None) -> frozenset[int]:
+        found = set()
+        while node is not None:
+            found.add(id(node))
+            node = node.parent
+        return frozenset(found)
+
+    def is_main(self, node: Node, words: set[str], inside: bool) -> bool:
+        """Whether a node holds the article, or most of what the page says."""
+        if id(node) in self.above_article:
+            return True
+        share = self.text[id(node)] / self.whole
+        if id(node) in self.above_headline and share >= 0.5:
+            return True
+        return share >= 0.8 and not words & NEVER_MAIN and (inside or self.article is None)
+
+    def is_section(self, node: Node) -> bool:
+        return self.text[id(node)] >= 80 and 4 * self.links[id(node)] < self.text[id(node)]
+
+    def is_comments(self, node: Node) -> bool:
+        """Repeated items, each with an author and a date, beside a text that is not among them."""
+        items = [p for p in node.parts if isinstance(p, Node) and p.tag in ("li", "div", "article", "section", "dd")]
+        if len(items) < 2 or id(node) in self.above_article or id(node) in self.above_headline or self.text[id(node)] >= 0.95 * self.whole:
+            return False
+        return len({p.tag for p in items}) == 1 and all(self.signed[id(p)] == (True, True) for p in items)
+
+
+def _set_aside(node: Node, inside: bool, page: _Page) -> bool:
+    if node.tag in ASIDE_ELEMENTS or node.tag == "header" and not inside:
         return True
-    if not node.attributes or node.tag in ("html", "body", "main", "article"):
+    if node.tag in ("html", "body", "main", "article") and not (inside and node.tag == "article"):
         return False
     own = _attributes(node)
-    if own.get("role", "").lower() in ASIDE_ROLES or own.get("aria-hidden", "").lower() == "true" or _hidden(node, own):
+    role = own.get("role", "").lower()
+    if own.get("aria-hidden", "").lower() == "true" or _hidden(node, own):
         return True
-    return bool(_words(own) & ASIDE_WORDS)
+    words = _aside_words(own)
+    if node.tag == "form" or role in ASIDE_ROLES or words:
+        topic = node.tag != "form" and role not in ASIDE_ROLES and inside and words <= TOPICS
+        return not (page.is_main(node, words, inside) or topic and page.is_section(node))
+    return page.is_comments(node)
 
 
 def prune(root: Node) -> None:
     """Take out what is not the article, in place."""
+    page = _Page(root)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
-        node.parts = [p for p in node.parts if isinstance(p, str) or not _set_aside(p, inside)]
+        inside = inside or node.tag in ("article", "main") or bool(_entry_names(node))
+        node.parts = [p for p in node.parts if isinstance(p, str) or not _set_aside(p, inside, page)]
         todo.extend((p, inside) for p in node.parts if isinstance(p, Node))
 
 
+def _entry_names(node: Node) -> set[str]:
+    """Whole names that an article goes by; a layout around it has longer ones."""
+    if not node.attributes or node.tag in ("html", "body"):
+        return set()
+    own = _attributes(node)
+    return {*own.get("class", "").lower().split(), own.get("id", "").lower()} & {"article", "post", "entry", "story"}
+
+
 def blocks(node: Node, without: frozenset[int] = frozenset()) -> list[str]:
     """Texts of the blocks under a node, in page order; white space inside a block is one space."""
     found: list[str] = []

@@ -367,3 +367,49 @@ def test_pages_of_edge_cases(spark):
     got = sorted((tuple(r) for r in main_text.extract_main_text(pages).collect()), key=str)
     assert got == sorted([(1, None, "x", 1), (None, "u", "", 0), (2, "u", "", 0), (2, "u", "", 0)], key=str)
     assert main_text.extract_main_text(pages.limit(0)).count() == 0
+
+
+LONG_PROSE = "The river rose again in the night, and by morning the lower fields were under water. " * 3
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ('<div class="container sidebar-right">', "</div>"), ('<div class="post no-comments">', "</div>"), ('<div class="content-sidebar">', "</div>"),
+        ('<form id="aspnetForm"><input name="q">', "</form>"), ('<div class="has-sidebar"><div class="widget-content">', "</div></div>"),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_and_forms_around_the_article_do_not_remove_it(before, after, tag):
+    html = f"<body>{before}<{tag}><h1>Flood</h1><p>{LONG_PROSE}</p></{tag}><div class='sidebar-right'><p>Read our other, shorter, stories.</p></div>{after}</body>"
+    assert main_text.main_blocks(html) == ["Flood", LONG_PROSE.strip()]
+
+
+@pytest.mark.parametrize("name", ['class="share-price"', 'id="legal"', 'class="related-work"', 'class="no-comments"'])
+def test_sections_named_by_their_topic_stay(name):
+    html = f"<article><h1>Flood</h1><p>{LONG_PROSE}</p><section {name}><h2>More</h2><p>{LONG_PROSE}</p></section></article>"
+    assert main_text.main_blocks(html) == ["Flood", LONG_PROSE.strip(), "More", LONG_PROSE.strip()]
+
+
+@pytest.mark.parametrize("name", ['class="share"', 'class="related posts"', 'id="social-links"', 'class="newsletter"', 'class="cookie-notice"'])
+def test_furniture_inside_the_article_goes(name):
+    html = f"<article><h1>Flood</h1><p>{LONG_PROSE}</p><div {name}><p>Tell <a href=a>friends</a> now.</p></div></article>"
+    assert main_text.main_blocks(html) == ["Flood", LONG_PROSE.strip()]
+
+
+@pytest.mark.parametrize("name", ['class="commentlist"', 'id="comments"', 'class="talk"', ""])
+def test_comments_go_by_name_or_form(name):
+    item = f'<li><span class="author">Kim</span> <time>1 May</time><p>{LONG_PROSE * 4}</p></li>'
+    html = f"<body><article><h1>Flood</h1><p>{LONG_PROSE}</p></article><ol {name}>{item}{item}</ol></body>"
+    assert main_text.main_blocks(html) == ["Flood", LONG_PROSE.strip()]
+    assert main_text.main_blocks(html.replace("article>", "div>")) == ["Flood", LONG_PROSE.strip()]
+
+
+def test_a_slash_closes_only_void_elements():
+    (line,) = main_text.parse("<p><a href=x/>one</a><br/>two</p>").parts
+    assert [p if isinstance(p, str) else (p.tag, p.parts) for p in line.parts] == [("a", ["one"]), ("br", []), "two"]
+
+
+def test_the_header_of_an_entry_is_its_own():
+    html = f'<body><header><p>Site name.</p></header><div class="post"><header><h1>Flood</h1></header><p>{LONG_PROSE}</p></div></body>'
+    assert main_text.main_blocks(html) == ["Flood", LONG_PROSE.strip()]
