@@ -74,20 +74,21 @@ _SEGMENTS = r"""list_transform(list_filter(string_split(path, '/'), lambda s: s
 
 @query(
     "op6_url_templates",
-    rf"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    rf"""WITH RECURSIVE u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
         r AS (SELECT *, {_SEGMENTS} AS parts, try_cast(nullif(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1), '') AS BIGINT) AS shown FROM u),
-        m AS (SELECT r.*, CASE WHEN len(parts) > 6 THEN list_append(list_slice(parts, 1, 6), '**') ELSE parts END AS segs,
+        m AS (SELECT r.*, parts AS segs,
             CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 1 WHEN l.doc_id IS NOT NULL THEN 0 END AS bad FROM r LEFT JOIN labels l ON l.doc_id = shown),
         c AS (SELECT host, segs, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bad FROM m GROUP BY ALL),
-        lv AS (SELECT host, segs, n, lab, bad, i AS lvl, list_slice(segs, 1, i - 1) AS pre, segs[i] AS seg FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM c)),
-        ch AS (SELECT host, pre, seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM lv GROUP BY ALL),
-        pa AS (SELECT host, pre, count(*) AS kinds, sum(n) AS an, sum(lab) AS al, sum(bad) AS ab FROM ch GROUP BY ALL),
-        nm AS (SELECT host, pre, seg, CASE WHEN kinds >= 8 AND kinds >= 0.3 * an THEN '*' WHEN kinds = 1 THEN seg
-            WHEN lab > 0 AND al > lab AND ab > 0 AND ab < al AND abs(bad / lab - (ab - bad) / (al - lab)) > 1.96 * sqrt(ab / al * (1 - ab / al) * (1 / lab + 1 / (al - lab)))
-            THEN seg ELSE '~' END AS name FROM ch JOIN pa USING (host, pre)),
-        tp AS (SELECT host, segs, '/' || string_agg(name, '/' ORDER BY lvl) AS template FROM lv JOIN nm USING (host, pre, seg) GROUP BY ALL),
-        t AS (SELECT c.*, coalesce(template, '') AS template FROM c LEFT JOIN tp USING (host, segs)),
+        tp AS (SELECT host, segs, n, lab, bad, []::VARCHAR[] AS names FROM c UNION ALL
+          SELECT host, segs, n, lab, bad, list_append(names, CASE WHEN kinds >= 8 AND kinds >= 0.3 * an THEN '*' WHEN kinds = 1 THEN seg
+            WHEN sl > 0 AND al > sl AND ab > 0 AND ab < al AND abs(sb / sl - (ab - sb) / (al - sl)) > 1.96 * sqrt(ab / al * (1 - ab / al) * (1 / sl + 1 / (al - sl)))
+            THEN seg ELSE '~' END)
+          FROM (SELECT *, count(DISTINCT seg) OVER up AS kinds, sum(n) OVER up AS an, sum(lab) OVER up AS al, sum(bad) OVER up AS ab,
+                  sum(lab) OVER own AS sl, sum(bad) OVER own AS sb FROM (SELECT *, segs[len(names) + 1] AS seg FROM tp WHERE len(names) < len(segs))
+                WINDOW up AS (PARTITION BY host, names), own AS (PARTITION BY host, names, seg))),
+        t AS (SELECT host, segs, lab, bad, CASE WHEN names = [] THEN '' ELSE '/' || array_to_string(names, '/') END AS template
+              FROM tp WHERE len(names) = len(segs)),
         g AS (SELECT coalesce(1 - sum(bad) / nullif(sum(lab), 0), 1.0) AS p FROM c),
         h AS (SELECT host, (sum(lab) - sum(bad) + 4.0::DOUBLE * any_value(p)) / (sum(lab) + 4.0::DOUBLE) AS hp FROM c, g GROUP BY host),
         j AS (SELECT host, template, (sum(lab) - sum(bad) + 4.0::DOUBLE * any_value(hp)) / (sum(lab) + 4.0::DOUBLE) AS purity FROM t JOIN h USING (host) GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -120,7 +121,8 @@ def test_templates_reject_impure_branches(spark):
     assert {r.verdict for r in unlabelled} == {"allow"} and len(unlabelled) == len(pages)
     assert url_templates.judge_urls(df.limit(0), marks, {}).count() == 0
     deep = spark.createDataFrame([(1, "http://d.com/" + "a/" * 500)], "page_id long, url string")
-    assert url_templates.judge_urls(deep, marks, {}).first().template == "/a/a/a/a/a/a/**"
+    assert url_templates.judge_urls(deep, marks, {}, max_depth=6).first().template == "/a/a/a/a/a/a/**"
+    assert url_templates.judge_urls(deep, marks, {}).first().template == "/a" * 500
 
 
 def test_the_query_tells_deep_branches_apart(spark, monkeypatch):
@@ -135,6 +137,60 @@ def test_the_query_tells_deep_branches_apart(spark, monkeypatch):
     assert all((got[i][1] == "block") == (i % 4 == 0) for i in got)
 
 
+def test_branches_are_pooled_below_wildcards(spark):
+    pages = [(i, f"http://h.com/user/n{chr(97 + i % 26)}{chr(97 + i // 26)}/{'spam' if i % 4 == 0 else 'posts'}/s{chr(97 + i % 23)}{chr(97 + i // 23)}") for i in range(200)]
+    marks = [(i, i % 4 == 0) for i in range(0, 200, 2)]
+    df, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([*marks, (0, False), (None, True)], "page_id long, bad boolean")
+    got = {r.page_id: (r.template, r.verdict) for r in url_templates.judge_urls(df, labels, {}).collect()}
+    assert set(got.values()) == {("/user/*/posts/*", "allow"), ("/user/*/spam/*", "block")}
+    assert all((got[i][1] == "block") == (i % 4 == 0) for i in got)
+
+
+def _templates(rows: list[tuple], many: int = 8, share: float = 0.3) -> dict:
+    """Brute force, level by level: (host, segments, n, labelled, bad) -> template."""
+    names = {(r[0], r[1]): () for r in rows}
+    for level in range(max((len(r[1]) for r in rows), default=0)):
+        nodes: dict = {}
+        for host, segments, *counts in rows:
+            if len(segments) > level:
+                child = nodes.setdefault((host, names[host, segments]), {}).setdefault(segments[level], [0, 0, 0])
+                child[:] = [a + b for a, b in zip(child, counts, strict=True)]
+        spelled = dict(names)
+        for host, segments, *_ in rows:
+            if len(segments) <= level:
+                continue
+            children = nodes[host, names[host, segments]]
+            n, labelled, bad = (sum(c[i] for c in children.values()) for i in range(3))
+            _, own, wrong = children[segments[level]]
+            name = "~"
+            if len(children) >= many and len(children) >= share * n:
+                name = "*"
+            elif len(children) == 1:
+                name = segments[level]
+            elif 0 < own < labelled and 0 < bad < labelled:
+                rate = bad / labelled
+                gap = abs(wrong / own - (bad - wrong) / (labelled - own))
+                name = segments[level] if gap > 1.96 * (rate * (1 - rate) * (1 / own + 1 / (labelled - own))) ** 0.5 else "~"
+            spelled[host, segments] = (*names[host, segments], name)
+        names = spelled
+    return {k: "".join(f"/{n}" for n in v) for k, v in names.items()}
+
+
+def test_templates_equal_a_tree_grown_level_by_level(spark):
+    draw = random.Random(4)
+    rows = {}
+    for _ in range(400):
+        wide = draw.choice([2, 3, 40])
+        path = tuple(f"s{draw.randrange(wide)}" for _ in range(draw.randrange(7)))
+        n = draw.randrange(1, 9)
+        labelled = draw.randrange(n + 1)
+        rows["h" + str(draw.randrange(3)), path] = (n, labelled, labelled if path[:1] == ("s1",) else draw.randrange(labelled + 1))
+    table = [(host, path, *counts) for (host, path), counts in rows.items()]
+    df = spark.createDataFrame([(h, list(p), *c) for h, p, *c in table], "host string, segments array<string>, n long, labelled long, bad long")
+    got = {(r.host, tuple(r.segments)): r.template for r in url_templates.path_templates(df).collect()}
+    assert got == _templates(table)
+
+
 # ------------------------------------------------------------------ neighbours
 
 
