@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliplab.llm.stored import sent_if_few
 from cliplab.llm.words import mix, word_chunks
 from cliplab.session import cut_lineage
 
@@ -35,6 +36,7 @@ SAMPLES = 128
 ADDRESSES = 1 << 15
 SHINGLE = 5
 RANGE_ROWS = 512  # documents of a range of ids, on average
+PIECE_RANGES = 100_000  # ranges that one task puts in order
 BROADCAST_RANGES = 200_000
 ROWS = 1024
 
@@ -147,36 +149,70 @@ def _compare(seed: int):
     return run
 
 
+def _cut(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """`rows` with `place` longer by the part of its cell that `at` falls into, where the cell is wide."""
+    far = (F.col("at").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")).cast("double")
+    span = (F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")).cast("double")
+    part = F.least(F.floor(far * F.col("parts") / (span + 1)), F.col("parts") - 1).cast("long")
+    joined = rows.join(sent_if_few(wide), F.col("place") == F.col("wide_place"), "left")
+    place = F.when(F.col("parts").isNull(), F.col("place")).otherwise(F.concat("place", F.array(part)))
+    return joined.withColumn("place", place).drop("wide_place", "low", "high", "parts")
+
+
 def _ranges(docs: DataFrame) -> DataFrame:
-    """`docs` with `place`, a number that falls into ranges of ids and grows with them; null ids have the least."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) * RANGE_ROWS / max(n, 1))
-    place = F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width).cast("long")
-    return docs.withColumn("place", F.coalesce(place, F.lit(-1).cast("long")))
+    """`docs` with `at` and `place`: ranges of RANGE_ROWS rows on average and at most twice as many, unless `at` is all the same.
+
+    `at` is the id, for rows without one a hash of the text; places grow with it, those without id
+    come first.  A cell that holds too many rows is cut into even parts, these again, for any spread.
+    """
+    lost = not docs.filter("doc_id IS NULL").isEmpty()
+    at = F.coalesce("doc_id", F.xxhash64("text")) if lost else F.col("doc_id")
+    line = F.array(F.col("doc_id").isNotNull().cast("long"))
+    placed = docs.withColumn("at", at).withColumn("place", line)
+    cells = placed.select("at", "place")
+    while True:
+        sizes = cells.groupBy("place").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
+        wide = sizes.filter((F.col("n") > 2 * RANGE_ROWS) & (F.col("high") > F.col("low")))
+        wide = wide.select(F.col("place").alias("wide_place"), "low", "high", F.ceil(F.col("n") / RANGE_ROWS).cast("long").alias("parts"))
+        wide = cut_lineage(wide)
+        if wide.isEmpty():
+            return placed
+        cells, placed = _cut(cells, wide), _cut(placed, wide)
+
+
+def _heads(placed: DataFrame) -> DataFrame:
+    """head_place, head (its greatest `at`) and above, the next place; after the last comes the first."""
+    heads = placed.groupBy(F.col("place").alias("head_place")).agg(F.max("at").alias("head"))
+    heads = cut_lineage(heads)
+    pieces = max(1, heads.count() // PIECE_RANGES)
+    heads = cut_lineage(heads.repartitionByRange(pieces, "head_place").withColumn("piece", F.spark_partition_id()))
+    firsts = heads.groupBy("piece").agg(F.min("head_place").alias("first"))  # one row per PIECE_RANGES ranges
+    order = Window.orderBy("piece")
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select("piece", F.coalesce(F.lead("first").over(order), F.min("first").over(everything)).alias("after"))
+    within = F.lead("head_place").over(Window.partitionBy("piece").orderBy("head_place"))
+    return heads.join(firsts, "piece").select("head_place", "head", F.coalesce(within, F.col("after")).alias("above"))
 
 
 def edited_pairs(docs: DataFrame, seed: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row of `docs`.
 
     Equal texts have equal fingerprints; a null text counts as empty, and empty texts are alike to
-    each other alone.  The next document is the next row by descending doc_id (null last; rows that
-    repeat an id by text), after the last the first; a single row is its own next.  Ids may be of any
-    spread; where they crowd, a range only takes longer, its rows pass one by one.
+    each other alone.  The next document is the next row by descending doc_id (null last, those by a hash
+    of their text; rows that repeat an id by text), after the last the first; a single row is its own
+    next.  Ids may be of any spread; rows that repeat one id pass one by one.
     """
     placed = _ranges(docs.select("doc_id", "text"))
-    heads = placed.select("doc_id", "place").groupBy("place").agg(F.max("doc_id").alias("head"))
     # the range above needs the head of this one, the lowest that of the highest; one row per range
-    order = Window.orderBy("place")
-    above = F.coalesce(F.lead("place").over(order), F.min("place").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = cut_lineage(heads.withColumn("above", above).withColumnRenamed("place", "__p"))
+    heads = cut_lineage(_heads(placed))
     few = heads.count() <= BROADCAST_RANGES  # beyond, Spark joins by shuffle
-    is_head = (F.col("place") == F.col("__p")) & F.col("doc_id").eqNullSafe(F.col("head"))
+    is_head = (F.col("place") == F.col("head_place")) & (F.col("at") == F.col("head"))
     joined = placed.join(F.broadcast(heads) if few else heads, is_head, "left")
     here = F.struct(F.col("place"), F.lit(False).alias("ahead"))
     there = F.struct(F.col("above").alias("place"), F.lit(True).alias("ahead"))
     sent = joined.withColumn("to", F.explode(F.when(F.col("above").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    sent = sent.select("to.place", "to.ahead", "doc_id", "text")
-    dealt = sent.repartition("place").sortWithinPartitions("place", "ahead", F.col("doc_id").desc_nulls_last(), "text")
+    sent = sent.select("to.place", "to.ahead", "at", "doc_id", "text")
+    dealt = sent.repartition("place").sortWithinPartitions("place", "ahead", F.desc("at"), "text")
     return dealt.mapInArrow(
         _compare(seed),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",

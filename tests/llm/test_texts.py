@@ -154,6 +154,29 @@ def test_fingerprints_of_edge_cases(edge, nothing, spark):
     assert fingerprints.edited_pairs(far).count() == 3
 
 
+@pytest.mark.parametrize("pieces", [4, 100_000])
+def test_ranges_stay_small_for_any_spread_of_ids(spark, monkeypatch, pieces):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 16)
+    monkeypatch.setattr(fingerprints, "PIECE_RANGES", pieces)
+    ids = [*range(500), 10**15, 10**15 + 1, -(2**62), *range(2**62, 2**62 + 90), *[None] * 100]
+    rows = [(d, f"text {i} of many") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed = fingerprints._ranges(docs).collect()
+    sizes = collections.Counter(tuple(r.place) for r in placed)
+    assert len(placed) == len(rows) and max(sizes.values()) <= 32
+    known = sorted((tuple(r.place), r.at) for r in placed)
+    assert [a for p, a in known if p[0] == 1] == sorted(d for d in ids if d is not None)
+    got = fingerprints.edited_pairs(docs).collect()
+    assert len(got) == len(rows)
+    last = {d: t for d, t in rows if d is not None}
+    down = sorted(last, reverse=True)
+    edited = {d: fingerprints.edited(last[d], last[n]) for d, n in zip(down, down[1:], strict=False)}
+    assert {r.doc_id: r.edited_sha256 for r in got if r.doc_id in edited} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in edited.items()}
+    first = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string")
+    lowest = [r for r in fingerprints.edited_pairs(first).collect() if r.doc_id == down[-1]]
+    assert lowest[0].edited_sha256 == hashlib.sha256(fingerprints.edited(last[down[-1]], last[down[0]]).encode()).hexdigest()
+
+
 # ------------------------------------------------------------------ language
 
 
