@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplab.functions.pvalues import chi2_p, normal_p, signed_rank_pvalue, studentized_range_p
+from cliplab.functions.pvalues import EXACT_UP_TO, chi2_p, normal_p, signed_rank_pvalue, studentized_range_p
 from cliplab.operators.curves import score_histogram
 from cliplab.operators.ranking import join_on, running_totals
 
@@ -205,11 +205,12 @@ def nemenyi(
 
 def wilcoxon_pairs(
     scores: DataFrame, experiment: Sequence[str] = ("experiment",), model: str = "model", fold: str = "fold",
-    value: str = "value",
+    value: str = "value", exact_up_to: int = EXACT_UP_TO,
 ) -> DataFrame:
     """Signed-rank test of every model pair, with Holm and Benjamini-Hochberg adjusted p.
 
-    Zero differences are dropped; p = 1 when all differences are close to zero.
+    Zero differences are dropped; p = 1 when all differences are close to zero.  Without zeros and ties
+    p is exact for up to `exact_up_to` differences, else normal.
     """
     experiment = list(experiment)
     pairs = _pairs(scores, [*experiment, fold], model, [value])
@@ -243,7 +244,7 @@ def wilcoxon_pairs(
         }
     )
     p = F.when(F.col("all_close"), F.lit(1.0)).otherwise(
-        signed_rank_pvalue(F.col("statistic"), F.col("n"), F.col("ties"), F.col("zeros"))
+        signed_rank_pvalue(F.col("statistic"), F.col("n"), F.col("ties"), F.col("zeros"), exact_up_to)
     )
     tested = out.select(*key, "n", "statistic", p.alias("p_value"))
     return adjust_p(tested, experiment, ["model_a", "model_b"])

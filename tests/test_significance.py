@@ -68,23 +68,57 @@ def test_mean_placements_equal_the_auc(models):
         assert r["a"] == pytest.approx(want) and r["b"] == pytest.approx(want)
 
 
-def test_tails():
-    assert pvalues.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
-    assert pvalues.chi2_upper(5.991464547107979, 2) == pytest.approx(0.05)
-    assert pvalues.chi2_upper(3.841458820694124, 1) == pytest.approx(0.05)
-    assert pvalues.chi2_upper(18.307038053275146, 10) == pytest.approx(0.05)
+def tail(spark, fn, rows):
+    """Values of a column function over rows of numbers, in order."""
+    schema = ", ".join(f"c{i} double" for i in range(len(rows[0])))
+    df = spark.createDataFrame([(float(k), *map(float, r)) for k, r in enumerate(rows)], f"k double, {schema}")
+    return [r[0] for r in df.orderBy("k").select(fn(*[F.col(f"c{i}") for i in range(len(rows[0]))])).collect()]
+
+
+def test_tails(spark):
+    assert tail(spark, pvalues.normal_p, [(1.959963984540054,)]) == [pytest.approx(0.05)]
+    points = [(5.991464547107979, 2), (3.841458820694124, 1), (18.307038053275146, 10), (7.814727903251179, 3)]
+    assert tail(spark, pvalues.chi2_p, points) == pytest.approx([0.05] * 4)
+    assert tail(spark, pvalues.chi2_p, [(0, 4), (0, 5), (-1e-15, 1)]) == pytest.approx([1.0] * 3)
     # published studentized range points at infinite degrees of freedom
-    for k, q in ((2, 2.772), (3, 3.314), (5, 3.858), (10, 4.474)):
-        assert pvalues.studentized_range_upper(q, k) == pytest.approx(0.05, abs=2e-4)
+    ranges = [(2.772, 2), (3.314, 3), (3.858, 5), (4.474, 10)]
+    assert tail(spark, pvalues.studentized_range_p, ranges) == pytest.approx([0.05] * 4, abs=2e-4)
+    assert tail(spark, pvalues.studentized_range_p, [(0, 3), (40, 3)]) == pytest.approx([1.0, 0.0], abs=1e-12)
+    # two normals: the range is sqrt(2) times a half normal
+    for q in (0.3, 1.0, 4.0):
+        assert tail(spark, pvalues.studentized_range_p, [(q, 2)])[0] == pytest.approx(math.erfc(q / 2), abs=1e-13)
 
 
-def test_exact_signed_rank_by_enumeration():
+def test_erfc_to_the_last_digits(spark):
+    xs = [0.0, 1e-9, 0.01, 0.3, 0.49999, 0.5, 0.7, 1.0, 2.5, 6.2, 6.3, 9.0, 20.0, 26.0, -0.2, -3.0, -30.0]
+    assert tail(spark, pvalues.erfc, [(x,) for x in xs]) == pytest.approx([math.erfc(x) for x in xs], rel=1e-12)
+
+
+def test_null_statistics_have_no_p(spark):
+    df = spark.createDataFrame([(None, 2.0)], "x double, k double")
+    for fn in (pvalues.chi2_p, pvalues.studentized_range_p):
+        assert df.select(fn(F.col("x"), F.col("k"))).first()[0] is None
+        assert df.select(fn(F.col("k"), F.col("x"))).first()[0] is None
+    assert df.select(pvalues.normal_p(F.col("x"))).first()[0] is None
+
+
+def test_exact_signed_rank_by_enumeration(spark):
+    cases, want = [(0, 5)], [0.0625]
     for n in (3, 5, 8):
         sums = [sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=n)]
         for w in range(0, n * (n + 1) // 4 + 1):
-            want = min(1.0, 2 * sum(s <= w for s in sums) / 2**n)
-            assert pvalues.signed_rank_exact(w, n) == pytest.approx(want)
-    assert pvalues.signed_rank_exact(0, 5) == 0.0625
+            cases.append((w, n))
+            want.append(min(1.0, 2 * sum(s <= w for s in sums) / 2**n))
+    assert tail(spark, pvalues.signed_rank_exact, cases) == pytest.approx(want)
+
+
+def test_signed_rank_beyond_the_exact_range(spark):
+    """Near the limit the normal approximation (without continuity correction) is close; ties and zeros always take it."""
+    exact, rough = (tail(spark, lambda w, n, lim=lim: pvalues.signed_rank_pvalue(w, n, F.lit(0.0), F.lit(0), lim), [(500, 50)])[0] for lim in (50, 49))
+    assert exact == pytest.approx(rough, abs=5e-3) and exact != rough
+    tied = tail(spark, lambda w, n, t: pvalues.signed_rank_pvalue(w, n, t, F.lit(0)), [(2, 5, 6), (0, 0, 0)])
+    z = (2 - 7.5) / math.sqrt(5 * 6 * 11 / 24 - 6 / 48)
+    assert tied == pytest.approx([math.erfc(-z / math.sqrt(2)), 1.0])
 
 
 @pytest.fixture(scope="module")
