@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +15,11 @@ def try_int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` computed once a row, also where `body` uses it in array functions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # ------------------------------------------------------------------ time text
 
 
@@ -25,21 +30,30 @@ def hms_to_seconds(text: Column) -> Column:
     return h * 3600.0 + m * 60.0 + F.get(parts, 2).try_cast("double")
 
 
+def _is_number(text: Column, width: int | None = None) -> Column:
+    """Digits only, `width` of them if given."""
+    digits = (F.length(text) > 0) & (F.translate(text, "0123456789", "") == "")
+    return digits if width is None else digits & (F.length(text) == width)
+
+
 def parse_timestamp(text: Column) -> Column:
     """Strict 'H:MM:SS[.f]' or 'M:SS[.f]' with dot or comma decimals; null otherwise.
 
-    Callers that must not lose rows split on null and keep the rejects.
+    The first field has any number of digits, the others two.  Callers that must not lose rows split on
+    null and keep the rejects.
     """
-    t = F.translate(F.trim(text.cast("string")), ",", ".")
-    # The two time formats
-    long, short = r"^(\d+):(\d{2}):(\d{2}(?:\.\d+)?)$", r"^(\d+):(\d{2}(?:\.\d+)?)$"
-
-    def part(pattern: str, i: int, kind: str) -> Column:
-        return F.regexp_extract(t, pattern, i).try_cast(kind)
-
-    return F.when(
-        t.rlike(long), part(long, 1, "bigint") * 3600.0 + part(long, 2, "int") * 60.0 + part(long, 3, "double")
-    ).when(t.rlike(short), part(short, 1, "bigint") * 60.0 + part(short, 2, "double"))
+    fields = F.split(F.translate(F.trim(text.cast("string")), ",", "."), ":")
+    n = F.size(fields)
+    lead, last = F.get(fields, 0), F.get(fields, n - 1)
+    seconds = F.split(last, r"\.")
+    second_ok = _is_number(F.get(seconds, 0), 2) & (
+        (F.size(seconds) == 1) | ((F.size(seconds) == 2) & _is_number(F.get(seconds, 1)))
+    )
+    minute_ok = (n == 2) | ((n == 3) & _is_number(F.get(fields, 1), 2))
+    scale = F.when(n == 3, 3600.0).otherwise(60.0)
+    middle = F.when(n == 3, F.get(fields, 1).try_cast("int") * 60.0).otherwise(0.0)
+    value = lead.try_cast("bigint") * scale + middle + last.try_cast("double")
+    return F.when(_is_number(lead) & minute_ok & second_ok, value)
 
 
 def seconds_to_text(seconds: Column) -> Column:
@@ -53,11 +67,9 @@ def seconds_to_text(seconds: Column) -> Column:
     )
 
 
-# Letters read for digits, what else a stopwatch may show, and its two clock formats.
+# Letters read for digits, and what else a stopwatch may show.
 LOOKALIKES = ("OSIL", "0511")
 NOT_STOPWATCH = r"[^0-9:\-\n ]"
-MINUTE_CLOCK = r"(?<!\d:)\b(\d{1,3})\s*:\s*([0-5]\d)\b(?!:\d)"
-HOUR_CLOCK = r"\b(\d{2}):([0-5]\d):([0-5]\d)\b"
 
 
 def clean_stopwatch_text(text: Column) -> Column:
@@ -65,13 +77,55 @@ def clean_stopwatch_text(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.upper(text), *LOOKALIKES), NOT_STOPWATCH, " ")
 
 
-def clock_readings(text: Column, pattern: str, units: tuple[int, ...]) -> Column:
-    """Seconds of all matches of a clock format, in text order; one unit per group of the pattern."""
-    def field(i: int, unit: int) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), lambda x: x.cast("bigint") * unit)
+def _clock_readings(text: Column, units: tuple[int, ...], starts: Callable[..., Column]) -> Column:
+    """Seconds of all clock readings in a cleaned text, left to right without overlap.
+
+    The text is read as numbers and the gaps around them (gap i stands before number i).  `starts(number, gap, i)`
+    says whether a reading of len(units) numbers begins at number i.
+    """
+    numbers = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
+    parts = F.struct(numbers.alias("numbers"), F.split(text, "[0-9]+").alias("gaps"))
+
+    def read(part: Column) -> Column:
+        def number(i: Column) -> Column:
+            return F.get(part["numbers"], i)
+
+        def gap(i: Column) -> Column:
+            return F.get(part["gaps"], i)
+
+        def seconds(i: Column) -> Column:
+            return reduce(lambda a, b: a + b, [number(i + k).try_cast("bigint") * unit for k, unit in enumerate(units)])
+
+        def take(state: Column, i: Column) -> Column:
+            taken = F.struct((i + len(units)).alias("free"), F.concat(state["found"], F.array(seconds(i))).alias("found"))
+            return F.when(i >= state["free"], taken).otherwise(state)
 
-    fields = [field(i, unit) for i, unit in enumerate(units, 1)]
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), fields)
+        n = F.size(part["numbers"])
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        places = F.filter(places, lambda i: F.coalesce(starts(number, gap, i), F.lit(False)))
+        start = F.struct(F.lit(0).alias("free"), F.array().cast("array<bigint>").alias("found"))
+        return F.aggregate(places, start, take, lambda state: state["found"])
+
+    return _once(parts, read)
+
+
+def _sixtieth(number: Column) -> Column:
+    """Two digits below sixty."""
+    return (F.length(number) == 2) & (number < "60")
+
+
+def _starts_hours(number: Callable, gap: Callable, i: Column) -> Column:
+    """'HH:MM:SS' without blanks."""
+    tight = (gap(i + 1) == ":") & (gap(i + 2) == ":")
+    return tight & (F.length(number(i)) == 2) & _sixtieth(number(i + 1)) & _sixtieth(number(i + 2))
+
+
+def _starts_minutes(number: Callable, gap: Callable, i: Column) -> Column:
+    """'M:SS' to 'MMM:SS', with blanks around the colon or not, that isn't a part of a longer tight reading."""
+    colon = F.translate(gap(i + 1), " \n", "") == ":"
+    continued = (i > 0) & (gap(i) == ":")
+    continues = number(i + 2).isNotNull() & (gap(i + 2) == ":")
+    return colon & (F.length(number(i)) <= 3) & _sixtieth(number(i + 1)) & ~continued & ~continues
 
 
 def stopwatch_seconds(text: Column, minutes_only: Column | bool = False, hint: Column | None = None) -> Column:
@@ -90,8 +144,8 @@ def stopwatch_seconds(text: Column, minutes_only: Column | bool = False, hint: C
         )
         return F.when(target.isNull(), unhinted).otherwise(F.array_min(by_distance)["v"])
 
-    minutes = clock_readings(cleaned, MINUTE_CLOCK, (60, 1))
-    hours = clock_readings(cleaned, HOUR_CLOCK, (3600, 60, 1))
+    minutes = _clock_readings(cleaned, (60, 1), _starts_minutes)
+    hours = _clock_readings(cleaned, (3600, 60, 1), _starts_hours)
     last = lambda a: F.get(a, F.size(a) - 1)
     by_minutes = choose(minutes, last(minutes))
     by_hours = choose(hours, F.coalesce(F.get(F.filter(hours, lambda v: v < 3600), 0), last(hours)))
@@ -113,21 +167,49 @@ def frame_number(name: Column) -> Column:
     return segment_number(stem)
 
 
-# The file-name format and its sources.
-SAMPLE_NAME = r"(?i)^(.+?)__(sample|ulcer_NonUlcer|ulcer_Ulcer)_(\d+)__frame_(\d+)"
+# Sources in file names, and what stands before the frame number.
+SAMPLE_SOURCES = ("sample", "ulcer_NonUlcer", "ulcer_Ulcer")
+FRAME_MARK = "frame_"
 
 
 def sample_name(stem: Column) -> Column:
-    """struct(record_id, unique_sample_id, frame_number) of '<record>__<source>_<n>__frame_<n>', or null."""
-    part = [F.regexp_extract(stem, SAMPLE_NAME, i) for i in range(1, 5)]
-    return F.when(
-        stem.rlike(SAMPLE_NAME),
-        F.struct(
-            part[0].alias("record_id"),
-            F.concat_ws("_", part[1], part[2]).alias("unique_sample_id"),
-            part[3].try_cast("int").alias("frame_number"),
-        ),
-    )
+    """struct(record_id, unique_sample_id, frame_number) of '<record>__<source>_<n>__frame_<n>', or null.
+
+    Fields stand between double underscores (the last two of a longer run), in any case; the record is all
+    before the first field that is a source with a number and has a frame after it.  What follows the frame
+    number is left out.
+    """
+    def numbered_source(field: Column) -> Column:
+        number = F.substring_index(field, "_", -1)
+        source = F.substring(field, F.lit(1), F.length(field) - F.length(number) - 1)
+        return F.lower(source).isin([s.lower() for s in SAMPLE_SOURCES]) & _is_number(number)
+
+    def frame_digits(field: Column) -> Column:
+        after = F.substring(field, F.lit(len(FRAME_MARK) + 1), F.length(field))
+        return F.when(F.lower(field).startswith(FRAME_MARK), F.regexp_extract(after, "^[0-9]+", 0))
+
+    def place(fields: Column) -> Column:
+        def found(i: Column) -> Column:
+            named = (i > 1) | (F.length(F.get(fields, 0)) > 0)
+            return named & numbered_source(F.get(fields, i)) & (F.length(frame_digits(F.get(fields, i + 1))) > 0)
+
+        last = F.size(fields) - 2
+        places = F.when(last >= 1, F.sequence(F.lit(1), last))
+        first = F.get(F.filter(places, lambda i: F.coalesce(found(i), F.lit(False))), 0)
+        return F.struct(fields.alias("fields"), first.alias("at"))
+
+    def read(placed: Column) -> Column:
+        fields, at = placed["fields"], placed["at"]
+        return F.when(
+            at.isNotNull(),
+            F.struct(
+                F.array_join(F.slice(fields, 1, at), "__").alias("record_id"),
+                F.get(fields, at).alias("unique_sample_id"),
+                frame_digits(F.get(fields, at + 1)).try_cast("int").alias("frame_number"),
+            ),
+        )
+
+    return _once(_once(F.split(stem, "__(?!_)"), place), read)
 
 
 def normalize_video_id(video_id: Column) -> Column:

@@ -19,6 +19,7 @@ from cliplab.operators.ranking import attach_by_group, group_rank, join_by_entit
 from cliplab.session import cut_lineage
 from cliplab.schema import require_columns
 
+# The names of the modes.
 STRAT_MODES = ("size", "presence", "size_and_presence", "ulcer_ratio")
 
 # ------------------------------------------------------------------- strata
@@ -57,29 +58,46 @@ def dominant_size(df: DataFrame, patient: str = "patient_id", label: str = "labe
     )
 
 
-def strata(
-    df: DataFrame, mode: str, patient: str = "patient_id", label: str = "label", size: str = "ulcer_size"
+def all_strata(
+    df: DataFrame, patient: str = "patient_id", label: str = "label", size: str = "ulcer_size"
 ) -> DataFrame:
-    """(patient, stratum) for one of the four modes.
+    """(patient, <one column per mode>) in one pass: frames are counted by (patient, label, size) once.
 
-    Without any size value 'size' falls back to presence and
-    'size_and_presence' uses 'none' as size.
+    Without any size value in the table 'size' falls back to presence and 'size_and_presence' uses 'none'
+    as size; a patient without positive sizes has size 'none'.
     """
+    key, is_pos = F.col("patient"), F.col("label") == 1
+    sized = F.col(size) if size in df.columns else F.lit(None).cast("int")
+    cells = df.groupBy(
+        F.col(patient).cast("string").alias("patient"), F.col(label).alias("label"), sized.alias("size")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    ratio = F.sum(F.col("label") * F.col("n")) / F.sum(F.when(F.col("label").isNotNull(), F.col("n")))
+    # a patient has one cell per positive size: the largest is the mode, the lowest size on ties
+    largest = F.min_by(F.col("size"), F.when(is_pos & F.col("size").isNotNull(), F.struct(-F.col("n"), F.col("size"))))
+    profile = cells.groupBy(key).agg(
+        ratio.alias("ratio"),
+        F.when(F.max(is_pos.cast("int")) == 1, "ulcer").otherwise("no_ulcer").alias("presence"),
+        F.coalesce(largest.cast("int").cast("string"), F.lit("none")).alias("mode"),
+    )
+    # every column takes part in the check, so that Spark finds the same shuffle and makes it once
+    any_size = cells.agg(F.bool_or(F.col("size").isNotNull() & (F.col("n") > 0))).scalar()
+    ratio_bin = F.when(F.col("ratio") == 0, "no_ulcer").when(F.col("ratio") < 0.40, "low_ulcer").otherwise("high_ulcer")
+    modes = {
+        "size": F.when(any_size, F.col("mode")).otherwise(F.col("presence")),
+        "presence": F.col("presence"),
+        "size_and_presence": F.concat_ws("__", "presence", F.when(any_size, F.col("mode")).otherwise(F.lit("none"))),
+        "ulcer_ratio": ratio_bin,
+    }
+    return profile.select(key.alias(patient), *[modes[m].alias(m) for m in STRAT_MODES])
+
+
+def strata(
+    df: DataFrame, mode: str, patient: str = "patient_id", label: str = "label", size: str = "ulcer_size"
+) -> DataFrame:
+    """(patient, stratum) for one of the four modes; see `all_strata`."""
     if mode not in STRAT_MODES:
         raise ValueError(f"unknown strat_mode {mode!r}; choose one of {STRAT_MODES}")
-    profile = patient_profile(df, patient, label)
-    if mode == "ulcer_ratio":
-        return profile.select(patient, F.col("ratio_bin").alias("stratum"))
-    if mode == "presence" or size not in df.columns:
-        suffix = F.lit("__none") if mode == "size_and_presence" else F.lit("")
-        return profile.select(patient, F.concat("presence_bin", suffix).alias("stratum"))
-    both = join_on(profile, dominant_size(df, patient, label, size), [patient], "left")
-    any_size = df.select(F.bool_or(F.col(size).isNotNull())).scalar()
-    if mode == "size":
-        stratum = F.when(any_size, F.col("size_bin")).otherwise(F.col("presence_bin"))
-    else:
-        stratum = F.concat_ws("__", "presence_bin", F.when(any_size, F.col("size_bin")).otherwise(F.lit("none")))
-    return both.select(patient, stratum.alias("stratum"))
+    return all_strata(df, patient, label, size).select(patient, F.col(mode).alias("stratum"))
 
 
 def strata_by(df: DataFrame, aggregate: Callable[[], Column], patient: str = "patient_id") -> DataFrame:

@@ -68,11 +68,10 @@ def e04(v: Views) -> DataFrame:
         f"m AS ({_MODE.format(v='ulcer_size', src='sized')})"),
 )
 def e05(v: Views) -> DataFrame:
-    frames, out = v.sized_frames(), None
-    for mode in splits.STRAT_MODES:
-        counts = splits.strata(frames, mode).groupBy(F.lit(mode).alias("mode"), "stratum").agg(F.count(F.lit(1)).alias("n"))
-        out = counts if out is None else out.unionByName(counts)
-    return out
+    """All four modes from one read of the frames."""
+    patients = splits.all_strata(v.sized_frames())
+    long = patients.unpivot("patient_id", list(splits.STRAT_MODES), "mode", "stratum")
+    return long.groupBy("mode", "stratum").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -56,6 +56,42 @@ def test_stopwatch(spark):
     assert values(spark, short, ["1:02:03", "5:07"]) == [None, 307]
 
 
+def test_timestamp_fields(spark):
+    texts = ["1:2:03", "123:04:05", " 7:08 ", "7:8", "07:08.", "07:08.5.1", "1:02:03:04", "", ":05", "a:05", "-1:05", "1: 05", "1:02:03.", "12", None]
+    assert values(spark, parse.parse_timestamp, texts) == [None, 443045.0, 428.0] + [None] * 12
+
+
+def test_stopwatch_grammar(spark):
+    """Hours stand without blanks, minutes may have them; readings don't overlap and aren't parts of others."""
+    hours = {"1:02:03": None, "10:00:00:05:06": 36000, "11:22:33:44:55:06": 161706, "10:60:00 20:00:01": 72001, "10-20:30:40": 73840}
+    assert values(spark, parse.stopwatch_seconds, list(hours)) == list(hours.values())
+    short = lambda c: parse.stopwatch_seconds(c, minutes_only=True)
+    minutes = {
+        "1 : 02": 62, "1 :\n02": 62, "1234:05": None, "123:05": 7385, "1:60": None, "1:5": None, "1 : 02 : 03": 62, "1:02 : 03": 62,
+        "1:02:03 : 04": 184, "9:59-10:01": 601, ":05:06": 306, "1:02: 03": 62, "": None, "12": None, ": 5 :": None,
+    }
+    got = dict(zip(minutes, values(spark, short, list(minutes)), strict=True))
+    # "1:02:03 : 04" has no reading: 02 and 03 continue a tight one
+    assert got == {**minutes, "1:02:03 : 04": None}
+
+
+def test_sample_name_fields(spark):
+    texts = {
+        "a___sample_1__frame_2": ("a_", "sample_1", 2),
+        "__sample_1__frame_1": None,
+        "__sample_1__frame_1__sample_2__frame_3": ("__sample_1__frame_1", "sample_2", 3),
+        "a__sample_1___frame_2": None,
+        "a__sample_x__frame_2": None,
+        "a__sample_1__frame_": None,
+        "a__sample_1__FRAME_12_left": ("a", "sample_1", 12),
+        "a__b__c__ULCER_NONULCER_4__frame_9__x": ("a__b__c", "ULCER_NONULCER_4", 9),
+        "sample_1__frame_2": None,
+        "": None,
+    }
+    got = values(spark, parse.sample_name, list(texts))
+    assert [g and tuple(g) for g in got] == list(texts.values())
+
+
 def test_sizes_and_media(spark):
     assert values(spark, parse.size_code, ["<5mm", " 5-20mm", ">20mm", "?", None]) == [1, 2, 3, None, None]
     assert values(spark, parse.size_label, [1, 3, None, 9], "int") == ["<5mm", ">20mm", "unknown", "unknown"]

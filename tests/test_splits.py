@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +92,34 @@ def test_size_strata_and_fallback(spark):
     assert one("size_and_presence", df.drop("ulcer_size")) == {"p1": "ulcer__none", "p2": "no_ulcer__none"}
 
 
+def test_all_modes_in_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", "d", "e", None]), rng.choice([0, 1, 1, None]), rng.choice([1, 2, 3, None])) for _ in range(300)]
+    rows += [("zero", 0, 2), ("blank", None, 1), ("tie", 1, 3), ("tie", 1, 2)]
+    df = spark.createDataFrame(rows, "patient_id string, label int, ulcer_size int").repartition(7)
+    want = {}
+    for p in {r[0] for r in rows}:
+        labels = [x for q, x, _ in rows if q == p and x is not None]
+        sizes = Counter(s for q, x, s in rows if q == p and x == 1 and s is not None)
+        presence = "ulcer" if 1 in labels else "no_ulcer"
+        size = str(min(sizes, key=lambda s: (-sizes[s], s))) if sizes else "none"
+        share = sum(labels) / len(labels) if labels else None
+        ratio = "no_ulcer" if share == 0 else "low_ulcer" if share is not None and share < 0.4 else "high_ulcer"
+        want[p] = (size, presence, f"{presence}__{size}", ratio)
+    out = splits.all_strata(df)
+    assert {r["patient_id"]: tuple(r[m] for m in splits.STRAT_MODES) for r in out.collect()} == want
+    assert splits.all_strata(df.limit(0)).count() == 0
+
+
+def test_frames_are_shuffled_once_for_all_modes(spark, tmp_path):
+    """The check for any size reuses the shuffle of the counts."""
+    spark.createDataFrame([("a", 1, 2), ("b", 0, None)], "patient_id string, label int, ulcer_size int").write.parquet(f"{tmp_path}/f")
+    out = splits.all_strata(spark.read.parquet(f"{tmp_path}/f"))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+
+
 def test_folds(manifest):
     out = splits.assign_cv_folds(manifest, 5)
     per = out.groupBy("patient_id").agg(F.count_distinct("fold").alias("n"), F.min("fold").alias("fold"))
