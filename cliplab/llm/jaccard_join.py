@@ -260,29 +260,36 @@ def _packed_shingles(n: int, buckets: int):
     return run
 
 
-def _shared_shingles(group: pd.DataFrame) -> pd.DataFrame:
-    """Per node the shingles of a bucket that another node has too, and how many have them (a power of two)."""
-    values, nodes = _unpacked(group)
-    _, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(counts[codes] > 1)
-    kept = kept[np.argsort(nodes[kept], kind="stable")]
-    owners, starts = np.unique(nodes[kept], return_index=True)
-    power = np.ceil(np.log2(counts[codes[kept]])).astype(np.uint8)
-    rows = [
-        (int(owner), int(group["bucket"].iloc[0]), _short_bytes(values[own], SIGNATURE_BITS // 8), times.tobytes())
-        for owner, own, times in zip(owners, np.split(kept, starts[1:]), np.split(power, starts[1:]))
-    ]
-    return pd.DataFrame(rows, columns=["short", "bucket", "signatures", "powers"])
+def _shared_shingles(cells: int):
+    """Of a bucket's shingles those that several nodes have, packed by cell of nodes, and how many have them (a power of two)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        values, nodes = _unpacked(group)
+        _, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
+        kept = np.flatnonzero(counts[codes] > 1)
+        kept = kept[np.lexsort((nodes[kept], nodes[kept] % cells))]
+        found, starts = np.unique(nodes[kept] % cells, return_index=True)
+        power = np.ceil(np.log2(counts[codes[kept]])).astype(np.uint8)
+        rows = []
+        for cell, own, times in zip(found, np.split(kept, starts[1:]), np.split(power, starts[1:])):
+            named, held = np.unique(nodes[own], return_counts=True)
+            packed = _short_bytes(named, NODE_BITS // 8), held.astype("<u4").tobytes(), _short_bytes(values[own], SIGNATURE_BITS // 8)
+            rows.append((int(cell), int(group["bucket"].iloc[0]), *packed, times.tobytes()))
+        return pd.DataFrame(rows, columns=["cell", *PACKED_COLUMNS, "powers"])
+
+    return run
 
 
 def _rarest(percent: int):
-    """The rarest of the shared shingles of some nodes: as many as a linked set must have one of."""
+    """The rarest of the shared shingles of a cell's nodes: as many as a linked set must have one of."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sizes = group["powers"].str.len().to_numpy()
+    def run(group: pd.DataFrame, sized: pd.DataFrame) -> pd.DataFrame:
+        value, owner = _unpacked(group)
+        value, owner = value.astype(np.int64), owner.astype(np.int64)
         rarity = np.frombuffer(b"".join(group["powers"]), np.uint8)
-        value = _whole_numbers(b"".join(group["signatures"]), SIGNATURE_BITS // 8).astype(np.int64)
-        bucket, owner, n = (np.repeat(group[c].to_numpy(), sizes) for c in ("bucket", "short", "n_shingles"))
+        bucket = np.repeat(group["bucket"].to_numpy(np.int64), group["powers"].str.len().to_numpy(np.int64))
+        sized = sized.sort_values("short")
+        n = sized["n_shingles"].to_numpy(np.int64)[np.searchsorted(sized["short"].to_numpy(np.int64), owner)]
         order = np.lexsort((value, bucket, rarity, owner))
         _, start, found = np.unique(owner[order], return_index=True, return_counts=True)
         within = np.arange(len(order)) - np.repeat(start, found)
@@ -295,16 +302,20 @@ def _rarest(percent: int):
 
 
 def _parted(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, part) of the nodes that may link, from (node, n_shingles, text); links don't leave a part."""
+    """(node, part) of the nodes that may link, from (node, n_shingles, text); links don't leave a part.
+
+    Shared shingles go from their buckets to cells of nodes in one row for each pair of these; the size of a
+    node comes to its cell once.
+    """
     volume = texts.agg(F.sum("n_shingles")).first()[0]
-    buckets = 1 + volume // BUCKET_ROWS
+    buckets = cells = 1 + volume // BUCKET_ROWS
     short = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
     packed = texts.select("node", "text").mapInArrow(_packed_shingles(n, buckets), PACKED)
-    shared = packed.groupBy("bucket").applyInPandas(_shared_shingles, "short long, bucket long, signatures binary, powers binary")
+    shared = packed.groupBy("bucket").applyInPandas(_shared_shingles(cells), f"cell long, {PACKED}, powers binary")
     sized = texts.groupBy(short.alias("short")).agg(F.min("n_shingles").alias("n_shingles"))
-    cell = F.pmod(F.xxhash64("short"), F.lit(1 + volume // BUCKET_ROWS)).alias("cell")
-    asked = shared.join(sized, "short").select("short", "n_shingles", "bucket", "signatures", "powers", cell)
-    front = cut_lineage(asked.groupBy("cell").applyInPandas(_rarest(percent), "bucket long, value long, short long"))
+    sized = sized.withColumn("cell", F.col("short") % F.lit(cells))
+    met = shared.groupBy("cell").cogroup(sized.groupBy("cell"))
+    front = cut_lineage(met.applyInPandas(_rarest(percent), "bucket long, value long, short long"))
     first = front.groupBy("bucket", "value").agg(F.min("short").alias("a"))
     edges = front.join(first, ["bucket", "value"]).filter("a <> short").select("a", F.col("short").alias("b"))
     parts = components(edges)
