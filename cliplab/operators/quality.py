@@ -11,6 +11,7 @@ from cliplab.functions import parse
 from cliplab.operators.ranking import exact_quantiles, join_on, modal_value
 from cliplab.schema import SIZE_DISPLAY, SPLITS
 
+# The columns of a manifest that the quality report looks for.
 EXPECTED_COLUMNS = (
     "relative_path", "label", "video_id", "patient_id", "segment_id", "frame_number", "clip_key", "split",
 )
