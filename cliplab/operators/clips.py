@@ -1,17 +1,20 @@
 """Frame-to-clip aggregation: labels, scores and the 22 decision rules.
 
 Mean-type rules need one grouped pass.  The smoothed top-k rules need the frame
-order; ordinary clips are smoothed as arrays, and clips longer than
-`array_limit` (which may hold any share of the data) row by row through running
-sums, with the same result.
+order.  Clips up to `array_limit` frames are convolved as arrays, longer ones
+through running sums, with the same result: as arrays too up to `array_frames`,
+and row by row beyond (such a clip may hold any share of the data).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliplab.operators.ranking import group_rank, join_on, modal_value, range_buckets, running_totals
@@ -23,7 +26,8 @@ METHOD_BASES = ("majority_vote", "mean_prob", "threshold_ratio", "conf_weighted"
 
 LABEL_RULES = ("round_mean", "max", "mode")
 
-ARRAY_LIMIT = 512
+ARRAY_LIMIT = 512  # longer clips are smoothed by running sums
+ARRAY_FRAMES = 4096  # and beyond this length row by row
 
 
 def all_methods() -> list[str]:
@@ -95,66 +99,102 @@ def _window_width(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n / 5)).cast("bigint")
 
 
-def _moving_average_array(values: Column, n: Column) -> Column:
-    width = _window_width(n)
-    left, right = F.floor(width / 2), F.floor((width - 1) / 2)
+def _moving_average(p: np.ndarray, limit: int) -> np.ndarray:
+    """Moving average of one clip; beyond `limit` frames as differences of running sums."""
+    n = len(p)
+    width = max(1, n // 5)
+    if n <= 1:
+        return p
+    right = (width - 1) // 2
+    if n <= limit:
+        return np.convolve(p, np.ones(width))[right : right + n] / width
+    sums = np.concatenate([[0.0], np.cumsum(p)])
+    i = np.arange(n)
+    return (sums[np.minimum(n, i + right + 1)] - sums[np.maximum(0, i - width // 2)]) / width
 
-    def at(_, i):
-        lo = F.greatest(F.lit(0), i - left)
-        hi = F.least(n - 1, i + right)
-        piece = F.slice(values, (lo + 1).cast("int"), (hi - lo + 1).cast("int"))
-        return F.aggregate(piece, F.lit(0.0), lambda a, x: a + x) / width
 
-    return F.when(n <= 1, values).otherwise(F.transform(values, at))
+@lru_cache(maxsize=256)
+def _kernel(n: int) -> np.ndarray:
+    """Normalised, centred at (n-1)/2, sigma = max(1, n/6)."""
+    kernel = np.exp(-0.5 * ((np.arange(n) - (n - 1) / 2.0) / max(1.0, n / 6.0)) ** 2)
+    return kernel / kernel.sum()
 
 
-def _kernels(spark: SparkSession, limit: int) -> DataFrame:
-    """(n, kernel) for 1 <= n <= limit: normalised, centred at (n-1)/2, sigma = max(1, n/6)."""
-    n = F.col("__n")
-    sigma = F.greatest(F.lit(1.0), n / 6.0)
-    centre = (n - 1) / 2.0
-    points = spark.range(1, limit + 1).withColumnRenamed("id", "__n").withColumn(
-        "__x", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    )
-    points = points.withColumn("__w", F.exp(-0.5 * F.pow((F.col("__x") - centre) / sigma, F.lit(2.0))))
-    packed = points.groupBy("__n").agg(
-        F.array_sort(F.collect_list(F.struct("__x", "__w"))).alias("__s"), F.sum("__w").alias("__t")
-    )
-    return packed.select("__n", F.transform("__s", lambda p: p["__w"] / F.col("__t")).alias("__k"))
+def _gaussian(p: np.ndarray, limit: int) -> np.ndarray:
+    """Truncated Gaussian convolution of one clip; beyond `limit` frames by sine / cosine running sums."""
+    n, mid = len(p), (len(p) - 1) // 2
+    if n <= 1:
+        return p
+    if n <= limit:
+        return np.convolve(p, _kernel(n))[mid : mid + n]
+    turn, weights, norm = _waves(n)
+    sums = np.cumsum(p * turn, axis=1)
+    j = np.arange(n)
+    # see _gaussian_rows: the sums up to position j are all that one frame needs
+    i = np.where(j >= mid, j - mid, j - mid + n)
+    windowed = np.where(j >= mid, sums, sums[:, -1:] - sums)
+    out = np.empty(n)
+    # exp(-i x) moves the sums to the centre of the kernel
+    centre = np.exp(np.outer(np.arange(HARMONICS + 1), -2j * math.pi / PERIOD * (i + mid - (n - 1) / 2.0) / max(1.0, n / 6.0)))
+    out[i] = (weights[:, None] * (windowed * centre).real).sum(axis=0) / norm
+    return out
 
 
-def _gaussian_array(values: Column, kernel: Column, n: Column) -> Column:
-    mid = F.floor((n - 1) / 2)
+@lru_cache(maxsize=16)
+def _waves(n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(exp(i m x) for every harmonic m and position, weight of each harmonic, sum of the kernel)."""
+    m = np.arange(HARMONICS + 1)
+    step = 2.0 * math.pi / PERIOD / max(1.0, n / 6.0)
+    weights = np.exp(-2.0 * (math.pi * m / PERIOD) ** 2) * np.where(m == 0, 1.0, 2.0)
+    norm = (weights[:, None] * np.cos(np.outer(m, step * (np.arange(n) - (n - 1) / 2.0)))).sum()
+    return np.exp(1j * np.outer(m, step * np.arange(n))), weights, float(norm)
 
-    def at(_, i):
-        lo = F.greatest(F.lit(0), i + mid - (n - 1))
-        hi = F.least(n - 1, i + mid)
-        piece = F.slice(values, (lo + 1).cast("int"), (hi - lo + 1).cast("int"))
-        # element j of the clip meets kernel element mid + i - j
-        weights = F.reverse(
-            F.slice(kernel, (mid + i - hi + 1).cast("int"), (hi - lo + 1).cast("int"))
-        )
-        return F.aggregate(F.zip_with(piece, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
 
-    return F.when(n <= 1, values).otherwise(F.transform(values, at))
+SMOOTHERS = {"moving_avg": _moving_average, "gaussian": _gaussian}
 
 
-def _topk_mean_array(values: Column, n: Column, ratio: float) -> Column:
-    k = F.greatest(F.lit(1), F.ceil(n * F.lit(float(ratio)))).cast("int")
-    top = F.slice(F.sort_array(values, asc=False), F.lit(1), k)
-    return F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / k
+def _or_null(x: np.ndarray, holes: bool) -> np.ndarray | list[float | None]:
+    """A null probability comes as NaN; what it spoils is null again."""
+    return [None if math.isnan(v) else v for v in x.tolist()] if holes else x
 
 
-def _as_arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], prob: str, limit: int) -> DataFrame:
-    """Ordered probabilities of each short clip with the kernel of its length.
+def _smoothed(kind: str, limit: int):
+    """Column function (probabilities, has nulls) -> smoothed probabilities, clip by clip."""
+    smooth = SMOOTHERS[kind]
 
-    The kernel table has `limit` rows whatever the data size, so it is broadcast.
-    """
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series, holes: pd.Series) -> pd.Series:
+        return pd.Series([_or_null(smooth(np.asarray(v, dtype=float), limit), h) for v, h in zip(values, holes, strict=True)], dtype=object)
+
+    return run
+
+
+def _smoothed_topk(kind: str, limit: int, ratios: Sequence[float]):
+    """Column function (probabilities, has nulls) -> mean of the ceil(n*ratio) largest smoothed values, one per ratio."""
+    smooth = SMOOTHERS[kind]
+
+    def means(v: np.ndarray, holes: bool) -> np.ndarray | list[float | None]:
+        top = np.sort(smooth(np.asarray(v, dtype=float), limit))[::-1]
+        if holes:  # nulls come last
+            top = np.concatenate([top[~np.isnan(top)], top[np.isnan(top)]])
+        sums = np.cumsum(top)
+        k = [max(1, math.ceil(len(top) * float(r))) for r in ratios]
+        return _or_null(np.array([sums[i - 1] / i for i in k]), holes)
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series, holes: pd.Series) -> pd.Series:
+        return pd.Series([means(v, h) for v, h in zip(values, holes, strict=True)], dtype=object)
+
+    return run
+
+
+def _as_arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], prob: str) -> DataFrame:
+    """Ordered probabilities `__v` of each clip up to ARRAY_FRAMES frames, and whether one is null."""
     packed = F.sort_array(F.collect_list(F.struct(*order, F.col(prob).cast("double").alias("__p"))))
     arrays = df.groupBy(*keys).agg(packed.alias("__s")).select(
         *keys, F.col("__s.__p").alias("__v"), F.size("__s").cast("bigint").alias("__n")
     )
-    return arrays.join(F.broadcast(_kernels(df.sparkSession, limit)), "__n")
+    return arrays.withColumn("__holes", F.exists("__v", lambda p: p.isNull()))
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], prob: str, span: int) -> DataFrame:
@@ -205,22 +245,26 @@ HARMONICS = 18
 
 
 def _gaussian_rows(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row by row, without a join: the kernel is as long as the clip, so the window of frame i is all up to j = i + mid,
+    or all beyond j = i + mid - n.  Every j serves one i."""
     n = F.col("__n")
     sigma = F.greatest(F.lit(1.0), n / 6.0)
 
     def angle(m: int, x: Column) -> Column:
         return F.lit(2.0 * math.pi * m / PERIOD) * x / sigma
 
-    i = F.col("__i").cast("double")
+    j = F.col("__i").cast("double")
     terms = {"c0": F.col("__p")}
     for m in range(1, HARMONICS + 1):
-        terms[f"c{m}"] = F.col("__p") * F.cos(angle(m, i))
-        terms[f"s{m}"] = F.col("__p") * F.sin(angle(m, i))
+        terms[f"c{m}"] = F.col("__p") * F.cos(angle(m, j))
+        terms[f"s{m}"] = F.col("__p") * F.sin(angle(m, j))
     sums = _position_sums(ranked, keys, terms)
     mid = F.floor((n - 1) / 2)
-    lo = F.greatest(F.lit(0), F.col("__i") + mid - (n - 1))
-    hi = F.least(n - 1, F.col("__i") + mid)
-    windowed = _between(sums, keys, list(terms), lo, hi)
+    low = F.col("__i") >= mid
+    windowed = sums.select(
+        *keys, "__n", F.when(low, F.col("__i") - mid).otherwise(F.col("__i") - mid + n).alias("__i"),
+        *[F.when(low, F.col(t)).otherwise(F.col(f"{t}_total") - F.col(t)).alias(t) for t in terms],
+    )
 
     # kernel argument of (i, j): (mid + i - j) - (n-1)/2
     centre = F.col("__i") + mid - (n - 1) / 2.0
@@ -279,20 +323,17 @@ def smoothed_frames(
     prob: str = "prob",
     array_limit: int = ARRAY_LIMIT,
     order_span: int = 4096,
+    array_frames: int = ARRAY_FRAMES,
 ) -> DataFrame:
     """(keys, position, n_frames, smoothed) for kind 'moving_avg' or 'gaussian'.
 
     `order` sorts the frames of a clip; its first column must be numeric, and
-    `order_span` of its values form one work unit of a long clip.
+    `order_span` of its values form one work unit of a clip beyond `array_frames`.
     """
-    short, long = split_by_length(_by_clip(df, keys), array_limit)
+    short, long = split_by_length(_by_clip(df, keys), max(array_limit, array_frames))
     keys = [CLIP]
-    packed = _as_arrays(short, keys, order, prob, array_limit)
-    n = F.col("__n")
-    array = (
-        _moving_average_array(F.col("__v"), n) if kind == "moving_avg" else _gaussian_array(F.col("__v"), F.col("__k"), n)
-    )
-    out = packed.select(*keys, "__n", F.posexplode(array).alias("__i", "smoothed")).select(
+    packed = _as_arrays(short, keys, order, prob).withColumn("__v", _smoothed(kind, array_limit)("__v", "__holes"))
+    out = packed.select(*keys, "__n", F.posexplode("__v").alias("__i", "smoothed")).select(
         *keys, F.col("__i").cast("bigint").alias("position"), F.col("__n").alias("n_frames"), "smoothed"
     )
     if long is None:
@@ -311,22 +352,15 @@ def smoothed_topk(
     prob: str = "prob",
     array_limit: int = ARRAY_LIMIT,
     order_span: int = 4096,
+    array_frames: int = ARRAY_FRAMES,
 ) -> DataFrame:
     """(keys, moving_avg_topk-<r>..., gaussian_topk-<r>...) per clip."""
-    short, long = split_by_length(_by_clip(df, keys), array_limit)
+    short, long = split_by_length(_by_clip(df, keys), max(array_limit, array_frames))
     keys = [CLIP]
-    packed = _as_arrays(short, keys, order, prob, array_limit)
-    n = F.col("__n")
-    packed = packed.withColumns(
-        {
-            "__ma": _moving_average_array(F.col("__v"), n),
-            "__ga": _gaussian_array(F.col("__v"), F.col("__k"), n),
-        }
-    )
-    out = packed.select(
-        *keys,
-        *[steady(_topk_mean_array(F.col("__ma"), n, r)).alias(f"moving_avg_topk-{r}") for r in ratios],
-        *[steady(_topk_mean_array(F.col("__ga"), n, r)).alias(f"gaussian_topk-{r}") for r in ratios],
+    packed = _as_arrays(short, keys, order, prob)
+    means = packed.withColumns({kind: _smoothed_topk(kind, array_limit, ratios)("__v", "__holes") for kind in SMOOTHERS})
+    out = means.select(
+        *keys, *[steady(F.col(kind)[i]).alias(f"{kind}_topk-{r}") for kind in SMOOTHERS for i, r in enumerate(ratios)]
     )
     if long is None:
         return _spread_clip(out)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,32 @@ def test_clips_without_key_survive_every_rule(spark, limit):
         assert out.count() == 40 and out.filter("clip IS NULL").count() == 20
     decided = clips.decide(df, ["clip"], order=["frame"], array_limit=limit)
     assert decided.count() == 44 and decided.filter("clip IS NULL").count() == 22
+
+
+@pytest.mark.parametrize(("kind", "reference"), [("moving_avg", moving), ("gaussian", gaussian)])
+def test_rows_beyond_arrays_equal_convolution(long_clips, kind, reference):
+    data, df = long_clips
+    out = clips.smoothed_frames(df, ["clip"], ["frame", "id"], kind, array_limit=4, array_frames=4, order_span=50)
+    assert len(re.findall("Window", out._jdf.queryExecution().optimizedPlan().toString())) > 0
+    got = {(r["clip"], r["position"]): r["smoothed"] for r in out.collect()}
+    assert len(got) == sum(len(p) for p in data.values())
+    for name, p in data.items():
+        assert [got[name, i] for i in range(len(p))] == pytest.approx(list(reference(p)), abs=1e-11)
+
+
+@pytest.mark.parametrize("kind", ["moving_avg", "gaussian"])
+def test_running_sums_send_every_frame_once(long_clips, kind):
+    _, df = long_clips
+    out = clips.smoothed_frames(df, ["clip"], ["frame", "id"], kind, array_limit=16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("kind", ["moving_avg", "gaussian"])
+def test_null_probability_spoils_only_its_windows(spark, kind):
+    rows = [("c", i, None if i == 2 else i / 20) for i in range(20)]
+    out = clips.smoothed_frames(spark.createDataFrame(rows, "clip string, frame int, prob double"), ["clip"], ["frame"], kind)
+    got = [r["smoothed"] for r in out.orderBy("position").collect()]
+    n, mid = 20, 9
+    hit = [i - 2 <= 2 <= i + 1 if kind == "moving_avg" else 0 <= mid + i - 2 < n for i in range(n)]
+    assert [v is None for v in got] == hit and not any(v is not None and np.isnan(v) for v in got)
