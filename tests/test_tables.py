@@ -277,3 +277,11 @@ def test_first_item_and_next_window(spark):
 def test_mtime_is_read(spark, tree):
     row = tables.list_files(spark, str(tree)).first()
     assert abs(row["mtime"].timestamp() - time.time()) < 86400 * 2
+
+
+def test_fingerprint_of_reordered_rows_deals_them_to_all_tasks(spark, tmp_path):
+    from cliplab.plans import QUERIES
+
+    plan = QUERIES["a09_manifest_fingerprint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [xxhash64(relative_path" in plan
+    assert "RepartitionByExpression [label" not in plan
