@@ -37,16 +37,13 @@ class Views:
 
     def frames(self) -> DataFrame:
         """Manifest rows; scores score_a..score_c ride along and are pruned when unused."""
+        # numbers travel to the join, text is made from them behind it
         li = self.fact("lineitem", "l_orderkey").select(
-            "l_orderkey",
-            "l_partkey",
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("frame_id"),
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
             (F.col("l_returnflag") == "R").cast("int").alias("label"),
             (F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) * 8 + F.col("l_linenumber"))
             .cast("int")
             .alias("frame_number"),
-            (F.col("l_quantity") / F.lit(50.0)).alias("score_a"),
-            ((F.col("l_extendedprice") % F.lit(1000.0)) / F.lit(1000.0)).alias("score_b"),
         )
         video = F.concat(F.lit("vid_"), F.col("o_custkey").cast("string"))
         # split and fold are hashed once per order, not once per frame
@@ -56,7 +53,13 @@ class Views:
             _hash_split(video).alias("split"),
             (digest_int(seeded_digest(SEED, video)) % 5).cast("int").alias("fold"),
         )
-        j = li.join(orders, li.l_orderkey == orders.o_orderkey)
+        j = li.join(orders, li.l_orderkey == orders.o_orderkey).withColumns(
+            {
+                "frame_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+                "score_a": F.col("l_quantity") / F.lit(50.0),
+                "score_b": (F.col("l_extendedprice") % F.lit(1000.0)) / F.lit(1000.0),
+            }
+        )
         video = F.col("video_id")
         segment = F.concat(F.when(F.col("label") == 1, "ulcer_").otherwise("normal_"), F.col("l_orderkey").cast("string"))
         cls = F.when(F.col("label") == 1, "Ulcer").otherwise("NonUlcer")

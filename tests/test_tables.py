@@ -285,3 +285,11 @@ def test_fingerprint_of_reordered_rows_deals_them_to_all_tasks(spark, tmp_path):
     plan = QUERIES["a09_manifest_fingerprint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [xxhash64(relative_path" in plan
     assert "RepartitionByExpression [label" not in plan
+
+
+def test_frames_join_sends_numbers_not_text(spark):
+    from cliplab.plans.views import Views
+
+    plan = Views(spark, "/root/testdata/sf0.001").frames()._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join Inner") :]
+    assert "concat_ws(-, " in plan and "concat_ws(-, " not in below
