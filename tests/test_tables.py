@@ -293,3 +293,12 @@ def test_frames_join_sends_numbers_not_text(spark):
     plan = Views(spark, "/root/testdata/sf0.001").frames()._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join Inner") :]
     assert "concat_ws(-, " in plan and "concat_ws(-, " not in below
+
+
+def test_written_predictions_are_not_shuffled(spark, tmp_path):
+    from cliplab.sources import tables
+
+    rows = spark.range(500, numPartitions=1).selectExpr("'m' || id % 2 AS model", "CAST(0 AS int) AS fold", "'f' || id AS frame_id", "id")
+    tables.write_predictions(rows, str(tmp_path / "p"))
+    back = [r["id"] for r in spark.read.parquet(str(tmp_path / "p")).filter("model = 'm1'").collect()]
+    assert back == list(range(1, 500, 2))
