@@ -23,6 +23,8 @@ FOREST_TREES = 500
 FOREST_MIN_LEAF = 5
 MAX_DEPTH = 30  # Spark's maximum
 SEED = 42
+FEW_ROWS = 2_000_000  # rows whose bootstrap weights (2 kB each for 500 trees) stay in memory
+PASS_MB = {True: 2, False: 256}  # histograms of one pass over few rows (small enough for the processor's cache), over many
 
 def feature_columns(groups: Mapping[str, Sequence[str]], selected: Sequence[str] | None = None) -> list[str]:
     """Columns of the chosen groups in the order of `groups`; of all groups if none are named."""
@@ -43,17 +45,20 @@ def fit_forest(
     """Assembler + standard scaler + random forest with balanced class weights.
 
     `max_depth` bounds what a tree costs: Spark grows trees level by level, one pass over the data
-    each, and allows no more than MAX_DEPTH levels.
+    each, and allows no more than MAX_DEPTH levels.  The rows are kept while the stages read them.
     """
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        RandomForestClassifier(
-            featuresCol="features", labelCol=label, weightCol="class_weight", numTrees=n_trees, maxDepth=max_depth,
-            minInstancesPerNode=FOREST_MIN_LEAF, featureSubsetStrategy="sqrt", seed=SEED,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(with_class_weight(train, 2, label))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="raw_features")
+    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+    forest = RandomForestClassifier(
+        featuresCol="features", labelCol=label, weightCol="class_weight", numTrees=n_trees, maxDepth=max_depth,
+        minInstancesPerNode=FOREST_MIN_LEAF, featureSubsetStrategy="sqrt", seed=SEED,
+    )
+    rows = train.select(*features, label).persist()
+    try:
+        forest.setMaxMemoryInMB(PASS_MB[rows.count() <= FEW_ROWS])
+        return Pipeline(stages=[assembler, scaler, forest]).fit(with_class_weight(rows, 2, label))
+    finally:
+        rows.unpersist()
 
 
 def fit_linear_head(

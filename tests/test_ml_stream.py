@@ -55,6 +55,15 @@ def test_forest_queries_fit_the_whole_forest(spark, monkeypatch):
     assert (fitted["numTrees"], fitted["maxDepth"]) == (ml.FOREST_TREES, ml.MAX_DEPTH) == (500, 30)
 
 
+@pytest.mark.parametrize("limit, passes", [(300, 2), (299, 256)])
+def test_forest_passes_fit_the_cache_on_few_rows(table, monkeypatch, limit, passes):
+    seen = []
+    monkeypatch.setattr(ml, "FEW_ROWS", limit)
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda pipeline, rows: seen.append((pipeline.getStages()[-1].getMaxMemoryInMB(), rows.count())))
+    ml.fit_forest(table, ["a", "b", "c"], n_trees=2)
+    assert seen == [(passes, 300)]
+
+
 def test_linear_head(table):
     model = ml.fit_linear_head(table)
     scored = model.transform(ml.embedding_features(table))
