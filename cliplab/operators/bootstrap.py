@@ -29,7 +29,9 @@ from cliplab.operators.metrics import binary_metrics, cell_metrics
 from cliplab.operators.ranking import join_on
 
 BUCKETS = 64  # ranges of about equally many cells per group
-BLOCK_COUNTS = 500_000  # counts drawn at once: replicates x cells of a block
+BLOCK_COUNTS = 500_000  # counts of a block: replicates x cells
+HELD_COUNTS = 20_000  # counts at hand at once: few enough for the processor's cache
+PAIR_CELLS = 64  # neighbouring cells whose pairs are counted by one matrix product
 METRICS = ("accuracy", "auroc", "sensitivity", "specificity", "precision", "f1")
 _PARTIAL = ("pos", "neg", "concordant", "tp", "fp", "fn", "tn")
 
@@ -55,18 +57,32 @@ def _bucket_draws(seed: int, n_replicates: int):
 
 def _block_draws(
     rng: np.random.Generator, left: np.ndarray, weight: int, n: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """(draws inside the block per replicate, replicate x cell counts) for cells of n rows each."""
+) -> tuple[np.ndarray, Iterator[tuple[slice, np.ndarray]]]:
+    """Draws inside the block per replicate, and (replicates, replicate x cell counts) slice by slice, for cells of n rows each."""
     size = int(n.sum())
     inside = left.copy() if size >= weight else rng.binomial(left, size / weight)
-    cells, replicates = len(n), len(left)
+    step = max(1, HELD_COUNTS // len(n))
+    return inside, ((at, _counts(rng, inside[at], n, size)) for at in (slice(a, a + step) for a in range(0, len(left), step)))
+
+
+def _counts(rng: np.random.Generator, inside: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    cells, replicates = len(n), len(inside)
     if size > 4 * cells:
-        return inside, rng.multinomial(inside, n / size).astype(np.float64)
+        return rng.multinomial(inside, n / size).astype(np.float64)
     # few rows per cell: drawing row numbers is cheaper than one binomial per cell
     cell_of_row = np.repeat(np.arange(cells), n)
     picked = cell_of_row[rng.integers(0, size, size=int(inside.sum()))]
-    flat = np.repeat(np.arange(replicates) * cells, inside) + picked
-    return inside, np.bincount(flat, minlength=replicates * cells).reshape(replicates, cells).astype(np.float64)
+    picked += np.repeat(np.arange(replicates) * cells, inside)
+    return np.bincount(picked, minlength=replicates * cells).reshape(replicates, cells).astype(np.float64)
+
+
+def _sums(score: np.ndarray, label: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    """What a cell's count adds to, a column each: the pairs with every cell (a positive beats every lower negative and
+    half of the equal ones), tp, fp, fn, tn, and positives and negatives of the first and of the last score."""
+    wins = (score[:, None] < score) + (score[:, None] == score) / 2
+    kinds = [label & pred, ~label & pred, label & ~pred, ~label & ~pred]
+    ends = [(score == score[i]) & y for i in (0, -1) for y in (label, ~label)]
+    return np.column_stack([wins * (~label[:, None] & label), *kinds, *ends]).astype(np.float64)
 
 
 def _cell_draws(seed: int):
@@ -93,36 +109,33 @@ def _cell_draws(seed: int):
         for start in range(0, whole, width):
             block = waiting.iloc[start : min(start + width, whole)]
             n = block["n"].to_numpy(dtype=np.int64)
-            inside, drawn = _block_draws(run["rng"], run["left"], run["weight"], n)
+            inside, slices = _block_draws(run["rng"], run["left"], run["weight"], n)
             run["left"] = run["left"] - inside
             run["weight"] -= int(n.sum())
             label = block["label"].to_numpy() == 1
             pred = block["pred"].to_numpy() == 1
             score = block["score"].to_numpy()
-
-            # a positive beats every lower negative and half of the equal ones
-            edges = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-            pos = drawn * label
-            neg = drawn - pos
-            if len(edges) < len(n):
-                pos, neg = np.add.reduceat(pos, edges, axis=1), np.add.reduceat(neg, edges, axis=1)
-            below = run["neg"][:, None] + np.cumsum(neg, axis=1) - neg
-            run["concordant"] += (pos * (below + neg / 2)).sum(axis=1)
-            if run["last"] == score[0]:  # a score cut by the block border: its cross pairs count one half
-                run["concordant"] += (run["tied_pos"] * neg[:, 0] - pos[:, 0] * run["tied_neg"]) / 2
-                carry = len(edges) == 1
-            else:
-                carry = False
-            run["tied_pos"] = pos[:, -1] + (run["tied_pos"] if carry else 0.0)
-            run["tied_neg"] = neg[:, -1] + (run["tied_neg"] if carry else 0.0)
+            pairs = [slice(a, a + PAIR_CELLS) for a in range(0, len(n), PAIR_CELLS)]
+            sums = [_sums(score[c], label[c], pred[c]) for c in pairs]
+            for at, drawn in slices:
+                last = run["last"]
+                for c, of in zip(pairs, sums, strict=True):
+                    count(run, at, np.ascontiguousarray(drawn[:, c]), of, score[c], last)
+                    last = score[c][-1]
             run["last"] = score[-1]
 
-            kinds = np.stack([label & pred, ~label & pred, label & ~pred, ~label & ~pred], axis=1)
-            cells = drawn @ kinds.astype(np.float64)
-            for i, name in enumerate(("tp", "fp", "fn", "tn")):
-                run[name] += cells[:, i]
-            run["pos"] += cells[:, 0] + cells[:, 2]
-            run["neg"] += cells[:, 1] + cells[:, 3]
+    def count(run: dict, at: slice, drawn: np.ndarray, of: np.ndarray, score: np.ndarray, last: float | None) -> None:
+        """Add the draws of neighbouring cells to the sums of some replicates."""
+        found, cells = drawn @ of, drawn.shape[1]
+        tp, fp, fn, tn, first_pos, first_neg, last_pos, last_neg = found[:, cells:].T
+        run["concordant"][at] += np.einsum("ij,ij->i", found[:, :cells], drawn) + (tp + fn) * run["neg"][at]
+        if carry := last == score[0]:  # a score cut by the border: its cross pairs count one half
+            run["concordant"][at] += (run["tied_pos"][at] * first_neg - first_pos * run["tied_neg"][at]) / 2
+            carry = score[0] == score[-1]
+        run["tied_pos"][at] = last_pos + (run["tied_pos"][at] if carry else 0.0)
+        run["tied_neg"][at] = last_neg + (run["tied_neg"][at] if carry else 0.0)
+        for name, more in (("tp", tp), ("fp", fp), ("fn", fn), ("tn", tn), ("pos", tp + fn), ("neg", fp + tn)):
+            run[name][at] += more
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run: dict | None = None

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,39 @@ def test_perfect_scores_give_tight_interval(spark):
     rows = {r["metric"]: r for r in bootstrap.metrics_with_ci(df, ["model"], 50).collect()}
     assert len(rows) == 6
     assert all(r["mean"] == r["lower"] == r["upper"] == 1.0 for r in rows.values())
+
+
+def test_bootstrap_counts_come_in_slices_of_bounded_size(monkeypatch):
+    n = np.array([1, 3, 2, 1])
+    whole = bootstrap._block_draws(np.random.default_rng(5), np.full(100, 14), 14, n)
+    monkeypatch.setattr(bootstrap, "HELD_COUNTS", 40)
+    sliced = bootstrap._block_draws(np.random.default_rng(5), np.full(100, 14), 14, n)
+    (_, one), parts = next(iter(whole[1])), list(sliced[1])
+    assert max(drawn.size for _, drawn in parts) <= 40 and len(parts) == 10
+    assert (np.concatenate([drawn for _, drawn in parts]) == one).all() and (whole[0] == sliced[0]).all()
+
+
+@pytest.mark.parametrize("cells", [1, 2, 3, 64])
+def test_bootstrap_pairs_of_cells_equal_all_pairs(monkeypatch, cells):
+    """Concordant pairs by matrix products, with scores cut by their borders, against every pair."""
+    monkeypatch.setattr(bootstrap, "PAIR_CELLS", cells)
+    kept = []
+    draws = bootstrap._block_draws
+
+    def seen(*args):
+        inside, slices = draws(*args)
+        slices = list(slices)
+        kept.append(np.concatenate([drawn for _, drawn in slices]))
+        return inside, iter(slices)
+
+    monkeypatch.setattr(bootstrap, "_block_draws", seen)
+    rng = np.random.default_rng(2)
+    body = pd.DataFrame({"score": rng.integers(0, 6, 40) / 6, "label": rng.integers(0, 2, 40), "pred": rng.integers(0, 2, 40)})
+    body = body.drop_duplicates().sort_values(["score", "label", "pred"]).assign(n=2, draws=None)
+    head = pd.DataFrame({"score": [0.0], "label": [0], "pred": [0], "n": [2 * len(body)], "draws": [[30] * 20]})
+    batch = pd.concat([head, body], ignore_index=True).assign(g="g", score_bucket=0)
+    got = pd.concat(bootstrap._cell_draws(1)(iter([batch])))
+    score, label, drawn = body["score"].to_numpy(), body["label"].to_numpy() == 1, np.concatenate(kept, axis=1)
+    wins = ((score[:, None] < score) + (score[:, None] == score) / 2) * (~label[:, None] & label)
+    assert got["concordant"].tolist() == ((drawn @ wins) * drawn).sum(axis=1).tolist()
+    assert got["pos"].tolist() == drawn[:, label].sum(axis=1).tolist()
