@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from cliplab.functions.pvalues import EXACT_UP_TO, chi2_p, normal_p, signed_rank_pvalue, studentized_range_p
 from cliplab.operators.curves import score_histogram
 from cliplab.operators.ranking import join_on, running_totals
+from cliplab.session import cut_lineage
+
+SENT_SCORES = 2_000_000  # distinct scores that go to every task: some 80 bytes each
 
 
 def placement_values(
@@ -51,6 +54,8 @@ def delong_pairs(
     Items carry one row per model.  Placement values are looked up per distinct
     score, an item's values meet in one array, and pair moments (models x models
     per item, which is what all pairs need) are combined before their shuffle.
+    Up to SENT_SCORES distinct scores go to every task, so items stay where they
+    are; more are an ordinary join.
     `within` holds extra group keys, tested apart.
     """
     within = list(within)
@@ -59,8 +64,8 @@ def delong_pairs(
         F.col(label).cast("int").alias("label"), F.col(score).cast("double").alias("score"),
     ).filter("label is not null and score is not null")
     group = [*within, "model"]
-    placed = placement_values(rows, group, "label", "score").select(*group, "score", "v10", "v01")
-    joined = rows.join(placed, [*group, "score"])
+    placed = cut_lineage(placement_values(rows, group, "label", "score").select(*group, "score", "v10", "v01"))
+    joined = rows.join(F.broadcast(placed) if placed.count() <= SENT_SCORES else placed, [*group, "score"])
     value = F.when(F.col("label") == 1, F.col("v10")).otherwise(F.col("v01"))
     # an item has one row per model, so its array is as long as there are models
     by_item = joined.groupBy(*within, "item", "label").agg(

@@ -160,3 +160,16 @@ def test_nemenyi_and_interval(folds, spark):
     r = sg.normal_interval(folds.filter("model = 'a'"), ["model"]).first()
     x = np.array([0.9, 0.8, 0.85, 0.95, 0.7])
     assert r["upper"] - r["mean"] == pytest.approx(1.959963984540054 * x.std(ddof=1) / math.sqrt(5))
+
+
+def test_delong_sends_few_scores_to_every_task(models, monkeypatch):
+    """Items stay where they are; with more scores than that the results are the same."""
+    _, _, df = models
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    sent = sg.delong_pairs(df)
+    assert "strategy=broadcast" in joins(sent)
+    monkeypatch.setattr(sg, "SENT_SCORES", 0)
+    shuffled = sg.delong_pairs(df)
+    assert "strategy=broadcast" not in joins(shuffled)
+    near = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())
+    assert near(sent) == near(shuffled)
