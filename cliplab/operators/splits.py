@@ -347,9 +347,11 @@ def clip_strata(df: DataFrame, label: str = "label", clip: str = "clip_key") ->
 
     Bins are right-closed; when both cut points agree the lower moves down by one.
     """
-    modes = modal_value(df, [clip], label, "label")
-    sizes = df.groupBy(clip).agg(F.count(label).alias("n_frames"))
-    clips = join_on(sizes, modes, [clip])
+    # label and length come from the same counts, kept because cuts, quotas and ranks all read them
+    counts = df.filter(F.col(label).isNotNull()).groupBy(clip, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    clips = cut_lineage(
+        counts.groupBy(clip).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"), F.sum("n").alias("n_frames"))
+    )
     # distinct clip lengths per class are few: their count is at most sqrt(2 * frames)
     cuts = clips.groupBy("label").agg(
         F.percentile("n_frames", F.lit(1.0 / 3.0)).alias("__q33"), F.percentile("n_frames", F.lit(2.0 / 3.0)).alias("__q66")

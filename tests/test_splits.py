@@ -237,3 +237,11 @@ def test_row_samples(spark):
     assert len(a) == 40 and a == {r["frame_id"] for r in sampling.sample_rows(df.repartition(5), 40).collect()}
     per = sampling.sample_rows(df, 7, per=["label"]).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     assert [r["n"] for r in per] == [7, 7, 7]
+
+
+def test_clip_strata_read_the_frames_once(spark):
+    rows = [("c1", 1), ("c1", 0), ("c1", 1), ("c2", 0), ("c2", None), ("c3", None), (None, 1), ("c4", 1), ("c4", 0)]
+    clips = splits.clip_strata(spark.createDataFrame(rows, "clip_key string, label int"))
+    assert "LocalTableScan" not in clips._jdf.queryExecution().executedPlan().toString()
+    got = {r["clip_key"]: (r["label"], r["n_frames"]) for r in clips.collect()}
+    assert got == {"c1": (1, 3), "c2": (0, 1), None: (1, 1), "c4": (0, 2)}
