@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cliplab.functions import parse
 from cliplab.operators.ranking import attach_by_group, join_by_entity, join_on
-from cliplab.session import cut_lineage
+from cliplab.session import cut_lineage, keep_rows
 
 
 def clip_manifest(listing: DataFrame, classes: Mapping[str, int], relative: str = "relative_path") -> DataFrame:
@@ -191,15 +191,25 @@ def new_items(arrived: DataFrame, done: DataFrame, key: str = "relative_path") -
 
 
 def attach_predictions(manifest: DataFrame, scores: DataFrame, key: str = "frame_id") -> DataFrame:
-    """Join scores by key; raises unless every key is there exactly once on either side."""
-    sides = manifest.select(key, F.lit(1).alias("__m"), F.lit(0).alias("__s")).unionByName(
-        scores.select(key, F.lit(0).alias("__m"), F.lit(1).alias("__s"))
-    )
-    counts = sides.groupBy(key).agg(F.sum("__m").alias("__m"), F.sum("__s").alias("__s"))
-    bad = counts.filter((F.col("__m") != 1) | (F.col("__s") != 1) | F.col(key).isNull()).first()
+    """Join scores by key; raises unless every key is there exactly once on either side.
+
+    Rows travel to their key once: each side is counted there, one row a key is joined, and the joined rows are kept,
+    so that they are checked before they are returned.
+    """
+    joined = keep_rows(_counted(manifest, key, "__m").join(_counted(scores, key, "__s"), key, "full_outer"))
+    n = [F.coalesce(F.col(c), F.lit(0)) for c in ("__m", "__s")]
+    bad = joined.filter((n[0] != 1) | (n[1] != 1)).select(F.col(key).alias("key"), n[0].alias("m"), n[1].alias("s")).first()
     if bad is not None:
-        raise ValueError(f"key {bad[key]!r} is on {bad['__m']} manifest rows and {bad['__s']} scores")
-    return manifest.join(scores, key)
+        raise ValueError(f"key {bad['key']!r} is on {bad['m']} manifest rows and {bad['s']} scores")
+    return joined.drop("__m", "__s")
+
+
+def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
+    """One row of each key with the number of its rows."""
+    own = Window.partitionBy(key).orderBy(key)
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = df.withColumns({name: F.count(F.lit(1)).over(whole), "__i": F.row_number().over(own)})
+    return counted.filter("__i = 1").drop("__i")
 
 
 def attach_features(features: DataFrame, manifest: DataFrame, key: str = "relative_path") -> DataFrame:

@@ -137,6 +137,22 @@ def test_reviews_and_joins_that_must_not_lose_rows(spark):
     assert m.review_queue(uncertain).count() == 1
 
 
+def test_scores_are_attached_with_one_shuffle_of_each_side(spark):
+    rows = spark.range(500).select(F.concat(F.lit("f"), "id").alias("frame_id"), (F.col("id") % 2).alias("label"), F.col("id").alias("x"))
+    scores = spark.range(500).select((F.col("id") / 500).alias("prob"), F.concat(F.lit("f"), "id").alias("frame_id"), F.lit("s").alias("label"))
+    got = m.attach_predictions(rows, scores)
+    assert got.columns == ["frame_id", "label", "x", "prob", "label"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f"f{i}", i % 2, i, i / 500, "s") for i in range(500))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    again, none = rows.limit(1), rows.limit(1).withColumn("frame_id", F.lit(None).cast("string"))
+    for left, right in [
+        (rows.union(again), scores), (rows, scores.union(scores.limit(1))), (rows.union(again), scores.union(scores.limit(1))),
+        (rows.limit(499), scores), (rows.union(none), scores), (rows.union(none), scores.union(none.select("x", "frame_id", F.lit("s")))),
+    ]:
+        with pytest.raises(ValueError, match="is on"):
+            m.attach_predictions(left, right)
+
+
 def test_quality_and_leakage(spark):
     rows = [
         ("p/1.jpg", 0, "v1", "p001", "s1", 1, "c1", "train"), ("p/1.jpg", 1, "v1", "p001", "s1", 1, "c1", "train"),
