@@ -461,8 +461,11 @@ def histogram_entropy(df: DataFrame, keys: Sequence[str], value: str, lo: float,
 
 
 def ensemble(predictions: DataFrame, keys: Sequence[str] = ("model", "frame_id")) -> DataFrame:
-    """Mean probability over folds per model and item, with the item's label and clip."""
+    """Mean probability over folds per model and item, with the item's label and clip.
+
+    Where the clip is a key itself, only numbers are combined: Spark hashes these and needs no sort of all rows for them.
+    """
+    clip = [] if "clip_key" in keys else [F.min("clip_key").alias("clip_key")]
     return predictions.groupBy(*keys).agg(
-        F.avg("prob").alias("prob"), F.max("label").alias("label"), F.min("clip_key").alias("clip_key"),
-        F.count(F.lit(1)).alias("n_folds"),
+        F.avg("prob").alias("prob"), F.max("label").alias("label"), *clip, F.count(F.lit(1)).alias("n_folds")
     )

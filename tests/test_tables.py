@@ -153,6 +153,17 @@ def test_scores_are_attached_with_one_shuffle_of_each_side(spark):
             m.attach_predictions(left, right)
 
 
+def test_ensemble_by_clip_sorts_no_rows(spark):
+    rows = [("m", "c1", 0, 0.2), ("m", "c1", 1, 0.6), ("m", "c2", None, None), ("n", "c1", 1, 1.0)]
+    df = spark.createDataFrame(rows, "model string, clip_key string, label int, prob double")
+    got = quality.ensemble(df, ["model", "clip_key"])
+    assert got.columns == ["model", "clip_key", "prob", "label", "n_folds"]
+    assert {tuple(r) for r in got.collect()} == {("m", "c1", 0.4, 1, 2), ("m", "c2", None, None, 1), ("n", "c1", 1.0, 1, 1)}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    frames = quality.ensemble(df.withColumn("frame_id", F.lit("f")))
+    assert {(r["model"], r["clip_key"], r["n_folds"]) for r in frames.collect()} == {("m", "c1", 3), ("n", "c1", 1)}
+
+
 def test_quality_and_leakage(spark):
     rows = [
         ("p/1.jpg", 0, "v1", "p001", "s1", 1, "c1", "train"), ("p/1.jpg", 1, "v1", "p001", "s1", 1, "c1", "train"),
