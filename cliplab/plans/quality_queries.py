@@ -158,7 +158,7 @@ def e10(v: Views) -> DataFrame:
         FROM (SELECT *, lpad(frame_number::VARCHAR, 9, '0') || relative_path AS k FROM frames) GROUP BY 1"""),
 )
 def e11(v: Views) -> DataFrame:
-    return quality.clip_frame_summary(v.frames())
+    return quality.clip_frame_summary(v.frames(rows=1_000_000))
 
 
 @query(

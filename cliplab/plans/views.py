@@ -35,16 +35,20 @@ class Views:
     def fact(self, name: str, *keys: str) -> DataFrame:
         return spread(self.table(name), *keys)
 
-    def frames(self) -> DataFrame:
-        """Manifest rows; scores score_a..score_c ride along and are pruned when unused."""
+    def frames(self, rows: int | None = None) -> DataFrame:
+        """Manifest rows; scores score_a..score_c ride along and are pruned when unused.
+
+        `rows` bounds the rows of a task for queries that sort their text (see `spread`).
+        """
         # numbers travel to the join, text is made from them behind it
-        li = self.fact("lineitem", "l_orderkey").select(
+        li = self.table("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
             (F.col("l_returnflag") == "R").cast("int").alias("label"),
             (F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) * 8 + F.col("l_linenumber"))
             .cast("int")
             .alias("frame_number"),
         )
+        li = spread(li, "l_orderkey", rows=rows)
         video = F.concat(F.lit("vid_"), F.col("o_custkey").cast("string"))
         # split and fold are hashed once per order, not once per frame
         orders = self.table("orders").select(
@@ -95,7 +99,7 @@ class Views:
             .drop("__size")
         )
 
-    def predictions(self) -> DataFrame:
+    def predictions(self, rows: int | None = None) -> DataFrame:
         """Long fact table (model, fold, frame_id, clip_key, patient_id, label, prob)."""
         scores = F.array(
             *[
@@ -103,10 +107,10 @@ class Views:
                 for m, c in zip(MODELS, ("score_a", "score_b", "score_c"), strict=True)
             ]
         )
-        rows = self.frames().select(
+        frames = self.frames(rows).select(
             "fold", "frame_id", "clip_key", "patient_id", "split", "frame_number", "label", F.explode(scores).alias("s")
         )
-        return rows.select(
+        return frames.select(
             "s.model", "fold", "frame_id", "clip_key", "patient_id", "split", "frame_number", "label", "s.prob"
         )
 

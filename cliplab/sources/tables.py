@@ -49,15 +49,18 @@ def _escape(text: str) -> str:
     return "".join("\\" + ch if ch in r"\.[]{}()*+?^$|" else ch for ch in text)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """Repartition by key only if the input has fewer splits than the session has cores.
 
     Files of one row group are read by one task; everything after it would stay
     there.  Inputs with enough splits are left alone, so large tables pay no
-    extra shuffle.
+    extra shuffle.  With `rows`, tables of more than that many rows a core go to
+    as many tasks as get about `rows` rows each, so that a task doesn't grow with
+    the table; a join on the keys then uses this shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    tasks = -(-df.count() // rows) if rows else 0
+    return df.repartition(max(cores, tasks), *keys) if tasks > cores or df.rdd.getNumPartitions() < cores else df
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -153,6 +153,18 @@ def test_scores_are_attached_with_one_shuffle_of_each_side(spark):
             m.attach_predictions(left, right)
 
 
+def test_tasks_do_not_grow_with_a_table(spark):
+    from cliplab.sources.tables import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    for n in (1000, 20_000, 200_000):
+        df = spread(spark.range(0, n, 1, cores), "id", rows=2000)
+        assert df.rdd.getNumPartitions() == max(cores, n // 2000) and df.count() == n
+        sizes = df.groupBy(F.spark_partition_id()).count()
+        assert max(r["count"] for r in sizes.collect()) < 2500
+    assert spread(spark.range(0, 20_000, 1, cores), "id").rdd.getNumPartitions() == cores
+
+
 def test_ensemble_by_clip_sorts_no_rows(spark):
     rows = [("m", "c1", 0, 0.2), ("m", "c1", 1, 0.6), ("m", "c2", None, None), ("n", "c1", 1, 1.0)]
     df = spark.createDataFrame(rows, "model string, clip_key string, label int, prob double")
