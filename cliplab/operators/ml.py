@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cliplab.functions.outcomes import label_name, outcome
 from cliplab.operators.bootstrap import metrics_with_ci
+from cliplab.operators.forest import RandomForestClassifier
 from cliplab.operators.metrics import at_threshold, binary_metrics, tune_threshold
 from cliplab.operators.splits import class_weights
 
@@ -23,6 +24,7 @@ FOREST_TREES = 500
 FOREST_MIN_LEAF = 5
 MAX_DEPTH = 30  # Spark's maximum
 SEED = 42
+# For Spark's fit only.
 FEW_ROWS = 2_000_000  # rows whose bootstrap weights (2 kB each for 500 trees) stay in memory
 PASS_MB = {True: 2, False: 256}  # histograms of one pass over few rows (small enough for the processor's cache), over many
 
@@ -44,8 +46,9 @@ def fit_forest(
 ) -> PipelineModel:
     """Assembler + standard scaler + random forest with balanced class weights.
 
-    `max_depth` bounds what a tree costs: Spark grows trees level by level, one pass over the data
-    each, and allows no more than MAX_DEPTH levels.  The rows are kept while the stages read them.
+    Trees grow in the tasks, on binned rows (`forest`).  Tables too large for that go to Spark's fit, which
+    grows them level by level, in passes over the data.  Spark's models have no more than MAX_DEPTH levels.
+    The rows are kept while the stages read them.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="raw_features")
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
