@@ -18,6 +18,7 @@ from cliplab.operators.bootstrap import metrics_with_ci
 from cliplab.operators.forest import RandomForestClassifier
 from cliplab.operators.metrics import at_threshold, binary_metrics, tune_threshold
 from cliplab.operators.splits import class_weights
+from cliplab.session import keep_rows
 
 # Forest parameters.
 FOREST_TREES = 500
@@ -81,8 +82,9 @@ def embedding_features(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """`keep` and prob, kept as Parquet: a forest is dear, and plans that read prob often would score each row as often."""
     scored = model.transform(df)
-    return scored.select(*keep, vector_to_array("probability")[1].alias("prob"))
+    return keep_rows(scored.select(*keep, vector_to_array("probability")[1].alias("prob")))
 
 
 def tune(scored: DataFrame, metric: str = "f1", n_steps: int = 50) -> float:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml import classification
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -137,6 +138,26 @@ def test_one_seed_gives_one_forest(spark, table):
     assert a == b
 
 
+def test_rows_are_scored_once(spark, table):
+    scored = spark.sparkContext.accumulator(0)
+
+    class Model:
+        def transform(self, df):
+            def probability(batches):
+                for batch in batches:
+                    scored.add(len(batch))
+                    yield batch.assign(p=1 / (1 + np.exp(-batch["a"])))
+
+            seen = df.select("id", "label", "a").mapInPandas(probability, "id int, label int, a double, p double")
+            return seen.select("id", "label", array_to_vector(F.array(1 - F.col("p"), "p")).alias("probability"))
+
+    found = ml.positive_probability(Model(), table, ["id", "label"])
+    assert found.columns == ["id", "label", "prob"]
+    point, ci = ml.evaluate(found, 0.5, 20)
+    assert point.first()["auroc"] > 0.6 and ci.count() == 6 and 0 < ml.tune(found) < 1
+    assert scored.value == 3000
+
+
 def test_labels_of_three_classes(spark):
     x, y, _ = rows(900, 3)
     found = [(Vectors.dense(v), int(c)) for v, c in zip(x, y, strict=True)]
