@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from cliplab.session import ensure_checkpoint_dir
 
 # Sizes of what a task holds.
-TASK_BYTES = 180_000_000  # binned rows, a byte a feature and one more each, up to which every task holds all of them
+TASK_BYTES = 150_000_000  # binned rows up to which every task holds all of them
 BLOCK_ROWS = 1 << 18  # rows that travel together
 SUMMARY = 2048  # values that stand for the values of a feature in a block
 STEP_ROWS = 1 << 16  # rows of one numpy step
+SMALL_ROWS = 1 << 13  # rows up to which a node is split together with others
 FRONTIER = 2048  # open nodes whose histograms a task holds
 MAX_KINDS = 255  # pairs of label and weight
 MAX_CLASSES = 100  # as Spark
@@ -97,43 +98,60 @@ def gini(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(total > 0, 1.0 - np.square(share).sum(axis=-1), 0.0), total
 
 
+def n_bins(n_splits: np.ndarray) -> int:
+    return max(2, int(n_splits.max(initial=0)) + 1)
+
+
+def code_type(n_splits: np.ndarray, n_kinds: int) -> type:
+    return np.uint8 if n_bins(n_splits) * n_kinds <= 256 else np.uint16
+
+
 class Tree:
     """Grows one tree.
 
-    `bins` has a row of bytes a row of the table, `kinds` the number of its (label, weight); `classes[kind]` is its
-    weight by class and `n_splits[f]` the number of thresholds of feature f.
+    `codes[f]` holds bin * kinds + kind of every row, the kind being the number of its (label, weight); `classes[kind]` is
+    its weight by class and `n_splits[f]` the number of thresholds of feature f.
     """
 
     def __init__(
-        self, bins: np.ndarray, kinds: np.ndarray, classes: np.ndarray, n_splits: np.ndarray,
-        subset: int, min_rows: int, max_depth: int, min_gain: float = 0.0,
+        self, codes: np.ndarray, classes: np.ndarray, n_splits: np.ndarray, subset: int, min_rows: int, max_depth: int, min_gain: float = 0.0
     ):
-        self.flat, self.kinds, self.classes, self.n_splits = bins.reshape(-1), kinds, classes, n_splits
-        self.n_features, self.n_bins = bins.shape[1], max(2, int(n_splits.max(initial=0)) + 1)
+        self.codes, self.flat, self.classes, self.n_splits = codes, codes.reshape(-1), classes, n_splits
+        self.n_features, self.n_rows = codes.shape
+        self.n_bins = n_bins(n_splits)
         self.subset, self.min_rows, self.max_depth, self.min_gain = subset, min_rows, max_depth, min_gain
 
-    def grow(self, rows: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        """Nodes in the order of their making; `rows` and `counts` are used up."""
-        whole = self._total(rows, counts)
-        self.made, self.split, self.n_nodes = [(whole[None, :], np.zeros(1, np.int32))], [], 1
-        self.rng = rng
-        open_now = [(rows, counts, np.zeros(len(rows), np.int16), np.zeros(1, np.int64), 0)]
-        if self.max_depth == 0:
-            open_now = []
-        while open_now:
-            open_now.extend(self._level(*open_now.pop()))
+    def grow(self, rng: np.random.Generator, draw: Callable = bootstrap) -> dict[str, np.ndarray]:
+        """Nodes in the order of their making, for the rows and counts that `draw` takes."""
+        large, small = [(*draw(self.n_rows, rng), 0, 0)], []
+        whole = self._histograms(*large[0][:2], None, np.zeros((1, 1), np.int64))[0, 0].sum(axis=0)
+        self.made, self.split, self.n_nodes, self.rng = [(whole[None, :], np.zeros(1, np.int32))], [], 1, rng
+        if not self.max_depth:
+            large.clear()
+        while large:  # one by one
+            for child in self._part(*large.pop()):
+                if len(child[0]) > SMALL_ROWS:
+                    large.append(child)
+                else:
+                    small.append((child[0].copy(), child[1].copy(), *child[2:]))
+            child = None
+        while small:  # many at a time
+            now, small = small[:FRONTIER], small[FRONTIER:]
+            rows, counts = (np.concatenate(x) for x in list(zip(*now, strict=True))[:2])
+            node = np.repeat(np.arange(len(now), dtype=np.int16), [len(x[0]) for x in now])
+            ids, depth = (np.array(x) for x in list(zip(*now, strict=True))[2:])
+            fronts = [(rows, counts, node, ids, depth)]
+            while fronts:
+                fronts.extend(self._level(*fronts.pop()))
         return self._nodes()
 
-    def _total(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        steps = range(0, len(rows), STEP_ROWS)
-        k = len(self.classes)
-        return sum((np.bincount(self.kinds[rows[i : i + STEP_ROWS]], counts[i : i + STEP_ROWS], k) for i in steps), np.zeros(k))
+    def _split(self, rows, counts, node, ids, depth) -> tuple[np.ndarray, ...]:
+        """Decide the splits of the open nodes `ids` and make their children; `node` is the place in `ids` of each row's node.
 
-    def _level(self, rows, counts, node, ids, depth) -> list[tuple]:
-        """Split the open nodes `ids`; `node` is the place in `ids` of each row's node.  Returns the next open nodes."""
+        (places of the nodes that are split, features, last codes of the left sides, ids of the children, whether they go on)."""
         m, s, b, k = len(ids), self.subset, self.n_bins, len(self.classes)
         chosen = np.argsort(self.rng.random((m, self.n_features)), axis=1)[:, :s] if s < self.n_features else np.tile(np.arange(s), (m, 1))
-        hist = self._histograms(rows, counts, node, chosen, m)
+        hist = self._histograms(rows, counts, node, chosen)
         left = np.cumsum(hist, axis=2)[:, :, :-1]
         whole = hist[:, 0].sum(axis=1)
         right = whole[:, None, None, :] - left
@@ -149,56 +167,80 @@ class Tree:
         place, at = np.divmod(best[which], b - 1)
         feature = chosen[which, place]
         children = np.stack([left[which, place, at], right[which, place, at]], axis=1).reshape(-1, k)
-        first = self.n_nodes + 2 * np.arange(len(which))
-        self.made.append((children, np.full(len(children), depth + 1, np.int32)))
-        self.split.append((ids[which], feature, at, best_gain[which], first))
+        below = np.repeat(depth[which] + 1, 2)
+        new = self.n_nodes + np.arange(len(children))
+        self.made.append((children, below))
+        self.split.append((ids[which], feature, at, best_gain[which], new[::2]))
         self.n_nodes += len(children)
         impurity, _ = gini(children @ self.classes)
-        goes_on = (impurity >= EPSILON) & (children.sum(axis=1) >= 2 * self.min_rows) & (depth + 1 < self.max_depth)
-        next_ids = (self.n_nodes - len(children) + np.arange(len(children)))[goes_on]
+        goes_on = (impurity >= EPSILON) & (children.sum(axis=1) >= 2 * self.min_rows) & (below < self.max_depth)
+        return which, feature, at * k + k - 1, new, goes_on
+
+    def _part(self, rows, counts, node, depth) -> list[tuple]:
+        """Split one node; its children that go on."""
+        _, feature, last, new, goes_on = self._split(rows, counts, None, np.array([node]), np.array([depth]))
+        if not goes_on.any():
+            return []
+        out = {side: (np.empty_like(rows), np.empty_like(counts)) for side in np.flatnonzero(goes_on)}
+        ends = dict.fromkeys(out, 0)
+        for i in range(0, len(rows), STEP_ROWS):
+            r, c = rows[i : i + STEP_ROWS], counts[i : i + STEP_ROWS]
+            right = self.codes[feature[0]].take(r) > last[0]
+            for side, (to_rows, to_counts) in out.items():
+                taken = np.flatnonzero(right if side else ~right)
+                at, ends[side] = ends[side], ends[side] + len(taken)
+                to_rows[at : ends[side]], to_counts[at : ends[side]] = r.take(taken), c.take(taken)
+        return [(to_rows[: ends[side]], to_counts[: ends[side]], new[side], depth + 1) for side, (to_rows, to_counts) in out.items()]
+
+    def _level(self, rows, counts, node, ids, depth) -> list[tuple]:
+        """Split open nodes; the next ones."""
+        which, feature, last, new, goes_on = self._split(rows, counts, node, ids, depth)
+        next_ids = new[goes_on]
         if not len(next_ids):
             return []
+        next_depth, m = np.repeat(depth[which] + 1, 2)[goes_on], len(ids)
         target = np.full((m, 2), -1, np.int16)  # up to 2 * FRONTIER
         target[which] = np.where(goes_on, np.cumsum(goes_on) - 1, -1).reshape(-1, 2)
-        split_feature, split_at = np.zeros(m, np.int64), np.zeros(m, np.uint8)
-        split_feature[which], split_at[which] = feature, at
+        start, last_code = np.zeros(m, np.int64), np.zeros(m, self.codes.dtype)
+        start[which], last_code[which] = feature * self.n_rows, last
         kept = 0
         for i in range(0, len(rows), STEP_ROWS):
             r, c, p = rows[i : i + STEP_ROWS], counts[i : i + STEP_ROWS], node[i : i + STEP_ROWS].astype(np.int64)
-            goes_right = self.flat.take(r * np.int64(self.n_features) + split_feature.take(p)) > split_at.take(p)
+            goes_right = self.flat.take(r + start.take(p)) > last_code.take(p)
             to = target.take(2 * p + goes_right)
-            stays = to >= 0
-            to = to[stays]
-            end = kept + len(to)
-            rows[kept:end], counts[kept:end], node[kept:end] = r[stays], c[stays], to  # never beyond what was read
+            stays = np.flatnonzero(to >= 0)
+            end = kept + len(stays)
+            rows[kept:end], counts[kept:end], node[kept:end] = r.take(stays), c.take(stays), to.take(stays)  # never beyond what was read
             kept = end
         rows, counts, node = rows[:kept], counts[:kept], node[:kept]
         if len(next_ids) <= FRONTIER:
-            return [(rows, counts, node, next_ids, depth + 1)]
+            return [(rows, counts, node, next_ids, next_depth)]
         order = np.argsort(node.astype(np.uint16), kind="stable")  # a radix sort
         rows, counts, node = rows[order], counts[order], node[order]
         out = []
         for i in range(0, len(next_ids), FRONTIER // 2):
             a, z = np.searchsorted(node, [i, i + FRONTIER // 2])
-            out.append((rows[a:z], counts[a:z], node[a:z] - np.int16(i), next_ids[i : i + FRONTIER // 2], depth + 1))
+            of = slice(i, i + FRONTIER // 2)
+            out.append((rows[a:z], counts[a:z], node[a:z] - np.int16(i), next_ids[of], next_depth[of]))
         return out
 
-    def _histograms(self, rows, counts, node, chosen, m) -> np.ndarray:
-        """Counts by node, chosen feature, bin and kind."""
-        s, b, k = self.subset, self.n_bins, len(self.classes)
+    def _histograms(self, rows, counts, node, chosen) -> np.ndarray:
+        """Counts by node, chosen feature, bin and kind; without `node` all rows are one node's."""
+        (m, s), b, k = chosen.shape, self.n_bins, len(self.classes)
         size = m * b * k
         step = max(STEP_ROWS, size)
         out = np.zeros((s, size))
-        feature = np.ascontiguousarray(chosen.T)
+        start = np.ascontiguousarray(chosen.T) * self.n_rows
         for i in range(0, len(rows), step):
-            r, c, p = rows[i : i + step].astype(np.int64), counts[i : i + step].astype(np.float64), node[i : i + step].astype(np.int64)
-            cell = self.kinds.take(r)
-            if m > 1:
-                cell = p * (b * k) + cell
-            r *= self.n_features
+            r, c = rows[i : i + step].astype(np.int64), counts[i : i + step].astype(np.float64)
+            if node is None:
+                for j in range(s):
+                    out[j] += np.bincount(self.codes[chosen[0, j]].take(r), c, size)
+                continue
+            p = node[i : i + step].astype(np.int64)
+            cell = p * (b * k)
             for j in range(s):
-                at = self.flat.take(r + (feature[j].take(p) if m > 1 else feature[j]))
-                out[j] += np.bincount(at * np.int64(k) + cell, c, size)
+                out[j] += np.bincount(self.flat.take(r + start[j].take(p)) + cell, c, size)
         return out.reshape(s, m, b, k).swapaxes(0, 1)
 
     def _nodes(self) -> dict[str, np.ndarray]:
@@ -276,7 +318,7 @@ class RandomForestClassifier(classification.RandomForestClassifier):
         labels = {y for y, _ in pairs}
         plain = all(float(y).is_integer() and 0 <= y < MAX_CLASSES for y in labels) and all(w > 0 for _, w in pairs) and max(labels, default=0) > 0
         n_features = max(found["feature"], default=0) + 1
-        if not (plain and n_rows * (n_features + 1) <= TASK_BYTES and len(pairs) <= MAX_KINDS):
+        if not plain or len(pairs) > MAX_KINDS:
             return super()._fit(dataset)
         cuts = []
         for f in range(n_features):
@@ -284,6 +326,9 @@ class RandomForestClassifier(classification.RandomForestClassifier):
             values, weights = (np.concatenate([found[c][i] for i in of]) for c in ("a", "b"))
             cuts.append(thresholds(values, weights, min(self.getMaxBins(), n_rows)))
         n_classes = int(max(labels)) + 1
+        width = np.dtype(code_type(np.array([len(c) for c in cuts]), len(pairs))).itemsize
+        if n_rows * n_features * width > TASK_BYTES:
+            return super()._fit(dataset)
         path = self._grown(rows, sorted(pairs), cuts, n_rows, n_classes)
         return RandomForestClassificationModel.load(path)
 
@@ -300,6 +345,7 @@ class RandomForestClassifier(classification.RandomForestClassifier):
         """Grow all trees and write them as a stored model of Spark; its folder."""
         spark, n_features, n_trees = rows.sparkSession, len(cuts), self.getNumTrees()
         n_splits = np.array([len(c) for c in cuts])
+        as_code = code_type(n_splits, len(pairs))
         kind_of = {p: i for i, p in enumerate(pairs)}
         classes = np.zeros((len(pairs), n_classes))
         for (y, w), i in kind_of.items():
@@ -312,32 +358,32 @@ class RandomForestClassifier(classification.RandomForestClassifier):
         def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
             for i, (x, label, weight) in enumerate(_blocks(batches)):
-                bins = np.stack([np.searchsorted(cuts[f], x[:, f]).astype(np.uint8) for f in range(n_features)], axis=1)
                 distinct, place = np.unique(np.stack([label, weight], axis=1), axis=0, return_inverse=True)
-                kinds = np.array([kind_of[tuple(p)] for p in distinct.tolist()], np.uint8)[place.reshape(-1)]
+                kinds = np.array([kind_of[tuple(p)] for p in distinct.tolist()])[place.reshape(-1)]
+                codes = np.stack([np.searchsorted(cuts[f], x[:, f]) * len(kind_of) + kinds for f in range(n_features)])
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part], pa.int32()), "block": pa.array([i], pa.int32()),
-                    "bins": pa.array([bins.tobytes()], pa.binary()), "kinds": pa.array([kinds.tobytes()], pa.binary()),
+                    "codes": pa.array([codes.astype(as_code).tobytes()], pa.binary()),
                 })
 
         def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bins, kinds, n, group = np.empty((n_rows, n_features), np.uint8), np.empty(n_rows, np.uint8), 0, None
+            codes, n, group = np.empty((n_features, n_rows), as_code), 0, None
             for batch in batches:
-                for g, b, k in zip(*(batch.column(c) for c in ("group", "bins", "kinds")), strict=True):
-                    group, of = g.as_py(), np.frombuffer(k.as_buffer(), np.uint8)
-                    kinds[n : n + len(of)] = of
-                    bins[n : n + len(of)] = np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, n_features)
-                    n += len(of)
+                for g, block in zip(batch.column("group"), batch.column("codes"), strict=True):
+                    group, of = g.as_py(), np.frombuffer(block.as_buffer(), as_code).reshape(n_features, -1)
+                    codes[:, n : n + of.shape[1]] = of
+                    n += of.shape[1]
             if group is None:
                 return
             if n != n_rows:
                 raise RuntimeError(f"{n} rows came, {n_rows} were counted")
-            tree = Tree(bins, kinds, classes, n_splits, **limits)
+            pa.default_memory_pool().release_unused()
+            tree = Tree(codes, classes, n_splits, **limits)
             for t in range(group, n_trees, n_groups):
                 rng = np.random.default_rng([seed, t])
-                yield _as_rows(t, tree.grow(*bootstrap(n_rows, rng), rng), cuts)
+                yield _as_rows(t, tree.grow(rng), cuts)
 
-        blocks = rows.mapInArrow(binned, "part int, block int, bins binary, kinds binary")
+        blocks = rows.mapInArrow(binned, "part int, block int, codes binary")
         sent = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).repartitionById(n_groups, "group")
         nodes = sent.sortWithinPartitions("part", "block").mapInArrow(grown, NODES)
         leaf = F.col("leftChild") < 0

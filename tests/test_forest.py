@@ -19,13 +19,15 @@ def rows(n: int, n_classes: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndar
 
 def binned(x, y, weight, max_bins=32):
     cuts = [forest.thresholds(v, weight, max_bins) for v in x.T]
-    bins = np.stack([np.searchsorted(c, v).astype(np.uint8) for c, v in zip(cuts, x.T, strict=True)], axis=1)
     classes = np.diag([float(weight[y == c][0]) for c in range(y.max() + 1)])
-    return bins, y.astype(np.uint8), classes, np.array([len(c) for c in cuts]), cuts
+    codes = np.stack([np.searchsorted(c, v) * len(classes) + y for c, v in zip(cuts, x.T, strict=True)])
+    n_splits = np.array([len(c) for c in cuts])
+    return codes.astype(forest.code_type(n_splits, len(classes))), classes, n_splits, cuts
 
 
-def every_row(n: int):
-    return np.arange(n, dtype=np.int32), np.ones(n, np.uint8), np.random.default_rng(0)
+def grown(tree: forest.Tree) -> dict:
+    """The tree of all rows, each taken once."""
+    return tree.grow(np.random.default_rng(0), lambda n, rng: (np.arange(n, dtype=np.int32), np.ones(n, np.uint8)))
 
 
 def nested(nodes: dict, i: int = 0):
@@ -40,8 +42,8 @@ def nested(nodes: dict, i: int = 0):
 @pytest.mark.parametrize("n_classes, min_rows, max_bins", [(2, 5, 32), (3, 12, 32), (2, 12, 8)])
 def test_a_tree_is_sparks_tree(spark, tmp_path, n_classes, min_rows, max_bins):
     x, y, weight = rows(700, n_classes)
-    bins, kinds, classes, n_splits, cuts = binned(x, y, weight, max_bins)
-    got = forest.Tree(bins, kinds, classes, n_splits, 4, min_rows, 30).grow(*every_row(700))
+    codes, classes, n_splits, cuts = binned(x, y, weight, max_bins)
+    got = grown(forest.Tree(codes, classes, n_splits, 4, min_rows, 30))
     got |= {"right": got["left"] + 1, "threshold": np.array([cuts[f][a] if f >= 0 else 0 for f, a in zip(got["feature"], got["at"], strict=True)])}
     table = spark.createDataFrame([(Vectors.dense(v), float(c), float(w)) for v, c, w in zip(x, y, weight, strict=True)], ["features", "label", "w"])
     tree = classification.DecisionTreeClassifier(weightCol="w", maxDepth=30, minInstancesPerNode=min_rows, maxBins=max_bins)
@@ -57,11 +59,12 @@ def test_a_tree_is_sparks_tree(spark, tmp_path, n_classes, min_rows, max_bins):
 
 def test_deep_trees_grow_in_parts(monkeypatch):
     x, y, weight = rows(3000)
-    table = binned(x, y, weight)[:4]
-    whole = forest.Tree(*table, 4, 1, 30).grow(*every_row(3000))
+    table = binned(x, y, weight)[:3]
+    whole = grown(forest.Tree(*table, 4, 1, 30))
+    monkeypatch.setattr(forest, "SMALL_ROWS", 200)
     monkeypatch.setattr(forest, "FRONTIER", 6)
     monkeypatch.setattr(forest, "STEP_ROWS", 100)
-    parts = forest.Tree(*table, 4, 1, 30).grow(*every_row(3000))
+    parts = grown(forest.Tree(*table, 4, 1, 30))
     for nodes in (whole, parts):
         nodes |= {"right": nodes["left"] + 1, "threshold": nodes["at"].astype(float)}
     assert nested(whole) == nested(parts) and len(whole["left"]) > 300
@@ -69,10 +72,10 @@ def test_deep_trees_grow_in_parts(monkeypatch):
 
 def test_limits_of_a_tree():
     x, y, weight = rows(2000)
-    nodes = forest.Tree(*binned(x, y, weight)[:4], 2, 40, 4).grow(*every_row(2000))
+    nodes = grown(forest.Tree(*binned(x, y, weight)[:3], 2, 40, 4))
     assert nodes["raw"].min() >= 40 and nodes["raw"][0] == 2000
     assert len(nodes["left"]) <= 31
-    only = forest.Tree(*binned(x, y, weight)[:4], 2, 5, 0).grow(*every_row(2000))
+    only = grown(forest.Tree(*binned(x, y, weight)[:3], 2, 5, 0))
     assert only["left"].tolist() == [-1]
 
 
