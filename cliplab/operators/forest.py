@@ -26,8 +26,9 @@ from cliplab.session import ensure_checkpoint_dir
 
 # Sizes of what a task holds.
 TASK_BYTES = 150_000_000  # binned rows up to which every task holds all of them
-BLOCK_ROWS = 1 << 18  # rows that travel together
-SUMMARY = 2048  # values that stand for the values of a feature in a block
+BLOCK_VALUES = 1 << 20  # values, rows x features, that travel together
+SUMMARY = 8192  # values that stand for those of a block
+MAX_FEATURES = 64
 STEP_ROWS = 1 << 16  # rows of one numpy step
 SMALL_ROWS = 1 << 13  # rows up to which a node is split together with others
 FRONTIER = 2048  # open nodes whose histograms a task holds
@@ -41,7 +42,7 @@ NODES = (
 )
 
 
-def summary(values: np.ndarray, weights: np.ndarray, n: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
+def summary(values: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order with their weights; beyond `n` of them, the greatest of n ranges of equal weight."""
     distinct, place = np.unique(values, return_inverse=True)
     sums = np.bincount(place, weights=weights, minlength=len(distinct))
@@ -271,7 +272,7 @@ class Tree:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(features, labels, weights) of about BLOCK_ROWS rows each."""
+    """(features, labels, weights) of about BLOCK_VALUES values each."""
     held, n = [], 0
 
     def joined():
@@ -283,8 +284,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            n += batch.num_rows
-        if n >= BLOCK_ROWS:
+            n += len(batch.column("features").flatten())
+        if n >= BLOCK_VALUES:
             yield joined()
             held, n = [], 0
     if held:
@@ -292,12 +293,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: the number of rows, its (label, weight) pairs (feature -1) and a summary of every feature."""
+    """Per block: its (label, weight) pairs (feature -1) and a summary of every feature."""
     for x, label, weight in _blocks(batches):
         pairs = np.unique(np.stack([label, weight], axis=1), axis=0)[: MAX_KINDS + 1]
-        found = [(-1, pairs[:, 0], pairs[:, 1])] + [(f, *summary(x[:, f], weight)) for f in range(x.shape[1])]
+        found = [(-1, pairs[:, 0], pairs[:, 1])] + [(f, *summary(x[:, f], weight, SUMMARY // x.shape[1])) for f in range(x.shape[1])]
         yield pa.RecordBatch.from_pydict({
-            "n": pa.array([len(x)] * len(found), pa.int64()), "feature": pa.array([f for f, _, _ in found], pa.int32()),
+            "feature": pa.array([f for f, _, _ in found], pa.int32()),
             "a": pa.array([a for _, a, _ in found], pa.list_(pa.float64())), "b": pa.array([b for _, _, b in found], pa.list_(pa.float64())),
         })
 
@@ -312,19 +313,20 @@ class RandomForestClassifier(classification.RandomForestClassifier):
         rows = dataset.select(
             vector_to_array(self.getFeaturesCol()).alias("features"), F.col(self.getLabelCol()).cast("double").alias("label"), weight.alias("weight")
         )
-        found = rows.mapInArrow(_summaries, "n bigint, feature int, a array<double>, b array<double>").toArrow().to_pydict()
-        pairs = {p for f, a, b in zip(found["feature"], found["a"], found["b"], strict=True) if f < 0 for p in zip(a, b, strict=True)}
-        n_rows = sum(n for n, f in zip(found["n"], found["feature"], strict=True) if f < 0)
+        n_rows, n_features = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("features")), F.lit(0))).first()
+        if not 0 < n_rows * n_features <= TASK_BYTES or n_features > MAX_FEATURES:
+            return super()._fit(dataset)
+        found: dict[int, list] = {f: [] for f in range(-1, n_features)}
+        for batch in rows.mapInArrow(_summaries, "feature int, a array<double>, b array<double>").toArrow().to_batches():
+            for f, a, b in zip(*batch.columns, strict=True):
+                found[f.as_py()].append((a.values.to_numpy(), b.values.to_numpy()))
+        pairs = {p for a, b in found[-1] for p in zip(a.tolist(), b.tolist(), strict=True)}
         labels = {y for y, _ in pairs}
-        plain = all(float(y).is_integer() and 0 <= y < MAX_CLASSES for y in labels) and all(w > 0 for _, w in pairs) and max(labels, default=0) > 0
-        n_features = max(found["feature"], default=0) + 1
+        plain = all(float(y).is_integer() and 0 <= y < MAX_CLASSES for y in labels) and all(w > 0 for _, w in pairs) and max(labels) > 0
         if not plain or len(pairs) > MAX_KINDS:
             return super()._fit(dataset)
-        cuts = []
-        for f in range(n_features):
-            of = [i for i, g in enumerate(found["feature"]) if g == f]
-            values, weights = (np.concatenate([found[c][i] for i in of]) for c in ("a", "b"))
-            cuts.append(thresholds(values, weights, min(self.getMaxBins(), n_rows)))
+        max_bins = min(self.getMaxBins(), n_rows)
+        cuts = [thresholds(*(np.concatenate(x) for x in zip(*found[f], strict=True)), max_bins) for f in range(n_features)]
         n_classes = int(max(labels)) + 1
         width = np.dtype(code_type(np.array([len(c) for c in cuts]), len(pairs))).itemsize
         if n_rows * n_features * width > TASK_BYTES:
